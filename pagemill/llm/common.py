@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill import ship
+
 #: Keys that hold more than 1/HEAVY_PARTS of all rows are heavy; there can be fewer than HEAVY_PARTS of them.
 HEAVY_PARTS = 1000
 #: Records of one Arrow batch handed to Python; texts can be long, so batches are kept short.
@@ -21,7 +23,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 
 
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Limit the rows of an Arrow batch, so that a batch of whole texts fits a Python worker."""
+    """Before Python work: limit the rows of an Arrow batch, so that a batch of whole texts fits a worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

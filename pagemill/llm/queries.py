@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pagemill.llm import hilbert_shards, token_counts, url_filter
+from pagemill.llm import decontaminate, hilbert_shards, line_crf, mixing, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_warc": warc.op2_warc,
     "op4_url_filter": url_filter.op4_url_filter,
     "op6_hilbert_shards": hilbert_shards.op6_hilbert_shards,
+    "op7_mixing": mixing.op7_mixing,
+    "op8_decontamination": decontaminate.op8_decontamination,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_line_crf": line_crf.op10_line_crf,
 }
 ORACLE_SQL = {
+    "op2_warc": warc.SQL,
     "op4_url_filter": url_filter.SQL,
 }
