@@ -54,22 +54,32 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_by_key(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined with table, which has one row for each key and, in count, how many of the rows have that key.
+
+    Keys with more than a thousandth of all total rows are fewer than a thousand: they are broadcast, and their
+    rows stay where they are. The rest is joined by key, and no key of the rest can fill a partition.
+    """
+    limit = max(2, total // HEAVY_PARTS)
+    heavy = F.broadcast(table.where(F.col(count) > limit))
+    return rows.join(heavy, key).unionByName(rows.join(heavy, key, "left_anti").join(table.where(F.col(count) <= limit), key))
+
+
 def rows_of_repeated_keys(rows: DataFrame, key: str, count_as: str = "n_key", tag: str = "key") -> DataFrame:
-    """The rows whose key occurs in two rows or more, with the number of rows of the key.
+    """The rows whose key occurs in two rows or more, with the number of rows of the key; null keys are dropped.
 
-    rows should be a materialised table: it is read twice. Keys with more than a thousandth of all rows are
-    fewer than a thousand, so they are broadcast and their rows stay where they are; the rest is joined by
-    key, and no key of the rest can fill a partition. Null keys are dropped.
+    rows should be a materialised table, as it is read more than once. No key fills a partition (join_by_key).
     """
     counts = materialise(
         rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(count_as)).where(F.col(count_as) > 1),
         f"{tag}-counts",
     )
-    total = counts.agg(F.sum(count_as)).first()[0] or 0
-    limit = max(2, total // HEAVY_PARTS)
-    heavy = F.broadcast(counts.where(F.col(count_as) > limit))
-    light = counts.where(F.col(count_as) <= limit)
-    return rows.join(heavy, key).unionByName(rows.join(heavy, key, "left_anti").join(light, key))
+    return join_by_key(rows, counts, key, count_as, counts.agg(F.sum(count_as)).first()[0] or 0)
+
+
+def join_ids(rows: DataFrame, ids: DataFrame, key: str, how: str = "inner", most: int = 500_000) -> DataFrame:
+    """rows joined with ids (a materialised table of short rows): broadcast if it has at most most rows, else shuffled."""
+    return rows.join(F.broadcast(ids) if ids.count() <= most else ids, key, how)
 
 
 def nested(df: DataFrame, name: str = "row_") -> DataFrame:
