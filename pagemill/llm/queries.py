@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pagemill.llm import chosen_path, decontaminate, hilbert_shards, line_crf, mixing, token_counts, toxicity, url_filter, warc
+from pagemill.llm import chosen_path, decontaminate, hilbert_shards, line_crf, mixing, substring_dedup, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_warc": warc.op2_warc,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_chosen_path": chosen_path.op5_chosen_path,
     "op6_hilbert_shards": hilbert_shards.op6_hilbert_shards,
