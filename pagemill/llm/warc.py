@@ -16,6 +16,8 @@ from pagemill.llm.common import materialise, read_table, short_batches
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 #: Payload bytes after which an archive is closed; records are never cut, so a longer payload has one of its own.
 ARCHIVE_BYTES = 4 << 20
+#: Archives that a Python worker is given at once.
+ARCHIVES_A_BATCH = 4
 DICTIONARY_BYTES, SAMPLE_BYTES = 16 << 10, 1 << 20
 #: Rows of one payload that may meet in one join partition are spread over this many.
 SALTS = 16
@@ -194,6 +196,7 @@ def write_archives(records: DataFrame, archive_size: int = ARCHIVE_BYTES) -> Dat
         if waiting:
             yield pa.RecordBatch.from_pydict({"content": pa.array([archive_bytes(waiting)], pa.binary())})
 
+    short_batches(records.sparkSession)
     slim = records.withColumn("payload", F.when(F.col("record_type") != "revisit", F.col("payload")))
     return slim.mapInArrow(packed, "content binary")
 
@@ -220,6 +223,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
+    short_batches(archives.sparkSession, ARCHIVES_A_BATCH)
     return archives.select("content").mapInArrow(unpacked, RECORD)
 
 
@@ -227,10 +231,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives in the shared folder and read back from there. A null html is an empty payload."""
     pages = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
     records = mark_revisits(pages.select(F.col("page_id").alias("record_id"), F.col("url").alias("target_uri"), F.coalesce("html", F.lit("")).alias("payload")))
-    short_batches(spark)
-    archives = materialise(write_archives(records), "archives")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    read = read_archives(archives)
+    read = read_archives(materialise(write_archives(records), "archives"))
     number = lambda c: F.when(F.col(c) != "None", F.col(c).cast("long"))  # noqa: E731  a null id was written as None
     return read.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
