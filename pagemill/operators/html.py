@@ -41,6 +41,7 @@ class _Page(HTMLParser):
         self.stack: list[tuple[str, int]] = []
         self.silent = 0
         self.open_tables: list[list] = []
+        self.open_rows: list[list[dict]] = []
         self.open_cells: list[tuple[list[dict], list[str]]] = []
         self.regions: dict[int, tuple[int, list[str]]] = {}
         self.found: dict[int, str] = {}
@@ -64,14 +65,14 @@ class _Page(HTMLParser):
             self.open_tables.append([])
             self.tables.append(self.open_tables[-1])
         elif tag == "tr":
-            for table in self.open_tables:  # rows of a nested table are also rows of those around it
-                table.append([])
+            self._open_row()
             self._mark("|")
         elif tag in ("td", "th"):
             cell = {"text": [], "rowspan": _number(attributes.get("rowspan"), 1), "colspan": _number(attributes.get("colspan"), 1)}
-            for table in self.open_tables:
-                if table:
-                    table[-1].append(cell)
+            if self.open_tables and len(self.open_rows) < len(self.open_tables):
+                self._open_row()
+            for row in self.open_rows:  # cells of a nested table are also cells of the rows around it
+                row.append(cell)
             self.open_cells.append((cell, cell["text"]))
             self.text.append("\t")
         elif tag in ("img", "canvas"):
@@ -94,6 +95,12 @@ class _Page(HTMLParser):
         elif tag in ("i", "em"):
             self._mark("_")
 
+    def _open_row(self):
+        row: list[dict] = []
+        for table in self.open_tables:  # rows of a nested table are also rows of those around it
+            table.append(row)
+        self.open_rows.append(row)
+
     def _end_open(self, tag):
         """A new list item, row or cell ends an open one, as far as the list or table around it."""
         stop = {"li": ("ul", "ol")}.get(tag, ("table",))
@@ -123,8 +130,11 @@ class _Page(HTMLParser):
         if tag in ("td", "th") and self.open_cells:
             self.open_cells.pop()
             self._mark(" |")
+        elif tag == "tr" and len(self.open_rows) == len(self.open_tables):
+            del self.open_rows[-1:]
         elif tag == "table" and self.open_tables:
             self.open_tables.pop()
+            del self.open_rows[len(self.open_tables) :]
         elif tag in ("ul", "ol") and self.lists:
             self.lists.pop()
         elif tag in ("b", "strong"):
