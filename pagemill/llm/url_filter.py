@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import read_table
+from pagemill.llm.common import nested, read_table, unnested
 
 #: Rule lists up to this many rows are broadcast; longer ones are joined by shuffling.
 BROADCAST_RULES = 100_000
@@ -67,7 +67,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, default: str = "allow") -> Dat
     digests of its host suffixes and path prefixes, no deeper than the deepest rule, joined by the digests' first
     32 bits, then confirmed by full digest and full path. Equal rows are judged once and given back as often as
     they came, so a URL that fills a third of the table costs no more than any other.
-    Null host or path count as empty. Rules with null host, path or action are ignored.
+    Null host or path count as empty. Columns named rule or verdict are replaced; others stay. Rules with null host, path or action are ignored.
     """
     known = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & F.col("action").isNotNull())
     keyed = known.select(
@@ -85,22 +85,17 @@ def judge_urls(urls: DataFrame, rules: DataFrame, default: str = "allow") -> Dat
     if n_rules <= BROADCAST_RULES:
         keyed = F.broadcast(keyed)
 
-    columns = urls.columns
-    once = urls.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))}).groupBy(*columns).agg(F.count(F.lit(1)).alias("copies_"))
-    expanded = once.withColumn("suffix_", F.explode(host_suffixes(F.col("host"), labels or 1))).withColumn(
-        "prefix_", F.explode(path_prefixes(F.col("path"), parts or 0))
-    )
+    known_url = urls.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))})
+    once = nested(known_url).groupBy("row_").agg(F.count(F.lit(1)).alias("copies_"))
+    host, path = F.col("row_.host"), F.col("row_.path")
+    expanded = once.withColumn("suffix_", F.explode(host_suffixes(host, labels or 1))).withColumn("prefix_", F.explode(path_prefixes(path, parts or 0)))
     hashed = expanded.withColumn("digest_", digest(F.col("suffix_"), F.col("prefix_"))).withColumn("short", F.substring("digest_", 1, PREFIX_DIGITS))
-    fits = (F.col("digest_") == F.col("rule_digest")) & F.col("path").startswith(F.col("rule_path"))
+    fits = (F.col("digest_") == F.col("rule_digest")) & path.startswith(F.col("rule_path"))
     text = F.concat("rule_host", "rule_path")
     best = F.max(F.when(fits, F.struct(F.length(text).alias("n"), F.length("rule_host").alias("h"), text.alias("rule"), F.col("rule_action").alias("action"))))
-    judged = hashed.join(keyed, "short", "left").groupBy(*columns, "copies_").agg(best.alias("best_"))
-    return judged.select(
-        *columns,
-        F.col("best_.rule").alias("rule"),
-        F.coalesce("best_.action", F.lit(default)).alias("verdict"),
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies_"))).alias("copy_"),
-    ).drop("copy_")
+    judged = hashed.join(keyed, "short", "left").groupBy("row_", "copies_").agg(best.alias("best_"))
+    again = judged.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies_"))))
+    return unnested(again, known_url, {"rule": F.col("best_.rule"), "verdict": F.coalesce("best_.action", F.lit(default))})
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

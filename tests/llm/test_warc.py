@@ -38,7 +38,7 @@ def test_compressed_dictionary_and_none():
         lambda d: d[:-3],
         lambda d: d + b"\x00\x01",
         lambda d: d[:6],
-        lambda d: d[: len(d) // 2] + b"\xff" * 8 + d[len(d) // 2 + 8 :],
+        lambda d: d[:-40] + b"\xff" * 8 + d[-32:],
     ],
 )
 def test_broken_archives(damage):
