@@ -200,8 +200,9 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int
 
         for b in batches:
             at, texts = [], []
-            columns = {c: b.column(i) for i, c in enumerate(b.schema.names)}
-            for i, (text, begin, size, uses) in enumerate(zip(*(columns[c].to_pylist() for c in ("text", "begin_", "size_", "uses_")))):
+            columns = {c: b.column(i) for i, c in enumerate(names)}
+            placed = [columns["text"], *(b.column(len(names) + k) for k in range(3))]
+            for i, (text, begin, size, uses) in enumerate(zip(*(c.to_pylist() for c in placed), strict=True)):
                 words = None
                 for turn in range(1, max(u["uses"] for u in uses) + 1):
                     spans = [(max(u["block"] * block_words - begin, 0), min((u["block"] + 1) * block_words - begin, size)) for u in uses if u["uses"] >= turn]
@@ -217,7 +218,8 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int
             index = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([made[c] if c in made else columns[c].take(index) for c in names], names)
 
-    flat = mix.select(*[F.col(f"row_.`{c}`").alias(c) for c in names], "begin_", "size_", "uses_")
+    # columns go by their places here, so that no name of docs can clash
+    flat = mix.select(*[F.col(f"row_.`{c}`").alias(f"c{i}") for i, c in enumerate(names)], "begin_", "size_", "uses_")
     return flat.mapInArrow(emitted, T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
 
 
