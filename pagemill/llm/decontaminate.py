@@ -19,7 +19,7 @@ from pagemill.llm.url_filter import ascii_lower
 
 WINDOW = 13
 #: Rarest terms of a window whose postings are intersected.
-ANCHORS = 3
+ANCHORS = 2
 #: Term sets up to this size travel to the workers; beyond it all terms are indexed and joins shuffle.
 MOST_TERMS = 500_000
 #: Characters that separate words once A-Z are lower-case (fixed by the definition of a word).
@@ -80,17 +80,17 @@ def term_counts(docs: DataFrame, terms: frozenset[bytes] | None) -> DataFrame:
 
 
 def rarest_terms(windows: DataFrame, counts: DataFrame, anchors: int = ANCHORS) -> DataFrame:
-    """For each window its rarest terms by counts: ``window``, ``anchor`` (from 0), ``term``, ``offset``, ``anchors``.
+    """For each window (its number wid) its rarest terms by counts: ``wid``, ``anchor`` (from 0), ``term``, ``offset``, ``anchors``.
 
     A term that does not occur counts 0: then the window cannot occur, and it is left out.
     """
-    placed = windows.select("window", F.posexplode("words").alias("offset", "term")).groupBy("window", "term").agg(F.min("offset").alias("offset"))
-    known = placed.join(counts, "term", "left").groupBy("window").agg(
+    placed = windows.select("wid", F.posexplode("words").alias("offset", "term")).groupBy("wid", "term").agg(F.min("offset").alias("offset"))
+    known = placed.join(counts, "term", "left").groupBy("wid").agg(
         F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term"))).alias("ranked")
     )
-    best = known.where(F.get("ranked", F.lit(0))["n"] > 0).select("window", F.slice("ranked", 1, anchors).alias("best"))
-    return best.select("window", F.size("best").alias("anchors"), F.posexplode("best").alias("anchor", "b")).select(
-        "window", "anchor", "b.term", "b.offset", "anchors"
+    best = known.where(F.get("ranked", F.lit(0))["n"] > 0).select("wid", F.slice("ranked", 1, anchors).alias("best"))
+    return best.select("wid", F.size("best").alias("anchors"), F.posexplode("best").alias("anchor", "b")).select(
+        "wid", "anchor", "b.term", "b.offset", "anchors"
     )
 
 
@@ -122,23 +122,23 @@ def positional_index(docs: DataFrame, terms: frozenset[bytes] | None, keys: list
 
 
 def intersect(index: DataFrame, anchors: DataFrame, keys: list[str], slop: int = 0) -> DataFrame:
-    """Where the rarest terms of a window stand as in the window: the keys, ``window``, ``start``.
+    """Where the rarest terms of a window stand as in the window: the keys, ``wid``, ``start``.
 
     Positions are adjusted by the term's offset, so that an exact phrase has equal starts for all its terms. With
     a slop, starts may differ from that of the rarest term by that many words: a proximity match.
     """
-    starts = index.join(anchors, "term").select(*keys, "window", "anchor", "anchors", F.explode("positions").alias("p"), "offset")
-    starts = starts.select(*keys, "window", "anchor", "anchors", (F.col("p") - F.col("offset")).alias("start"))
+    starts = index.join(anchors, "term").select(*keys, "wid", "anchor", "anchors", F.explode("positions").alias("p"), "offset")
+    starts = starts.select(*keys, "wid", "anchor", "anchors", (F.col("p") - F.col("offset")).alias("start"))
     if not slop:
-        grouped = starts.where("start >= 0").groupBy(*keys, "window", "start")
+        grouped = starts.where("start >= 0").groupBy(*keys, "wid", "start")
         return grouped.agg(F.count(F.lit(1)).alias("n"), F.first("anchors").alias("anchors")).where("n = anchors").drop("n", "anchors")
     cell = F.floor((F.col("start") / (slop + 1)))
     base = starts.where("anchor = 0").withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
-    rest = starts.select(*keys, "window", F.col("anchor").alias("other"), F.col("start").alias("at"), cell.alias("cell"))
-    on = [*[base[k].eqNullSafe(rest[k]) for k in keys], base["window"] == rest["window"], base["cell"] == rest["cell"]]
+    rest = starts.select(*keys, "wid", F.col("anchor").alias("other"), F.col("start").alias("at"), cell.alias("cell"))
+    on = [*[base[k].eqNullSafe(rest[k]) for k in keys], base["wid"] == rest["wid"], base["cell"] == rest["cell"]]
     near = base.join(rest, on).where(F.abs(F.col("start") - F.col("at")) <= slop)
-    near = near.select(*[base[k] for k in keys], base["window"], "start", "anchors", "other")
-    return near.groupBy(*keys, "window", "start").agg(F.countDistinct("other").alias("n"), F.first("anchors").alias("anchors")).where("n = anchors").drop("n", "anchors")
+    near = near.select(*[base[k] for k in keys], base["wid"], "start", "anchors", "other")
+    return near.groupBy(*keys, "wid", "start").agg(F.countDistinct("other").alias("n"), F.first("anchors").alias("anchors")).where("n = anchors").drop("n", "anchors")
 
 
 def find_windows(docs: DataFrame, windows: DataFrame, keys: list[str], slop: int = 0) -> DataFrame:
@@ -148,7 +148,8 @@ def find_windows(docs: DataFrame, windows: DataFrame, keys: list[str], slop: int
     confirmed. The index of the rarest terms is written to the shared folder and read from there.
     """
     short_batches(docs.sparkSession)
-    windows = materialise(windows, "windows")
+    # numbers are short keys; writing the table fixes them
+    windows = materialise(windows.withColumn("wid", F.monotonically_increasing_id()), "windows")
     counts = materialise(term_counts(docs, _terms_within_bound(windows.select(F.explode("words")))), "terms")
     anchors = materialise(rarest_terms(windows, counts), "anchors")
     terms = _terms_within_bound(anchors.select("term"))
@@ -156,7 +157,7 @@ def find_windows(docs: DataFrame, windows: DataFrame, keys: list[str], slop: int
     if terms is not None and anchors.count() <= MOST_TERMS:
         anchors = F.broadcast(anchors)
     found = intersect(index, anchors, keys, slop)
-    return found.join(windows.select("window", "items"), "window")
+    return found.join(windows.select("wid", "window", "items"), "wid").drop("wid")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = 20, keep: list[str] | None = None) -> DataFrame:
