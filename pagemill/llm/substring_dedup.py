@@ -23,8 +23,9 @@ GRAM = 8
 STRETCH = 64
 #: Words that one index should hold.
 SHARD_WORDS = 300_000
-#: Stretches of one hash above which its windows are told apart by fingerprints of 128 bits instead of in one shard.
-FREQUENT = 1000
+#: Stretches of one hash that a task can hold, with the index of them all if no two are equal (3 million words or so).
+#: Windows of more frequent hashes are told apart by fingerprints of 128 bits instead.
+FREQUENT = 50_000
 SALTS = 32
 _KEYS = ["k1", "k2"]
 
@@ -182,23 +183,28 @@ def runs_of(starts, width: int) -> list[tuple[int, int]]:
 
 
 def search_shard(rows: list[dict], width: int = WIDTH) -> list[tuple]:
-    """For the stretches of a shard (k1, k2, first, words): the intervals of each that repeat in the shard."""
+    """For the stretches of a shard (k1, k2, first, words): the intervals of each that repeat in the shard.
+
+    Equal stretches are indexed once. They repeat as a whole, so only stretches that came once are streamed.
+    """
     import numpy as np
 
+    distinct: dict[bytes, int] = {}
+    of = [distinct.setdefault(r["words"], len(distinct)) for r in rows]
     number: dict[bytes, int] = {}
-    pieces = []
-    for r in rows:
-        pieces.append(np.array([number.setdefault(w, len(number) + 1) for w in r["words"].split(b" ")] + [0], np.int64))
-    text = np.concatenate(pieces)
+    pieces = [np.array([number.setdefault(w, len(number) + 1) for w in words.split(b" ")] + [0], np.int64) for words in distinct]
     sizes = np.array([len(p) for p in pieces])
     begin = np.cumsum(sizes) - sizes
-    starts = np.sort(FMIndex(text, width).repeated(begin, begin + sizes - 1))
-    owner = np.searchsorted(begin, starts, side="right") - 1
-    out = []
-    for k in np.unique(owner):
-        r = rows[k]
-        out += [(r["k1"], r["k2"], r["first"] + a, r["first"] + z) for a, z in runs_of((starts[owner == k] - begin[k]).tolist(), width)]
-    return out
+    single = np.bincount(of) == 1
+    spans: list[list[tuple[int, int]]] = [[] if once else [(0, int(n) - 1)] for once, n in zip(single, sizes, strict=True)]
+    if single.any():
+        starts = np.sort(FMIndex(np.concatenate(pieces), width).repeated(begin[single], (begin + sizes - 1)[single]))
+        owner = np.searchsorted(begin, starts, side="right") - 1
+        cuts = np.flatnonzero(np.diff(owner)) + 1
+        for group, part in zip(np.split(owner, cuts), np.split(starts, cuts), strict=True):
+            if len(group):
+                spans[group[0]] = runs_of((part - begin[group[0]]).tolist(), width)
+    return [(r["k1"], r["k2"], r["first"] + a, r["first"] + z) for r, k in zip(rows, of, strict=True) for a, z in spans[k]]
 
 
 def keyed_documents(docs: DataFrame) -> DataFrame:
@@ -354,3 +360,17 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without their repeated stretches, as digests of what is kept."""
     out = remove_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+windows AS (SELECT r, unnest(range(1, len(w) - 33)) AS k, w FROM d),
+named AS (SELECT r, k, array_to_string(w[k:k + 34], ' ') AS x FROM windows),
+repeated AS (SELECT r, k FROM named QUALIFY count(*) OVER (PARTITION BY x) > 1),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+last AS (SELECT words.r, p, word, max(repeated.k) OVER (PARTITION BY words.r ORDER BY p) AS k FROM words LEFT JOIN repeated ON repeated.r = words.r AND repeated.k = p),
+kept AS (SELECT r, count(*) FILTER (WHERE k >= p - 34) AS removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE k IS NULL OR k < p - 34) AS text FROM last GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.r = d.r
+"""
