@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import WordHashes, join_by_key, join_ids, materialise, mixed, read_table, rolling, rows_of_repeated_keys, short_batches, words_of
+from pagemill.llm.common import join_by_key, join_ids, materialise, mixed, read_table, rolling, rows_of_repeated_keys, short_batches, word_hashes
 from pagemill.llm.components import connected_components
 
 WIDTH, THRESHOLD = 5, (4, 5)  # similarity as a fraction
@@ -37,14 +37,15 @@ def needed_runs(threshold: float, chosen: int = CHOSEN, recall: float = RECALL)
     return max(1, math.ceil(math.log(1 - recall) / (-chosen * threshold)))
 
 
-def shingles(text: bytes | None, hashes: WordHashes, width: int = WIDTH):
+def shingles(text: bytes | None, width: int = WIDTH):
     """Sorted distinct hashes of the runs of width words; of all words if there are fewer; none for no words."""
     import numpy as np
 
-    words = words_of(text)
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(rolling(hashes.of(words), min(width, len(words))) ^ np.uint64(min(width, len(words))))
+    hashes = word_hashes(text)
+    if not len(hashes):
+        return hashes
+    size = min(width, len(hashes))
+    return np.unique(rolling(hashes, size) ^ np.uint64(size))
 
 
 def set_name(tokens) -> bytes:
@@ -62,12 +63,11 @@ def sketched(docs: DataFrame, runs: int, width: int = WIDTH) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        hashes = WordHashes()
         seeds = mixed(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
         for b in batches:
             rows = []
             for text in b.column(1).to_pylist():
-                t = shingles(text, hashes, width)
+                t = shingles(text, width)
                 if not len(t):
                     rows.append((None, 0, [], []))
                     continue
@@ -171,13 +171,13 @@ def propose(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
     return links[0] if len(links) == 1 else links[0].unionByName(links[1])
 
 
-def verified_in(group: list[dict], hashes: WordHashes, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> list[tuple[int, int, int]]:
+def verified_in(group: list[dict], width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> list[tuple[int, int, int]]:
     """Exact similarities in a block or between two blocks: for each id its links to the other texts, and its group."""
     import numpy as np
 
     group = list({r["id"]: r for r in group}.values())
     i, j = group[0]["i"], group[0]["j"]
-    sets = [shingles(r["text"], hashes, width) for r in group]
+    sets = [shingles(r["text"], width) for r in group]
     ids, copies = [r["id"] for r in group], np.array([r["copies"] for r in group], np.int64)
     sizes = np.array([len(s) for s in sets], np.float64)
     tokens, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -208,10 +208,8 @@ def verify(texts: DataFrame) -> DataFrame:
     def checked(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        hashes = WordHashes()
-
         def out(rows: list[dict]):
-            found = verified_in(rows, hashes)
+            found = verified_in(rows)
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], ["id", "links", "root"])
 
         key, waiting = None, []

@@ -103,25 +103,6 @@ def words_of(text: str | bytes | None) -> list[bytes]:
     return (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text).split()
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for words seen before; emptied when it grows beyond a fixed size."""
-
-    LIMIT = 1_000_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]):
-        import numpy as np
-
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(values):
     """A bijective scramble of 64-bit numbers (the finaliser of splitmix64)."""
     import numpy as np
@@ -136,6 +117,63 @@ def mixed(values):
     return v
 
 
+#: Bytes hashed at once; a longer text is cut between words.
+HASHED_BYTES = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+_powers: dict = {}
+
+
+def _hash_tables(n: int):
+    """Values of bytes, which bytes are spaces, powers of the base and of its inverse, for texts of up to n bytes."""
+    import numpy as np
+
+    if _powers.get("n", 0) < n:
+        size = max(n, HASHED_BYTES) + 1
+        up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        spaces = np.zeros(256, bool)
+        spaces[[9, 10, 11, 12, 13, 32]] = True
+        _powers.update(n=size - 1, values=mixed(np.arange(1, 257)), spaces=spaces, up=np.cumprod(up), down=np.cumprod(down))
+    return _powers
+
+
+def word_hashes(text: bytes | None):
+    """64-bit hashes of the words of a text in UTF-8 (see words_of), in order.
+
+    A polynomial over the word's bytes, taken from the running sum over the whole text, so that no word is looked
+    at alone.
+    """
+    import numpy as np
+
+    if not text:
+        return np.empty(0, np.uint64)
+    parts, at = [], 0
+    while at < len(text):
+        end = len(text)
+        if end - at > HASHED_BYTES:
+            # up to the last space within reach, or, in a longer word, the next one
+            inside = max(text.rfind(s, at, at + HASHED_BYTES) for s in (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c"))
+            after = [p for s in (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c") if (p := text.find(s, at + HASHED_BYTES)) >= 0]
+            end = inside + 1 if inside >= at else min(after, default=len(text) - 1) + 1
+        parts.append(_part_hashes(np.frombuffer(text, np.uint8, end - at, at)))
+        at = end
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
+def _part_hashes(codes):
+    import numpy as np
+
+    tables = _hash_tables(len(codes))
+    solid = np.zeros(len(codes) + 2, np.int8)
+    solid[1:-1] = ~tables["spaces"][codes]
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    start, end = edges[::2], edges[1::2]
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(tables["values"][codes] * tables["up"][: len(codes)], out=sums[1:])
+        return mixed((sums[end] - sums[start]) * tables["down"][start] + (end - start).astype(np.uint64))
+
+
 def rolling(hashes, width: int):
     """Scrambled 64-bit hashes of all runs of width consecutive elements (empty if there are fewer)."""
     import numpy as np
@@ -144,7 +182,7 @@ def rolling(hashes, width: int):
     if n <= 0:
         return np.empty(0, np.uint64)
     # Blocks double: h(2k) = h(k) * M^k + h(k) shifted by k, so that a width costs log2(width) passes.
-    base, out, done = 0x9E3779B97F4A7C15, None, 0
+    base, out, done = _BASE, None, 0
     block, size, bit = hashes, 1, width
     with np.errstate(over="ignore"):
         while bit:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import WordHashes, read_table, rolling, short_batches, words_of
+from pagemill.llm.common import read_table, rolling, short_batches, word_hashes
 
 CONTENT, BOILERPLATE = 0, 1
 #: Labelled documents, and lines of each, that the field is trained on at most.
@@ -182,13 +182,13 @@ def train_on_labels(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAININ
     return train_field([(list(r["bits"]), BOILERPLATE if r["quality"] == 0 else CONTENT) for r in collected])
 
 
-def repeated_words(words: list[bytes], hashes: WordHashes, width: int = REPEAT_WIDTH) -> int:
-    """How many words stand in runs of width words that are found twice or more among words."""
+def repeated_words(words, width: int = REPEAT_WIDTH) -> int:
+    """How many words stand in runs of width words that are found twice or more, given the hashes of the words."""
     import numpy as np
 
     if len(words) <= width:
         return 0
-    runs = rolling(hashes.of(words), width)
+    runs = rolling(words, width)
     order = np.argsort(runs, kind="stable")
     same = runs[order][1:] == runs[order][:-1]
     if not same.any():
@@ -202,14 +202,14 @@ def repeated_words(words: list[bytes], hashes: WordHashes, width: int = REPEAT_W
     return int((np.cumsum(edges[:-1]) > 0).sum())
 
 
-def measured(text: bytes | None, field: LineField, hashes: WordHashes, share: float = CONTENT_SHARE) -> tuple:
+def measured(text: bytes | None, field: LineField, share: float = CONTENT_SHARE) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, content share."""
     text = text or b""
-    words = words_of(text)
+    words = word_hashes(text)
     n = len(words)
     chars = len(text.translate(None, _SPACES + _NOT_FIRST))
     symbols = len(text) - len(text.translate(None, _SYMBOLS))
-    repeats = repeated_words(words, hashes)
+    repeats = repeated_words(words)
     bits, sizes, again = described(text)
     content = sum(s for s, m in zip(sizes, field.viterbi(bits), strict=True) if m == CONTENT)
     failed = n < 20 or 100 * repeats > 30 * n
@@ -233,9 +233,8 @@ def quality_rules(docs: DataFrame, field: LineField, keep: list[str] | None = No
         import pyarrow as pa
 
         kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
-        hashes = WordHashes()
         for b in batches:
-            rows = [measured(t, field, hashes) for t in b.column(len(kept)).to_pylist()]
+            rows = [measured(t, field) for t in b.column(len(kept)).to_pylist()]
             made = [pa.array([r[k] for r in rows], kinds[kind]) for k, kind in enumerate(added.values())]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(kept))), *made], schema.fieldNames())
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import WordHashes, materialise, read_table, rolling, rows_of_repeated_keys, short_batches, words_of
+from pagemill.llm.common import materialise, read_table, rolling, rows_of_repeated_keys, short_batches, word_hashes, words_of
 
 WIDTH = 35
 #: Words of the grams whose smallest hash routes a window.
@@ -22,7 +22,7 @@ GRAM = 8
 #: Windows of a stretch at most; longer runs of one hash are cut into several stretches.
 STRETCH = 64
 #: Words that one index should hold.
-SHARD_WORDS = 300_000
+SHARD_WORDS = 1_000_000
 #: Stretches of one hash that a task can hold, with the index of them all if no two are equal (3 million words or so).
 #: Windows of more frequent hashes are told apart by fingerprints of 128 bits instead.
 FREQUENT = 50_000
@@ -53,9 +53,10 @@ def stretches(hashes, width: int = WIDTH, gram: int = GRAM):
         first = first[again] + step * STRETCH
         last = np.minimum(first + STRETCH - 1, last[again])
     route = low[first]
-    values, number = np.unique(grams, return_inverse=True)
-    if len(values) == len(grams):
+    ordered = np.sort(grams)
+    if not (ordered[1:] == ordered[:-1]).any():
         return route, first, last, np.zeros(len(first), bool)
+    values, number = np.unique(grams, return_inverse=True)
     places = np.sort(number * len(grams) + np.arange(len(grams)))
     own = np.searchsorted(values, route) * len(grams)
     inside = np.searchsorted(places, own + last + left) - np.searchsorted(places, own + first)
@@ -219,9 +220,8 @@ def find_stretches(keyed: DataFrame, width: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        hashes = WordHashes()
         for b in batches:
-            found = [stretches(hashes.of(words_of(t)), width) for t in b.column(2).to_pylist()]
+            found = [stretches(word_hashes(t), width) for t in b.column(2).to_pylist()]
             if not found:
                 continue
             at = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
@@ -234,10 +234,10 @@ def find_stretches(keyed: DataFrame, width: int) -> DataFrame:
     return keyed.select(*_KEYS, "text").mapInArrow(cut, "k1 long, k2 int, route long, first int, last int, own boolean")
 
 
-def repeated_intervals(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
+def repeated_intervals(keyed: DataFrame, dealt: DataFrame, width: int = WIDTH) -> DataFrame:
     """``k1``, ``k2`` and ``spans`` (start and end of words) for documents with windows that start twice or more.
 
-    keyed: keyed_documents(), dealt by the keys. Exact for hashes of FREQUENT stretches or fewer. Windows of more
+    keyed: keyed_documents(); dealt: the same, dealt by the keys. Exact for hashes of FREQUENT stretches or fewer. Windows of more
     frequent hashes (a passage in very many documents) are compared by fingerprints of 128 bits over salted keys.
     """
     spark = keyed.sparkSession
@@ -283,12 +283,13 @@ def repeated_intervals(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
         if waiting:
             yield out(waiting)
 
-    chosen = keyed.join(wanted.select(*_KEYS, rare.alias("cuts")).where(F.size("cuts") > 0), _KEYS).select(*_KEYS, "text", "cuts")
+    # doc_id is kept so that this reads the very exchange that remove_repeats reads: documents move once
+    chosen = dealt.join(wanted.select(*_KEYS, rare.alias("cuts")).where(F.size("cuts") > 0), _KEYS).select(*_KEYS, "text", "cuts", "doc_id")
     routed = chosen.mapInArrow(pieces, "k1 long, k2 int, route long, first int, words binary")
     routed = routed.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)).cast("int")).drop("route").repartition("shard").sortWithinPartitions("shard")
     spans = routed.mapInArrow(searched, "k1 long, k2 int, start int, end int")
     if (sums[1] or 0) > 0:
-        spans = spans.unionByName(_frequent_windows(keyed.join(wanted.select(*_KEYS, often.alias("cuts")).where(F.size("cuts") > 0), _KEYS), width))
+        spans = spans.unionByName(_frequent_windows(dealt.join(wanted.select(*_KEYS, often.alias("cuts")).where(F.size("cuts") > 0), _KEYS), width))
     return spans.groupBy(*_KEYS).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
@@ -299,11 +300,10 @@ def _frequent_windows(chosen: DataFrame, width: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        hashes = WordHashes()
         for b in batches:
             at, starts, prints = [], [], []
             for k, (text, cuts) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                one = hashes.of(words_of(text))
+                one = word_hashes(text)
                 two = one ^ (one >> np.uint64(29)) ^ np.uint64(0x5851F42D4C957F2D)
                 both = np.stack([rolling(one, width), rolling(two * np.uint64(0xD6E8FEB86659FD93), width)], 1)
                 for c in cuts:
@@ -315,7 +315,7 @@ def _frequent_windows(chosen: DataFrame, width: int) -> DataFrame:
             start = np.concatenate(starts).astype(np.int32) if starts else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(start), pa.array(prints, pa.binary())], ["k1", "k2", "start", "print"])
 
-    rows = chosen.select(*_KEYS, "text", "cuts").mapInArrow(windows, "k1 long, k2 int, start int, print binary")
+    rows = chosen.select(*_KEYS, "text", "cuts", "doc_id").mapInArrow(windows, "k1 long, k2 int, start int, print binary")
     rows = rows.withColumn("salt", F.pmod("k1", F.lit(SALTS)).cast("int")).repartition("print", "salt")
     counts = rows.groupBy("print", "salt").agg(F.count(F.lit(1)).alias("n")).groupBy("print").agg(F.sum("n").alias("n")).where("n > 1")
     twice = counts.select("print", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -329,9 +329,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     included; windows are judged on the input. A null or empty text has no words; texts of fewer than width words
     stay as they are; repeated rows count as separate texts.
     """
-    keyed = keyed_documents(docs).repartition(*_KEYS)
-    spans = repeated_intervals(keyed, width)
-    joined = keyed.join(spans, _KEYS, "left").select("doc_id", "text", "spans")
+    keyed = keyed_documents(docs)
+    dealt = keyed.repartition(*_KEYS)
+    spans = repeated_intervals(keyed, dealt, width)
+    joined = dealt.join(spans, _KEYS, "left").select("doc_id", "text", "spans")
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind)]).add("n_words", "long").add("n_removed", "long").add("kept", "binary")
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.llm import chosen_path
-from pagemill.llm.common import HEAVY_PARTS, WordHashes, join_by_key, rows_of_repeated_keys
+from pagemill.llm.common import HEAVY_PARTS, join_by_key, rows_of_repeated_keys
 from pagemill.llm.components import connected_components
 
 
@@ -90,7 +90,7 @@ def test_threshold_is_exact():
 
     word = " ".join(f"w{k}" for k in range(13))  # 9 shingles
     for text, linked in ((word + " x", 1), (word + " x y", 1), (word + " x y z", 0)):  # 9/10, 9/11, 9/12
-        assert [f[1] for f in chosen_path.verified_in(group(word, text), WordHashes())] == [linked] * 2
+        assert [f[1] for f in chosen_path.verified_in(group(word, text))] == [linked] * 2
 
 
 @pytest.mark.parametrize("pairs", [[], [(1, 2)], [(k, k + 1) for k in range(60)], [(7, k) for k in range(40)], [(3, 3)]])
