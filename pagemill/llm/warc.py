@@ -19,6 +19,8 @@ ARCHIVE_BYTES = 4 << 20
 #: Archives that a Python worker is given at once.
 ARCHIVES_A_BATCH = 4
 DICTIONARY_BYTES, SAMPLE_BYTES = 16 << 10, 1 << 20
+#: Repeated payloads up to this number are broadcast (digest and id, some 60 bytes each).
+BROADCAST_FIRSTS = 300_000
 #: Rows of one payload that may meet in one join partition are spread over this many.
 SALTS = 16
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -142,9 +144,9 @@ def mark_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     """pages (record_id, target_uri, payload) with digest, length, ``record_type`` and ``refers_to``.
 
     Of records with equal payloads of at least ``least`` bytes the smallest record_id is the response and the
-    others revisit it. Firsts are found with partial aggregation; only payloads that occur twice are joined back,
-    over salted keys, so that copies of one payload spread over many tasks.
-    Records with a null id are always responses.
+    others revisit it. Firsts are found with partial aggregation over digests alone; only those of payloads that
+    occur twice are brought back: broadcast if they are few, so that no payload moves, else over salted keys, so
+    that copies of one payload spread over many tasks. Records with a null id are always responses.
     """
     short_batches(pages.sparkSession)
 
@@ -158,17 +160,21 @@ def mark_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
 
     kind = pages.schema["record_id"].dataType.simpleString()
     plain = pages.select("record_id", F.col("target_uri").cast("string"), F.col("payload").cast("binary"))
-    slim = plain.mapInArrow(digested, f"record_id {kind}, target_uri string, payload binary, payload_bytes long, payload_digest string")
-    digests = materialise(slim, "payloads")
-    firsts = (
+    digests = plain.mapInArrow(digested, f"record_id {kind}, target_uri string, payload binary, payload_bytes long, payload_digest string")
+    firsts = materialise(
         digests.where((F.col("payload_bytes") >= least) & F.col("record_id").isNotNull())
         .groupBy("payload_digest")
         .agg(F.min("record_id").alias("first_"), F.count(F.lit(1)).alias("n_"))
         .where("n_ > 1")
-        .select("payload_digest", "first_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_"))
+        .select("payload_digest", "first_"),
+        "firsts",
     )
-    salted = digests.withColumn("salt_", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(firsts, ["payload_digest", "salt_"], "left")
+    if firsts.count() <= BROADCAST_FIRSTS:
+        joined = digests.join(F.broadcast(firsts), "payload_digest", "left")
+    else:
+        salted = digests.withColumn("salt_", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
+        every = firsts.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(every, ["payload_digest", "salt_"], "left")
     revisits = F.col("first_").isNotNull() & F.col("record_id").isNotNull() & (F.col("first_") != F.col("record_id")) & (F.col("payload_bytes") >= least)
     return joined.select(
         "record_id", "target_uri", "payload", "payload_bytes", "payload_digest",

@@ -63,7 +63,9 @@ def test_broken_records(change):
         warc.parsed_record(warc.record_bytes(ROWS[1]).replace(*change, 1))
 
 
-def test_table(spark, tmp_path):
+@pytest.mark.parametrize("most", [warc.BROADCAST_FIRSTS, 0])
+def test_table(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(warc, "BROADCAST_FIRSTS", most)
     pages = [(5, "u5", "same"), (3, "u3", "same"), (9, None, "same"), (1, "u\r\n1", ""), (2, "u2", ""), (7, "u7", "other ü"), (None, "n", "same")]
     frame = spark.createDataFrame(pages, "record_id long, target_uri string, payload string")
     archives = warc.write_archives(warc.mark_revisits(frame), archive_size=200)
