@@ -19,11 +19,16 @@ from pagemill.llm.components import connected_components
 WIDTH, THRESHOLD = 5, (4, 5)  # similarity as a fraction
 #: Tokens that a set chooses at a level, as an expectation.
 CHOSEN = 4
+#: The same for sets of large buckets, which draw again from their sketches.
+CHOSEN_AGAIN = 6
 RECALL = 0.9999
 #: Buckets of more sets are split again, so often at most; what is still large then is proposed as one group.
 BUCKET, DEPTH = 100, 3
 #: Smallest token hashes kept as a sketch of a set, and the sketch similarity from which a pair is proposed.
 SKETCH, SKETCH_LEAST = 32, 0.45
+#: Sketch similarity to a large bucket's first set from which a set is settled there: whatever is similar to it is,
+#: by the triangle inequality of the Jaccard distance, similar enough to the first set to be proposed with it.
+SETTLED = 0.75
 #: Sets of a verified block; larger groups are verified in pairs of blocks.
 BLOCK = 512
 
@@ -126,8 +131,10 @@ def stars(ids: list[int], linked) -> list[tuple[int, int]]:
 def propose(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Links (a, b) between sets that may be similar, by the recursion over buckets.
 
-    nodes: id, size, sketch, paths. Buckets of equal members are searched once. A bucket that stays large through
-    all levels is proposed as one star, so nothing in it is lost.
+    nodes: id, size, sketch, paths. Buckets of equal members are searched once. In a large bucket every set is first
+    compared with the smallest one: similar ones are proposed with it, very similar ones are settled, and only the
+    others are split, so a large group of near copies does not multiply. A bucket that stays large through all
+    levels is proposed as one star, so nothing in it is lost.
     """
     spark = nodes.sparkSession
     rows = nodes.select("id", F.explode("paths").alias("path"))
@@ -138,18 +145,20 @@ def propose(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
         large = kept.where(F.col("n") > BUCKET).select("path", "id", "n")
         if large.isEmpty():
             break
+        first = large.groupBy("path").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n_path"))
         if level + 1 == depth:
-            # every member hangs below the smallest one
-            first = large.groupBy("path").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n_path"))
             links.append(join_by_key(large.select("path", "id"), first, "path", "n_path", large.count()).select("a", F.col("id").alias("b")))
             break
-        sub = large.join(nodes.select("id", "sketch"), "id").select(
-            "id",
-            F.explode(
-                F.expr(f"filter(transform(sketch, t -> struct(xxhash64(path, t, {level}) as key, size(sketch) as n)), c -> pmod(c.key, 1073741824L) * c.n < {CHOSEN} * 1073741824L)")
-            ).alias("c"),
-        )
-        rows = sub.select("id", F.col("c.key").alias("path")).distinct()
+        first = first.join(nodes.select(F.col("id").alias("a"), F.col("sketch").alias("first_sketch")), "a")
+        compared = join_by_key(large.select("path", "id"), materialise(first, f"firsts-{level}"), "path", "n_path", large.count()).join(nodes.select("id", "sketch"), "id")
+        common = F.size(F.array_intersect("sketch", "first_sketch"))
+        compared = compared.select("path", "id", "sketch", "a", (common / (F.size("sketch") + F.size("first_sketch") - common)).alias("near"))
+        compared = materialise(compared, f"compared-{level}")
+        links.append(compared.where((F.col("near") >= SKETCH_LEAST) & (F.col("a") != F.col("id"))).select("a", F.col("id").alias("b")))
+        # a set draws fresh tokens once for a level, however many large buckets it is in
+        open_ = compared.where(F.col("near") < SETTLED).groupBy("id").agg(F.first("sketch").alias("sketch"))
+        draw = f"filter(transform(sketch, t -> xxhash64(t, {level})), k -> pmod(k, 1073741824L) * size(sketch) < {CHOSEN_AGAIN} * 1073741824L)"
+        rows = open_.select("id", F.explode(F.expr(draw)).alias("path"))
 
     buckets = small[0]
     for more in small[1:]:
@@ -168,7 +177,10 @@ def propose(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     short_batches(spark)
     links.append(gathered.select("members").mapInArrow(searched, "a long, b long"))
-    return links[0] if len(links) == 1 else links[0].unionByName(links[1])
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def verified_in(group: list[dict], width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> list[tuple[int, int, int]]:
@@ -278,3 +290,15 @@ def first_of_each_class(docs: DataFrame) -> DataFrame:
 def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes and links of all documents."""
     return similarity_classes(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 5 * common.n >= 4 * (s.n + t.n - common.n)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other)
+SELECT doc_id, min(other) AS class_id, (SELECT count(*) FROM links WHERE links.a = reach.doc_id) AS n_links FROM reach GROUP BY doc_id
+"""
