@@ -18,5 +18,8 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_warc": warc.SQL,
+    "op3_substring_dedup": substring_dedup.SQL,
     "op4_url_filter": url_filter.SQL,
+    "op5_chosen_path": chosen_path.SQL,
+    "op8_decontamination": decontaminate.SQL,
 }
