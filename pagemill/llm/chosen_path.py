@@ -24,8 +24,9 @@ CHOSEN_AGAIN = 6
 RECALL = 0.9999
 #: Buckets of more sets are split again, so often at most; what is still large then is proposed as one group.
 BUCKET, DEPTH = 100, 3
-#: Smallest token hashes kept as a sketch of a set, and the sketch similarity from which a pair is proposed.
-SKETCH, SKETCH_LEAST = 32, 0.45
+#: Smallest token hashes kept as a sketch of a set, and the sketch similarity from which a pair is proposed: a pair at
+#: the threshold has fewer than the 37 common tokens that this takes with probability 0.000014 at most.
+SKETCH, SKETCH_LEAST = 64, 0.4
 #: Sketch similarity to a large bucket's first set from which a set is settled there: whatever is similar to it is,
 #: by the triangle inequality of the Jaccard distance, similar enough to the first set to be proposed with it.
 SETTLED = 0.75

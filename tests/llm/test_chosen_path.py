@@ -122,3 +122,13 @@ def test_joins_with_heavy_keys(spark):
     assert sorted((r["key"], r["v"], r["n_key"]) for r in got) == sorted((k, v, counts[k]) for k, v in rows if counts[k] > 1)
     table = spark.createDataFrame([(k, n) for k, n in counts.items()], "key long, n long")
     assert join_by_key(frame, table, "key", "n", HEAVY_PARTS * 20).count() == sum(counts.values())
+
+
+def test_sketches_keep_contained_texts():
+    """A text and its beginning, at similarities 0.80 to 0.82."""
+    draw = random.Random(4)
+    for k in range(3000):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(404)]
+        texts = [" ".join(words), " ".join(words[: 324 + k % 3 * 4])]
+        bucket = [(i, chosen_path.shingles(t.encode())[: chosen_path.SKETCH].astype("int32").tolist()) for i, t in enumerate(texts)]
+        assert chosen_path.proposed_in(bucket) == [(0, 1)]
