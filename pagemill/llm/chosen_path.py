@@ -19,8 +19,8 @@ from pagemill.llm.components import connected_components
 WIDTH, THRESHOLD = 5, (4, 5)  # similarity as a fraction
 #: Tokens that a set chooses at a level, as an expectation.
 CHOSEN = 4
-#: The same for sets of large buckets, which draw again from their sketches.
-CHOSEN_AGAIN = 6
+#: The same inside each large bucket, where sets draw again from their sketches.
+CHOSEN_AGAIN = 2.5
 RECALL = 0.9999
 #: Buckets of more sets are split again, so often at most; what is still large then is proposed as one group.
 BUCKET, DEPTH = 100, 3
@@ -43,6 +43,33 @@ def needed_runs(threshold: float, chosen: int = CHOSEN, recall: float = RECALL)
     return max(1, math.ceil(math.log(1 - recall) / (-chosen * threshold)))
 
 
+def missed(threshold: float, runs: int) -> float:
+    """Bound of the probability that propose() misses a pair at the threshold, over all levels and the sketches.
+
+    The worst case is a text that contains the other, with all its buckets large: m of its SKETCH tokens are common,
+    binomially; too few fail the sketch test. Each large bucket that the pair shares keeps it with the probability
+    that a common token is chosen again and the bucket of that token keeps it in turn; the last level keeps all.
+    """
+    lost = 0.0
+    for m in range(SKETCH + 1):
+        share = math.comb(SKETCH, m) * threshold**m * (1 - threshold) ** (SKETCH - m)
+        kept = 1.0
+        for _ in range(DEPTH - 1):
+            kept = 1 - (1 - min(1.0, CHOSEN_AGAIN / SKETCH) * kept) ** m
+        lost += share * (1.0 if m < SKETCH_LEAST * (2 * SKETCH - m) else math.exp(-runs * CHOSEN * threshold * kept))
+    return lost
+
+
+def runs_of_recursion(threshold: float, recall: float = RECALL) -> int:
+    """Runs until a pair at the threshold is proposed with probability recall, whatever the size of its buckets."""
+    runs = needed_runs(threshold, recall=recall)
+    if missed(threshold, 1000) > 1 - recall:
+        raise ValueError(f"sketches of {SKETCH} tokens don't reach recall {recall}")
+    while missed(threshold, runs) > 1 - recall:
+        runs += 1
+    return runs
+
+
 def shingles(text: bytes | None, width: int = WIDTH):
     """Sorted distinct hashes of the runs of width words; of all words if there are fewer; none for no words."""
     import numpy as np
@@ -134,7 +161,7 @@ def propose(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     nodes: id, size, sketch, paths. Buckets of equal members are searched once. In a large bucket every set is first
     compared with the smallest one: similar ones are proposed with it, very similar ones are settled, and only the
-    others are split, so a large group of near copies does not multiply. A bucket that stays large through all
+    others are split, each bucket by itself, so a large group of near copies does not multiply. A bucket that stays large through all
     levels is proposed as one star, so nothing in it is lost.
     """
     spark = nodes.sparkSession
@@ -153,13 +180,14 @@ def propose(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
         first = first.join(nodes.select(F.col("id").alias("a"), F.col("sketch").alias("first_sketch")), "a")
         compared = join_by_key(large.select("path", "id"), materialise(first, f"firsts-{level}"), "path", "n_path", large.count()).join(nodes.select("id", "sketch"), "id")
         common = F.size(F.array_intersect("sketch", "first_sketch"))
-        compared = compared.select("path", "id", "sketch", "a", (common / (F.size("sketch") + F.size("first_sketch") - common)).alias("near"))
+        near = common / (F.size("sketch") + F.size("first_sketch") - common)
+        compared = compared.select("path", "id", "sketch", "a", near.alias("near"))
+        # the path is part of the key, so each bucket is split by draws of its own
+        draw = f"filter(transform(sketch, t -> xxhash64(path, t, {level})), k -> pmod(k, 1073741824L) * size(sketch) < {CHOSEN_AGAIN} * 1073741824L)"
+        compared = compared.select("id", "a", "near", F.when(F.col("near") < SETTLED, F.expr(draw)).alias("drawn"))
         compared = materialise(compared, f"compared-{level}")
         links.append(compared.where((F.col("near") >= SKETCH_LEAST) & (F.col("a") != F.col("id"))).select("a", F.col("id").alias("b")))
-        # a set draws fresh tokens once for a level, however many large buckets it is in
-        open_ = compared.where(F.col("near") < SETTLED).groupBy("id").agg(F.first("sketch").alias("sketch"))
-        draw = f"filter(transform(sketch, t -> xxhash64(t, {level})), k -> pmod(k, 1073741824L) * size(sketch) < {CHOSEN_AGAIN} * 1073741824L)"
-        rows = open_.select("id", F.explode(F.expr(draw)).alias("path"))
+        rows = compared.select("id", F.explode("drawn").alias("path"))
 
     buckets = small[0]
     for more in small[1:]:
@@ -249,7 +277,7 @@ def similarity_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     sets are one vertex, so copies never meet in pairs. A null or empty text has no links and is a class of its
     own; a null doc_id gets class null and 0 links; rows of one doc_id count as one vertex.
     """
-    runs = needed_runs(THRESHOLD[0] / THRESHOLD[1], recall=recall)
+    runs = runs_of_recursion(THRESHOLD[0] / THRESHOLD[1], recall)
     table = materialise(sketched(docs, runs), "sketches")
     alive = table.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     nodes = alive.groupBy("node").agg(

@@ -132,3 +132,21 @@ def test_sketches_keep_contained_texts():
         texts = [" ".join(words), " ".join(words[: 324 + k % 3 * 4])]
         bucket = [(i, chosen_path.shingles(t.encode())[: chosen_path.SKETCH].astype("int32").tolist()) for i, t in enumerate(texts)]
         assert chosen_path.proposed_in(bucket) == [(0, 1)]
+
+
+def test_recall_of_recursion():
+    runs = chosen_path.runs_of_recursion(0.8)
+    assert chosen_path.missed(0.8, runs) <= 1 - chosen_path.RECALL < chosen_path.missed(0.8, runs - 1)
+    with pytest.raises(ValueError):
+        chosen_path.runs_of_recursion(0.8, 0.9999999)
+
+
+def test_pairs_that_meet_in_large_buckets_only(spark):
+    draw, size = random.Random(5), chosen_path.SKETCH
+    nodes = []
+    for k in range(0, 3000, 2):
+        tokens = [draw.randrange(-(2**31), 2**31) for _ in range(size + size // 5)]
+        nodes += [(k, tokens[:size]), (k + 1, tokens[-size:])]
+    frame = spark.createDataFrame(nodes, "id long, sketch array<int>").withColumns({"size": F.size("sketch"), "paths": F.expr("sequence(1L, 10L)")})
+    found = {tuple(sorted((r["a"], r["b"]))) for r in chosen_path.propose(frame).collect()}
+    assert {(k, k + 1) for k in range(0, 3000, 2)} <= found
