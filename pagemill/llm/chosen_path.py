@@ -27,9 +27,11 @@ BUCKET, DEPTH = 100, 3
 #: Smallest token hashes kept as a sketch of a set, and the sketch similarity from which a pair is proposed: a pair at
 #: the threshold has fewer than the 37 common tokens that this takes with probability 0.000014 at most.
 SKETCH, SKETCH_LEAST = 64, 0.4
-#: Sketch similarity to a large bucket's first set from which a set is settled there: whatever is similar to it is,
-#: by the triangle inequality of the Jaccard distance, similar enough to the first set to be proposed with it.
-SETTLED = 0.75
+#: Sketch similarity to a large bucket's first set from which a set is settled there, and from which sets are proposed
+#: with the first. Sketches are sets with a Jaccard distance of their own, so the triangle inequality holds for them
+#: exactly: a set whose sketch is SKETCH_LEAST similar to that of a settled one is proposed with the same first set.
+SETTLED = 0.85
+FIRST_LEAST = SETTLED + SKETCH_LEAST - 1 - 1e-9
 #: Sets of a verified block; larger groups are verified in pairs of blocks.
 BLOCK = 512
 
@@ -186,7 +188,7 @@ def propose(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
         draw = f"filter(transform(sketch, t -> xxhash64(path, t, {level})), k -> pmod(k, 1073741824L) * size(sketch) < {CHOSEN_AGAIN} * 1073741824L)"
         compared = compared.select("id", "a", "near", F.when(F.col("near") < SETTLED, F.expr(draw)).alias("drawn"))
         compared = materialise(compared, f"compared-{level}")
-        links.append(compared.where((F.col("near") >= SKETCH_LEAST) & (F.col("a") != F.col("id"))).select("a", F.col("id").alias("b")))
+        links.append(compared.where((F.col("near") >= FIRST_LEAST) & (F.col("a") != F.col("id"))).select("a", F.col("id").alias("b")))
         rows = compared.select("id", F.explode("drawn").alias("path"))
 
     buckets = small[0]

@@ -150,3 +150,15 @@ def test_pairs_that_meet_in_large_buckets_only(spark):
     frame = spark.createDataFrame(nodes, "id long, sketch array<int>").withColumns({"size": F.size("sketch"), "paths": F.expr("sequence(1L, 10L)")})
     found = {tuple(sorted((r["a"], r["b"]))) for r in chosen_path.propose(frame).collect()}
     assert {(k, k + 1) for k in range(0, 3000, 2)} <= found
+
+
+def test_chains_from_settled_sets(spark, monkeypatch):
+    """Growing texts: the second is settled with the first, and the third is similar to the second only."""
+    monkeypatch.setattr(chosen_path, "BUCKET", 2)
+    draw, nodes = random.Random(6), []
+    for k in range(0, 900, 3):
+        tokens = [draw.randrange(-(2**31), 2**31) for _ in range(500)]
+        nodes += [(k + i, sorted(tokens[:n])[: chosen_path.SKETCH], [k * 10 + p for p in range(12)]) for i, n in enumerate((340, 400, 500))]
+    frame = spark.createDataFrame(nodes, "id long, sketch array<int>, paths array<long>").withColumn("size", F.size("sketch"))
+    groups = {r["id"]: r["label"] for r in connected_components(chosen_path.propose(frame)).collect()}
+    assert groups == {k: k // 3 * 3 for k in range(900)}
