@@ -125,13 +125,15 @@ def intersect(index: DataFrame, anchors: DataFrame, keys: list[str], slop: int =
     """Where the rarest terms of a window stand as in the window: the keys, ``wid``, ``start``.
 
     Positions are adjusted by the term's offset, so that an exact phrase has equal starts for all its terms. With
-    a slop, starts may differ from that of the rarest term by that many words: a proximity match.
+    a slop, starts may differ from that of the rarest term by that many words: a proximity match. Anchors are
+    counted once, however many rows of docs have the same keys.
     """
     starts = index.join(anchors, "term").select(*keys, "wid", "anchor", "anchors", F.explode("positions").alias("p"), "offset")
     starts = starts.select(*keys, "wid", "anchor", "anchors", (F.col("p") - F.col("offset")).alias("start"))
     if not slop:
         grouped = starts.where("start >= 0").groupBy(*keys, "wid", "start")
-        return grouped.agg(F.count(F.lit(1)).alias("n"), F.first("anchors").alias("anchors")).where("n = anchors").drop("n", "anchors")
+        seen = F.expr("bit_count(bit_or(shiftleft(1L, anchor)))").alias("n")
+        return grouped.agg(seen, F.first("anchors").alias("anchors")).where("n = anchors").drop("n", "anchors")
     cell = F.floor((F.col("start") / (slop + 1)))
     base = starts.where("anchor = 0").withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
     rest = starts.select(*keys, "wid", F.col("anchor").alias("other"), F.col("start").alias("at"), cell.alias("cell"))

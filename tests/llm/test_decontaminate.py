@@ -69,3 +69,10 @@ def test_proximity(spark, documents):
     docs = documents("red green blue", "red x green blue", "red x x x x green", "blue").withColumns({"key_": F.col("doc_id"), "tie_": F.lit(0)})
     at = lambda slop: {(r["key_"]) for r in dc.find_windows(docs.select("key_", "tie_", "text"), windows, ["key_", "tie_"], slop).collect()}
     assert at(0) <= at(2) and 0 in at(0) and 1 in at(2) and 3 not in at(2) and 2 not in at(2)
+
+
+def test_repeated_rows(spark, documents):
+    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    docs = documents(*[(i, "Alpha beta GAMMA") for i in (None, None, None, 1, 1)], (2, "alpha beta"), (2, "alpha beta"))
+    got = sorted((str(r["doc_id"]), r["n_hit"], r["n_items"], r["contaminated"]) for r in dc.contamination(docs, items).collect())
+    assert got == [("1", 3, 1, True)] * 2 + [("2", 0, 0, False)] * 2 + [("None", 3, 1, True)] * 3
