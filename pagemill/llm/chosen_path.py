@@ -13,7 +13,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import join_by_key, join_ids, materialise, mixed, read_table, rolling, rows_of_repeated_keys, short_batches, word_hashes
+from pagemill import ship
+from pagemill.llm.common import join_by_key, join_ids, materialise, mixed, read_table, rolling, rows_of_repeated_keys, slices, word_hashes
 from pagemill.llm.components import connected_components
 
 WIDTH, THRESHOLD = 5, (4, 5)  # similarity as a fraction
@@ -92,14 +93,14 @@ def set_name(tokens) -> bytes:
 
 def sketched(docs: DataFrame, runs: int, width: int = WIDTH) -> DataFrame:
     """For each document (doc_id, text): ``node`` (name of its set, null for none), ``size``, ``sketch``, ``paths``."""
-    short_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def made(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         seeds = mixed(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for text in b.column(1).to_pylist():
                 t = shingles(text, width)
@@ -202,11 +203,11 @@ def propose(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
     def searched(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             found = [link for bucket in b.column(0).to_pylist() for link in proposed_in([(m["id"], m["sketch"]) for m in bucket])]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
-    short_batches(spark)
+    ship(spark)
     links.append(gathered.select("members").mapInArrow(searched, "a long, b long"))
     out = links[0]
     for more in links[1:]:
@@ -256,7 +257,7 @@ def verify(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], ["id", "links", "root"])
 
         key, waiting = None, []
-        for b in batches:
+        for b in slices(batches):
             for r in b.to_pylist():
                 if (k := (r["root"], r["i"], r["j"])) != key:
                     if len(waiting) > 1:
@@ -266,7 +267,7 @@ def verify(texts: DataFrame) -> DataFrame:
         if len(waiting) > 1:
             yield out(waiting)
 
-    short_batches(texts.sparkSession)
+    ship(texts.sparkSession)
     sorted_ = texts.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     return sorted_.mapInArrow(checked, "id long, links long, root long")
 

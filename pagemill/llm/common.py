@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill import ship
-
 #: Keys that hold more than 1/HEAVY_PARTS of all rows are heavy; there can be fewer than HEAVY_PARTS of them.
 HEAVY_PARTS = 1000
-#: Records of one Arrow batch handed to Python; texts can be long, so batches are kept short.
+#: Rows of an Arrow batch that Python works on at once. Spark bounds the bytes of a batch, this bounds the objects made of it.
 BATCH_ROWS = 500
 
 
@@ -22,10 +21,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Before Python work: limit the rows of an Arrow batch, so that a batch of whole texts fits a worker."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterable, rows: int = BATCH_ROWS) -> Iterator:
+    """Arrow batches cut into pieces of at most rows rows; no setting of the session is changed."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -54,15 +54,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_by_key(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def join_by_key(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
     """rows joined with table, which has one row for each key and, in count, how many of the rows have that key.
 
     Keys with more than a thousandth of all total rows are fewer than a thousand: they are broadcast, and their
-    rows stay where they are. The rest is joined by key, and no key of the rest can fill a partition.
+    rows stay where they are. The rest is joined by key, and no key of the rest can fill a partition. how: inner, or
+    left to keep rows whose key is not in the table (such a key must be rare, null included).
     """
     limit = max(2, total // HEAVY_PARTS)
     heavy = F.broadcast(table.where(F.col(count) > limit))
-    return rows.join(heavy, key).unionByName(rows.join(heavy, key, "left_anti").join(table.where(F.col(count) <= limit), key))
+    return rows.join(heavy, key).unionByName(rows.join(heavy, key, "left_anti").join(table.where(F.col(count) <= limit), key, how))
 
 
 def rows_of_repeated_keys(rows: DataFrame, key: str, count_as: str = "n_key", tag: str = "key") -> DataFrame:

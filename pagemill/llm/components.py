@@ -7,23 +7,19 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import join_by_key, materialise
 
-MOST_ROUNDS = 50
-
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``id`` and ``label`` (the smallest id of its component) for every id in edges (a, b, both long).
 
     Each round hangs the larger neighbours of every vertex, then its smaller ones, below their minimum, until
-    nothing changes; the number of rounds grows with the logarithm of the longest path. Rounds are written to the
+    nothing changes, which takes a number of rounds that grows with the logarithm of the longest path. Rounds are written to the
     shared folder. A vertex with very many neighbours does not fill a task: minima are pre-aggregated, and
     join_by_key brings them back.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = materialise(now, "edges")
     state = _state(now)
-    for _ in range(MOST_ROUNDS):
-        if not state[0]:
-            break
+    while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hung = _with_minimum(both, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         hung = materialise(hung, "large-star")
@@ -33,8 +29,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before, state = state, _state(now)
         if state == before:
             break
-    else:
-        raise RuntimeError("the components did not settle")
     return now.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
 
 

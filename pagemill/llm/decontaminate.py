@@ -10,11 +10,12 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import materialise, read_table, short_batches
+from pagemill import ship
+from pagemill.llm.common import materialise, nested, read_table, slices, unnested
 from pagemill.llm.url_filter import ascii_lower
 
 WINDOW = 13
@@ -22,8 +23,12 @@ WINDOW = 13
 ANCHORS = 2
 #: Term sets up to this size travel to the workers; beyond it all terms are indexed and joins shuffle.
 MOST_TERMS = 500_000
+#: Candidates in bytes, and texts with hits in rows of some 120 bytes, that are broadcast at most; beyond, the joins shuffle.
+BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 200_000
 #: Characters that separate words once A-Z are lower-case (fixed by the definition of a word).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # a word, upper case or not
+_KEYS = ["key_", "tie_"]
 _TABLE = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
@@ -40,15 +45,15 @@ def test_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     """The distinct windows of the items: ``window`` (its words joined by one space), ``words``, ``items``.
 
     A window is size consecutive words; an item of fewer words, but not none, is one window. Items with a null
-    text give none; a null item_id is not listed in items.
+    text give none; a null item_id is not listed in items. items is sorted and made of strings.
     """
     words = F.filter(F.split(ascii_lower(F.coalesce("text", F.lit(""))), SEPARATORS), lambda w: w != "")
-    split = items.select("item_id", words.alias("all")).where(F.size("all") > 0)
+    split = items.select(F.col("item_id").cast("string").alias("item_id"), words.alias("all")).where(F.size("all") > 0)
     each = split.select(
         "item_id",
         F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("all") - size + 1, F.lit(1))), lambda i: F.slice("all", i, size))).alias("words"),
     )
-    return each.groupBy(F.array_join("words", " ").alias("window")).agg(F.first("words").alias("words"), F.collect_set("item_id").alias("items"))
+    return each.groupBy(F.array_join("words", " ").alias("window")).agg(F.first("words").alias("words"), F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
 def _terms_within_bound(terms: DataFrame) -> frozenset[bytes] | None:
@@ -64,7 +69,7 @@ def term_counts(docs: DataFrame, terms: frozenset[bytes] | None) -> DataFrame:
         import pyarrow as pa
 
         n: Counter = Counter()
-        for b in batches:
+        for b in slices(batches):
             for text in b.column(0).to_pylist():
                 words = index_words(text)
                 n.update(words if terms is None else filter(terms.__contains__, words))
@@ -102,7 +107,7 @@ def positional_index(docs: DataFrame, terms: frozenset[bytes] | None, keys: list
     def indexed(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             rows, found, places = [], [], []
             for i, text in enumerate(b.column(len(keys)).to_pylist()):
                 words = index_words(text)
@@ -124,9 +129,9 @@ def positional_index(docs: DataFrame, terms: frozenset[bytes] | None, keys: list
 def intersect(index: DataFrame, anchors: DataFrame, keys: list[str], slop: int = 0) -> DataFrame:
     """Where the rarest terms of a window stand as in the window: the keys, ``wid``, ``start``.
 
-    Positions are adjusted by the term's offset, so that an exact phrase has equal starts for all its terms. With
-    a slop, starts may differ from that of the rarest term by that many words: a proximity match. Anchors are
-    counted once, however many rows of docs have the same keys.
+    Positions are adjusted by the term's offset, so that an exact phrase has equal starts for all its terms. With a
+    slop, each term may stand slop words off its place, so starts may differ from that of the rarest term (which is
+    given) by twice as many. Anchors are counted once, however many rows of docs have the same keys.
     """
     starts = index.join(anchors, "term").select(*keys, "wid", "anchor", "anchors", F.explode("positions").alias("p"), "offset")
     starts = starts.select(*keys, "wid", "anchor", "anchors", (F.col("p") - F.col("offset")).alias("start"))
@@ -134,32 +139,49 @@ def intersect(index: DataFrame, anchors: DataFrame, keys: list[str], slop: int =
         grouped = starts.where("start >= 0").groupBy(*keys, "wid", "start")
         seen = F.expr("bit_count(bit_or(shiftleft(1L, anchor)))").alias("n")
         return grouped.agg(seen, F.first("anchors").alias("anchors")).where("n = anchors").drop("n", "anchors")
-    cell = F.floor((F.col("start") / (slop + 1)))
+    reach = 2 * slop
+    cell = F.floor(F.col("start") / (reach + 1))
     base = starts.where("anchor = 0").withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
     rest = starts.select(*keys, "wid", F.col("anchor").alias("other"), F.col("start").alias("at"), cell.alias("cell"))
-    on = [*[base[k].eqNullSafe(rest[k]) for k in keys], base["wid"] == rest["wid"], base["cell"] == rest["cell"]]
-    near = base.join(rest, on).where(F.abs(F.col("start") - F.col("at")) <= slop)
-    near = near.select(*[base[k] for k in keys], base["wid"], "start", "anchors", "other")
+    rest = rest.withColumnsRenamed({k: f"r{k}" for k in (*keys, "wid", "cell")})
+    on = [*[F.col(k).eqNullSafe(F.col(f"r{k}")) for k in keys], F.col("wid") == F.col("rwid"), F.col("cell") == F.col("rcell")]
+    near = base.join(rest, on).where(F.abs(F.col("start") - F.col("at")) <= reach)
     return near.groupBy(*keys, "wid", "start").agg(F.countDistinct("other").alias("n"), F.first("anchors").alias("anchors")).where("n = anchors").drop("n", "anchors")
 
 
 def find_windows(docs: DataFrame, windows: DataFrame, keys: list[str], slop: int = 0) -> DataFrame:
-    """Places in docs (key columns and text) where windows may occur: the keys, ``window``, ``start``, ``items``.
+    """Places in docs (key columns and text) where windows (wid, words, a materialised table) may occur: the keys, ``wid``, ``start``.
 
-    Nothing that occurs is missed. For slop 0 the rarest terms are in place; the other words are still to be
-    confirmed. The index of the rarest terms is written to the shared folder and read from there.
+    Nothing that occurs is missed; all words but the rarest are still to be confirmed. The index of the rarest
+    terms is written to the shared folder and read from there.
     """
-    short_batches(docs.sparkSession)
-    # numbers are short keys; writing the table fixes them
-    windows = materialise(windows.withColumn("wid", F.monotonically_increasing_id()), "windows")
+    ship(docs.sparkSession)
     counts = materialise(term_counts(docs, _terms_within_bound(windows.select(F.explode("words")))), "terms")
     anchors = materialise(rarest_terms(windows, counts), "anchors")
     terms = _terms_within_bound(anchors.select("term"))
     index = materialise(positional_index(docs, terms, keys), "postings")
     if terms is not None and anchors.count() <= MOST_TERMS:
         anchors = F.broadcast(anchors)
-    found = intersect(index, anchors, keys, slop)
-    return found.join(windows.select("wid", "window", "items"), "wid").drop("wid")
+    return intersect(index, anchors, keys, slop)
+
+
+def _with_candidates(keyed: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
+    """_KEYS, ``text`` and ``found_`` (wid, window, starts) of the texts in which windows may occur, each text once.
+
+    A text's list has each candidate window's words once, and 4 bytes for each place, so it is bounded by the text's
+    length and by how many windows share two rarest terms at one distance; items are not in it. Only texts with candidates
+    move, or none if these are few enough to be broadcast.
+    """
+    found = find_windows(keyed, windows, _KEYS, slop)
+    grouped = found.groupBy(*_KEYS, "wid").agg(F.collect_list("start").alias("starts")).join(windows.select("wid", "window"), "wid")
+    per_text = materialise(grouped.groupBy(*_KEYS).agg(F.collect_list(F.struct("wid", "window", "starts")).alias("found_")), "candidates")
+    texts = keyed.select(*_KEYS, F.col("text").cast("binary").alias("text"))
+    ids = per_text.select(*[F.col(k).alias(f"r{k}") for k in _KEYS], "found_")
+    n_bytes = F.expr("aggregate(found_, 40L, (n, f) -> n + 24 + octet_length(f.window) + 4 * size(f.starts))")
+    if (per_text.agg(F.sum(n_bytes)).first()[0] or 0) <= BROADCAST_BYTES:
+        ids = F.broadcast(ids)
+    met = texts.join(ids, F.col("key_").eqNullSafe(F.col("rkey_")) & (F.col("tie_") == F.col("rtie_")))
+    return met.select(*_KEYS, "text", "found_")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = 20, keep: list[str] | None = None) -> DataFrame:
@@ -167,51 +189,108 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share:
 
     A word is hit if it lies in any occurrence of a window of items. A document is contaminated if a word is hit
     and share * n_hit >= n_words. items_sha256 digests the sorted distinct ids of items with occurring windows.
-    A null or empty text has no words and is clean; rows with equal ids are judged by their own texts; an empty
-    table of items leaves all clean. Columns of these names are replaced; other columns stay.
+    A null or empty text has no words and is clean; rows with equal ids are judged by their own texts, repeated rows
+    alike; an empty table of items leaves all clean. Columns of these names are replaced; all other columns stay,
+    whatever their names.
     """
-    short_batches(docs.sparkSession)
-    keys = ["key_", "tie_"]
-    keyed = docs.withColumns({"key_": F.col("doc_id"), "tie_": F.xxhash64("text")})
-    found = find_windows(keyed.select(*keys, "text"), test_windows(items, size), keys)
-    # What occurs in one document is bounded by its words times the windows that start at one word: one.
-    per_doc = found.groupBy(*keys).agg(F.collect_list(F.struct("start", "window", F.col("items").cast("array<string>").alias("items"))).alias("found_"))
+    ship(docs.sparkSession)
     columns = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    kept = [c for c in keep or docs.columns if c not in columns]
-    # eqNullSafe lets a null id find its own matches
-    right = per_doc.select(F.col("key_").alias("rkey_"), F.col("tie_").alias("rtie_"), "found_")
-    joined = keyed.join(right, F.col("key_").eqNullSafe(F.col("rkey_")) & (F.col("tie_") == F.col("rtie_")), "left")
-    schema = T.StructType([docs.schema[c] for c in kept]).add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
-
-    def judged(batches: Iterator) -> Iterator:
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep or docs.columns if c not in columns])
+    slim = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept.columns, "doc_id", "text"])])
+    keyed = nested(slim).select("row_", F.col("row_.doc_id").alias("key_"), F.xxhash64("row_.text").alias("tie_"), F.col("row_.text").alias("text"))
+    # windows of one set of items share its number; writing the table fixes the numbers
+    windows = test_windows(items, size)
+    sets = materialise(windows.groupBy("items").agg(F.count(F.lit(1)).alias("n")).select("items", F.monotonically_increasing_id().alias("set")), "item-sets")
+    windows = materialise(windows.join(sets, "items").select("window", "words", "set", F.monotonically_increasing_id().alias("wid")), "windows")
+
+    def checked(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
-            out: list[tuple] = []
-            for text, found in zip(b.column(len(kept)).to_pylist(), b.column(len(kept) + 1).to_pylist()):
-                n, hit, ids = confirmed(text, found)
-                listed = ",".join(sorted(ids)).encode()
-                out.append((n, hit, len(ids), hashlib.sha256(listed).hexdigest(), hit > 0 and share * hit >= n))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-            made = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(kept))), *made], schema.fieldNames())
-
-    return joined.select(*kept, F.col("text").cast("binary").alias("bytes_"), "found_").mapInArrow(judged, schema)
-
-
-def confirmed(text: bytes | None, found: list[dict] | None) -> tuple[int, int, set[str]]:
-    """Number of words, number of words hit, and ids of the items whose windows stand in the text."""
-    words = index_words(text)
-    if not found:
-        return len(words), 0, set()
-    hit, ids = bytearray(len(words)), set()
+        for b in slices(batches):
+            got = [confirmed(text, found) for text, found in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            made = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], [*_KEYS, "n_hit", "wids"])
+
+    kind = keyed.schema["key_"].dataType.simpleString()
+    hits = _with_candidates(keyed, windows).mapInArrow(checked, f"key_ {kind}, tie_ long, n_hit long, wids array<long>").where("n_hit > 0")
+    # equal rows have equal hits; one of them is enough
+    hits = materialise(hits.groupBy(*_KEYS).agg(F.max("n_hit").alias("n_hit"), F.first("wids").alias("wids")), "hits")
+    met = hits.select(*_KEYS, F.explode("wids").alias("wid")).join(windows.select("wid", "set"), "wid").select(*_KEYS, "set").distinct()
+    listed = met.join(sets.select("set", F.explode("items").alias("item")), "set").groupBy(*_KEYS).agg(F.sort_array(F.collect_set("item")).alias("ids"))
+    listed = listed.select(F.col("key_").alias("lkey_"), F.col("tie_").alias("ltie_"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
+    full = hits.select(F.col("key_").alias("rkey_"), F.col("tie_").alias("rtie_"), "n_hit")
+    full = full.join(listed, F.col("rkey_").eqNullSafe(F.col("lkey_")) & (F.col("rtie_") == F.col("ltie_")), "left").drop("lkey_", "ltie_")
+    full = materialise(full, "hit-texts")
+    if full.count() <= BROADCAST_ROWS:
+        full = F.broadcast(full)
+    judged = keyed.join(full, F.col("key_").eqNullSafe(F.col("rkey_")) & (F.col("tie_") == F.col("rtie_")), "left")
+    n_words, n_hit = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long")
+    judged = judged.select("row_", n_words.alias("w_"), n_hit.alias("h_"), "n_items", "items_sha256")
+    none = F.lit(hashlib.sha256(b"").hexdigest())
+    return unnested(judged, kept, {
+        "n_words": F.col("w_"), "n_hit": F.col("h_"), "n_items": F.coalesce("n_items", F.lit(0)).cast("long"), "items_sha256": F.coalesce("items_sha256", none),
+        "contaminated": (F.col("h_") > 0) & (share * F.col("h_") >= F.col("w_")),
+    })
+
+
+def confirmed(text: bytes | None, found: list[dict]) -> tuple[int, list[int]]:
+    """Number of words hit in a text, and the windows (wid) that stand in it word by word."""
+    words, wids = index_words(text), []
+    hit = bytearray(len(words))
     for f in found:
         window = f["window"].encode().split(b" ")
-        end = f["start"] + len(window)
-        if words[f["start"] : end] == window:
-            hit[f["start"] : end] = b"\x01" * len(window)
-            ids.update(i for i in f["items"] if i is not None)
-    return len(words), sum(hit), ids
+        n = len(window)
+        there = [s for s in f["starts"] if words[s : s + n] == window]
+        for s in there:
+            hit[s : s + n] = b"\x01" * n
+        if there:
+            wids.append(f["wid"])
+    return sum(hit), wids
+
+
+def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, size: int = WINDOW) -> DataFrame:
+    """Where windows of items stand in docs with every word within slop words of its place: ``doc_id``, ``window``, ``start``.
+
+    All words are confirmed. A window's word i must stand at start + i, give or take slop; slop 0 is the phrase. For
+    each occurrence of a window's rarest term the start with the least total displacement (then the smallest) is
+    returned, once. Texts as in contamination(); rows equal in doc_id and text are reported once.
+    """
+    ship(docs.sparkSession)
+    keyed = docs.select(F.col("doc_id").alias("key_"), F.xxhash64("text").alias("tie_"), "text")
+    windows = materialise(test_windows(items, size).withColumn("wid", F.monotonically_increasing_id()), "windows")
+
+    def checked(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in slices(batches):
+            at, texts, starts = [], [], []
+            for i, (text, found) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                words = index_words(text)
+                for f in found:
+                    best = {near_start(words, f["window"].encode().split(b" "), s, slop) for s in f["starts"]} - {None}
+                    at += [i] * len(best)
+                    texts += [f["window"]] * len(best)
+                    starts += sorted(best)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(texts, pa.string()), pa.array(starts, pa.int32())], ["doc_id", "window", "start"])
+
+    kind = keyed.schema["key_"].dataType.simpleString()
+    return _with_candidates(keyed, windows, slop).mapInArrow(checked, f"doc_id {kind}, window string, start int").distinct()
+
+
+def near_start(words: list[bytes], window: list[bytes], around: int, slop: int) -> int | None:
+    """The start within slop of around at which all words of the window stand within slop of their places, or None."""
+    best = None
+    for start in range(around - slop, around + slop + 1):
+        total = 0
+        for i, w in enumerate(window):
+            off = [abs(p - start - i) for p in range(max(start + i - slop, 0), min(start + i + slop + 1, len(words))) if words[p] == w]
+            if not off:
+                break
+            total += min(off)
+        else:
+            if best is None or total < best[0]:
+                best = (total, start)
+    return best and best[1]
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import read_table, rolling, short_batches, word_hashes
+from pagemill import ship
+from pagemill.llm.common import read_table, rolling, slices, word_hashes
 
 CONTENT, BOILERPLATE = 0, 1
 #: Labelled documents, and lines of each, that the field is trained on at most.
@@ -164,7 +165,7 @@ def train_on_labels(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAININ
 
     The sample is the same at every run. Without labels all lines are content.
     """
-    short_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     # low quality is rare, so half of the places are reserved for it
     halves = [chosen.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for c in (F.col("quality") == 0, F.col("quality") != 0)]
@@ -173,7 +174,7 @@ def train_on_labels(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAININ
     def listed(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             bits = [described(t)[0][:MOST_TRAINING_LINES] for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(bits, pa.list_(pa.int32())), b.column(1), b.column(2)], ["bits", "quality", "doc_id"])
 
@@ -222,7 +223,7 @@ def quality_rules(docs: DataFrame, field: LineField, keep: list[str] | None = No
     A null or empty text has no words and fails. Lines without words are no part of the sequence. One pass over
     whole texts, no shuffle.
     """
-    short_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     added = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "kept": "boolean", "content_share": "double"}
     kept = [c for c in keep or docs.columns if c not in added]
     schema = T.StructType([docs.schema[c] for c in kept])
@@ -233,7 +234,7 @@ def quality_rules(docs: DataFrame, field: LineField, keep: list[str] | None = No
         import pyarrow as pa
 
         kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
-        for b in batches:
+        for b in slices(batches):
             rows = [measured(t, field) for t in b.column(len(kept)).to_pylist()]
             made = [pa.array([r[k] for r in rows], kinds[kind]) for k, kind in enumerate(added.values())]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(kept))), *made], schema.fieldNames())

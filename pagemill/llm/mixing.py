@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import materialise, mixed, read_table, short_batches
+from pagemill import ship
+from pagemill.llm.common import materialise, mixed, read_table, slices
 
 #: Words of a block.
 BLOCK_WORDS = 128
@@ -101,7 +102,7 @@ def mix_slots(spark: SparkSession, plan: list[dict], seed: int) -> DataFrame:
     Slot q of a source takes the block to which its permutation sends q modulo its blocks, so every block is taken
     equally often, but for one time.
     """
-    short_batches(spark)
+    ship(spark)
     runs = []
     for p in plan:
         first = 0
@@ -114,7 +115,7 @@ def mix_slots(spark: SparkSession, plan: list[dict], seed: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             for r in b.to_pylist():
                 slot = np.arange(r["first"], r["last"])
                 block = permuted(slot % r["blocks"], r["blocks"], seed * 1_000_003 + r["number"])
@@ -193,12 +194,12 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int
     schema = docs.schema
     names = docs.columns
     mix = mix_sources(docs, word_count(F.col("text")), F.xxhash64("text"), block_words, shards, seed).where("uses_ is not null")
-    short_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def emitted(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             at, texts = [], []
             columns = {c: b.column(i) for i, c in enumerate(names)}
             placed = [columns["text"], *(b.column(len(names) + k) for k in range(3))]

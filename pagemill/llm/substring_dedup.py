@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import materialise, read_table, rolling, rows_of_repeated_keys, short_batches, word_hashes, words_of
+from pagemill import ship
+from pagemill.llm.common import materialise, read_table, rolling, rows_of_repeated_keys, slices, word_hashes, words_of
 
 WIDTH = 35
 #: Words of the grams whose smallest hash routes a window.
@@ -220,7 +221,7 @@ def find_stretches(keyed: DataFrame, width: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             found = [stretches(word_hashes(t), width) for t in b.column(2).to_pylist()]
             if not found:
                 continue
@@ -241,7 +242,7 @@ def repeated_intervals(keyed: DataFrame, dealt: DataFrame, width: int = WIDTH) -
     frequent hashes (a passage in very many documents) are compared by fingerprints of 128 bits over salted keys.
     """
     spark = keyed.sparkSession
-    short_batches(spark)
+    ship(spark)
     all_ = materialise(find_stretches(keyed, width), "stretches")
     shared = rows_of_repeated_keys(all_, "route", "n", "routes")
     shared = shared.unionByName(all_.where("own").withColumn("n", F.lit(1).cast("long")))
@@ -255,7 +256,7 @@ def repeated_intervals(keyed: DataFrame, dealt: DataFrame, width: int = WIDTH) -
     def pieces(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for k1, k2, text, cuts in zip(*(b.column(k).to_pylist() for k in range(4))):
                 words = words_of(text)
@@ -273,7 +274,7 @@ def repeated_intervals(keyed: DataFrame, dealt: DataFrame, width: int = WIDTH) -
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], ["k1", "k2", "start", "end"])
 
-        for b in batches:
+        for b in slices(batches):
             for r in b.to_pylist():
                 if r["shard"] != shard:
                     if waiting:
@@ -300,7 +301,7 @@ def _frequent_windows(chosen: DataFrame, width: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             at, starts, prints = [], [], []
             for k, (text, cuts) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
                 one = word_hashes(text)
@@ -339,7 +340,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def kept(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for text, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 words = words_of(text)

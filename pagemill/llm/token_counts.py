@@ -10,7 +10,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import read_table, short_batches
+from pagemill import ship
+from pagemill.llm.common import read_table, slices
 
 #: How the byte-level pre-tokenizer cuts a text (fixed value of that tokenizer family).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -130,7 +131,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, id_column: str =
     tokenizer: path of a byte-level BPE file, the same on all executors. One pass without a shuffle; a null or empty
     text has 0 bytes and 0 tokens, and rows with null or repeated ids are counted like any other.
     """
-    short_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def counted(batches: Iterator) -> Iterator:
         import public_tokenizers
@@ -138,7 +139,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, id_column: str =
         import pyarrow.compute as pc
 
         counter = TokenCounter.of(tokenizer or public_tokenizers.path(TOKENIZER))
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1)
             n = [counter.count(t.as_py()) for t in texts]
             size = pc.fill_null(pc.binary_length(texts.cast(pa.large_binary())), 0)

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import materialise, read_table, short_batches
+from pagemill import ship
+from pagemill.llm.common import materialise, read_table, slices
 
 #: Labelled documents that the models are trained on at most, those with the smallest hashes of their ids.
 MOST_TRAINING_ROWS = 8000
@@ -126,7 +127,7 @@ def select_features(rows: DataFrame, categories: list[str], most: int = FEATURES
     def listed(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             found = [list(features_of(t)[0]) for t in b.column(0).to_pylist()]
             at = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([w for f in found for w in f], pa.string()), *(b.column(k + 1).take(at) for k in range(len(categories)))], ["feature", *categories])
@@ -154,7 +155,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     """
     import numpy as np
 
-    short_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     rows = materialise(training_rows(docs, labels, categories, most), "toxicity-rows")
     names = list(categories)
     chain = ToxicityChain(names, select_features(rows, names))
@@ -164,7 +165,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     def sparse(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             got = [known_features_of(t, places, starts) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([list(f) for f, _ in got], pa.list_(pa.int32())), pa.array([list(f.values()) for f, _ in got], pa.list_(pa.int32())), pa.array([s for _, s in got], pa.int32()), *(b.column(k) for k in range(1, len(names) + 2))],
@@ -208,7 +209,7 @@ def best_threshold(p, y) -> float:
 def score_toxicity(docs: DataFrame, chain: ToxicityChain, keep: list[str] | None = None) -> DataFrame:
     """docs (or their columns in keep) with ``p_<category>`` for each category and ``rejected``; columns of these
     names are replaced. A null text counts as empty. One pass, no shuffle."""
-    short_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     added = [f"p_{c}" for c in chain.categories]
     kept = [c for c in keep or docs.columns if c not in (*added, "rejected")]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(c, T.DoubleType()) for c in added] + [T.StructField("rejected", T.BooleanType())])
@@ -216,7 +217,7 @@ def score_toxicity(docs: DataFrame, chain: ToxicityChain, keep: list[str] | None
     def scored(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             p = chain.probabilities(chain.matrix(b.column(len(kept)).to_pylist()))
             made = [pa.array(p[:, k].astype("float64")) for k in range(len(added))] + [pa.array(p[:, -1] >= chain.threshold)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(kept))), *made], schema.fieldNames())

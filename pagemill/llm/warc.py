@@ -10,7 +10,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import materialise, read_table, short_batches
+from pagemill import ship
+from pagemill.llm.common import materialise, read_table, slices
 
 #: Magic number of the skippable frame that holds the dictionary, and of a Zstandard frame (fixed by the format).
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -148,12 +149,12 @@ def mark_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     occur twice are brought back: broadcast if they are few, so that no payload moves, else over salted keys, so
     that copies of one payload spread over many tasks. Records with a null id are always responses.
     """
-    short_batches(pages.sparkSession)
+    ship(pages.sparkSession)
 
     def digested(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             payloads = [p or b"" for p in b.column(2).to_pylist()]
             made = [pa.array(payloads, pa.binary()), pa.array(list(map(len, payloads)), pa.int64()), pa.array(list(map(payload_digest, payloads)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["record_id", "target_uri", "payload", "payload_bytes", "payload_digest"])
@@ -190,7 +191,7 @@ def write_archives(records: DataFrame, archive_size: int = ARCHIVE_BYTES) -> Dat
         import pyarrow as pa
 
         waiting, size = [], 0
-        for b in batches:
+        for b in slices(batches):
             for row in b.to_pylist():
                 if row["record_type"] == "revisit":
                     row["payload"] = None
@@ -202,7 +203,7 @@ def write_archives(records: DataFrame, archive_size: int = ARCHIVE_BYTES) -> Dat
         if waiting:
             yield pa.RecordBatch.from_pydict({"content": pa.array([archive_bytes(waiting)], pa.binary())})
 
-    short_batches(records.sparkSession)
+    ship(records.sparkSession)
     slim = records.withColumn("payload", F.when(F.col("record_type") != "revisit", F.col("payload")))
     return slim.mapInArrow(packed, "content binary")
 
@@ -217,7 +218,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         schema = pa.schema([("record_id", pa.string()), ("target_uri", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary())])
-        for b in batches:
+        for b in slices(batches):
             for content in b.column(0):
                 rows, size = [], 0
                 for r in archive_records(content.as_py() or b""):
@@ -229,7 +230,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    short_batches(archives.sparkSession, ARCHIVES_A_BATCH)
+    ship(archives.sparkSession)
     return archives.select("content").mapInArrow(unpacked, RECORD)
 
 

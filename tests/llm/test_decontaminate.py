@@ -51,7 +51,8 @@ def test_like_a_search(spark, documents, odd, bench, monkeypatch):
     columns = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     got = {r["doc_id"]: tuple(r[c] for c in columns) for r in dc.contamination(docs, items).collect()}
     assert got == want
-    monkeypatch.setattr(dc, "MOST_TERMS", 2)  # everything indexed, nothing broadcast
+    for bound in ("MOST_TERMS", "BROADCAST_ROWS", "BROADCAST_BYTES"):  # everything indexed, nothing broadcast
+        monkeypatch.setattr(dc, bound, 2)
     assert {r["doc_id"]: tuple(r[c] for c in columns) for r in dc.contamination(docs, items).collect()} == want
 
 
@@ -64,11 +65,43 @@ def test_odd_rows(spark, documents):
     assert not any(r["contaminated"] for r in dc.contamination(docs, items.limit(0)).collect())
 
 
+def near(w, x, slop):
+    """Whether a start exists at which every word of x stands in w within slop of its place."""
+    return any(all(v in w[max(s + i - slop, 0) : max(s + i + slop + 1, 0)] for i, v in enumerate(x)) for s in range(-slop, len(w) + slop))
+
+
 def test_proximity(spark, documents):
-    windows = dc.test_windows(spark.createDataFrame([(1, "red green blue")], "item_id long, text string"))
-    docs = documents("red green blue", "red x green blue", "red x x x x green", "blue").withColumns({"key_": F.col("doc_id"), "tie_": F.lit(0)})
-    at = lambda slop: {(r["key_"]) for r in dc.find_windows(docs.select("key_", "tie_", "text"), windows, ["key_", "tie_"], slop).collect()}
-    assert at(0) <= at(2) and 0 in at(0) and 1 in at(2) and 3 not in at(2) and 2 not in at(2)
+    draw = random.Random(14)
+    items = [(k, " ".join(draw.choice("abcdefghij") + draw.choice("xy") for _ in range(draw.choice([2, 3, 5])))) for k in range(8)]
+    texts = ["red green blue", "red x green blue", "red x x x x green", "blue", "green red blue", "red x green", None, ""]
+    for _ in range(60):
+        quote = draw.choice(items)[1].split()
+        for _ in range(draw.randrange(4)):
+            quote.insert(draw.randrange(len(quote) + 1), draw.choice("abcdefghij") + "x")
+        if draw.random() < 0.3:
+            quote.pop(draw.randrange(len(quote)))
+        texts.append(" ".join([draw.choice("abc") + "y"] * draw.randrange(3) + quote))
+    items.append((9, "red green blue"))
+    docs, bench = documents(*texts), spark.createDataFrame(items, "item_id long, text string")
+    for slop in (0, 1, 2):
+        want = {(k, t) for k, d in enumerate(texts) for _, t in items if near(words(d), t.split(), slop)}
+        got = dc.proximity_matches(docs, bench, slop).collect()
+        assert {(r["doc_id"], r["window"]) for r in got} == want
+        for r in got:  # the start itself is right
+            assert dc.near_start([w.encode() for w in words(texts[r["doc_id"]])], [w.encode() for w in r["window"].split()], r["start"], 0 if slop == 0 else slop) is not None
+    assert (5, "red green blue") not in {(r["doc_id"], r["window"]) for r in dc.proximity_matches(docs, bench, 2).collect()}  # one word is missing
+
+
+def test_clashing_columns_and_shared_windows(spark, documents):
+    many = [(k, "alpha beta gamma") for k in range(300)] + [(400, "delta epsilon")]
+    items = spark.createDataFrame(many, "item_id long, text string")
+    clash = ("key_", "tie_", "found_", "rkey_", "rtie_", "row_", "w_", "h_", "n_hit", "wids", "set")
+    docs = documents("x alpha beta gamma y alpha beta gamma", "delta epsilon", "none").withColumns({c: F.lit(f"mine {c}") for c in clash})
+    got = {r["doc_id"]: r for r in dc.contamination(docs, items).collect()}
+    ids = sorted(map(str, range(300)))
+    assert (got[0]["n_hit"], got[0]["n_items"]) == (6, 300) and got[0]["items_sha256"] == hashlib.sha256(",".join(ids).encode()).hexdigest()
+    assert (got[1]["n_hit"], got[1]["n_items"], got[2]["n_items"]) == (2, 1, 0)
+    assert all(got[k][c] == f"mine {c}" for k in got for c in clash if c != "n_hit")
 
 
 def test_repeated_rows(spark, documents):
