@@ -1,11 +1,16 @@
-"""Quality rules with a linear-chain conditional random field that marks each line as content or boilerplate."""
+"""Quality rules with a linear-chain conditional random field that marks each line as content or boilerplate.
+
+Only whole documents have labels. The marks of their lines are latent: the field is trained by expectation and
+maximisation, where the expected marks must agree with the document's label (see train_field), so that a good line in a
+bad document counts as content and the other way round.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,9 +18,14 @@ from pagemill import ship
 from pagemill.llm.common import read_table, rolling, slices, word_hashes
 
 CONTENT, BOILERPLATE = 0, 1
-#: Labelled documents, and lines of each, that the field is trained on at most.
-MOST_TRAINING_ROWS, MOST_TRAINING_LINES = 3000, 60
-STEPS = 80
+#: Labelled documents, and lines of them all, that the field is trained on at most. Documents are taken whole; those
+#: with more than a tenth of all lines are left out of the training.
+MOST_TRAINING_ROWS, MOST_TRAINING_LINES = 3000, 200_000
+#: Rounds of expectation and maximisation, and gradient steps of a maximisation.
+ROUNDS, STEPS = 12, 10
+#: What the label of a document says of the expected share of its words in boilerplate lines, and by how much scores are
+#: sharpened before the marks are expected (otherwise the field fades from round to round).
+BAD_LEAST, GOOD_MOST, SHARPNESS = 0.5, 0.5, 2.0
 #: A document is kept if at least this share of its words stands in content lines.
 CONTENT_SHARE = 0.5
 REPEAT_WIDTH = 8
@@ -106,67 +116,125 @@ class LineField:
         return marks[::-1]
 
 
-def train_field(documents: list[tuple[list[int], int]], steps: int = STEPS, penalty: float = 1.0) -> LineField:
-    """Fit the field to documents (features of lines, mark of all lines) by the gradient of the log likelihood.
+class Lattice:
+    """Documents laid out by line number, so that forward and backward sums run over all documents at once.
+
+    The longest documents come first: line t of all documents that have one stands in one block of the flat arrays.
+    """
 
-    Expected counts come from the forward-backward recursion, run for all documents at once.
+    def __init__(self, documents: list[tuple[list[int], list[int], int]]):
+        import numpy as np
+
+        documents = sorted((d for d in documents if d[0]), key=lambda d: -len(d[0]))
+        self.n = len(documents)
+        lengths = np.array([len(d[0]) for d in documents], np.int64)
+        sizes = [int((lengths > t).sum()) for t in range(int(lengths[0]) if self.n else 0)]
+        self.blocks = [(int(z) - m, int(z)) for z, m in zip(np.cumsum(sizes), sizes, strict=True)]
+        self.doc = np.concatenate([np.arange(m) for m in sizes]) if sizes else np.empty(0, np.int64)
+        bits = np.array([documents[d][0][t] for t, m in enumerate(sizes) for d in range(m)], np.int64)
+        words = np.array([documents[d][1][t] for t, m in enumerate(sizes) for d in range(m)], float)
+        self.kinds, self.kind = np.unique(bits, return_inverse=True)  # lines of the same features score alike
+        self.x = ((self.kinds[:, None] >> np.arange(len(FEATURES))) & 1).astype(float)
+        self.share = words / np.maximum(np.bincount(self.doc, words, self.n), 1)[self.doc]
+        self.pull = self.share * lengths[self.doc]  # 1 for a line of average size
+        self.bad = np.array([d[2] == BOILERPLATE for d in documents], bool)
+        self.ends = np.zeros(len(bits), bool)
+        for d, n in enumerate(lengths):
+            self.ends[self.blocks[n - 1][0] + d] = True
+
+    def expected(self, w, tr, st, tilt=None):
+        """Probability of boilerplate for each line, expected transitions, expected first marks; tilt is added to boilerplate."""
+        import numpy as np
+
+        score = (self.x @ w.T)[self.kind]
+        if tilt is not None:
+            score[:, 1] += tilt[self.doc] * self.pull
+        forward, backward = np.empty_like(score), np.zeros_like(score)
+        forward[: self.n] = st + score[: self.n]
+        for (a, _), (c, z) in zip(self.blocks, self.blocks[1:]):
+            f = forward[a : a + z - c]
+            forward[c:z] = np.logaddexp(f[:, :1] + tr[0], f[:, 1:] + tr[1]) + score[c:z]
+        for (a, _), (c, z) in zip(self.blocks[-2::-1], self.blocks[:0:-1]):
+            later = score[c:z] + backward[c:z]
+            backward[a : a + z - c] = np.logaddexp(later[:, :1] + tr[:, 0], later[:, 1:] + tr[:, 1])
+        norm = np.empty(self.n)
+        norm[self.doc[self.ends]] = np.logaddexp(forward[self.ends, 0], forward[self.ends, 1])
+        p = np.exp(forward[:, 1] + backward[:, 1] - norm[self.doc])
+        pairs = np.zeros((2, 2))
+        for (a, _), (c, z) in zip(self.blocks, self.blocks[1:]):
+            later, f = score[c:z] + backward[c:z] - norm[: z - c, None], forward[a : a + z - c]
+            pairs += np.exp(f[:, :, None] + tr + later[:, None, :]).sum(0)
+        return p, pairs, np.array([(1 - p[: self.n]).sum(), p[: self.n].sum()])
+
+    def counts(self, p):
+        """Expected features by mark."""
+        import numpy as np
+
+        by_kind = [np.bincount(self.kind, q, len(self.kinds)) for q in (1 - p, p)]
+        return np.stack([k @ self.x for k in by_kind])
+
+    def agreeing(self, w, tr, st):
+        """expected() under the labels: the closest distribution in which every document's expected share of words in
+        boilerplate is BAD_LEAST or more, or GOOD_MOST or less. One multiplier for each document, by bisection."""
+        import numpy as np
+
+        def share(tilt):
+            return np.bincount(self.doc, self.expected(w, tr, st, tilt)[0] * self.share, self.n)
+
+        sign = np.where(self.bad, 1.0, -1.0)
+        wrong = lambda s: np.where(self.bad, s < BAD_LEAST, s > GOOD_MOST)
+        low, high = np.zeros(self.n), np.where(wrong(share(np.zeros(self.n))), 40.0, 0.0)
+        for _ in range(8):
+            middle = (low + high) / 2
+            more = wrong(share(sign * middle))
+            low, high = np.where(more, middle, low), np.where(more, high, middle)
+        return self.expected(w, tr, st, sign * high)
+
+
+def train_field(documents: list[tuple[list[int], list[int], int]], rounds: int = ROUNDS, steps: int = STEPS, penalty: float = 1.0) -> LineField:
+    """Fit the field to documents: features of their lines, words of their lines, and BOILERPLATE or CONTENT for the whole.
+
+    The marks of lines are not known. Round 0 takes every line for what its document is, and fits the features alone.
+    Each further round takes the expected marks under the sharpened field, held to the labels (Lattice.agreeing), and moves the
+    field towards them by the gradient of the likelihood (expected counts by forward and backward sums).
     """
     import numpy as np
 
-    documents = [(b[:MOST_TRAINING_LINES], m) for b, m in documents if b]
     k = len(FEATURES)
-    if not documents:
-        return LineField([[0.0] * k, [0.0] * k], [[0.0, 0.0], [0.0, 0.0]], [0.0, 0.0])
-    n, longest = len(documents), max(len(b) for b, _ in documents)
-    bits = np.zeros((n, longest), np.int64)
-    there = np.zeros((n, longest), bool)
-    for i, (b, _) in enumerate(documents):
-        bits[i, : len(b)], there[i, : len(b)] = b, True
-    x = ((bits[:, :, None] >> np.arange(k)) & 1) * there[:, :, None].astype(float)
-    gold = np.array([m for _, m in documents])
+    lattice = Lattice(documents)
     w, tr, st = np.zeros((2, k)), np.zeros((2, 2)), np.zeros(2)
-    observed_w = np.stack([x[gold == m].sum((0, 1)) for m in (0, 1)])
-    pairs = there[:, 1:].sum(1)
-    observed_tr = np.diag([pairs[gold == m].sum() for m in (0, 1)]).astype(float)
-    observed_st = np.array([(gold == m).sum() for m in (0, 1)], float)
-    moments = [np.zeros(2 * k + 6), np.zeros(2 * k + 6)]
-
-    def logsum(a, axis):
-        top = a.max(axis, keepdims=True)
-        return (top + np.log(np.exp(a - top).sum(axis, keepdims=True))).squeeze(axis)
-
-    for step in range(1, steps + 1):
-        score = x @ w.T
-        forward, backward = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        forward[:, 0] = st + score[:, 0]
-        for t in range(1, longest):
-            moved = logsum(forward[:, t - 1, :, None] + tr, 1) + score[:, t]
-            forward[:, t] = np.where(there[:, t, None], moved, forward[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            moved = logsum(tr + (score[:, t + 1] + backward[:, t + 1])[:, None, :], 2)
-            backward[:, t] = np.where(there[:, t + 1, None], moved, 0)
-        norm = logsum(forward[:, -1], 1)
-        single = np.exp(forward + backward - norm[:, None, None]) * there[:, :, None]
-        both = np.exp(forward[:, :-1, :, None] + tr + (score + backward)[:, 1:, None, :] - norm[:, None, None, None]) * there[:, 1:, None, None]
-        slope = np.concatenate([
-            (observed_w - np.einsum("ntm,ntk->mk", single, x) - penalty * w).ravel(),
-            (observed_tr - both.sum((0, 1)) - penalty * tr).ravel(),
-            observed_st - single[:, 0].sum(0) - penalty * st,
-        ]) / n
-        moments[0] = 0.9 * moments[0] + 0.1 * slope
-        moments[1] = 0.99 * moments[1] + 0.01 * slope * slope
-        move = 0.1 * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
-        w, tr, st = w + move[: 2 * k].reshape(2, k), tr + move[2 * k : 2 * k + 4].reshape(2, 2), st + move[2 * k + 4 :]
+    if not lattice.n:
+        return LineField(w.tolist(), tr.tolist(), st.tolist())
+    moments, step = [np.zeros(2 * k + 6), np.zeros(2 * k + 6)], 0
+    for turn in range(rounds + 1):
+        if turn:
+            p, pairs, first = lattice.agreeing(SHARPNESS * w, SHARPNESS * tr, SHARPNESS * st)
+        else:
+            p = lattice.bad[lattice.doc].astype(float)
+        seen = lattice.counts(p)
+        for _ in range(steps if turn else 4 * steps):
+            step += 1
+            q, both, begun = lattice.expected(w, tr, st)
+            slope = np.concatenate([
+                (seen - lattice.counts(q) - penalty * w).ravel(),
+                (pairs - both - penalty * tr).ravel() if turn else np.zeros(4),
+                first - begun - penalty * st if turn else np.zeros(2),
+            ]) / lattice.n
+            moments[0] = 0.9 * moments[0] + 0.1 * slope
+            moments[1] = 0.99 * moments[1] + 0.01 * slope * slope
+            move = 0.1 * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
+            w, tr, st = w + move[: 2 * k].reshape(2, k), tr + move[2 * k : 2 * k + 4].reshape(2, 2), st + move[2 * k + 4 :]
     return LineField(w.tolist(), tr.tolist(), st.tolist())
 
 
-def train_on_labels(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING_ROWS) -> LineField:
-    """A field trained on at most most labelled documents: lines of a low-quality document count as boilerplate.
+def train_on_labels(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING_ROWS, most_lines: int = MOST_TRAINING_LINES) -> LineField:
+    """A field trained on at most most labelled documents of most_lines lines together; quality 0 is bad, any other good.
 
-    The sample is the same at every run. Without labels all lines are content.
+    Ids may be of any type; null ids and labels are left out, repeated labels count as the smaller, and repeated ids
+    bring all their texts. The sample is the same at every run, documents are whole. Without labels all lines are content.
     """
     ship(docs.sparkSession)
-    chosen = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    chosen = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     # low quality is rare, so half of the places are reserved for it
     halves = [chosen.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for c in (F.col("quality") == 0, F.col("quality") != 0)]
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(halves[0].union(halves[1])), "doc_id")  # at most most rows
@@ -175,12 +243,15 @@ def train_on_labels(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAININ
         import pyarrow as pa
 
         for b in slices(batches):
-            bits = [described(t)[0][:MOST_TRAINING_LINES] for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(bits, pa.list_(pa.int32())), b.column(1), b.column(2)], ["bits", "quality", "doc_id"])
-
-    sample = rows.select("text", "quality", "doc_id").mapInArrow(listed, "bits array<int>, quality int, doc_id long")
-    collected = sample.orderBy(F.xxhash64("doc_id"), "bits").limit(most).collect()
-    return train_field([(list(r["bits"]), BOILERPLATE if r["quality"] == 0 else CONTENT) for r in collected])
+            found = [described(t) for t in b.column(0).to_pylist()]
+            made = [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*made, b.column(1), b.column(2)], ["bits", "sizes", "quality", "hash"])
+
+    sample = rows.select("text", "quality", F.xxhash64("doc_id", "text").alias("hash")).mapInArrow(listed, "bits array<int>, sizes array<int>, quality int, hash long")
+    whole = sample.where((F.size("bits") > 0) & (F.size("bits") <= most_lines // 10)).orderBy("hash", "bits").limit(most)
+    so_far = F.sum(F.size("bits")).over(Window.orderBy("hash", "bits").rowsBetween(Window.unboundedPreceding, 0))  # over most rows at most
+    collected = whole.withColumn("lines", so_far).where(F.col("lines") <= most_lines).orderBy("hash", "bits").collect()
+    return train_field([(list(r["bits"]), list(r["sizes"]), BOILERPLATE if r["quality"] == 0 else CONTENT) for r in collected])
 
 
 def repeated_words(words, width: int = REPEAT_WIDTH) -> int:

@@ -65,3 +65,63 @@ def test_training_separates(spark, documents):
     assert all(got[k] == (k % 4 != 0) for k in range(200, 300))
     nothing = line_crf.train_on_labels(documents(*rows), labels.limit(0))
     assert nothing.viterbi([1, 3]) == [0, 0]
+
+
+def test_expected_counts_by_enumeration():
+    """Forward and backward sums against all mark sequences."""
+    import numpy as np
+
+    draw = random.Random(6)
+    docs = [([draw.randrange(1 << len(line_crf.FEATURES)) for _ in range(n)], [draw.randrange(1, 9) for _ in range(n)], n % 2) for n in (1, 4, 2, 5, 0, 3, 4)]
+    lattice, f = line_crf.Lattice(docs), field(3)
+    w, tr, st = np.array(f.emission), np.array(f.transition), np.array(f.start)
+    tilt = np.array([draw.uniform(-1, 1) for _ in range(lattice.n)])
+    p, pairs, first = lattice.expected(w, tr, st, tilt)
+    want_p, want_pairs, want_first = np.zeros(len(p)), np.zeros((2, 2)), np.zeros(2)
+    for d in range(lattice.n):
+        at = np.flatnonzero(lattice.doc == d)
+        score = (lattice.x @ w.T)[lattice.kind][at]
+        score[:, 1] += tilt[d] * lattice.pull[at]
+        weight = {m: np.exp(st[m[0]] + sum(score[i, k] for i, k in enumerate(m)) + sum(tr[a, b] for a, b in zip(m, m[1:]))) for m in itertools.product((0, 1), repeat=len(at))}
+        for m, x in weight.items():
+            x /= sum(weight.values())
+            want_p[at] += x * np.array(m)
+            want_first[m[0]] += x
+            for a, b in zip(m, m[1:]):
+                want_pairs[a, b] += x
+    assert np.allclose(p, want_p) and np.allclose(pairs, want_pairs) and np.allclose(first, want_first)
+    held = lattice.agreeing(w, tr, st)[0]
+    shares = np.bincount(lattice.doc, held * lattice.share, lattice.n)
+    assert all(shares[d] > line_crf.BAD_LEAST - 0.01 if lattice.bad[d] else shares[d] < line_crf.GOOD_MOST + 0.01 for d in range(lattice.n))
+
+
+def test_lines_of_mixed_documents(spark, documents):
+    """Only documents have labels; lines of both kinds in one document are told apart."""
+    draw = random.Random(7)
+    prose = lambda: " ".join(f"w{draw.randrange(999)}" for _ in range(12)) + "."
+    junk = lambda: draw.choice([" | ".join(f"W{draw.randrange(99)}" for _ in range(8)), "BUY NOW!! " * 3, " ".join(f"t{draw.randrange(9)}##" for _ in range(9))])
+
+    def made(bad):
+        marks = [int(draw.random() < (0.85 if bad else 0.15)) for _ in range(draw.randrange(4, 12))]
+        return "\n".join(junk() if m else prose() for m in marks), marks
+
+    rows = [made(k % 3 == 0) for k in range(400)]
+    labels = spark.createDataFrame([(str(k), int(k % 3 != 0)) for k in range(300)], "doc_id string, quality long")
+    docs = documents(*[t for t, _ in rows]).withColumn("doc_id", F.col("doc_id").cast("string"))  # ids of another type
+    trained = line_crf.train_on_labels(docs, labels)
+    right = total = mixed = 0
+    for text, marks in rows[300:]:
+        got = trained.viterbi(line_crf.described(text.encode())[0])
+        right, total, mixed = right + sum(a == b for a, b in zip(got, marks)), total + len(marks), mixed + (0 < sum(got) < len(got))
+    assert right >= 0.97 * total and mixed > 50
+
+
+def test_whole_documents_train(spark, documents):
+    """Lines beyond any prefix count, and documents are drawn whole until the bound of lines."""
+    prose, junk = " ".join(f"w{k}" for k in range(12)) + ".", "A | B | C | D"
+    rows = [(k, "\n".join([prose] * 200 + [junk] * 400) if k % 2 else "\n".join([prose] * 300)) for k in range(40)]
+    labels = spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(40)], "doc_id long, quality int")
+    trained = line_crf.train_on_labels(documents(*rows), labels)
+    bits = line_crf.described(f"{junk}\n{prose}".encode())[0]
+    assert trained.viterbi(bits) == [1, 0]
+    assert line_crf.train_on_labels(documents(*rows), labels, most_lines=100).emission == [[0.0] * len(line_crf.FEATURES)] * 2  # none fits
