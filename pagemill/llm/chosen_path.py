@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill import ship
-from pagemill.llm.common import join_by_key, join_ids, materialise, mixed, read_table, rolling, rows_of_repeated_keys, slices, word_hashes
+from pagemill.llm.common import KEYS, join_by_key, join_texts, materialise, mixed, nested, read_table, rolling, rows_of_repeated_keys, slices, unnested, word_hashes
 from pagemill.llm.components import connected_components
 
 WIDTH, THRESHOLD = 5, (4, 5)  # similarity as a fraction
@@ -92,7 +92,7 @@ def set_name(tokens) -> bytes:
 
 
 def sketched(docs: DataFrame, runs: int, width: int = WIDTH) -> DataFrame:
-    """For each document (doc_id, text): ``node`` (name of its set, null for none), ``size``, ``sketch``, ``paths``."""
+    """For each row (doc_id, text): KEYS, ``node`` (name of its set, null for none), ``size``, ``sketch``, ``paths``."""
     ship(docs.sparkSession)
 
     def made(batches: Iterator) -> Iterator:
@@ -102,7 +102,7 @@ def sketched(docs: DataFrame, runs: int, width: int = WIDTH) -> DataFrame:
         seeds = mixed(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
         for b in slices(batches):
             rows = []
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 t = shingles(text, width)
                 if not len(t):
                     rows.append((None, 0, [], []))
@@ -112,11 +112,11 @@ def sketched(docs: DataFrame, runs: int, width: int = WIDTH) -> DataFrame:
                 paths = np.concatenate([s[s <= least] for s in scores]).view(np.int64)
                 rows.append((set_name(t), len(t), (t[:SKETCH] >> np.uint64(32)).astype(np.uint32).view(np.int32), paths))
             kinds = [pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["doc_id", "node", "size", "sketch", "paths"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], [*KEYS, "node", "size", "sketch", "paths"])
 
-    slim = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(made, f"doc_id {kind}, node binary, size int, sketch array<int>, paths array<long>")
+    slim = docs.select(F.col("doc_id").alias("key_"), F.xxhash64("text").alias("tie_"), F.col("text").cast("binary").alias("text"))
+    kind = slim.schema["key_"].dataType.simpleString()
+    return slim.mapInArrow(made, f"key_ {kind}, tie_ long, node binary, size int, sketch array<int>, paths array<long>")
 
 
 def proposed_in(bucket: list[tuple[int, list[int]]]) -> list[tuple[int, int]]:
@@ -219,7 +219,6 @@ def verified_in(group: list[dict], width: int = WIDTH, threshold: tuple[int, int
     """Exact similarities in a block or between two blocks: for each id its links to the other texts, and its group."""
     import numpy as np
 
-    group = list({r["id"]: r for r in group}.values())
     i, j = group[0]["i"], group[0]["j"]
     sets = [shingles(r["text"], width) for r in group]
     ids, copies = [r["id"] for r in group], np.array([r["copies"] for r in group], np.int64)
@@ -272,51 +271,91 @@ def verify(texts: DataFrame) -> DataFrame:
     return sorted_.mapInArrow(checked, "id long, links long, root long")
 
 
-def similarity_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """``doc_id``, ``class_id`` (smallest doc_id of the connected class), ``n_links`` for every row of docs (doc_id, text).
+def classified(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """For every row of docs (doc_id, text): KEYS, ``class_id``, ``n_links`` and ``is_first`` (null for a text without words).
 
-    A link joins two documents whose sets of WIDTH-word shingles have a Jaccard similarity of THRESHOLD or more; a
-    text of fewer words is one shingle. n_links counts a document's links to other rows, copies included. Equal
-    sets are one vertex, so copies never meet in pairs. A null or empty text has no links and is a class of its
-    own; a null doc_id gets class null and 0 links; rows of one doc_id count as one vertex.
+    Sets are vertices with numbers of their own, so rows that share a doc_id are told apart by their texts. The
+    first of a class is the row with the smallest doc_id (null is last), then the smallest hash of its text.
     """
     runs = runs_of_recursion(THRESHOLD[0] / THRESHOLD[1], recall)
     table = materialise(sketched(docs, runs), "sketches")
-    alive = table.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
+    alive = table.where(F.col("node").isNotNull())
+    row = F.struct(F.col("key_").isNull().alias("last"), *KEYS)
     nodes = alive.groupBy("node").agg(
-        F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")
+        F.min(row).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")
     )
-    nodes = materialise(nodes, "sets")
+    nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()), "sets")  # writing the table fixes the numbers
     groups = materialise(connected_components(propose(nodes)), "groups")
     large = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     placed = join_by_key(groups, large, "label", "n", groups.count())
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = placed.select(F.col("id"), F.col("label").alias("root"), blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
-    placed = materialise(placed.join(nodes.select("id", "copies"), "id").withColumnRenamed("id", "doc_id"), "members")
-    texts = join_ids(docs.select("doc_id", F.col("text").cast("binary").alias("text")), placed, "doc_id").withColumnRenamed("doc_id", "id")
+    placed = placed.select("id", F.col("label").alias("root"), blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    placed = placed.join(nodes.select("id", "copies", F.col("first.key_").alias("rkey_"), F.col("first.tie_").alias("rtie_")), "id")
+    checked = materialise(verify(_once(docs, table, materialise(placed, "members"))), "verified")
+
+    classes = connected_components(checked.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    links = checked.groupBy("id").agg(F.sum("links").alias("links"))
+    named = nodes.select("node", "id", "first", "copies").join(classes, "id", "left").join(links, "id", "left")
+    n_links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    named = materialise(named.select("node", "first", "copies", F.coalesce("label", "id").alias("label"), n_links.alias("n_links")), "classes")
+    firsts = named.groupBy("label").agg(F.min("first").alias("class_first"), F.count(F.lit(1)).alias("n_label"))
+    named = materialise(join_by_key(named, firsts, "label", "n_label", named.count()).select("node", "copies", "class_first", "n_links"), "named")
+    found = join_by_key(alive.select("node", *KEYS), named, "node", "copies", alive.count())
+    found = found.select(*KEYS, F.col("class_first.key_").alias("class_id"), "n_links", (F.struct(*KEYS) == F.struct("class_first.key_", "class_first.tie_")).alias("is_first"))
+    alone = table.where(F.col("node").isNull())
+    return found.unionByName(alone.select(*KEYS, F.col("key_").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("boolean").alias("is_first")))
+
+
+def _once(docs: DataFrame, table: DataFrame, placed: DataFrame) -> DataFrame:
+    """The text of each set in placed (id, rkey_, rtie_, copies, root, block, blocks), for each pair of blocks that it is verified in.
+
+    A row that was entered several times gives its text once.
+    """
+    texts = docs.select(F.col("doc_id").alias("key_"), F.xxhash64("text").alias("tie_"), F.col("text").cast("binary").alias("text"))
+    met = join_texts(texts, placed).select("id", "text", "copies", "root", "block", "blocks")
+    again = table.where(F.col("node").isNotNull()).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = join_texts(again, placed.select("id", "rkey_", "rtie_")).select("id")
+    again = materialise(again, "repeated-rows")
+    if not again.isEmpty():
+        rest = ["copies", "root", "block", "blocks"]
+        several = met.join(again, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"), *[F.first(c).alias(c) for c in rest])
+        met = met.join(again, "id", "left_anti").unionByName(several.select(met.columns))
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).cast("int").alias("i"), F.greatest("block", o).cast("int").alias("j"))
     )
-    checked = materialise(verify(texts.select("*", F.explode(pairs).alias("p")).select("id", "text", "copies", "root", "block", "p.i", "p.j")), "verified")
-    classes = connected_components(checked.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    links = checked.groupBy("id").agg(F.sum("links").alias("links"))
-    named = nodes.select("node", "id", "copies").join(classes, "id", "left").join(links, "id", "left")
-    named = materialise(named.select("node", "copies", F.coalesce("label", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
-    found = join_by_key(alive.select("doc_id", "node"), named, "node", "copies", alive.count()).select("doc_id", "class_id", "n_links")
-    alone = table.where(F.col("node").isNull() | F.col("doc_id").isNull())
-    return found.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    return met.select("*", F.explode(pairs).alias("p")).select("id", "text", "copies", "root", "block", "p.i", "p.j")
+
+
+def similarity_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """``doc_id``, ``class_id`` (smallest doc_id of the connected class), ``n_links`` for every row of docs (doc_id, text).
+
+    A link joins two rows whose sets of WIDTH-word shingles have a Jaccard similarity of THRESHOLD or more; a
+    text of fewer words is one shingle. n_links counts a row's links to other rows, copies included. Equal
+    sets are one vertex, so copies never meet in pairs. A null or empty text has no links and is a class of its
+    own. Rows that share a doc_id are judged by their own texts. A null doc_id is a row like any other, but names no
+    class unless all rows of the class have none.
+    """
+    return classified(docs, recall).select(F.col("key_").alias("doc_id"), "class_id", "n_links")
 
 
 def first_of_each_class(docs: DataFrame) -> DataFrame:
-    """docs without the documents that have a similar one of smaller doc_id in their class, and without repeated rows
-    of one doc_id. All columns stay; rows of null doc_id stay."""
-    classes = materialise(similarity_classes(docs.select("doc_id", "text")), "doc-classes")
-    rest = join_ids(docs, materialise(classes.where("doc_id <> class_id").select("doc_id").distinct(), "dropped"), "doc_id", "left_anti")
-    twice = materialise(classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if twice.isEmpty():
-        return rest.select(*docs.columns)
-    once = join_ids(rest, twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return join_ids(rest, twice, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    """One row of each class of docs: that of the smallest doc_id (null is last), then of the smallest hash of the text.
+
+    Of rows equal in doc_id and text one stays, by a hash of all columns. A text is never dropped but for a similar
+    one that stays; rows without words all stay. All columns stay.
+    """
+    found = materialise(classified(docs.select("doc_id", "text")), "doc-classes")
+    named = {"key_": "rkey_", "tie_": "rtie_"}
+    dropped = materialise(found.where(~F.col("is_first")).select(*KEYS).distinct().withColumnsRenamed(named), "dropped")
+    again = found.where("is_first").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*KEYS)
+    again = materialise(again.withColumnsRenamed(named), "repeated")
+    packed = nested(docs).select("row_", F.col("row_.doc_id").alias("key_"), F.xxhash64("row_.text").alias("tie_"))
+    rest = join_texts(packed, dropped, "left_anti", 500_000)
+    if not again.isEmpty():
+        plain = [F.col(f"row_.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]  # maps have no hash
+        once = join_texts(rest, again, "left_semi").groupBy(*KEYS).agg(F.min_by("row_", F.xxhash64(*plain)).alias("row_"))
+        rest = join_texts(rest, again, "left_anti").unionByName(once.select(rest.columns))
+    return unnested(rest, docs, {})
 
 
 def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,9 +78,17 @@ def rows_of_repeated_keys(rows: DataFrame, key: str, count_as: str = "n_key", ta
     return join_by_key(rows, counts, key, count_as, counts.agg(F.sum(count_as)).first()[0] or 0)
 
 
-def join_ids(rows: DataFrame, ids: DataFrame, key: str, how: str = "inner", most: int = 500_000) -> DataFrame:
-    """rows joined with ids (a materialised table of short rows): broadcast if it has at most most rows, else shuffled."""
-    return rows.join(F.broadcast(ids) if ids.count() <= most else ids, key, how)
+#: Of a row, what finds it again in another table: its id, which may be null or stand in several rows, and a hash of its text.
+KEYS = ["key_", "tie_"]
+
+
+def join_texts(rows: DataFrame, ids: DataFrame, how: str = "inner", most: int = 200_000) -> DataFrame:
+    """rows (with KEYS) joined with ids (rkey_, rtie_ and short columns; a materialised table); a null id finds its own.
+
+    ids is broadcast if it has at most most rows, else both are shuffled.
+    """
+    on = F.col("key_").eqNullSafe(F.col("rkey_")) & (F.col("tie_") == F.col("rtie_"))
+    return rows.join(F.broadcast(ids) if ids.count() <= most else ids, on, how)
 
 
 def nested(df: DataFrame, name: str = "row_") -> DataFrame:

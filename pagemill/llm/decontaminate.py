@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill import ship
-from pagemill.llm.common import materialise, nested, read_table, slices, unnested
+from pagemill.llm.common import KEYS, join_texts, materialise, nested, read_table, slices, unnested
 from pagemill.llm.url_filter import ascii_lower
 
 WINDOW = 13
@@ -28,7 +28,6 @@ BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 200_000
 #: Characters that separate words once A-Z are lower-case (fixed by the definition of a word).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # a word, upper case or not
-_KEYS = ["key_", "tie_"]
 _TABLE = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
@@ -166,22 +165,22 @@ def find_windows(docs: DataFrame, windows: DataFrame, keys: list[str], slop: int
 
 
 def _with_candidates(keyed: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
-    """_KEYS, ``text`` and ``found_`` (wid, window, starts) of the texts in which windows may occur, each text once.
+    """KEYS, ``text`` and ``found_`` (wid, window, starts) of the texts in which windows may occur, each text once.
 
     A text's list has each candidate window's words once, and 4 bytes for each place, so it is bounded by the text's
     length and by how many windows share two rarest terms at one distance; items are not in it. Only texts with candidates
     move, or none if these are few enough to be broadcast.
     """
-    found = find_windows(keyed, windows, _KEYS, slop)
-    grouped = found.groupBy(*_KEYS, "wid").agg(F.collect_list("start").alias("starts")).join(windows.select("wid", "window"), "wid")
-    per_text = materialise(grouped.groupBy(*_KEYS).agg(F.collect_list(F.struct("wid", "window", "starts")).alias("found_")), "candidates")
-    texts = keyed.select(*_KEYS, F.col("text").cast("binary").alias("text"))
-    ids = per_text.select(*[F.col(k).alias(f"r{k}") for k in _KEYS], "found_")
+    found = find_windows(keyed, windows, KEYS, slop)
+    grouped = found.groupBy(*KEYS, "wid").agg(F.collect_list("start").alias("starts")).join(windows.select("wid", "window"), "wid")
+    per_text = materialise(grouped.groupBy(*KEYS).agg(F.collect_list(F.struct("wid", "window", "starts")).alias("found_")), "candidates")
+    texts = keyed.select(*KEYS, F.col("text").cast("binary").alias("text"))
+    ids = per_text.select(*[F.col(k).alias(f"r{k}") for k in KEYS], "found_")
     n_bytes = F.expr("aggregate(found_, 40L, (n, f) -> n + 24 + octet_length(f.window) + 4 * size(f.starts))")
     if (per_text.agg(F.sum(n_bytes)).first()[0] or 0) <= BROADCAST_BYTES:
         ids = F.broadcast(ids)
     met = texts.join(ids, F.col("key_").eqNullSafe(F.col("rkey_")) & (F.col("tie_") == F.col("rtie_")))
-    return met.select(*_KEYS, "text", "found_")
+    return met.select(*KEYS, "text", "found_")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = 20, keep: list[str] | None = None) -> DataFrame:
@@ -209,21 +208,18 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share:
         for b in slices(batches):
             got = [confirmed(text, found) for text, found in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             made = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], [*_KEYS, "n_hit", "wids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], [*KEYS, "n_hit", "wids"])
 
     kind = keyed.schema["key_"].dataType.simpleString()
     hits = _with_candidates(keyed, windows).mapInArrow(checked, f"key_ {kind}, tie_ long, n_hit long, wids array<long>").where("n_hit > 0")
     # equal rows have equal hits; one of them is enough
-    hits = materialise(hits.groupBy(*_KEYS).agg(F.max("n_hit").alias("n_hit"), F.first("wids").alias("wids")), "hits")
-    met = hits.select(*_KEYS, F.explode("wids").alias("wid")).join(windows.select("wid", "set"), "wid").select(*_KEYS, "set").distinct()
-    listed = met.join(sets.select("set", F.explode("items").alias("item")), "set").groupBy(*_KEYS).agg(F.sort_array(F.collect_set("item")).alias("ids"))
+    hits = materialise(hits.groupBy(*KEYS).agg(F.max("n_hit").alias("n_hit"), F.first("wids").alias("wids")), "hits")
+    met = hits.select(*KEYS, F.explode("wids").alias("wid")).join(windows.select("wid", "set"), "wid").select(*KEYS, "set").distinct()
+    listed = met.join(sets.select("set", F.explode("items").alias("item")), "set").groupBy(*KEYS).agg(F.sort_array(F.collect_set("item")).alias("ids"))
     listed = listed.select(F.col("key_").alias("lkey_"), F.col("tie_").alias("ltie_"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
     full = hits.select(F.col("key_").alias("rkey_"), F.col("tie_").alias("rtie_"), "n_hit")
     full = full.join(listed, F.col("rkey_").eqNullSafe(F.col("lkey_")) & (F.col("rtie_") == F.col("ltie_")), "left").drop("lkey_", "ltie_")
-    full = materialise(full, "hit-texts")
-    if full.count() <= BROADCAST_ROWS:
-        full = F.broadcast(full)
-    judged = keyed.join(full, F.col("key_").eqNullSafe(F.col("rkey_")) & (F.col("tie_") == F.col("rtie_")), "left")
+    judged = join_texts(keyed, materialise(full, "hit-texts"), "left", BROADCAST_ROWS)
     n_words, n_hit = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long")
     judged = judged.select("row_", n_words.alias("w_"), n_hit.alias("h_"), "n_items", "items_sha256")
     none = F.lit(hashlib.sha256(b"").hexdigest())

@@ -73,13 +73,36 @@ def test_large_groups_and_buckets(documents, monkeypatch):
 def test_odd_rows(spark, documents):
     docs = documents((None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (9, "a b c d e f"), (6, None)).withColumn("node", F.lit("clash"))
     got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in chosen_path.similarity_classes(docs).collect())
-    assert got == {(None, None, 0): 1, (4, 4, 2): 2, (9, 4, 2): 1, (6, 6, 0): 1}
+    assert got == {(None, 4, 3): 1, (4, 4, 3): 2, (9, 4, 3): 1, (6, 6, 0): 1}
     kept = [r["doc_id"] for r in chosen_path.first_of_each_class(docs).collect()]
-    assert Counter(kept) == {None: 1, 4: 1, 6: 1}
+    assert Counter(kept) == {4: 1, 6: 1}
+    nulls = documents((None, "a b c d e f"), (None, "a b c d e f"), (None, None), (None, None))
+    assert [tuple(r) for r in chosen_path.similarity_classes(nulls).collect() if r["n_links"]] == [(None, None, 1)] * 2
+    assert Counter(r["text"] for r in chosen_path.first_of_each_class(nulls).collect()) == {"a b c d e f": 1, None: 2}
     assert chosen_path.similarity_classes(docs.limit(0)).count() == 0
     assert chosen_path.first_of_each_class(docs.limit(0)).columns == docs.columns
 
 
+def test_one_id_with_several_texts(documents):
+    draw = random.Random(7)
+    a, b, c = (" ".join(f"w{draw.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, b + " x"), (5, c), (5, c + " y"), (5, c), (None, a + " z"), (1, c)]
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in chosen_path.similarity_classes(documents(*rows)).collect())
+    want = plain_classes([(k, t) for k, (_, t) in enumerate(rows)])
+    smallest = {top: min(rows[k][0] for k in want if want[k][0] == top and rows[k][0] is not None) for top in {w[0] for w in want.values()}}
+    assert got == Counter((rows[k][0], smallest[top], links) for k, (top, links) in want.items())
+    clash = {c: F.lit(f"mine {c}") for c in ("key_", "tie_", "row_", "rkey_", "node", "is_first")}
+    kept = chosen_path.first_of_each_class(documents(*rows).withColumns(clash)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == {(1, a): 1, (1, b): 1, (1, c): 1}
+    assert all(r[c] == f"mine {c}" for r in kept for c in clash)
+
+
+def test_repeated_rows_that_differ_elsewhere(documents):
+    docs = documents((3, "a b c d e f g"), (3, "a b c d e f g"), (8, "a b c d e f g"), source="s1").withColumn("extra", F.expr("uuid()")).cache()
+    kept = chosen_path.first_of_each_class(docs).collect()
+    assert [r["doc_id"] for r in kept] == [3] and kept == chosen_path.first_of_each_class(docs).collect()
+
+
 def test_recall_of_runs():
     assert chosen_path.needed_runs(0.8, 4, 0.9999) == 3 and chosen_path.needed_runs(0.8, 4, 0.9) == 1
 
