@@ -6,6 +6,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from pagemill import ship
 from pagemill.llm.common import read_table, slices
 
-#: How the byte-level pre-tokenizer cuts a text (fixed value of that tokenizer family).
-PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: How the byte-level pre-tokenizer cuts a text (fixed value of that tokenizer family), with its classes named.
+PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[LETTER]+| ?[NUMBER]+| ?[^[SPACE][LETTER][NUMBER]]+|[SPACE]+(?![^[SPACE]])|[SPACE]+"""
+CLASSES = {"LETTER": r"\p{L}", "NUMBER": r"\p{N}", "SPACE": r"\s"}
 #: The same cut with the classes spelled out, for texts of the characters that NOT_PLAIN leaves: several times faster.
 PLAIN_LETTERS, PLAIN_SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", " \\t-\\r\\x85\\xa0"
 PLAIN_PIECES = rf"""'(?:[stmd]|re|ve|ll)| ?[{PLAIN_LETTERS}]+| ?[0-9]+| ?[^{PLAIN_SPACES}{PLAIN_LETTERS}0-9]+|[{PLAIN_SPACES}]+(?![^{PLAIN_SPACES}])|[{PLAIN_SPACES}]+"""
@@ -37,6 +39,38 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+@cache
+def piece_pattern() -> str:
+    """PIECES with the character classes of the tokenizer library's own splitter.
+
+    Its Unicode tables may be of another version than those of the regex library: each class is that of regex, less
+    and plus the code points on which the two differ.
+    """
+    import numpy as np
+    import regex
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    pattern, places = PIECES, np.array([*range(0xD800), *range(0xE000, 0x110000)])
+    every = "".join(map(chr, places))
+    for name, known in CLASSES.items():
+        theirs, ours = np.ones(len(every), bool), np.zeros(len(every), bool)
+        for _, (a, z) in Split(Regex(f"{known}+"), "removed").pre_tokenize_str(every):
+            theirs[a:z] = False
+        for found in regex.finditer(f"{known}+", every):
+            ours[found.start() : found.end()] = True
+        pattern = pattern.replace(f"[{name}]", f"[[{known}{_ranges(places[theirs & ~ours])}]--[{_ranges(places[ours & ~theirs])}]]" if (theirs != ours).any() else f"[{known}]")
+    return f"(?V1){pattern}"
+
+
+def _ranges(places) -> str:
+    """Code points as the inside of a character class; one that no text has if there are none."""
+    import numpy as np
+
+    parts = np.split(places, np.flatnonzero(np.diff(places) != 1) + 1)
+    return "".join(f"\\U{p[0]:08x}-\\U{p[-1]:08x}" for p in parts if len(p)) or "\\ud800"
+
+
 class PieceCounts(dict):
     """The number of tokens of a piece of text; short pieces seen before are kept, in two generations of bounded size."""
 
@@ -89,27 +123,37 @@ def merged_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     return n - merges
 
 
+def special_pattern(token: dict) -> str:
+    """Where an added token stands: it may take the white space beside it, and may have to be a word of its own."""
+    import regex
+
+    content = regex.escape(token["content"])
+    if token.get("single_word"):
+        content = rf"(?<!\w){content}(?!\w)"
+    return (r"\s*" if token.get("lstrip") else "") + content + (r"\s*" if token.get("rstrip") else "")
+
+
 class TokenCounter:
     """Counts tokens as a byte-level BPE vocabulary file defines them; one for each Python worker and file."""
 
     _made: dict[str, TokenCounter] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str | None = None):
         import regex
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.counts = PieceCounts({pair: rank for rank, pair in enumerate(merges)})
-        self.any_pieces, self.plain_pieces = regex.compile(PIECES).findall, re.compile(PLAIN_PIECES).findall
+        self.any_pieces, self.plain_pieces = regex.compile(pattern or piece_pattern()).findall, re.compile(PLAIN_PIECES).findall
         self.not_plain = re.compile(NOT_PLAIN).search
-        special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
-        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        special = sorted(spec.get("added_tokens", []), key=lambda t: len(t["content"]), reverse=True)
+        self.special = regex.compile("|".join(map(special_pattern, special))) if special else None
 
     @classmethod
-    def of(cls, path: str) -> TokenCounter:
+    def of(cls, path: str, pattern: str | None = None) -> TokenCounter:
         if path not in cls._made:
-            cls._made[path] = cls(path)
+            cls._made[path] = cls(path, pattern)
         return cls._made[path]
 
     def pieces(self, text: str) -> list[str]:
@@ -132,13 +176,14 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, id_column: str =
     text has 0 bytes and 0 tokens, and rows with null or repeated ids are counted like any other.
     """
     ship(docs.sparkSession)
+    pattern = piece_pattern()  # worked out once, by the driver
 
     def counted(batches: Iterator) -> Iterator:
         import public_tokenizers
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        counter = TokenCounter.of(tokenizer or public_tokenizers.path(TOKENIZER))
+        counter = TokenCounter.of(tokenizer or public_tokenizers.path(TOKENIZER), pattern)
         for b in slices(batches):
             texts = b.column(1)
             n = [counter.count(t.as_py()) for t in texts]
