@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import nested, read_table, unnested
+from pagemill.llm.common import read_table, unnested
 
 #: Rows that one bin of a cell should hold; a cell has as many bins as this asks for if it held all rows.
 BIN_ROWS = 20_000
@@ -82,15 +82,18 @@ def hilbert_shards(df: DataFrame, levels: list[Column], order: list[Column], sha
     A cell that holds a third of all rows is dealt over many bins by the hash of the first order column(s), so no
     task gets a cell: ranks are offsets of cells, plus offsets of bins in their cell, plus the rank in the bin. The
     only unpartitioned window runs over one row for each occupied cell (2^(bits*dimensions) at most).
-    Nulls are ordinary values. An empty df gives an empty result. Columns named shard or slot are replaced.
+    Nulls are ordinary values. An empty df gives an empty result. Columns named shard or slot are replaced;
+    all others stay, whatever their names.
     """
     total = df.count()
     bins = min(MAX_BINS, max(1, -(-total // BIN_ROWS)))
-    packed = nested(df.withColumns({f"level_{i}_": c for i, c in enumerate(levels)}).withColumns({f"order_{i}_": c for i, c in enumerate(order)}))
-    keys = [F.col(f"row_.order_{i}_") for i in range(len(order))]
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row_")
+    packed = df.select(row, *[c.alias(f"level_{i}_") for i, c in enumerate(levels)], *[c.alias(f"order_{i}_") for i, c in enumerate(order)])
+    keys = [F.col(f"order_{i}_") for i in range(len(order))]
     placed = packed.select(
         "row_",
-        hilbert_index([F.col(f"row_.level_{i}_") for i in range(len(levels))], bits).alias("cell_"),
+        *keys,
+        hilbert_index([F.col(f"level_{i}_") for i in range(len(levels))], bits).alias("cell_"),
         F.pmod(F.xxhash64(*keys), F.lit(1 << 40)).alias("spread_"),
     ).withColumn("bin_", F.floor(F.col("spread_") * bins / (1 << 40)).cast("int"))
     placed = placed.repartition("cell_", "bin_") if total else placed

@@ -17,10 +17,12 @@ def test_curve_visits_neighbours(spark, dims, bits):
 
 def test_table(spark, documents, odd):
     docs = documents(*odd, *[f"text {k % 40} " * (k % 9) for k in range(300)]).unionByName(documents((None, None), (3, "same"), (3, "same"), source=None, lang=None))
-    docs = docs.withColumns({"shard": F.lit("clash"), "cell_": F.lit(1)})
+    clash = ("level_0_", "order_0_", "cell_", "bin_", "row_", "spread_", "rank_", "at_", "n_")
+    docs = docs.withColumns({"shard": F.lit("clash"), **{c: F.lit(f"mine {c}") for c in clash}})
     got = hilbert_shards.shard_documents(docs, 7, 4).collect()
     total = docs.count()
     by = Counter(r["shard"] for r in got)
+    assert all(r[c] == f"mine {c}" for r in got for c in clash)
     assert len(got) == total and set(by) == set(range(7)) and max(by.values()) - min(by.values()) <= 1
     assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n)) for s, n in by.items())
     assert Counter(r["text"] for r in got) == Counter(r["text"] for r in docs.collect())
