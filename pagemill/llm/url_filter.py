@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import nested, read_table, unnested
+from pagemill.llm.common import join_by_key, materialise, nested, read_table, unnested
 
 #: Rule lists up to this many rows are broadcast; longer ones are joined by shuffling.
 BROADCAST_RULES = 100_000
@@ -65,8 +65,10 @@ def judge_urls(urls: DataFrame, rules: DataFrame, default: str = "allow") -> Dat
 
     A rule is looked up by the digest of its host and its path up to the last slash. Each URL is expanded into the
     digests of its host suffixes and path prefixes, no deeper than the deepest rule, joined by the digests' first
-    32 bits, then confirmed by full digest and full path. Equal rows are judged once and given back as often as
-    they came, so a URL that fills a third of the table costs no more than any other.
+    32 bits, then confirmed by full digest and full path. Each pair of host and path is judged once and brought back to
+    its rows by join_by_key, so a URL that fills a third of the table costs no more than any other. A long list
+    of rules is joined with the distinct expressions; those found go back to their URLs in the same way, as an expression
+    such as a top-level domain may belong to half of them.
     Null host or path count as empty. Columns named rule or verdict are replaced; others stay. Rules with null host, path or action are ignored.
     """
     known = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & F.col("action").isNotNull())
@@ -82,19 +84,25 @@ def judge_urls(urls: DataFrame, rules: DataFrame, default: str = "allow") -> Dat
     keyed = keyed.select("*", digest(F.col("rule_host"), F.col("key_path")).alias("rule_digest")).withColumn(
         "short", F.substring("rule_digest", 1, PREFIX_DIGITS)
     )
-    if n_rules <= BROADCAST_RULES:
-        keyed = F.broadcast(keyed)
 
     known_url = urls.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))})
-    once = nested(known_url).groupBy("row_").agg(F.count(F.lit(1)).alias("copies_"))
-    host, path = F.col("row_.host"), F.col("row_.path")
-    expanded = once.withColumn("suffix_", F.explode(host_suffixes(host, labels or 1))).withColumn("prefix_", F.explode(path_prefixes(path, parts or 0)))
-    hashed = expanded.withColumn("digest_", digest(F.col("suffix_"), F.col("prefix_"))).withColumn("short", F.substring("digest_", 1, PREFIX_DIGITS))
-    fits = (F.col("digest_") == F.col("rule_digest")) & path.startswith(F.col("rule_path"))
+    packed = nested(known_url).withColumn("url_", F.struct("row_.host", "row_.path"))
+    once = materialise(packed.groupBy("url_").agg(F.count(F.lit(1)).alias("copies_")), "urls")
+    expanded = once.withColumn("suffix_", F.explode(host_suffixes(F.col("url_.host"), labels or 1))).withColumn("prefix_", F.explode(path_prefixes(F.col("url_.path"), parts or 0)))
+    hashed = expanded.select("url_", digest(F.col("suffix_"), F.col("prefix_")).alias("digest_")).withColumn("short", F.substring("digest_", 1, PREFIX_DIGITS))
+    if n_rules <= BROADCAST_RULES:
+        met = hashed.join(F.broadcast(keyed), "short").where(F.col("digest_") == F.col("rule_digest"))
+    else:
+        distinct = hashed.groupBy("short", "digest_").agg(F.count(F.lit(1)).alias("n_"))
+        found = materialise(distinct.join(keyed, "short").where(F.col("digest_") == F.col("rule_digest")).groupBy("digest_", "n_").agg(
+            F.collect_list(F.struct("rule_host", "rule_path", "rule_action")).alias("rules_")), "matches")
+        total = distinct.agg(F.sum("n_")).first()[0] or 0
+        met = join_by_key(hashed.select("url_", "digest_"), found, "digest_", "n_", total).select("url_", F.inline("rules_"))
     text = F.concat("rule_host", "rule_path")
-    best = F.max(F.when(fits, F.struct(F.length(text).alias("n"), F.length("rule_host").alias("h"), text.alias("rule"), F.col("rule_action").alias("action"))))
-    judged = hashed.join(keyed, "short", "left").groupBy("row_", "copies_").agg(best.alias("best_"))
-    again = judged.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies_"))))
+    best = F.max(F.struct(F.length(text).alias("n"), F.length("rule_host").alias("h"), text.alias("rule"), F.col("rule_action").alias("action")))
+    judged = met.where(F.startswith(F.col("url_.path"), F.col("rule_path"))).groupBy("url_").agg(best.alias("best_"))
+    verdicts = materialise(once.join(judged, "url_", "left"), "verdicts")
+    again = join_by_key(packed, verdicts, "url_", "copies_", verdicts.agg(F.sum("copies_")).first()[0] or 0)
     return unnested(again, known_url, {"rule": F.col("best_.rule"), "verdict": F.coalesce("best_.action", F.lit(default))})
 
 
