@@ -10,45 +10,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill import ship
-from pagemill.llm.common import materialise, mixed, read_table, slices
+from pagemill.llm.common import join_by_key, materialise, mixed, read_table, slices
 
 #: Words of a block.
 BLOCK_WORDS = 128
 SHARDS = 24
 WEIGHTS = (5, 2, 1)
 SHARE, MOST_TIMES = Fraction(3, 2), 2
-#: The table of sources is worked on by the driver: one row for each source. More sources are an error.
-MOST_SOURCES = 1_000_000
+#: Sources whose draws are made together; a shard's slots are drawn for such groups first, then inside each of them.
+GROUP_SOURCES = 10_000
+#: Slots of a task that deals blocks to them, and tasks at most (then each has more).
+TASK_SLOTS, MOST_TASKS, RUN_SLOTS = 50_000, 20_000, 65_536
 CHUNK_ROWS, MOST_CHUNKS = 20_000, 65_536
 
 
-def target_sizes(sizes: list[int], weights: list[int], share: Fraction = SHARE, most: int = MOST_TIMES) -> list[Fraction]:
-    """Targets by weight that sum to share of all sizes; none above most times its size, the excess is reshared."""
-    left, open_, targets = share * sum(sizes), set(range(len(sizes))), [Fraction(0)] * len(sizes)
-    while open_:
-        weight = sum(weights[i] for i in open_)
-        above = [i for i in open_ if left * weights[i] / weight > most * sizes[i]]
-        if not above:
-            for i in open_:
-                targets[i] = left * weights[i] / weight
-            break
-        for i in above:
-            targets[i] = Fraction(most * sizes[i])
-        left -= sum(targets[i] for i in above)
-        open_ -= set(above)
-    return targets
+def shard_draws(quotas: list[int], shards: int, seed: list[int], slots: list[int] | None = None) -> list[list[int]]:
+    """For each shard the number of slots of each quota: multinomial in what is left, so that the quotas come out.
 
-
-def shard_draws(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
-    """For each shard the number of slots of each source: multinomial in what is left, so that the quotas come out."""
+    slots: how many each shard has; as equal as can be by default.
+    """
     import numpy as np
 
     left, draws = np.array(quotas, np.int64), []
     for k in range(shards):
-        slots = int(left.sum()) // (shards - k)
+        wanted = int(left.sum()) // (shards - k) if slots is None else slots[k]
         counts = np.zeros_like(left)
-        draw = np.random.default_rng([seed, k])
-        while (missing := slots - int(counts.sum())) > 0:
+        draw = np.random.default_rng([*seed, k])
+        while (missing := wanted - int(counts.sum())) > 0:
             free = left - counts
             counts = np.minimum(counts + draw.multinomial(missing, free / free.sum()), left)
         draws.append(counts.tolist())
@@ -79,37 +67,76 @@ def permuted(index, size: int, seed: int):
     return out.astype(np.int64)
 
 
-def mix_plan(sized: DataFrame, block_words: int, shards: int, seed: int) -> list[dict]:
-    """For each source, by code point and null last: size, target, blocks and the slots of each shard."""
-    found = sized.groupBy("source_").agg(F.sum("size_").alias("size")).limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    found.sort(key=lambda r: (r["source_"] is None, r["source_"] or ""))
-    sizes = [int(r["size"] or 0) for r in found]
-    targets = target_sizes(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(found))])
-    blocks = [-(-s // block_words) for s in sizes]
-    quotas = [round(t * n / s) if s else 0 for s, t, n in zip(sizes, targets, blocks, strict=True)]
-    draws = shard_draws(quotas, shards, seed)
-    return [
-        {"source": r["source_"], "number": i, "size": sizes[i], "target": float(targets[i]), "blocks": blocks[i], "slots": [d[i] for d in draws]}
-        for i, r in enumerate(found)
-    ]
-
-
-def mix_slots(spark: SparkSession, plan: list[dict], seed: int) -> DataFrame:
+def source_table(packed: DataFrame, block_words: int) -> DataFrame:
+    """For each source: ``source_``, ``number`` (by code point, null last), ``docs_``, ``source_size_``, ``target_``, ``blocks_``, ``quota_``.
+
+    packed: source_, size_. However many sources there are, none of their rows goes through the driver: they are sorted by range and
+    numbered by partition, and the driver learns sums only.
+    """
+    order = F.col("source_").asc_nulls_last()
+    found = packed.groupBy("source_").agg(F.sum("size_").alias("source_size_"), F.count(F.lit(1)).alias("docs_"))
+    # ids grow with the partition and count up inside it; writing the table fixes them
+    ranked = materialise(found.repartitionByRange(order).sortWithinPartitions(order).withColumn("at_", F.monotonically_increasing_id()), "ranked-sources")
+    part, inside = F.shiftright("at_", 33), F.col("at_").bitwiseAND((1 << 33) - 1)
+    sizes = ranked.groupBy(part.alias("part_")).agg(F.count(F.lit(1)).alias("n_"))  # one row for each partition
+    starts = sizes.select("part_", (F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).alias("start_"))
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("number") % len(WEIGHTS)).cast("int") + 1)
+    numbered = ranked.withColumn("part_", part).join(F.broadcast(starts), "part_").withColumn("number", F.col("start_") + inside)
+    weighed = numbered.select("source_", "number", "docs_", "source_size_", weight.alias("weight_"))
+
+    level = F.col("weight_") * F.lit(target_level(weighed))
+    target = F.least(level, MOST_TIMES * F.col("source_size_").cast("double"))
+    blocks = F.ceil(F.col("source_size_") / block_words).cast("long")
+    quota = F.when(F.col("source_size_") > 0, F.round(F.col("target_") * F.col("blocks_") / F.col("source_size_")).cast("long")).otherwise(F.lit(0).cast("long"))
+    planned = weighed.withColumns({"target_": target, "blocks_": blocks}).withColumn("quota_", F.least(quota, MOST_TIMES * F.col("blocks_")))
+    return materialise(planned.drop("weight_"), "sources")
+
+
+def target_level(weighed: DataFrame, share: Fraction = SHARE, most: int = MOST_TIMES) -> float:
+    """What a weight of 1 gets, so that the targets sum to share of all sizes, none above most times its size.
+
+    What the sources above theirs leave over is shared again by the weights of the others, until no more come above.
+    """
+    size, weight = most * F.col("source_size_"), F.col("weight_")
+    total, open_ = weighed.agg(F.sum("source_size_"), F.sum("weight_")).first()
+    left, level, before = share * (total or 0), Fraction(0), 0
+    if open_:
+        level = left / open_
+    while open_:
+        above = weight * F.lit(float(level)) > size
+        n, full, open_ = weighed.agg(F.count_if(above), F.sum(F.when(above, size).otherwise(0)), F.sum(F.when(above, 0).otherwise(weight))).first()
+        if n <= before or not open_:
+            break
+        level, before = (left - full) / open_, n
+    return float(level)
+
+
+def mix_slots(sources: DataFrame, shards: int, seed: int) -> DataFrame:
     """Every slot of the mix: ``shard``, ``number`` (of the source), ``slot``, ``block``.
 
+    A shard's slots are drawn among groups of GROUP_SOURCES sources, then, by a task for each group, among its sources.
     Slot q of a source takes the block to which its permutation sends q modulo its blocks, so every block is taken
     equally often, but for one time.
     """
-    ship(spark)
-    runs = []
-    for p in plan:
-        first = 0
-        for shard, n in enumerate(p["slots"]):
-            runs += [(shard, p["number"], p["blocks"], at, min(at + 65_536, first + n)) for at in range(first, first + n, 65_536)]
-            first += n
-    table = spark.createDataFrame(runs, "shard int, number int, blocks long, first long, last long")
+    ship(sources.sparkSession)
+    grouped = sources.where("quota_ > 0").select(F.floor(F.col("number") / GROUP_SOURCES).cast("long").alias("group_"), "number", "blocks_", "quota_")
+    quotas = sorted(grouped.groupBy("group_").agg(F.sum("quota_")).collect())  # one row for each GROUP_SOURCES sources
+    by_shard = shard_draws([q for _, q in quotas], shards, [seed])
+    slots = {g: [d[k] for d in by_shard] for k, (g, _) in enumerate(quotas)}
+
+    def drawn(key, table):
+        import pyarrow as pa
+
+        group = key[0].as_py()
+        rows, out = sorted(table.select(["number", "blocks_", "quota_"]).to_pylist(), key=lambda r: r["number"]), []
+        draws = shard_draws([r["quota_"] for r in rows], shards, [seed, group], slots[group])
+        for k, r in enumerate(rows):
+            first = 0
+            for shard, d in enumerate(draws):
+                out.append((shard, r["number"], r["blocks_"], first, first + d[k]))
+                first += d[k]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["shard", "number", "blocks", "begin", "end"])
 
     def dealt(batches: Iterator) -> Iterator:
         import numpy as np
@@ -120,12 +147,15 @@ def mix_slots(spark: SparkSession, plan: list[dict], seed: int) -> DataFrame:
                 slot = np.arange(r["first"], r["last"])
                 block = permuted(slot % r["blocks"], r["blocks"], seed * 1_000_003 + r["number"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(slot), r["shard"], np.int32)), pa.array(np.full(len(slot), r["number"], np.int32)), pa.array(slot), pa.array(block)],
+                    [pa.array(np.full(len(slot), r["shard"], np.int32)), pa.array(np.full(len(slot), r["number"], np.int64)), pa.array(slot), pa.array(block)],
                     ["shard", "number", "slot", "block"],
                 )
 
-    tasks = sum(sum(p["slots"]) for p in plan) // 50_000 + 1
-    return table.repartition(tasks, "shard", "number", "first").mapInArrow(dealt, "shard int, number int, slot long, block long")
+    runs = grouped.groupBy("group_").applyInArrow(drawn, "shard int, number long, blocks long, begin long, end long").where("end > begin")
+    runs = runs.select("shard", "number", "blocks", "end", F.explode(F.sequence("begin", F.col("end") - 1, F.lit(RUN_SLOTS).cast("long"))).alias("first"))
+    runs = runs.select("shard", "number", "blocks", "first", F.least("end", F.col("first") + RUN_SLOTS).alias("last"))
+    tasks = min(MOST_TASKS, sum(q for _, q in quotas) // TASK_SLOTS + 1)
+    return runs.repartition(tasks, "shard", "number", "first").mapInArrow(dealt, "shard int, number long, slot long, block long")
 
 
 def word_count(text: Column) -> Column:
@@ -142,21 +172,21 @@ def mix_sources(docs: DataFrame, size: Column, tie: Column, block_words: int = B
     their chunk add up, so no task sees a whole source. Null text: no words; null source: a source of its own;
     repeated rows are documents of their own. An empty table gives an empty mix.
     """
-    spark = docs.sparkSession
-    chunks = min(MOST_CHUNKS, max(1, -(-docs.count() // CHUNK_ROWS)))
+    total = docs.count()
+    chunks = min(MOST_CHUNKS, max(1, -(-total // CHUNK_ROWS)))
     packed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"),
         F.col("source").alias("source_"), size.alias("size_"), F.col("doc_id").alias("id_"), tie.alias("tie_"),
     )
-    plan = mix_plan(packed, block_words, shards, seed)
-    sources = spark.createDataFrame(
-        [(p["source"], p["number"], p["size"], p["target"]) for p in plan], "source string, number int, source_size_ long, target_ double"
-    )
-    if len(plan) <= 10_000:
-        sources = F.broadcast(sources)
+    sources = source_table(packed, block_words)
     spread = packed.withColumn("spread_", F.pmod(F.xxhash64("id_", "tie_"), F.lit(1 << 40)))
     spread = spread.withColumn("chunk_", F.floor(F.col("spread_") * chunks / (1 << 40)).cast("int"))
-    known = spread.join(sources, spread["source_"].eqNullSafe(sources["source"])).drop("source")
+    named = F.coalesce(F.concat(F.lit("="), "source_"), F.lit(""))  # null has a name of its own
+    spread, by_name = spread.withColumn("name_", named).drop("source_"), sources.withColumn("name_", named).select("name_", "number", "docs_", "source_size_", "target_")
+    if sources.count() <= GROUP_SOURCES:
+        known = spread.join(F.broadcast(by_name), "name_")
+    else:
+        known = join_by_key(spread, by_name, "name_", "docs_", total)
 
     sums = known.groupBy("number", "chunk_").agg(F.sum("size_").alias("n_"))
     before = Window.partitionBy("number").orderBy("chunk_").rowsBetween(Window.unboundedPreceding, -1)
@@ -166,7 +196,7 @@ def mix_sources(docs: DataFrame, size: Column, tie: Column, block_words: int = B
     placed = placed.select("row_", "number", "size_", "source_size_", "target_", (F.col("at_") + F.col("in_chunk_")).alias("begin_"))
     placed = materialise(placed, "placed")
 
-    uses = mix_slots(spark, plan, seed).groupBy("number", "block").agg(F.count(F.lit(1)).alias("uses"))
+    uses = mix_slots(sources, shards, seed).groupBy("number", "block").agg(F.count(F.lit(1)).alias("uses"))
     first, last = F.expr(f"begin_ div {block_words}"), F.expr(f"(begin_ + size_ - 1) div {block_words}")
     lies = placed.where("size_ > 0").select("number", "begin_", F.explode(F.sequence(first, last)).alias("block"))
     taken = lies.join(uses, ["number", "block"]).groupBy("number", "begin_").agg(F.sort_array(F.collect_list(F.struct("block", "uses"))).alias("uses_"))

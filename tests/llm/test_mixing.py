@@ -9,12 +9,52 @@ from pyspark.sql import functions as F
 from pagemill.llm import mixing
 
 
-@pytest.mark.parametrize("sizes, weights", [([100, 100, 100], [5, 2, 1]), ([10, 1000, 30, 5], [5, 2, 1, 5]), ([0, 7], [5, 2]), ([], []), ([0], [5])])
-def test_targets(sizes, weights):
-    got = mixing.target_sizes(sizes, weights)
-    assert sum(got) == Fraction(3, 2) * sum(sizes) and all(t <= 2 * s for t, s in zip(got, sizes))
-    open_ = [t / w for t, s, w in zip(got, sizes, weights) if t < 2 * s]
-    assert len(set(open_)) <= 1 and all(2 * s / Fraction(w) <= open_[0] for t, s, w in zip(got, sizes, weights) if open_ and t == 2 * s)
+def target_sizes(sizes):
+    """Targets by weights 5, 2, 1, repeating; what comes above twice its size is shared again."""
+    weights = [(5, 2, 1)[k % 3] for k in range(len(sizes))]
+    left, open_, targets = Fraction(3, 2) * sum(sizes), set(range(len(sizes))), [Fraction(0)] * len(sizes)
+    while open_:
+        weight = sum(weights[i] for i in open_)
+        above = [i for i in open_ if left * weights[i] / weight > 2 * sizes[i]]
+        if not above:
+            for i in open_:
+                targets[i] = left * weights[i] / weight
+            break
+        for i in above:
+            targets[i] = Fraction(2 * sizes[i])
+        left -= sum(targets[i] for i in above)
+        open_ -= set(above)
+    return targets
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 1000, 30, 5], [0, 7], [], [0], [3, 50, 700, 9, 20, 4000, 1, 1, 90]])
+def test_targets(spark, sizes):
+    names = sorted(f"{k}\U0001f600\uffff" for k in range(len(sizes)))
+    rows = [(n if k + 1 < len(sizes) else None, s - s // 3) for k, (n, s) in enumerate(zip(names, sizes))]
+    rows += [(n, s // 3) for (n, _), s in zip(rows, sizes)]
+    got = mixing.source_table(spark.createDataFrame(rows, "source_ string, size_ long"), 4).orderBy("number").collect()
+    assert [r["number"] for r in got] == list(range(len(sizes))) and [r["source_size_"] for r in got] == sizes
+    assert [r["target_"] for r in got] == pytest.approx(list(map(float, target_sizes(sizes))))
+    assert all(abs(r["quota_"] * 4 - r["target_"]) <= 8 and r["quota_"] <= 2 * r["blocks_"] for r in got)
+
+
+def test_many_sources(spark, tmp_path, monkeypatch):
+    """Groups of few sources: the same contract where sources are many and not broadcast."""
+    monkeypatch.setattr(mixing, "GROUP_SOURCES", 7)
+    monkeypatch.setattr(mixing, "MOST_TASKS", 3)
+    draw = random.Random(10)
+    rows = [(k, "w " * draw.randrange(300), "en", f"s{draw.randrange(60) if k % 3 else 0}", 0) for k in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    sizes, taken = Counter(), Counter()
+    for _, t, _, s, _ in rows:
+        sizes[s] += len(t.split())
+    names = sorted(sizes)
+    targets = dict(zip(names, target_sizes([sizes[s] for s in names])))
+    for r in mixing.op7_mixing(spark, str(tmp_path)).collect():
+        s = rows[r["doc_id"]][3]
+        assert r["target"] == pytest.approx(float(targets[s])) and r["source_size"] == sizes[s] and r["taken"] <= 2 * r["size"]
+        taken[s] += r["taken"]
+    assert all(abs(taken[s] - targets[s]) <= 2 * mixing.BLOCK_WORDS for s in names)
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 64, 1000, 4097])
@@ -26,10 +66,12 @@ def test_permutation(size):
 
 
 def test_draws_come_out():
-    draws = mixing.shard_draws([1000, 10, 0, 333], 7, 1)
+    draws = mixing.shard_draws([1000, 10, 0, 333], 7, [1])
     assert [sum(d[k] for d in draws) for k in range(4)] == [1000, 10, 0, 333]
-    assert max(map(sum, draws)) - min(map(sum, draws)) <= 7 and draws == mixing.shard_draws([1000, 10, 0, 333], 7, 1)
+    assert max(map(sum, draws)) - min(map(sum, draws)) <= 7 and draws == mixing.shard_draws([1000, 10, 0, 333], 7, [1])
     assert len({d[0] for d in draws}) > 1
+    parts = mixing.shard_draws([50, 80, 3], 7, [1, 2], [19, 20, 19, 18, 20, 18, 19])
+    assert list(map(sum, parts)) == [19, 20, 19, 18, 20, 18, 19] and [sum(d[k] for d in parts) for k in range(3)] == [50, 80, 3]
 
 
 def corpus(spark):
@@ -51,7 +93,7 @@ def test_query(spark, tmp_path):
     for i, t, _, s, _ in rows:
         sizes[s] += len((t or "").encode().split())
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None]
-    targets = dict(zip(names, mixing.target_sizes([sizes[s] for s in names], [(5, 2, 1)[k % 3] for k in range(len(names))])))
+    targets = dict(zip(names, target_sizes([sizes[s] for s in names])))
     source = {i: s for i, _, _, s, _ in rows}
     taken = Counter()
     for r in got:
