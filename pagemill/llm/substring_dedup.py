@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill import ship
-from pagemill.llm.common import materialise, read_table, rolling, rows_of_repeated_keys, slices, word_hashes, words_of
+from pagemill.llm.common import join_by_key, materialise, read_table, rolling, rows_of_repeated_keys, slices, word_hashes, words_of
 
 WIDTH = 35
 #: Words of the grams whose smallest hash routes a window.
@@ -25,9 +25,10 @@ STRETCH = 64
 #: Words that one index should hold.
 SHARD_WORDS = 1_000_000
 #: Stretches of one hash that a task can hold, with the index of them all if no two are equal (3 million words or so).
-#: Windows of more frequent hashes are told apart by fingerprints of 128 bits instead.
+#: Stretches of more frequent hashes are routed again, window by window (see frequent_windows); the results are the same.
 FREQUENT = 50_000
-SALTS = 32
+#: Bits of the hash that routes such a window.
+ROUTE_BITS = 64
 _KEYS = ["k1", "k2"]
 
 
@@ -185,7 +186,7 @@ def runs_of(starts, width: int) -> list[tuple[int, int]]:
 
 
 def search_shard(rows: list[dict], width: int = WIDTH) -> list[tuple]:
-    """For the stretches of a shard (k1, k2, first, words): the intervals of each that repeat in the shard.
+    """For the stretches of a shard (k1, k2, first, words, and copies if not 1): the intervals of each that repeat in the shard.
 
     Equal stretches are indexed once. They repeat as a whole, so only stretches that came once are streamed.
     """
@@ -197,7 +198,7 @@ def search_shard(rows: list[dict], width: int = WIDTH) -> list[tuple]:
     pieces = [np.array([number.setdefault(w, len(number) + 1) for w in words.split(b" ")] + [0], np.int64) for words in distinct]
     sizes = np.array([len(p) for p in pieces])
     begin = np.cumsum(sizes) - sizes
-    single = np.bincount(of) == 1
+    single = np.bincount(of, [r.get("copies", 1) for r in rows]) == 1
     spans: list[list[tuple[int, int]]] = [[] if once else [(0, int(n) - 1)] for once, n in zip(single, sizes, strict=True)]
     if single.any():
         starts = np.sort(FMIndex(np.concatenate(pieces), width).repeated(begin[single], (begin + sizes - 1)[single]))
@@ -209,6 +210,20 @@ def search_shard(rows: list[dict], width: int = WIDTH) -> list[tuple]:
     return [(r["k1"], r["k2"], r["first"] + a, r["first"] + z) for r, k in zip(rows, of, strict=True) for a, z in spans[k]]
 
 
+def grouped_rows(batches: Iterator, key: str) -> Iterator[list[dict]]:
+    """The rows of sorted batches, one list for each value of the key."""
+    value, waiting = None, []
+    for b in slices(batches):
+        for r in b.to_pylist():
+            if r[key] != value:
+                if waiting:
+                    yield waiting
+                value, waiting = r[key], []
+            waiting.append(r)
+    if waiting:
+        yield waiting
+
+
 def keyed_documents(docs: DataFrame) -> DataFrame:
     """doc_id and text with a key of 96 bits that is never null: rows of one key are equal in both."""
     return docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"))
@@ -238,8 +253,8 @@ def find_stretches(keyed: DataFrame, width: int) -> DataFrame:
 def repeated_intervals(keyed: DataFrame, dealt: DataFrame, width: int = WIDTH) -> DataFrame:
     """``k1``, ``k2`` and ``spans`` (start and end of words) for documents with windows that start twice or more.
 
-    keyed: keyed_documents(); dealt: the same, dealt by the keys. Exact for hashes of FREQUENT stretches or fewer. Windows of more
-    frequent hashes (a passage in very many documents) are compared by fingerprints of 128 bits over salted keys.
+    keyed: keyed_documents(); dealt: the same, dealt by the keys. Stretches of hashes that more than FREQUENT of them share
+    (a passage in very many documents) are routed by the words of their windows instead.
     """
     spark = keyed.sparkSession
     ship(spark)
@@ -247,8 +262,8 @@ def repeated_intervals(keyed: DataFrame, dealt: DataFrame, width: int = WIDTH) -
     shared = rows_of_repeated_keys(all_, "route", "n", "routes")
     shared = shared.unionByName(all_.where("own").withColumn("n", F.lit(1).cast("long")))
     wanted = materialise(shared.groupBy(*_KEYS).agg(F.collect_set(F.struct("first", "last", "route", (F.col("n") > FREQUENT).alias("frequent"))).alias("cuts")), "cuts")
-    rare = F.filter("cuts", lambda c: ~c["frequent"])
     often = F.filter("cuts", lambda c: c["frequent"])
+    rare = F.filter("cuts", lambda c: ~c["frequent"] & ~F.exists(often, lambda o: o["first"] == c["first"]))
     n_words = F.aggregate(rare, F.lit(0).cast("long"), lambda n, c: n + c["last"] - c["first"] + width)
     sums = wanted.agg(F.sum(n_words), F.max(F.size(often))).first()
     shards = max(1, -(-(sums[0] or 0) // SHARD_WORDS))
@@ -267,22 +282,10 @@ def repeated_intervals(keyed: DataFrame, dealt: DataFrame, width: int = WIDTH) -
     def searched(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        shard, waiting = None, []
-
-        def out(rows: list[dict]):
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        for rows in grouped_rows(batches, "shard"):
             found = search_shard(rows, width)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], ["k1", "k2", "start", "end"])
-
-        for b in slices(batches):
-            for r in b.to_pylist():
-                if r["shard"] != shard:
-                    if waiting:
-                        yield out(waiting)
-                    shard, waiting = r["shard"], []
-                waiting.append(r)
-        if waiting:
-            yield out(waiting)
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], ["k1", "k2", "start", "end"])
 
     # doc_id is kept so that this reads the very exchange that remove_repeats reads: documents move once
     chosen = dealt.join(wanted.select(*_KEYS, rare.alias("cuts")).where(F.size("cuts") > 0), _KEYS).select(*_KEYS, "text", "cuts", "doc_id")
@@ -290,37 +293,77 @@ def repeated_intervals(keyed: DataFrame, dealt: DataFrame, width: int = WIDTH) -
     routed = routed.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)).cast("int")).drop("route").repartition("shard").sortWithinPartitions("shard")
     spans = routed.mapInArrow(searched, "k1 long, k2 int, start int, end int")
     if (sums[1] or 0) > 0:
-        spans = spans.unionByName(_frequent_windows(dealt.join(wanted.select(*_KEYS, often.alias("cuts")).where(F.size("cuts") > 0), _KEYS), width))
+        spans = spans.unionByName(frequent_windows(keyed, wanted.select(*_KEYS, often.alias("cuts")).where(F.size("cuts") > 0), width))
     return spans.groupBy(*_KEYS).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def _frequent_windows(chosen: DataFrame, width: int) -> DataFrame:
-    """Spans of the windows in the cuts that occur twice or more, by fingerprints."""
+def frequent_windows(keyed: DataFrame, cuts: DataFrame, width: int, seed: int = 0) -> DataFrame:
+    """``k1``, ``k2``, ``start``, ``end`` of the windows in cuts (first and last starts, by document) that start twice or more.
 
-    def windows(batches: Iterator) -> Iterator:
+    Each window is routed by a hash of all its words. Only windows whose hash is found twice bring their words, and equal
+    ones are put together before they move, with their number, so a passage of very many documents is one piece. An
+    FM-index of the distinct pieces of a shard decides which repeat. Where all pieces of a hash agree,
+    which they do unless different windows share it, its windows are known by the hash; else those are routed again
+    with another seed. So nothing depends on a hash being free of collisions.
+    """
+    mask = (1 << ROUTE_BITS) - 1
+    slim = materialise(keyed.join(cuts, _KEYS).select(*_KEYS, "text", "cuts"), "frequent-texts")
+
+    def hashed(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import xxhash
 
         for b in slices(batches):
-            at, starts, prints = [], [], []
-            for k, (text, cuts) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                one = word_hashes(text)
-                two = one ^ (one >> np.uint64(29)) ^ np.uint64(0x5851F42D4C957F2D)
-                both = np.stack([rolling(one, width), rolling(two * np.uint64(0xD6E8FEB86659FD93), width)], 1)
-                for c in cuts:
-                    s = np.arange(c["first"], c["last"] + 1)
-                    at += [k] * len(s)
-                    starts.append(s)
-                    prints += [both[x].tobytes() for x in s]
+            at, starts, routes = [], [], []
+            for k, (text, found) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                words = words_of(text)
+                own = [s for c in found for s in range(c["first"], c["last"] + 1)]
+                at += [k] * len(own)
+                starts += own
+                routes += [xxhash.xxh3_64_intdigest(b" ".join(words[s : s + width]), seed) & mask for s in own]
             rows = pa.array(at, pa.int64())
-            start = np.concatenate(starts).astype(np.int32) if starts else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(start), pa.array(prints, pa.binary())], ["k1", "k2", "start", "print"])
-
-    rows = chosen.select(*_KEYS, "text", "cuts", "doc_id").mapInArrow(windows, "k1 long, k2 int, start int, print binary")
-    rows = rows.withColumn("salt", F.pmod("k1", F.lit(SALTS)).cast("int")).repartition("print", "salt")
-    counts = rows.groupBy("print", "salt").agg(F.count(F.lit(1)).alias("n")).groupBy("print").agg(F.sum("n").alias("n")).where("n > 1")
-    twice = counts.select("print", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return rows.join(twice, ["print", "salt"]).select(*_KEYS, "start", (F.col("start") + width).alias("end"))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(rows), b.column(1).take(rows), pa.array(starts, pa.int32()), pa.array(np.array(routes, np.uint64).view(np.int64))], ["k1", "k2", "start", "route"]
+            )
+
+    windows = materialise(slim.mapInArrow(hashed, "k1 long, k2 int, start int, route long"), "frequent-windows")
+    windows = materialise(rows_of_repeated_keys(windows, "route", "n", "frequent"), "frequent-repeated")
+    wanted = windows.groupBy(*_KEYS).agg(F.collect_set(F.struct("start", "route")).alias("own"))
+
+    def brought(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in slices(batches, 50):
+            routes, pieces = [], []
+            for text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = words_of(text)
+                routes += [w["route"] for w in own]
+                pieces += [b" ".join(words[w["start"] : w["start"] + width]) for w in own]
+            yield pa.RecordBatch.from_arrays([pa.array(routes, pa.int64()), pa.array(pieces, pa.binary())], ["route", "words"])
+
+    pieces = slim.join(wanted, _KEYS).select("text", "own").mapInArrow(brought, "route long, words binary").groupBy("route", "words").agg(F.count(F.lit(1)).alias("copies"))
+    pieces = materialise(pieces, "frequent-pieces")
+    shards = max(1, -(-pieces.count() * width // SHARD_WORDS))
+
+    def searched(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for rows in grouped_rows(batches, "shard"):
+            found = {f[0] for f in search_shard([r | {"k1": k, "k2": 0, "first": 0} for k, r in enumerate(rows)], width)}
+            yield pa.RecordBatch.from_arrays([pa.array([r["route"] for r in rows], pa.int64()), pa.array([k in found for k in range(len(rows))])], ["route", "again"])
+
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)).cast("int")).repartition("shard").sortWithinPartitions("shard")
+    judged = dealt.mapInArrow(searched, "route long, again boolean").groupBy("route").agg(F.bool_and("again").alias("all"), F.bool_or("again").alias("any"))
+    judged = materialise(judged.where("any"), "frequent-judged")
+    counts = windows.groupBy("route").agg(F.count(F.lit(1)).alias("n_route"))
+    met = join_by_key(windows.drop("n"), judged.join(counts, "route"), "route", "n_route", windows.count())
+    out = met.where("all").select(*_KEYS, "start", (F.col("start") + width).alias("end"))
+    mixed_up = judged.where("not all")
+    if mixed_up.isEmpty():
+        return out
+    again = met.where("not all").groupBy(*_KEYS).agg(F.collect_set(F.struct(F.col("start").alias("first"), F.col("start").alias("last"))).alias("cuts"))
+    return out.unionByName(frequent_windows(keyed, materialise(again, "frequent-cuts"), width, seed + 1))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -34,9 +34,11 @@ def make_texts(draw, n=60):
     return texts
 
 
-@pytest.mark.parametrize("frequent, shard_words", [(1000, 300_000), (3, 300_000), (1000, 200)])
-def test_like_counting(documents, odd, monkeypatch, frequent, shard_words):
+@pytest.mark.parametrize("frequent, shard_words, bits", [(1000, 300_000, 64), (3, 300_000, 64), (1000, 200, 64), (1, 300, 64), (1, 300_000, 9)])
+def test_like_counting(documents, odd, monkeypatch, frequent, shard_words, bits):
+    """Also with hashes that many stretches share, and with hashes that different windows share."""
     monkeypatch.setattr(sd, "FREQUENT", frequent)
+    monkeypatch.setattr(sd, "ROUTE_BITS", bits)
     monkeypatch.setattr(sd, "SHARD_WORDS", shard_words)
     draw = random.Random(7)
     texts = make_texts(draw) + odd + ["z " * 34, "z " * 35, "y " * 36, "ab " * 500, "k l m " * 30]
@@ -46,6 +48,17 @@ def test_like_counting(documents, odd, monkeypatch, frequent, shard_words):
     assert got == dict(enumerate(plain(texts, sd.WIDTH)))
 
 
+def test_passage_of_most_documents(documents, monkeypatch):
+    """A passage in every second document, between words that differ, far beyond what one index may hold."""
+    monkeypatch.setattr(sd, "FREQUENT", 20)
+    draw = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(50))
+    filler = lambda: " ".join(f"w{draw.randrange(10**6)}" for _ in range(draw.randrange(60)))
+    texts = [f"{filler()} {passage if k % 2 else passage[: draw.randrange(len(passage))]} {filler()}" for k in range(300)] + [passage] * 30
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], bytes(r["kept"])) for r in sd.remove_repeats(documents(*texts)).collect()}
+    assert got == dict(enumerate(plain(texts, sd.WIDTH)))
+
+
 def test_odd_rows(spark, documents, tmp_path):
     long = " ".join(map(str, range(50)))
     docs = documents((None, long), (1, long), (1, long), (2, "short"), (3, None))
