@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill import ship
-from pagemill.llm.common import KEYS, join_texts, materialise, nested, read_table, slices, unnested
+from pagemill.llm.common import KEYS, join_texts, materialise, read_table, slices, unnested
 from pagemill.llm.url_filter import ascii_lower
 
 WINDOW = 13
@@ -27,7 +27,6 @@ MOST_TERMS = 500_000
 BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 200_000
 #: Characters that separate words once A-Z are lower-case (fixed by the definition of a word).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # a word, upper case or not
 _TABLE = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
@@ -195,8 +194,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share:
     ship(docs.sparkSession)
     columns = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     kept = docs.select(*[F.col(f"`{c}`") for c in keep or docs.columns if c not in columns])
-    slim = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept.columns, "doc_id", "text"])])
-    keyed = nested(slim).select("row_", F.col("row_.doc_id").alias("key_"), F.xxhash64("row_.text").alias("tie_"), F.col("row_.text").alias("text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row_")
+    keyed = docs.select(row, F.col("doc_id").alias("key_"), F.xxhash64("text").alias("tie_"), "text")
     # windows of one set of items share its number; writing the table fixes the numbers
     windows = test_windows(items, size)
     sets = materialise(windows.groupBy("items").agg(F.count(F.lit(1)).alias("n")).select("items", F.monotonically_increasing_id().alias("set")), "item-sets")
@@ -220,11 +219,20 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share:
     full = hits.select(F.col("key_").alias("rkey_"), F.col("tie_").alias("rtie_"), "n_hit")
     full = full.join(listed, F.col("rkey_").eqNullSafe(F.col("lkey_")) & (F.col("rtie_") == F.col("ltie_")), "left").drop("lkey_", "ltie_")
     judged = join_texts(keyed, materialise(full, "hit-texts"), "left", BROADCAST_ROWS)
-    n_words, n_hit = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long")
-    judged = judged.select("row_", n_words.alias("w_"), n_hit.alias("h_"), "n_items", "items_sha256")
+    schema = T.StructType([judged.schema["row_"]]).add("w_", "long").add("h_", "long").add("i_", "long").add("s_", "string")
+
+    def counted(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in slices(batches):
+            n_words = pa.array([len(index_words(t)) for t in b.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), n_words, *(b.column(k) for k in (2, 3, 4))], schema.fieldNames())
+
+    known = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_hit", "n_items")]
+    judged = judged.select("row_", F.col("text").cast("binary"), *known, "items_sha256").mapInArrow(counted, schema)
     none = F.lit(hashlib.sha256(b"").hexdigest())
     return unnested(judged, kept, {
-        "n_words": F.col("w_"), "n_hit": F.col("h_"), "n_items": F.coalesce("n_items", F.lit(0)).cast("long"), "items_sha256": F.coalesce("items_sha256", none),
+        "n_words": F.col("w_"), "n_hit": F.col("h_"), "n_items": F.col("i_"), "items_sha256": F.coalesce("s_", none),
         "contaminated": (F.col("h_") > 0) & (share * F.col("h_") >= F.col("w_")),
     })
 
