@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -20,6 +21,26 @@ SYSTEM_PROMPT = (
 )
 
 
+def message_text(url: str, title: str, context: str, image_text: str = config.NO_CONTENT) -> str:
+    """The user's message for a page, as prompt() makes it."""
+    return _MESSAGE.format(url=url, title=title, context=context, images=image_text)
+
+
+_MESSAGE = "URL: {url}\n\n[title]\n{title}\n\n[context]\n{context}\n\n[image text]\n{images}\n\nAnswer with one JSON object."
+#: Pairs of a page and its answer that a model is shown: a table with a model in every row, and a page that mixes
+#: properties with shipping and customs data.
+EXAMPLES = [
+    (
+        message_text("https://shop.example/p/hex-key", "Hex key, long", "## 규격 테이블\n\n| 모델명 | size (mm) | length (mm) |\n| --- | --- | --- |\n| HK-03 | 3 | 126 |\n| HK-05 | 5 | 165 |"),
+        '{"product_name": "Hex key, long", "variants": [{"model": "HK-03", "규격": ["size: 3 mm", "length: 126 mm"]}, {"model": "HK-05", "규격": ["size: 5 mm", "length: 165 mm"]}]}',
+    ),
+    (
+        message_text("https://shop.example/p/77-1204", "Relay base 77-1204", "Model: 77-1204\nWeight: 0.2 kg\nMaterial: PBT\nShips in: 2 days\nCustoms code: 85366990"),
+        '{"product_name": "Relay base 77-1204", "variants": [{"model": "77-1204", "규격": ["Weight: 0.2 kg", "Material: PBT"]}]}',
+    ),
+]
+
+
 class ModelClient(Protocol):
     """Answers a list of chat messages; raises ConnectionError if it cannot be reached."""
 
@@ -32,6 +53,12 @@ class WordReader(Protocol):
     def __call__(self, image: bytes, y0: int, y1: int) -> tuple[list, list[str], list[float]]: ...
 
 
+class Spacer(Protocol):
+    """Corrects the spacing of one line of text."""
+
+    def __call__(self, line: str) -> str: ...
+
+
 class EmptyClient:
     """A stand-in that never answers, so that the rules apply."""
 
@@ -39,16 +66,14 @@ class EmptyClient:
         return ""
 
 
-def prompt(url: Column, title: Column, context: Column, image_text: Column, examples: list[tuple[str, str]] = (), settings=config.DEFAULT) -> Column:
-    """The chat messages for a page as an array of (role, content)."""
+def prompt(url: Column, title: Column, context: Column, image_text: Column, examples: list[tuple[str, str]] | None = None, settings=config.DEFAULT) -> Column:
+    """The chat messages for a page as an array of (role, content): rules, examples (EXAMPLES by default), the page."""
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    shown = [message(role, F.lit(text)) for pair in examples for role, text in zip(("user", "assistant"), pair)]
+    shown = [message(role, F.lit(text)) for pair in (EXAMPLES if examples is None else examples) for role, text in zip(("user", "assistant"), pair)]
     name = F.coalesce(F.nullif(title, F.lit("")), F.lit(config.NO_TITLE))
-    body = F.concat(
-        F.lit("URL: "), F.coalesce(url, F.lit("")), F.lit("\n\n[title]\n"), name, F.lit("\n\n[context]\n"), truncated(context, settings.source_chars),
-        F.lit("\n\n[image text]\n"), truncated(image_text, settings.source_chars), F.lit("\n\nAnswer with one JSON object."),
-    )
-    return F.array(message("system", F.lit(SYSTEM_PROMPT)), *shown, message("user", body))
+    parts = {"url": F.coalesce(url, F.lit("")), "title": name, "context": truncated(context, settings.source_chars), "images": truncated(image_text, settings.source_chars)}
+    pieces = [F.lit(text) if k % 2 == 0 else parts[text] for k, text in enumerate(re.split(r"\{(\w+)\}", _MESSAGE))]
+    return F.array(message("system", F.lit(SYSTEM_PROMPT)), *shown, message("user", F.concat(*pieces)))
 
 
 def request_body(messages: Column, settings=config.DEFAULT) -> Column:
@@ -91,3 +116,24 @@ def ask_model(pages: DataFrame, make_client: Callable[[], ModelClient], settings
             yield pa.RecordBatch.from_arrays([*b.columns, *made], schema.fieldNames())
 
     return pages.mapInArrow(answered, schema).withColumn("model_record", normal_response(F.col("answer")))
+
+
+def correct_spacing(texts: DataFrame, column: str, make_spacer: Callable[[], Spacer]) -> DataFrame:
+    """texts with every line of a column that is not blank corrected by a spacer, which is made once for each task.
+
+    It runs after lines and columns are formed, as spacing decides on columns. Null stays null.
+    """
+    ship(texts.sparkSession)
+    names = texts.columns
+    at = names.index(column)
+
+    def corrected(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        spacer = make_spacer()
+        for b in batches:
+            lines = [None if t is None else t.split("\n") for t in b.column(at).to_pylist()]
+            fixed = pa.array([None if x is None else "\n".join(spacer(y) if y.strip() else y for y in x) for x in lines], pa.string())
+            yield pa.RecordBatch.from_arrays([fixed if k == at else b.column(k) for k in range(b.num_columns)], names)
+
+    return texts.mapInArrow(corrected, texts.schema)

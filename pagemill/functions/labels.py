@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill import config
-from pagemill.functions.text import SPACE, lines, longest, normal_label, strip
+from pagemill.functions.text import SPACE, bound, lines, longest, normal_label, strip
 
 _SEPARATORS = config.TITLE_SEPARATORS.replace(r"\s", SPACE)
 _NO_SPACE = r"[^\t-\r\x1c-\x20\x85\p{Z}]"
@@ -22,33 +22,41 @@ def clean_title(title: Column, host: Column) -> Column:
     host's first label; if all do (an empty host is in all), all are considered. A title of separators only is
     returned stripped; null becomes empty.
     """
-    raw = F.coalesce(title, F.lit(""))
-    parts = F.filter(F.transform(F.split(raw, _SEPARATORS), strip), lambda p: p != "")
     root = F.lower(F.substring_index(F.coalesce(host, F.lit("")), ".", 1))
-    other = F.filter(parts, lambda p: ~F.contains(F.replace(F.lower(p), F.lit(" "), F.lit("")), root))
-    return F.when(F.size(parts) == 0, strip(raw)).otherwise(longest(F.when(F.size(other) > 0, other).otherwise(parts)))
+
+    def named(raw: Column, parts: Column) -> Column:
+        other = F.filter(parts, lambda p: ~F.contains(F.replace(F.lower(p), F.lit(" "), F.lit("")), root))
+        return F.when(F.size(parts) == 0, strip(raw)).otherwise(bound(other, lambda o: longest(F.when(F.size(o) > 0, o).otherwise(parts))))
+
+    split = lambda raw: F.filter(F.transform(F.split(raw, _SEPARATORS), strip), lambda p: p != "")
+    return bound(F.coalesce(title, F.lit("")), lambda raw: bound(split(raw), lambda parts: named(raw, parts)))
 
 
 def classify_label(label: Column) -> Column:
     """The first category with a keyword in the label, both without white space and in lower case; else null."""
-    normal, out = normal_label(label), F.lit(None).cast("string")
-    for category, keywords in reversed(config.LABEL_KEYWORDS.items()):
-        found = F.lit(False)
-        for word in keywords:
-            found = found | F.contains(normal, F.lit("".join(word.split()).lower()))
-        out = F.when(found, F.lit(category)).otherwise(out)
-    return out
+
+    def category(normal: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, keywords in reversed(config.LABEL_KEYWORDS.items()):
+            found = F.lit(False)
+            for word in keywords:
+                found = found | F.contains(normal, F.lit("".join(word.split()).lower()))
+            out = F.when(found, F.lit(name)).otherwise(out)
+        return out
+
+    return bound(normal_label(label), category)
 
 
 def label_value(line: Column) -> Column:
     """(label, value) of a stripped line, by tab before colon, or null. Labels have 1 to 20 characters, values 1 to 121."""
 
     def pair(pattern: str) -> Column:
-        label, value = strip(F.regexp_extract(line, pattern, 1)), strip(F.regexp_extract(line, pattern, 2))
-        return F.when(F.rlike(line, F.lit(pattern)) & (label != "") & (value != ""), F.struct(label.alias("label"), value.alias("value")))
+        sides = F.struct(strip(F.regexp_extract(line, pattern, 1)).alias("label"), strip(F.regexp_extract(line, pattern, 2)).alias("value"))
+        return bound(sides, lambda p: F.when((p["label"] != "") & (p["value"] != ""), p))
 
     # a line that matches by tab is not tried by colon, even if one side turns out blank
-    return F.when(F.rlike(line, F.lit(TAB_LINE)), pair(TAB_LINE)).otherwise(pair(COLON_LINE))
+    by_colon = F.when(F.rlike(line, F.lit(COLON_LINE)), pair(COLON_LINE))
+    return F.when(F.rlike(line, F.lit(TAB_LINE)), pair(TAB_LINE)).otherwise(by_colon)
 
 
 def label_values(text: Column) -> Column:

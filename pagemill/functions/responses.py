@@ -6,36 +6,49 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill.config import SPECS_KEY
-from pagemill.functions.text import as_strings, strip
+from pagemill.functions.text import as_strings, bound, strip
 
 VARIANTS = "array<struct<model string, specs array<string>>>"
 
 
 def json_object(answer: Column) -> Column:
-    """The text from the first brace to the last; without a closing brace, an object that starts the answer is closed.
+    """The text from the first brace to the last; without a closing brace, the whole of an answer that begins with one.
 
-    Closing adds the missing quotation mark and brackets of an answer that was cut off; null if there is no object.
+    Null if there is neither. Whether it is JSON is not looked at; see parsed_object.
     """
     whole = F.nullif(F.regexp_extract(answer, r"(?s)\{.*\}", 0), F.lit(""))
-    bare = strip(answer)
-    return F.coalesce(whole, F.when(F.startswith(bare, F.lit("{")), closed(bare)))
+    return F.coalesce(whole, bound(strip(answer), lambda bare: F.when(F.startswith(bare, F.lit("{")), bare)))
+
+
+def parsed_object(answer: Column) -> Column:
+    """The JSON object in an answer as a variant: as it stands, else closed where it was cut off; null if neither is JSON."""
+    return bound(json_object(answer), lambda found: F.coalesce(F.try_parse_json(found), F.try_parse_json(closed(found))))
 
 
 def closed(text: Column) -> Column:
-    """A cut-off JSON text with its open string and brackets closed, by a fold over its characters."""
-    start = F.struct(F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit("").alias("open"))
+    """A cut-off JSON text with its open string and brackets closed, by a fold over its quotation marks and brackets.
+
+    Before that a comma at the end is dropped, a colon at the end gets null, and half an escape in a string is dropped.
+    """
+    start = F.struct(F.lit(False).alias("quoted"), F.lit("").alias("open"))
 
     def step(s: Column, c: Column) -> Column:
         opener = F.when(c == "{", "}").when(c == "[", "]")
-        return F.struct(
-            F.when((c == '"') & ~s["escaped"], ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"),
-            (s["quoted"] & (c == "\\") & ~s["escaped"]).alias("escaped"),
+        inside = (
             F.when(s["quoted"], s["open"]).when(opener.isNotNull(), F.concat(opener, s["open"]))
-            .when(c.isin("}", "]"), F.substring(s["open"], 2, 1 << 30)).otherwise(s["open"]).alias("open"),
+            .when(c.isin("}", "]"), F.substring(s["open"], 2, 1 << 30)).otherwise(s["open"])
         )
+        return F.struct(F.when(c == '"', ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"), inside.alias("open"))
+
+    def ended(end: Column) -> Column:
+        bare = F.regexp_replace(text, r"[\s,]+$", "")
+        whole = F.when(F.endswith(bare, F.lit(":")), F.concat(bare, F.lit("null"))).otherwise(bare)
+        half = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\(?:u[0-9A-Fa-f]{0,3})?$", "$1")
+        return F.concat(F.when(end["quoted"], F.concat(half, F.lit('"'))).otherwise(whole), end["open"])
 
-    end = F.aggregate(F.split(text, ""), start, step)
-    return F.concat(text, F.when(end["quoted"], F.lit('"')).otherwise(F.lit("")), end["open"])
+    # escapes are matched first, so an escaped quotation mark is none
+    marks = F.regexp_extract_all(text, F.lit(r'(?s)\\.|["{}\[\]]'), F.lit(0))
+    return bound(F.aggregate(marks, start, step), ended)
 
 
 def _text(value: Column, path: str) -> Column:
@@ -55,13 +68,19 @@ def normal_response(answer: Column) -> Column:
     The newer shape has variants, whose entries that are no objects are left out; the older one lists models that
     share the specifications, and without a model has one empty one. JSON null counts as empty.
     """
-    value = F.try_parse_json(json_object(answer))
-    entries = F.try_variant_get(value, "$.variants", "array<variant>")
-    objects = F.filter(entries, lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT")))
-    newer = F.transform(objects, lambda v: F.struct(F.substring(strip(_text(v, "$.model")), 1, 200).alias("model"), _strings(v, f"$.{SPECS_KEY}").alias("specs")))
-    models, specs = _strings(value, "$.model"), _strings(value, f"$.{SPECS_KEY}")
-    models = F.when(F.size(models) > 0, models).otherwise(F.array(F.lit("")))
-    older = F.transform(models, lambda m: F.struct(m.alias("model"), specs.alias("specs")))
-    variants = F.when(F.size(entries) > 0, newer).otherwise(older)
+    return bound(parsed_object(answer), _normal)
+
+
+def _normal(value: Column) -> Column:
+    def newer(entries: Column) -> Column:
+        objects = F.filter(entries, lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT")))
+        return F.transform(objects, lambda v: F.struct(F.substring(strip(_text(v, "$.model")), 1, 200).alias("model"), _strings(v, f"$.{SPECS_KEY}").alias("specs")))
+
+    def older(found: Column) -> Column:
+        models = F.when(F.size(found["models"]) > 0, found["models"]).otherwise(F.array(F.lit("")))
+        return F.transform(models, lambda m: F.struct(m.alias("model"), found["specs"].alias("specs")))
+
+    legacy = bound(F.struct(_strings(value, "$.model").alias("models"), _strings(value, f"$.{SPECS_KEY}").alias("specs")), older)
+    variants = bound(F.try_variant_get(value, "$.variants", "array<variant>"), lambda entries: F.when(F.size(entries) > 0, newer(entries)).otherwise(legacy))
     name = F.substring(strip(_text(value, "$.product_name")), 1, 200)
     return F.when(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.struct(name.alias("product_name"), variants.alias("variants")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85  ]"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once: a lambda over a one-element array names it, so the plan holds it once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
@@ -49,8 +56,7 @@ def snippet(text: Column, limit: int = config.DEFAULT.snippet_chars) -> Column:
 
 def truncated(text: Column, limit: int = config.DEFAULT.source_chars) -> Column:
     """snippet() of the stripped text; null or blank becomes a placeholder."""
-    bare = strip(F.coalesce(text, F.lit("")))
-    return F.when(bare == "", F.lit(config.NO_CONTENT)).otherwise(snippet(bare, limit))
+    return bound(strip(F.coalesce(text, F.lit(""))), lambda bare: F.when(bare == "", F.lit(config.NO_CONTENT)).otherwise(snippet(bare, limit)))
 
 
 def is_blocked(title: Column, body: Column, limit: int = config.DEFAULT.blocked_chars) -> Column:

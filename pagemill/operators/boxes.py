@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.config import DEFAULT, Settings
-from pagemill.functions.text import strip
+from pagemill.functions.text import bound, strip
 
 WORD = "struct<text:string,conf:double,x1:double,x2:double,y1:double,y2:double,xc:double,yc:double,h:double,w:double>"
 WORDS = f"array<{WORD}>"
@@ -75,8 +75,15 @@ def group_rows(words: Column, settings: Settings = DEFAULT) -> Column:
     A word joins the row under way if its centre is no further from the mean centre of the row than the tolerance,
     a share of the mean word height, 4 at least.
     """
-    mean_height = F.aggregate(words, F.lit(0.0), lambda a, w: a + w["h"]) / F.size(words)
-    tolerance = F.greatest(mean_height * settings.row_tolerance, F.lit(4.0))
+    return bound(words, lambda w: bound(_tolerance(w, settings), lambda t: _rows(w, t)))
+
+
+def _tolerance(words: Column, settings: Settings) -> Column:
+    mean_height = F.aggregate(words, F.lit(0.0), lambda a, w: a + w["h"]) / F.greatest(F.size(words), F.lit(1))
+    return F.greatest(mean_height * settings.row_tolerance, F.lit(4.0))
+
+
+def _rows(words: Column, tolerance: Column) -> Column:
     start = F.struct(F.array().cast(f"array<{WORDS}>").alias("rows"), F.array().cast(WORDS).alias("row"), F.lit(0.0).alias("sum"))
 
     def step(s: Column, w: Column) -> Column:

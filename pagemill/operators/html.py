@@ -10,13 +10,16 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill import ship
-from pagemill.config import REGION_SELECTORS
-from pagemill.operators.tables import TABLES
+from pagemill.config import DEFAULT, REGION_SELECTORS, Settings
+from pagemill.operators.tables import TABLES, merge_split_tables
+
+#: Pages that Python parses at once; Spark bounds the bytes of a batch.
+PAGES_AT_ONCE = 200
 
 _SILENT = {"script", "style", "noscript", "template", "head", "title"}
 _BLOCKS = set(
@@ -34,9 +37,10 @@ def _number(value: str | None, default: int) -> int:
 class _Page(HTMLParser):
     """Collects text, tables, media and, for selected elements, Markdown, while a page is read once."""
 
-    def __init__(self, selectors: list[str]):
+    def __init__(self, selectors: list[str], least: tuple[int, int] = (0, 0)):
         super().__init__(convert_charrefs=True)
-        self.selectors = selectors
+        self.selectors, self.least = selectors, least
+        self.tried: set[int] = set()
         self.title, self.text, self.tables, self.media = "", [], [], []
         self.stack: list[tuple[str, int]] = []
         self.silent = 0
@@ -57,8 +61,10 @@ class _Page(HTMLParser):
         if self.silent:
             return
         for n, selector in enumerate(self.selectors):
-            if n not in self.regions and n not in self.found and tag not in _VOID and _matches(selector, tag, attributes):
-                self.regions[n] = (len(self.stack), [])
+            if n not in self.tried and tag not in _VOID and _matches(selector, tag, attributes):
+                self.tried.add(n)  # only the first element of a selector counts
+                if not _hidden(attributes) and _is_large(attributes, self.least):
+                    self.regions[n] = (len(self.stack), [])
         if tag in _BLOCKS or tag == "br":
             self._put("\n", "\n" if tag in ("br", "tr") else "\n\n")
         if tag == "table":
@@ -76,11 +82,9 @@ class _Page(HTMLParser):
             self.open_cells.append((cell, cell["text"]))
             self.text.append("\t")
         elif tag in ("img", "canvas"):
-            style = re.sub(r"\s", "", attributes.get("style") or "").lower()
-            hidden = "hidden" in attributes or "display:none" in style or "visibility:hidden" in style or re.search(r"opacity:0(?:\.0*)?(?:;|$)", style)
             self.media.append({
                 "index": len(self.media), "tag": tag, "src": (attributes.get("src") or "") if tag == "img" else "", "alt": attributes.get("alt") or "",
-                "width": _number(attributes.get("width"), 0), "height": _number(attributes.get("height"), 0), "visible": not hidden,
+                "width": _number(attributes.get("width"), 0), "height": _number(attributes.get("height"), 0), "visible": not _hidden(attributes),
             })
         elif tag in ("ul", "ol"):
             self.lists.append((tag, 0))
@@ -182,6 +186,24 @@ class _Page(HTMLParser):
         }
 
 
+def _style(attributes: dict) -> str:
+    return re.sub(r"\s", "", attributes.get("style") or "").lower()
+
+
+def _hidden(attributes: dict) -> bool:
+    style = _style(attributes)
+    return "hidden" in attributes or "display:none" in style or "visibility:hidden" in style or bool(re.search(r"opacity:0(?:\.0*)?(?:;|$)", style))
+
+
+def _is_large(attributes: dict, least: tuple[int, int]) -> bool:
+    """Whether an element is at least so wide and high, by its style or attributes; an unknown size counts as large."""
+    for name, limit in zip(("width", "height"), least, strict=True):
+        styled = re.search(rf"(?:^|;){name}:(\d{{1,9}})(?:\.\d+)?px", _style(attributes))
+        if _number(styled[1] if styled else attributes.get(name), limit) < limit:
+            return False
+    return True
+
+
 def _matches(selector: str, tag: str, attributes: dict) -> bool:
     """Selectors of one step: a tag, ``#id``, ``.class`` or ``[name='value']``."""
     if selector[0] == "#":
@@ -198,14 +220,25 @@ def _tidy(markdown: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r" *\n *(?=\n|$)", "\n", re.sub(r"(?<=\n)[ ]+(?=[^ *\d])", "", markdown))).strip()
 
 
-def read_page(html: str | None, selectors: list[str]) -> dict:
-    """title, text, tables, media, selector and region_md (Markdown of the first selector that is on the page)."""
-    page = _Page(selectors)
+def read_page(html: str | None, selectors: list[str], settings: Settings = DEFAULT) -> dict:
+    """title, text, tables, media, selector and region_md (Markdown of the region).
+
+    The region is that of the first selector whose first element on the page is shown and large enough.
+    """
+    page = _Page(selectors, (settings.region_width, settings.region_height))
     page.feed(html or "")
     return page.finish()
 
 
-def parse_pages(pages: DataFrame, html: str = "html", host: str | None = "host") -> DataFrame:
+def region_selectors(pages: DataFrame, host: Column, selectors: dict[str, list[str]] | None = None) -> DataFrame:
+    """pages with ``selectors_``: those of their host, from a small table of the settings; ``main`` elsewhere."""
+    known = REGION_SELECTORS if selectors is None else selectors
+    table = pages.sparkSession.createDataFrame(list(known.items()), "host_ string, selectors_ array<string>")
+    looked_up = pages.withColumn("host_", host.cast("string")).join(F.broadcast(table), "host_", "left")
+    return looked_up.withColumn("selectors_", F.coalesce("selectors_", F.array(F.lit("main")))).drop("host_")
+
+
+def parse_pages(pages: DataFrame, html: str = "html", host: str | None = "host", settings: Settings = DEFAULT) -> DataFrame:
     """pages without the column html, with title, text, tables, media, selector, region_md; same-named columns are replaced.
 
     host: the column by which the selectors are looked up; ``main`` elsewhere. Null html reads as empty.
@@ -221,13 +254,38 @@ def parse_pages(pages: DataFrame, html: str = "html", host: str | None = "host")
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(added)
-        for b in batches:
-            rows = [read_page(h, REGION_SELECTORS.get(who or "", ["main"])) for h, who in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)]
-            made = [pa.array([r[f.name] for r in rows], f.type) for f in arrow]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(n)), *made], schema.fieldNames())
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES_AT_ONCE):
+                b = batch.slice(at, PAGES_AT_ONCE)
+                rows = [read_page(h, found, settings) for h, found in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)]
+                made = [pa.array([r[f.name] for r in rows], f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(n)), *made], schema.fieldNames())
+
+    with_selectors = region_selectors(pages, F.col(host) if host else F.lit(""))
+    return with_selectors.select(*kept, F.col(html).alias("html_"), "selectors_").mapInArrow(parsed, schema)
 
-    who = F.col(host) if host else F.lit("")
-    return pages.select(*kept, F.col(html).alias("html_"), who.cast("string").alias("host_")).mapInArrow(parsed, schema)
+
+def join_frames(frames: DataFrame, page: list[str]) -> DataFrame:
+    """Pages from their parsed frames (page columns, frame_index and what parse_pages adds); frame 0 is the main frame.
+
+    Texts are joined in the order of frames, each under its label, with an empty line between; tables and media get
+    their frame's index, tables are merged where split and numbered over all frames. title, selector and region
+    are the main frame's. A frame that could not be read has no row; a page of few frames is one group.
+    """
+    one = F.struct("frame_index", with_frame_labels(F.col("text"), F.col("frame_index")).alias("text"), "tables", "media", "title", "selector", "region_md")
+    grouped = frames.groupBy(*page).agg(F.sort_array(F.collect_list(one)).alias("f_"))
+    main = F.get(F.filter("f_", lambda f: f["frame_index"] == 0), F.lit(0))
+    own = lambda f: F.transform(f["tables"], lambda t: t.withField("frame_index", f["frame_index"]))
+    media = lambda f: F.transform(f["media"], lambda m: m.withField("frame_index", f["frame_index"]))
+    return grouped.select(
+        *page,
+        main["title"].alias("title"),
+        F.array_join(F.transform("f_", lambda f: f["text"]), "\n\n").alias("text"),
+        merge_split_tables(F.flatten(F.transform("f_", own))).alias("tables"),
+        F.flatten(F.transform("f_", media)).alias("media"),
+        main["selector"].alias("selector"),
+        F.coalesce(main["region_md"], F.lit("")).alias("region_md"),
+    )
 
 
 def with_frame_labels(text, frame_index):

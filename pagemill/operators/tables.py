@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill import config
-from pagemill.functions.text import strip, table_cell
+from pagemill.functions.text import bound, strip, table_cell
 
 CELL = "struct<text:string,rowspan:int,colspan:int>"
 TABLE = f"struct<table_index:int,frame_index:int,rows:array<array<{CELL}>>>"
@@ -43,9 +43,14 @@ def table_pairs(rows: Column) -> Column:
     has the labels and a label's value is what stands below it: distinct values in order, joined by `` / ``. Empty
     labels and values give no pair.
     """
+    data = lambda r: F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0)))
+    return bound(rows, lambda r: bound(data(r), lambda d: _pairs(r, d)))
+
+
+def _pairs(rows: Column, data: Column) -> Column:
     pair = lambda label, value: F.struct(label.alias("label"), value.alias("value"))
     tall = F.transform(rows, lambda r: pair(strip(F.get(r, F.lit(0))), strip(F.get(r, F.lit(1)))))
-    header, data = F.get(rows, F.lit(0)), F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
+    header = F.get(rows, F.lit(0))
 
     def below(label: Column, i: Column) -> Column:
         values = F.filter(F.transform(data, lambda r: strip(F.get(r, i))), lambda v: v.isNotNull() & (v != ""))
@@ -72,6 +77,10 @@ def merge_split_tables(tables: Column) -> Column:
     One fold over the positions: ``skip`` says how many tables the merge under way still covers, ``rows`` is how
     many rows its body has (0 outside a merge).
     """
+    return bound(tables.cast(TABLES), _merged)
+
+
+def _merged(tables: Column) -> Column:
     n = F.size(tables)
     empty = F.array().cast(TABLES)
     start = F.struct(empty.alias("out"), F.lit(0).alias("skip"), F.lit(0).alias("rows"))

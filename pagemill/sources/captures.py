@@ -28,7 +28,7 @@ def numbered(df: DataFrame, order: str, name: str = "number", buckets: int = BUC
     """df with the rank (from 1) of each row by a numeric column of distinct values.
 
     Rows are dealt into buckets by approximate quantiles, counted, and ranked within their bucket, so no task
-    sees all rows. Nulls come first, in one bucket. Equal values are ranked in any order.
+    sees all rows. Nulls come first, in one bucket. Equal values are ranked by a hash of the whole row.
     """
     cuts = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001)))
     bucket = F.lit(0)
@@ -38,7 +38,7 @@ def numbered(df: DataFrame, order: str, name: str = "number", buckets: int = BUC
     dealt = df.withColumn("bucket_", bucket)
     counts = dealt.groupBy("bucket_").agg(F.count(F.lit(1)).alias("n_"))  # one row for each bucket
     starts = counts.select("bucket_", (F.sum("n_").over(Window.orderBy("bucket_")) - F.col("n_")).alias("at_"))
-    ranked = dealt.withColumn("in_", F.row_number().over(Window.partitionBy("bucket_").orderBy(order)))
+    ranked = dealt.withColumn("in_", F.row_number().over(Window.partitionBy("bucket_").orderBy(order, F.xxhash64(*[f"`{c}`" for c in df.columns]))))
     return ranked.join(F.broadcast(starts), "bucket_").withColumn(name, F.col("at_") + F.col("in_")).drop("bucket_", "in_", "at_")
 
 
@@ -76,12 +76,27 @@ def read_assets(spark: SparkSession, run: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, run: str) -> DataFrame:
-    """Paths and times of the images of a run: those in assets folders, then product pictures; contents are not read."""
+    """``path``, ``mtime`` and ``is_product`` of the images of a run, in assets folders or product pictures; contents are not read.
+
+    The order of images is by is_product, then path.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][nN][gG]").load(run)
     own = found.select("path", F.col("modificationTime").alias("mtime"))
+    # assets come before product pictures, each by path
+    own = own.withColumn("is_product", F.endswith("path", F.lit("/product.png")))
     return own.where(F.rlike("path", F.lit(r"/assets/[^/]+$")) | F.endswith("path", F.lit("/product.png")))
 
 
+def read_image_texts(spark: SparkSession, path: str, run: str) -> DataFrame:
+    """``path``, ``text`` and ``mtime`` of the images of a run whose texts were written; an empty table if none were."""
+    try:
+        return spark.read.schema("path string, text string, mtime timestamp, run string").parquet(path).where(F.col("run") == run).drop("run")
+    except Exception as error:  # noqa: BLE001  Spark has no narrower type for it
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], "path string, text string, mtime timestamp")
+
+
 def with_context(metadata: DataFrame, context: DataFrame, merged: DataFrame | None = None, old: dict[str, DataFrame] | None = None) -> DataFrame:
     """metadata with ``context``: the merged document if there is one, else the page's own, else what older runs had."""
     out = metadata.join(context.select("folder", F.col("text").alias("context_")), "folder", "left")

@@ -28,6 +28,28 @@ def write_metadata(metadata: DataFrame, path: str) -> None:
     metadata.withColumn("elapsed_seconds", F.round("elapsed_seconds", 1)).write.mode("append").partitionBy("run").json(path)
 
 
+def write_manifests(pages: DataFrame, manifest: DataFrame, path: str) -> None:
+    """One line of JSON for each page (run, folder) with its assets in order; a page without assets has an empty array.
+
+    manifest: run, folder, asset_no, file, tag, src, alt, frame_index, width, height (see assets.asset_manifest).
+    """
+    one = F.struct("asset_no", "file", "tag", "src", "alt", "frame_index", "width", "height")
+    own = manifest.groupBy("run", "folder").agg(F.transform(F.sort_array(F.collect_list(one)), lambda a: a.dropFields("asset_no")).alias("assets"))
+    none = F.array().cast(own.schema["assets"].dataType)
+    out = pages.select("run", "folder").distinct().join(own, ["run", "folder"], "left").withColumn("assets", F.coalesce("assets", none))
+    out.write.mode("append").partitionBy("run").json(path)
+
+
+def write_image_texts(texts: DataFrame, path: str) -> None:
+    """The text of every image that was read (run, path, text, mtime), empty ones included, so that none is read again."""
+    texts.select("run", "path", F.coalesce("text", F.lit("")).alias("text"), "mtime").write.mode("append").partitionBy("run").parquet(path)
+
+
+def write_combined_texts(texts: DataFrame, path: str) -> None:
+    """The texts of a product's images joined in order, as one row for each product (run, product, text)."""
+    texts.select("run", "product", "text").write.mode("append").partitionBy("run").parquet(path)
+
+
 def capture_summary(pages: DataFrame, order: str = "number") -> DataFrame:
     """url and status of all pages of a run, errors included, in order."""
     return pages.select(order, "url", F.coalesce("status", F.lit("error")).alias("status")).orderBy(order).select("url", "status")

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,10 +125,29 @@ def test_label_values(one, line, pairs):
 
 def test_json_object(one):
     assert one(responses.json_object(F.lit('ok {"a":{"b":1}} end'))) == '{"a":{"b":1}}'
-    assert one(responses.json_object(F.lit('{"a": ["x"'))) == '{"a": ["x"]}'
+    assert one(responses.json_object(F.lit(' {"a": ["x"'))) == '{"a": ["x"'
     assert one(responses.json_object(F.lit("none"))) is None
 
 
+@pytest.mark.parametrize(
+    "cut, whole",
+    [
+        ('{"a": ["x"', {"a": ["x"]}),
+        ('{"a": {"b": 1}', {"a": {"b": 1}}),  # a closing brace, but not the last one
+        ('{"a": 1, "b": [2, ', {"a": 1, "b": [2]}),
+        ('{"a":', {"a": None}),
+        ('{"a": "x\\"{[y', {"a": 'x"{[y'}),
+        ('{"a": "x\\', {"a": "x"}),
+        ('{"a": "x\\\\', {"a": "x\\"}),
+        ('{"a": "x\\u00', {"a": "x"}),
+        ('{"a": "' + "y" * 50_000, {"a": "y" * 50_000}),
+    ],
+)
+def test_closed(one, cut, whole):
+    assert json.loads(one(responses.closed(F.lit(cut)))) == whole
+    assert json.loads(one(F.to_json(responses.parsed_object(F.lit(cut))))) == whole
+
+
 @pytest.mark.parametrize(
     "answer, name, variants",
     [
@@ -135,6 +156,7 @@ def test_json_object(one):
         ('{"product_name": " P ", "variants": []}', "P", [("", [])]),
         ('so: {"product_name": "P", "variants": [{"model": null, "규격": [1, "a"]}]} .', "P", [("", ["1", "a"])]),
         ('{"product_name": "P", "variants": [{"model": "M', "P", [("M", [])]),
+        ('ok {"product_name": "P", "variants": [{"model": "M"}] and', "P", [("M", [])]),
         ("{}", "", [("", [])]),
     ],
 )

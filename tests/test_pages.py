@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagemill import adapters, config
 from pagemill.operators import assets, html, records, tables
+from pagemill.plans import captures as captures_plan
 from pagemill.sources import captures, sinks
 from pagemill.streaming import captures as streams
 
@@ -169,3 +170,128 @@ def test_streams(spark, tmp_path):
         assert [(r["host"], r["pages"]) for r in spark.table(query.name).collect()] == [("h.com", 1)]
     finally:
         query.stop()
+
+
+def test_region_size_and_visibility():
+    """Too small or hidden regions are passed over; an unknown size counts as large; only the first element of a selector counts."""
+    small = "<div id=a width=299 height=400>small</div><div id=b style='width: 300px; height: 149px'>low</div><div id=c hidden>gone</div><div id=d style='width:300px;height:150px'>fits</div>"
+    for selectors, found in ((["#a", "#b", "#c", "#d"], "#d"), (["#b"], None), (["div", "#d"], "#d"), (["#e"], None)):
+        assert html.read_page(small, selectors)["selector"] == found
+    assert html.read_page("<main>any</main>", ["main"])["selector"] == "main"
+
+
+def test_frames_of_a_page(spark):
+    table = lambda t: f"<table><tr><td>{t}</td><td>x</td></tr><tr><td>{t}2</td></tr></table>"
+    frames = [
+        (1, 2, "h", "second<img src=b.png width=300 height=90>" + table("C")),
+        (1, 0, "h", "<title>Top</title><main>main text</main>" + table("A")),
+        (1, 1, "h", "  "),
+        (2, 0, None, None),
+    ]
+    parsed = html.parse_pages(spark.createDataFrame(frames, "page_id long, frame_index int, host string, html string"))
+    got = {r["page_id"]: r for r in html.join_frames(parsed, ["page_id"]).collect()}
+    assert got[1]["text"] == "[MAIN]\nmain text\nA\tx\nA2\n\n[IFRAME 2]\nsecond\nC\tx\nC2" and got[1]["title"] == "Top" and got[1]["region_md"] == "main text"
+    assert [(t["table_index"], t["frame_index"], t["rows"][0][0]["text"]) for t in got[1]["tables"]] == [(1, 0, "A"), (2, 2, "C")]
+    assert [(m["frame_index"], m["src"]) for m in got[1]["media"]] == [(2, "b.png")]
+    assert (got[2]["text"], got[2]["tables"], got[2]["region_md"]) == ("", [], "")
+
+
+def test_sections_come_back(spark, one):
+    cells = [[[("a|b", 1, 1), ("c", 1, 1)], [("1", 1, 1), ("2 ", 1, 1)]], [[("규격", 1, 1)], [("5mm", 1, 1)], [("6mm", 1, 1)]]]
+    rows = spark.createDataFrame([([(k + 1, 0, r) for k, r in enumerate(cells)],)], f"tables {tables.TABLES}")
+    context = records.context_document(F.lit("T"), F.lit("u"), F.lit("# Bolt\n\n모델명: X-1"), F.col("tables"), F.lit("[MAIN]\nall\ntext"))
+    images = F.lit(f"{config.IMAGE_HEADING}1\n\nSize: 9\n\n{config.IMAGE_HEADING}2\n\nmore")
+    got = rows.select(records.context_sections(records.merged_document(context, images)).alias("s")).first()["s"]
+    assert got["region_text"] == "# Bolt\n\n모델명: X-1" and got["text"] == "all\ntext" and got["image_text"] == "Size: 9\n\nmore"
+    assert [[[c["text"] for c in r] for r in t["rows"]] for t in got["tables"]] == [[["a|b", "c"], ["1", "2"]], [["규격"], ["5mm"], ["6mm"]]]
+    bare = one(records.context_sections(F.lit("# T\n- URL: u")))
+    assert (bare["region_text"], bare["tables"], bare["text"], bare["image_text"]) == ("", [], "", "")
+    assert one(records.context_sections(F.lit(None).cast("string")))["tables"] == []
+
+
+def test_values_with_source(one):
+    candidates = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(v).alias("value"), F.lit(s).alias("source")) for c, v, s in (("model", " A ", "table#1"), ("model", "", "ocr"), ("x", "B", "ocr"), ("model", "A", "ocr"), ("model", "C", "product_dom"))])
+    assert [tuple(v) for v in one(records.values_with_source(candidates, "model"))] == [("A", "table#1"), ("C", "product_dom")]
+
+
+def test_run_times(spark):
+    pages = spark.createDataFrame([("r", 1.5), ("r", None), ("s", 4.0)], "run string, elapsed double")
+    assert {r["run"]: (r["urls"], r["seconds"], r["mean_seconds"]) for r in records.run_times(pages, "run").collect()} == {"r": (2, 1.5, 0.75), "s": (1, 4.0, 4.0)}
+
+
+def test_written_manifests_and_metadata(spark, tmp_path):
+    pages = spark.createDataFrame([("r", "1_a"), ("r", "2_b")], "run string, folder string")
+    manifest = spark.createDataFrame([("r", "1_a", n, f"f{n}", "img", "s", "", 0, 300, 100) for n in (2, 1)], "run string, folder string, asset_no int, file string, tag string, src string, alt string, frame_index int, width int, height int")
+    sinks.write_manifests(pages, manifest, str(tmp_path / "m"))
+    got = {r["folder"]: r["assets"] for r in spark.read.json(str(tmp_path / "m")).collect()}
+    assert [a["file"] for a in got["1_a"]] == ["f1", "f2"] and got["2_b"] == [] and "asset_no" not in got["1_a"][0]
+    sinks.write_metadata(spark.createDataFrame([("r", "u", 1.24, None)], "run string, url string, elapsed_seconds double, title string"), str(tmp_path / "meta"))
+    sinks.write_metadata(spark.createDataFrame([("r", "v", 2.0, "t")], "run string, url string, elapsed_seconds double, title string"), str(tmp_path / "meta"))
+    assert {(r["url"], r["elapsed_seconds"], r["title"]) for r in spark.read.json(str(tmp_path / "meta")).collect()} == {("u", 1.2, None), ("v", 2.0, "t")}
+
+
+def png(width, height, text):
+    import struct
+
+    return b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", width, height) + text.encode()
+
+
+class Reader:
+    """Stands in for a recognition engine: the words of an image are written after its header, in a line for each tile."""
+
+    def __call__(self, image, y0, y1):
+        line = image[24:].decode().split("\n")[y0 // 1100]
+        if line == "broken":
+            raise RuntimeError("no engine")
+        words = line.split()
+        box = lambda k: [[k * 50.0, 5.0], [k * 50.0 + 40, 5.0], [k * 50.0 + 40, 25.0], [k * 50.0, 25.0]]
+        return [box(k) for k in range(len(words))], words, [0.9 if w != "faint" else 0.1 for w in words]
+
+
+class Upper:
+    def __call__(self, line):
+        return line.upper()
+
+
+def test_capture_folder_to_records(spark, tmp_path):
+    """Metadata, documents and images of a run become texts, merged documents and records by host."""
+    run, texts, out = tmp_path / "capture_20260101_000000", str(tmp_path / "texts"), str(tmp_path / "records")
+    document = f"# Bolt M8 | Shop\n- URL: https://www.shop.com/p/1\n\n{config.REGION_HEADING}\n\n모델명: X-1\n\n{config.TABLES_HEADING}\n\n{config.TABLE_HEADING}1\n| Size | Note | More |\n| --- | --- | --- |\n| 5mm | n | m |\n| 6mm | n | m |"
+    for folder, meta in (
+        ("1_www_shop_com", {"url": "https://www.shop.com/p/1", "status": "captured", "title": "Bolt M8 | Shop", "elapsed_seconds": 2.0}),
+        ("2_www_shop_com", {"url": "https://www.shop.com/p/2", "status": "blocked", "title": "t", "elapsed_seconds": 1.0}),
+        ("3_b_com", {"url": "https://b.com/c/T-8M3-1", "status": "captured", "title": "A part of many", "elapsed_seconds": 4.0}),
+    ):
+        (run / folder / "assets").mkdir(parents=True)
+        (run / folder / "metadata.json").write_text(json.dumps(meta), encoding="utf-8")
+    (run / "1_www_shop_com" / "context.md").write_text(document, encoding="utf-8")
+    (run / "3_b_com" / "dom.txt").write_text("nothing known", encoding="utf-8")
+    (run / "1_www_shop_com" / "product.png").write_bytes(png(10, 30, "last faint"))
+    (run / "1_www_shop_com" / "assets" / "asset_002_img.png").write_bytes(png(10, 1300, "사이즈: 9mm\nsecond tile"))
+    (run / "1_www_shop_com" / "assets" / "asset_001_img.png").write_bytes(png(10, 30, "broken"))
+    (run / "3_b_com" / "assets" / "x.PNG").write_bytes(b"no picture")
+
+    products = captures_plan.read_capture_images(spark, str(run), texts, Reader, Upper)
+    got = {r["product"].rsplit("/", 1)[-1]: r for r in products.collect()}
+    assert set(got) == {"1_www_shop_com"} and got["1_www_shop_com"]["text"] == "사이즈: 9MM\nSECOND TILE\n\nLAST"
+    kept = captures.read_image_texts(spark, texts, run.name)
+    assert kept.count() == 2  # what failed is read again
+    again = captures_plan.read_capture_images(spark, str(run), texts, Reader, Upper)
+    assert captures.read_image_texts(spark, texts, run.name).count() == 2 and again.collect() == list(got.values())
+
+    found, report = captures_plan.build_records(spark, str(run), out, products)
+    rows = {r["url"]: r for r in found.collect()}
+    first = rows["https://www.shop.com/p/1"]
+    assert (first["product_name"], [(v["model"], v["specs"]) for v in first["variants"]]) == ("Bolt M8", [("X-1", ["5mm / 6mm", "9MM"])])
+    assert rows["https://www.shop.com/p/2"]["variants"] == [] and [v["model"] for v in rows["https://b.com/c/T-8M3-1"]["variants"]] == ["T-8M3-1"]
+    assert {r["host"]: (r["urls"], r["seconds"]) for r in report.collect()} == {"www.shop.com": (2, 3.0), "b.com": (1, 4.0)}
+    assert spark.read.json(out).count() == 3
+    asked, _ = captures_plan.build_records(spark, str(run), None, products, Client)
+    assert {r["url"]: r["product_name"] for r in asked.collect()} == {r["url"]: r["product_name"] for r in rows.values()}  # the client does not know these pages
+
+
+def test_examples_follow_the_prompt(one):
+    got = one(adapters.prompt(F.lit("https://shop.example/p/77-1204"), F.lit("Relay base 77-1204"), F.lit(adapters.EXAMPLES[1][0].split("[context]\n")[1].split("\n\n[image")[0]), F.lit("")))
+    assert [m["role"] for m in got] == ["system", "user", "assistant", "user", "assistant", "user"] and got[-1]["content"] == adapters.EXAMPLES[1][0]
+    assert all(json.loads(answer)["variants"] for _, answer in adapters.EXAMPLES)
+    assert len(one(adapters.prompt(F.lit("u"), F.lit("t"), F.lit("c"), F.lit(""), []))) == 2
