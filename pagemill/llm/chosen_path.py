@@ -25,6 +25,8 @@ CHOSEN_AGAIN = 2.5
 RECALL = 0.9999
 #: Buckets of more sets are split again, so often at most; what is still large then is proposed as one group.
 BUCKET, DEPTH = 100, 3
+#: Sets of a large bucket's main group that the few others are compared with at once.
+CHUNK = 1000
 #: Smallest token hashes kept as a sketch of a set, and the sketch similarity from which a pair is proposed: a pair at
 #: the threshold has fewer than the 37 common tokens that this takes with probability 0.000014 at most.
 SKETCH, SKETCH_LEAST = 64, 0.4
@@ -134,6 +136,28 @@ def proposed_in(bucket: list[tuple[int, list[int]]]) -> list[tuple[int, int]]:
     return stars(ids, similar(x @ x.T, x.sum(1), x.sum(1), SKETCH_LEAST, 1))
 
 
+def proposed_between(others: list[tuple[int, list[int]]], inside: list[tuple[int, list[int]]]) -> list[tuple[int, int]]:
+    """Brute force between sets and those of one group, all (id, sketch): for each set a link with one that is similar."""
+    import numpy as np
+
+    if not others:
+        return []
+
+    def matrix(sets, tokens):
+        flat = np.concatenate([np.asarray(t, np.int32) for _, t in sets])
+        owner = np.repeat(np.arange(len(sets)), [len(t) for _, t in sets])
+        at = np.minimum(np.searchsorted(tokens, flat), len(tokens) - 1)
+        known = tokens[at] == flat
+        x = np.zeros((len(sets), len(tokens)), np.float32)
+        x[owner[known], at[known]] = 1
+        return x, np.array([len(t) for _, t in sets], np.float32)
+
+    tokens = np.unique(np.concatenate([np.asarray(t, np.int32) for _, t in others]))
+    (x, size_x), (y, size_y) = matrix(others, tokens), matrix(inside, tokens)
+    linked = similar(x @ y.T, size_x, size_y, SKETCH_LEAST, 1)
+    return [(others[k][0], inside[int(linked[k].argmax())][0]) for k in np.flatnonzero(linked.any(1))]
+
+
 def similar(common, sizes_a, sizes_b, num: float, den: float):
     """Where common / union >= num / den, for a matrix of common counts."""
     return den * common >= num * (sizes_a[:, None] + sizes_b[None, :] - common)
@@ -164,12 +188,13 @@ def propose(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     nodes: id, size, sketch, paths. Buckets of equal members are searched once. In a large bucket every set is first
     compared with the smallest one: similar ones are proposed with it, very similar ones are settled, and only the
-    others are split, each bucket by itself, so a large group of near copies does not multiply. A bucket that stays large through all
-    levels is proposed as one star, so nothing in it is lost.
+    others are split, each bucket by itself. A bucket whose sets are all in one group by now is not split; if no more than BUCKET are
+    not, these are compared with the whole bucket by brute force. So a large group of near copies does not multiply. A bucket
+    that stays large through all levels is proposed as one star, so nothing in it is lost.
     """
     spark = nodes.sparkSession
     rows = nodes.select("id", F.explode("paths").alias("path"))
-    small, links = [], []
+    small, links, mixed_buckets = [], [], []
     for level in range(depth):
         kept = materialise(rows_of_repeated_keys(materialise(rows, f"paths-{level}"), "path", "n", "paths"), f"buckets-{level}")
         small.append(kept.where(F.col("n") <= BUCKET).select("path", "id"))
@@ -184,33 +209,57 @@ def propose(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
         compared = join_by_key(large.select("path", "id"), materialise(first, f"firsts-{level}"), "path", "n_path", large.count()).join(nodes.select("id", "sketch"), "id")
         common = F.size(F.array_intersect("sketch", "first_sketch"))
         near = common / (F.size("sketch") + F.size("first_sketch") - common)
-        compared = compared.select("path", "id", "sketch", "a", near.alias("near"))
+        compared = compared.select("path", "id", "sketch", "a", "n_path", near.alias("near"))
         # the path is part of the key, so each bucket is split by draws of its own
         draw = f"filter(transform(sketch, t -> xxhash64(path, t, {level})), k -> pmod(k, 1073741824L) * size(sketch) < {CHOSEN_AGAIN} * 1073741824L)"
-        compared = compared.select("id", "a", "near", F.when(F.col("near") < SETTLED, F.expr(draw)).alias("drawn"))
+        compared = compared.select("path", "id", "a", "n_path", "near", F.when(F.col("near") < SETTLED, F.expr(draw)).alias("drawn"))
         compared = materialise(compared, f"compared-{level}")
         links.append(compared.where((F.col("near") >= FIRST_LEAST) & (F.col("a") != F.col("id"))).select("a", F.col("id").alias("b")))
-        rows = compared.select("id", F.explode("drawn").alias("path"))
+        # Sets of one group are verified with each other in any case, so a bucket of one group need not be split. Which
+        # groups the sets are in is known from the links with the first sets so far.
+        groups = materialise(connected_components(_united(links)), f"groups-{level}")
+        grouped = compared.join(groups, "id", "left").select("path", "id", F.coalesce("label", "id").alias("group"))
+        sizes = grouped.groupBy("path", "group").agg(F.count(F.lit(1)).alias("n"))
+        sizes = sizes.groupBy("path").agg(F.sum("n").alias("n_path"), F.max(F.struct("n", "group")).alias("main"))
+        open_ = sizes.select("path", "n_path", F.col("main.group").alias("main"), (F.col("n_path") - F.col("main.n")).alias("others"))
+        open_ = materialise(open_.where("others > 0"), f"open-{level}")
+        # few sets outside its main group are compared with the whole bucket, in chunks; else its sets draw again
+        met = join_by_key(grouped, open_.where(F.col("others") <= BUCKET), "path", "n_path", large.count())
+        chunks = F.ceil(F.col("n_path") / CHUNK).cast("int")
+        inside = met.where("group = main").select("path", F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"), "id", F.lit(False).alias("other"))
+        outside = met.where("group <> main").select("path", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "id", F.lit(True).alias("other"))
+        mixed_buckets.append(inside.unionByName(outside))
+        drawing = compared.where(F.col("drawn").isNotNull()).select("path", "id", "drawn")
+        again = join_by_key(drawing, open_.where(F.col("others") > BUCKET), "path", "n_path", large.count())
+        rows = again.select("id", F.explode("drawn").alias("path"))
 
-    buckets = small[0]
-    for more in small[1:]:
-        buckets = buckets.unionByName(more)
     # at most BUCKET members each
-    members = buckets.groupBy("path").agg(F.sort_array(F.collect_set("id")).alias("ids")).groupBy("ids").agg(F.min("path").alias("path"))
+    members = _united(small).groupBy("path").agg(F.sort_array(F.collect_set("id")).alias("ids")).groupBy("ids").agg(F.min("path").alias("path"))
     each = members.select("path", F.explode("ids").alias("id")).join(nodes.select("id", "sketch"), "id")
-    gathered = each.groupBy("path").agg(F.collect_list(F.struct("id", "sketch")).alias("members"))
+    gathered = each.groupBy("path").agg(F.collect_list(F.struct("id", "sketch", F.lit(True).alias("other"))).alias("members"))
+    if mixed_buckets:  # at most CHUNK members or so, and BUCKET others
+        each = _united(mixed_buckets).join(nodes.select("id", "sketch"), "id")
+        gathered = gathered.unionByName(each.groupBy("path", "chunk").agg(F.collect_list(F.struct("id", "sketch", "other")).alias("members")).select("path", "members"))
 
     def searched(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in slices(batches):
-            found = [link for bucket in b.column(0).to_pylist() for link in proposed_in([(m["id"], m["sketch"]) for m in bucket])]
+            found = []
+            for bucket in b.column(0).to_pylist():
+                others, inside = ([(m["id"], m["sketch"]) for m in bucket if m["other"] == o] for o in (True, False))
+                found += proposed_between(others, inside) if inside else []
+                found += proposed_in(others) if len(others) > 1 else []
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
     ship(spark)
     links.append(gathered.select("members").mapInArrow(searched, "a long, b long"))
-    out = links[0]
-    for more in links[1:]:
+    return _united(links)
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
         out = out.unionByName(more)
     return out
 

@@ -185,3 +185,30 @@ def test_chains_from_settled_sets(spark, monkeypatch):
     frame = spark.createDataFrame(nodes, "id long, sketch array<int>, paths array<long>").withColumn("size", F.size("sketch"))
     groups = {r["id"]: r["label"] for r in connected_components(chosen_path.propose(frame)).collect()}
     assert groups == {k: k // 3 * 3 for k in range(900)}
+
+
+def test_proposed_between():
+    inside = [(k, [1, 2, 3, 4, k + 10]) for k in range(5)]
+    assert chosen_path.proposed_between([(90, [1, 2, 3, 4, 99]), (91, [5, 6, 7])], inside) == [(90, 0)]
+    assert chosen_path.proposed_between([], inside) == []
+
+
+@pytest.mark.parametrize("bucket, chunk", [(4, 3), (30, 7)])
+def test_groups_and_the_few_beside_them(documents, monkeypatch, bucket, chunk):
+    """Chains of edited texts that share tokens with others; the few outside a bucket's main group are searched, not drawn."""
+    monkeypatch.setattr(chosen_path, "BUCKET", bucket)
+    monkeypatch.setattr(chosen_path, "CHUNK", chunk)
+    draw = random.Random(9)
+    passage = [f"p{k}" for k in range(30)]
+    texts = []
+    for _ in range(3):
+        now = passage + [f"w{draw.randrange(10**6)}" for _ in range(90)]
+        for _ in range(25):
+            now = list(now)
+            for _ in range(2):
+                now[draw.randrange(30, len(now))] = f"v{draw.randrange(10**6)}"
+            texts.append(" ".join(now))
+    texts += [" ".join(passage + [f"u{draw.randrange(10**6)}" for _ in range(40)]) for _ in range(25)]
+    draw.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert classes(documents(*rows)) == plain_classes(rows)
