@@ -198,39 +198,38 @@ def propose(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
     for level in range(depth):
         kept = materialise(rows_of_repeated_keys(materialise(rows, f"paths-{level}"), "path", "n", "paths"), f"buckets-{level}")
         small.append(kept.where(F.col("n") <= BUCKET).select("path", "id"))
-        large = kept.where(F.col("n") > BUCKET).select("path", "id", "n")
-        if large.isEmpty():
+        large = kept.where(F.col("n") > BUCKET).select("path", "id")
+        n_large = large.count()
+        if not n_large:
             break
         first = large.groupBy("path").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n_path"))
         if level + 1 == depth:
-            links.append(join_by_key(large.select("path", "id"), first, "path", "n_path", large.count()).select("a", F.col("id").alias("b")))
+            links.append(join_by_key(large, first, "path", "n_path", n_large).select("a", F.col("id").alias("b")))
             break
         first = first.join(nodes.select(F.col("id").alias("a"), F.col("sketch").alias("first_sketch")), "a")
-        compared = join_by_key(large.select("path", "id"), materialise(first, f"firsts-{level}"), "path", "n_path", large.count()).join(nodes.select("id", "sketch"), "id")
+        compared = join_by_key(large, materialise(first, f"firsts-{level}"), "path", "n_path", n_large).join(nodes.select("id", "sketch"), "id")
         common = F.size(F.array_intersect("sketch", "first_sketch"))
         near = common / (F.size("sketch") + F.size("first_sketch") - common)
-        compared = compared.select("path", "id", "sketch", "a", "n_path", near.alias("near"))
+        compared = materialise(compared.select("path", "id", "a", near.alias("near")), f"compared-{level}")
+        links.append(compared.where(F.col("near") >= FIRST_LEAST).select("a", F.col("id").alias("b")))
+
+        # Sets of one group are verified with each other in any case, so a bucket of one group need not be split.
+        labelled = nodes.join(group_labels(_united(links)), "id", "left").select("id", "sketch", F.coalesce("label", "id").alias("group"))
         # the path is part of the key, so each bucket is split by draws of its own
         draw = f"filter(transform(sketch, t -> xxhash64(path, t, {level})), k -> pmod(k, 1073741824L) * size(sketch) < {CHOSEN_AGAIN} * 1073741824L)"
-        compared = compared.select("path", "id", "a", "n_path", "near", F.when(F.col("near") < SETTLED, F.expr(draw)).alias("drawn"))
-        compared = materialise(compared, f"compared-{level}")
-        links.append(compared.where((F.col("near") >= FIRST_LEAST) & (F.col("a") != F.col("id"))).select("a", F.col("id").alias("b")))
-        # Sets of one group are verified with each other in any case, so a bucket of one group need not be split. Which
-        # groups the sets are in is known from the links with the first sets so far.
-        groups = materialise(connected_components(_united(links)), f"groups-{level}")
-        grouped = compared.join(groups, "id", "left").select("path", "id", F.coalesce("label", "id").alias("group"))
+        grouped = compared.join(labelled, "id").select("path", "id", "group", F.when(F.col("near") < SETTLED, F.expr(draw)).alias("drawn"))
+        grouped = materialise(grouped, f"grouped-{level}")
         sizes = grouped.groupBy("path", "group").agg(F.count(F.lit(1)).alias("n"))
         sizes = sizes.groupBy("path").agg(F.sum("n").alias("n_path"), F.max(F.struct("n", "group")).alias("main"))
         open_ = sizes.select("path", "n_path", F.col("main.group").alias("main"), (F.col("n_path") - F.col("main.n")).alias("others"))
         open_ = materialise(open_.where("others > 0"), f"open-{level}")
         # few sets outside its main group are compared with the whole bucket, in chunks; else its sets draw again
-        met = join_by_key(grouped, open_.where(F.col("others") <= BUCKET), "path", "n_path", large.count())
+        met = join_by_key(grouped.select("path", "id", "group"), open_.where(F.col("others") <= BUCKET), "path", "n_path", n_large)
         chunks = F.ceil(F.col("n_path") / CHUNK).cast("int")
         inside = met.where("group = main").select("path", F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"), "id", F.lit(False).alias("other"))
         outside = met.where("group <> main").select("path", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "id", F.lit(True).alias("other"))
         mixed_buckets.append(inside.unionByName(outside))
-        drawing = compared.where(F.col("drawn").isNotNull()).select("path", "id", "drawn")
-        again = join_by_key(drawing, open_.where(F.col("others") > BUCKET), "path", "n_path", large.count())
+        again = join_by_key(grouped.where("drawn is not null").select("path", "id", "drawn"), open_.where(F.col("others") > BUCKET), "path", "n_path", n_large)
         rows = again.select("id", F.explode("drawn").alias("path"))
 
     # at most BUCKET members each
@@ -257,6 +256,18 @@ def propose(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
     return _united(links)
 
 
+def group_labels(links: DataFrame) -> DataFrame:
+    """``id`` and ``label`` for every id in links (first set a, id b; a is linked with itself): equal labels mean connected ids.
+
+    A label is the smallest first set that is reached from an id over its first sets, their other ids and those' first
+    sets. Ids that are connected by longer ways may have different labels.
+    """
+    own = links.groupBy("b").agg(F.min("a").alias("label"))
+    by_first = links.join(own, "b").groupBy("a").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("n"))
+    met = join_by_key(links, materialise(by_first, "labels"), "a", "n", links.count())
+    return met.groupBy(F.col("b").alias("id")).agg(F.min("label").alias("label"))
+
+
 def _united(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for more in parts[1:]:
