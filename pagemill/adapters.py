@@ -26,6 +26,11 @@ def message_text(url: str, title: str, context: str, image_text: str = config.NO
     return _MESSAGE.format(url=url, title=title, context=context, images=image_text)
 
 
+def message_parts() -> list[str]:
+    """The user's message in pieces: fixed texts, and between them the names url, title, context and images."""
+    return re.split(r"\{(\w+)\}", _MESSAGE)
+
+
 _MESSAGE = "URL: {url}\n\n[title]\n{title}\n\n[context]\n{context}\n\n[image text]\n{images}\n\nAnswer with one JSON object."
 #: Pairs of a page and its answer that a model is shown: a table with a model in every row, and a page that mixes
 #: properties with shipping and customs data.
@@ -72,7 +77,7 @@ def prompt(url: Column, title: Column, context: Column, image_text: Column, exam
     shown = [message(role, F.lit(text)) for pair in (EXAMPLES if examples is None else examples) for role, text in zip(("user", "assistant"), pair)]
     name = F.coalesce(F.nullif(title, F.lit("")), F.lit(config.NO_TITLE))
     parts = {"url": F.coalesce(url, F.lit("")), "title": name, "context": truncated(context, settings.source_chars), "images": truncated(image_text, settings.source_chars)}
-    pieces = [F.lit(text) if k % 2 == 0 else parts[text] for k, text in enumerate(re.split(r"\{(\w+)\}", _MESSAGE))]
+    pieces = [F.lit(text) if k % 2 == 0 else parts[text] for k, text in enumerate(message_parts())]
     return F.array(message("system", F.lit(SYSTEM_PROMPT)), *shown, message("user", F.concat(*pieces)))
 
 

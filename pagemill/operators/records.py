@@ -105,7 +105,7 @@ def spec_candidates(region_text: Column, tables: Column, image_text: Column) ->
 
 def values_with_source(candidates: Column, category: str) -> Column:
     """(value, source) of the candidates of a category: stripped, without empty ones, each value where it comes first."""
-    own = F.transform(F.filter(candidates, lambda c: c["category"] == category), lambda c: F.struct(strip(c["value"]).alias("value"), c["source"].alias("source")))
+    own = F.transform(F.filter(candidates, lambda c: c["category"] == category), lambda c: F.named_struct(F.lit("value"), strip(c["value"]), F.lit("source"), c["source"]))
     first = lambda all_: F.filter(all_, lambda c, i: (c["value"] != "") & (F.array_position(F.transform(all_, lambda x: x["value"]), c["value"]) == i + 1))
     return bound(own, first)
 

@@ -142,9 +142,9 @@ def clean_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MEDIA_SQL = """
   SELECT page_id, (k // 40)::INT AS frame_index, (k % 40)::INT AS index, CASE WHEN k % 9 = 0 THEN 'canvas' ELSE 'img' END AS tag,
-         CASE WHEN k % 9 = 0 THEN '' ELSE regexp_replace(url, '[?#].*$', '') || '/i' || (k % 70) || '.jpg?w=' || k END AS src,
+         CASE WHEN k % 9 = 0 THEN '' ELSE regexp_replace(url, '[?#].*$', '') || '/i' || (k % 170) || '.jpg?w=' || k END AS src,
          (k * 37 % 600)::INT AS width, (k * 53 % 200)::INT AS height
-  FROM pages, range(120) r(k)"""
+  FROM pages, range(400) r(k)"""
 
 
 @query(f"""
@@ -153,24 +153,24 @@ k AS (SELECT *, CASE WHEN src <> '' THEN regexp_replace(src, '[?#].*$', '') ELSE
       FROM m WHERE width >= 250 AND height >= 80),
 f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY page_id, key ORDER BY frame_index, index) = 1),
 n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY frame_index, index) AS asset_no FROM f)
-SELECT page_id, src, asset_no::INT AS asset_no, 'asset_' || lpad(asset_no::VARCHAR, 3, '0') || '_' || tag || '.png' AS file FROM n WHERE asset_no <= 20
+SELECT page_id, src, asset_no::INT AS asset_no, 'asset_' || lpad(asset_no::VARCHAR, 3, '0') || '_' || tag || '.png' AS file FROM n WHERE asset_no <= 60
 """)
 def canonical_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Media elements large enough, each source once, numbered, the first twenty of a page."""
+    """Media elements large enough, each source once, numbered, the first sixty of a page."""
     k = F.col("k")
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(F.sequence(F.lit(0), F.lit(119))).alias("k"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(F.sequence(F.lit(0), F.lit(399))).alias("k"))
     media = pages.select(
         "page_id",
         F.floor(k / 40).cast("int").alias("frame_index"),
         (k % 40).alias("index"),
         F.when(k % 9 == 0, "canvas").otherwise("img").alias("tag"),
-        F.when(k % 9 == 0, "").otherwise(F.concat(urls.canonical(F.col("url")), F.lit("/i"), k % 70, F.lit(".jpg?w="), k)).alias("src"),
+        F.when(k % 9 == 0, "").otherwise(F.concat(urls.canonical(F.col("url")), F.lit("/i"), k % 170, F.lit(".jpg?w="), k)).alias("src"),
         (k * 37 % 600).alias("width"),
         (k * 53 % 200).alias("height"),
         F.lit(True).alias("visible"),
     )
     good = media.where(assets.is_worth_reading({c: F.col(c) for c in ("visible", "width", "height")}))
-    return assets.asset_manifest(good, "page_id", config.Settings(most_assets=20)).select("page_id", "src", "asset_no", "file")
+    return assets.asset_manifest(good, "page_id").select("page_id", "src", "asset_no", "file")
 
 
 @query("""
@@ -347,14 +347,49 @@ def _words_of_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("l_orderkey", F.transform("s", lambda x: x["word"]).alias("words"))
 
 
-@query()
+_SQL_IOU = "(greatest(least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1), 0.0) * greatest(least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1), 0.0))"
+_SQL_AREA = "(({a}.x2 - {a}.x1) * ({a}.y2 - {a}.y1))"
+
+
+def _sql_overlaps(a: str, b: str) -> str:
+    inter = _SQL_IOU.format(a=a, b=b)
+    return f"{inter} > 0 AND {inter} / ({_SQL_AREA.format(a=a)} + {_SQL_AREA.format(a=b)} - {inter}) > 0.5"
+
+
+# one step for each word, the surest first; kept is the list of the words kept so far
+_KEPT_SQL = f"""
+b AS (SELECT l_orderkey, l_partkey, 'w' || l_linenumber AS text, round(l_discount * 10, 1) AS conf, {_BOX} FROM lineitem),
+w AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY conf DESC, o, l_partkey) AS k, {{'text': text, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} AS w FROM b),
+r(l_orderkey, k, kept) AS (
+  SELECT l_orderkey, k, [w] FROM w WHERE k = 1
+  UNION ALL
+  SELECT r.l_orderkey, w.k, CASE WHEN len(list_filter(r.kept, lambda q: {_sql_overlaps('q', 'w.w')})) > 0 THEN r.kept ELSE list_append(r.kept, w.w) END
+  FROM r JOIN w ON w.l_orderkey = r.l_orderkey AND w.k = r.k + 1),
+last AS (SELECT l_orderkey, k, kept FROM r QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY k DESC) = 1)"""
+
+
+@query(f"WITH RECURSIVE {_KEPT_SQL} SELECT l_orderkey, k::INT AS found, array_to_string(list_transform(kept, lambda q: q.text), ' ') AS kept FROM last")
 def kept_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that are left when overlaps are removed, the surest first."""
     kept = boxes.suppress_overlaps(F.col("words"))
     return _words_of_images(spark, sf_dir).select("l_orderkey", F.size("words").alias("found"), F.array_join(F.transform(kept, lambda w: w["text"]), " ").alias("kept"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_KEPT_SQL},
+e AS (SELECT l_orderkey, i, q.text, q.x1, q.x2, (q.x1 + q.x2) / 2 AS xc, (q.y1 + q.y2) / 2 AS yc, q.y2 - q.y1 AS h
+      FROM (SELECT l_orderkey, unnest(kept) AS q, generate_subscripts(kept, 1) AS i FROM last)),
+v AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY yc, i) AS n, greatest(avg(h) OVER (PARTITION BY l_orderkey) * 0.6, 4.0) AS tolerance FROM e),
+g(l_orderkey, n, row, total, size) AS (
+  SELECT l_orderkey, n, 1, yc, 1 FROM v WHERE n = 1
+  UNION ALL
+  SELECT g.l_orderkey, v.n, CASE WHEN abs(v.yc - g.total / g.size) <= v.tolerance THEN g.row ELSE g.row + 1 END,
+         CASE WHEN abs(v.yc - g.total / g.size) <= v.tolerance THEN g.total + v.yc ELSE v.yc END, CASE WHEN abs(v.yc - g.total / g.size) <= v.tolerance THEN g.size + 1 ELSE 1 END
+  FROM g JOIN v ON v.l_orderkey = g.l_orderkey AND v.n = g.n + 1),
+m AS (SELECT v.*, g.row, lag(x2) OVER o AS px, lag((x2 - x1) / greatest(length(text), 1)) OVER o AS pl FROM v JOIN g ON g.l_orderkey = v.l_orderkey AND g.n = v.n WINDOW o AS (PARTITION BY v.l_orderkey, g.row ORDER BY xc, v.n)),
+l AS (SELECT l_orderkey, row, string_agg(CASE WHEN px IS NULL THEN '' WHEN x1 - px > pl * 2.5 THEN chr(9) ELSE ' ' END || text, '' ORDER BY xc, n) AS line FROM m GROUP BY l_orderkey, row)
+SELECT l_orderkey, string_agg(line, chr(10) ORDER BY row) AS text FROM l GROUP BY l_orderkey
+""")
 def recognised_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of images from their word boxes."""
     return _words_of_images(spark, sf_dir).select("l_orderkey", boxes.recognised_text(F.col("words")).alias("text"))
@@ -376,7 +411,60 @@ def row_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.lines_of_rows(words.withColumn("xc", (c("x1") + c("x2")) / 2), ["l_orderkey"], "row")
 
 
-@query()
+_SCORES = "CASE WHEN l_linenumber % 3 = 0 THEN 0.3 ELSE l_discount * 10 END"
+
+
+@query(f"""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+w AS (SELECT l_orderkey, k, CASE WHEN l_linenumber % 4 = 0 THEN ' ' || chr(12288) ELSE 'w' || l_linenumber END AS text, {_SCORES} AS conf,
+             (l_partkey % 50)::DOUBLE AS x1, (l_partkey % 50 + l_quantity)::DOUBLE AS x2, (l_suppkey % 20 + l_orderkey % 7 * 1100)::DOUBLE AS y1, (l_suppkey % 20 + 10 + l_orderkey % 7 * 1100)::DOUBLE AS y2
+      FROM r WHERE k <= n - l_orderkey % 2)
+SELECT l_orderkey, text, conf, x1, x2, y1, y2, (x1 + x2) / 2 AS xc, (y1 + y2) / 2 AS yc, y2 - y1 AS h, x2 - x1 AS w FROM w WHERE {sql_strip('text')} <> '' AND conf >= 0.3
+""")
+def result_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word boxes of recognised strips: polygons, texts and scores side by side, every other strip with a text less."""
+    c = F.col
+    x1, y1, x2, y2 = c("l_partkey") % 50, c("l_suppkey") % 20, c("l_partkey") % 50 + c("l_quantity"), c("l_suppkey") % 20 + 10
+    corner = lambda x, y: F.array(x.cast("double"), y.cast("double"))
+    text = F.when(c("l_linenumber") % 4 == 0, " \u3000").otherwise(F.concat(F.lit("w"), c("l_linenumber")))
+    one = F.struct("l_linenumber", "l_partkey", F.array(corner(x2, y1), corner(x1, y1), corner(x1, y2), corner(x2, y2)).alias("p"), text.alias("t"), F.expr(_SCORES).cast("double").alias("s"))
+    strips = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(one)).alias("a"))
+    of = lambda name: F.transform("a", lambda r: r[name])
+    texts = F.slice(of("t"), 1, (F.size("a") - c("l_orderkey") % 2).cast("int"))
+    words = boxes.words_of_result(of("p"), texts, of("s"), c("l_orderkey") % 7 * 1100)
+    return strips.select("l_orderkey", F.inline(words)).select("l_orderkey", "text", "conf", "x1", "x2", "y1", "y2", "xc", "yc", "h", "w")
+
+
+# one step for each table; done lists what is finished, skip says whether the table is part of the merge before it
+_MERGE_SQL = """
+t AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n, l_linenumber // 5 AS frame,
+             list_transform(CASE WHEN l_linenumber % 2 = 1 THEN ['h'] ELSE ['a', 'b', 'c'] END, lambda tag: list_transform(range(1, l_partkey % 2 + 2), lambda j: tag || l_linenumber || '.' || j)) AS rows FROM lineitem),
+p AS (SELECT *, lead(rows) OVER o AS body, k < n AND len(rows) = 1 AND frame = lead(frame) OVER o AS single FROM t WINDOW o AS (PARTITION BY l_orderkey ORDER BY k)),
+q AS (SELECT *, single AND len(body) > 1 AND len(body[1]) = len(rows[1]) AS begins FROM p),
+start AS (SELECT l_orderkey, 0::BIGINT AS k, []::STRUCT(frame BIGINT, rows VARCHAR[][])[] AS done, 0 AS skip, 0::BIGINT AS size FROM (SELECT DISTINCT l_orderkey FROM t)),
+m(l_orderkey, k, done, skip, size) AS (
+  SELECT * FROM start
+  UNION ALL
+  SELECT m.l_orderkey, q.k,
+         CASE WHEN m.skip > 0 THEN m.done
+              WHEN q.single AND m.size > 0 AND q.frame = m.done[-1].frame AND len(q.body) = m.size
+                THEN list_append(m.done[1:-2], {'frame': q.frame, 'rows': list_transform(m.done[-1].rows, lambda r, j: list_concat(r, list_concat(q.rows, q.body)[j]))})
+              WHEN q.begins THEN list_append(m.done, {'frame': q.frame, 'rows': list_concat(q.rows, q.body)})
+              ELSE list_append(m.done, {'frame': q.frame, 'rows': q.rows}) END,
+         CASE WHEN m.skip > 0 THEN 0 WHEN q.single AND m.size > 0 AND q.frame = m.done[-1].frame AND len(q.body) = m.size THEN 1 WHEN q.begins THEN 1 ELSE 0 END,
+         CASE WHEN m.skip > 0 THEN m.size WHEN q.single AND m.size > 0 AND q.frame = m.done[-1].frame AND len(q.body) = m.size THEN m.size WHEN q.begins THEN len(q.body) ELSE 0 END
+  FROM m JOIN q ON q.l_orderkey = m.l_orderkey AND q.k = m.k + 1)"""
+_LINE_SQL = "'| ' || array_to_string({r}, ' | ') || ' |'"
+
+
+@query(f"""
+WITH RECURSIVE {_MERGE_SQL},
+last AS (SELECT l_orderkey, done FROM m QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY k DESC) = 1)
+SELECT l_orderkey, len(done)::INT AS n_tables,
+       array_to_string(list_transform(done, lambda t, i: chr(10) || '{config.TABLE_HEADING}' || i || chr(10) || {_LINE_SQL.format(r='t.rows[1]')} || chr(10) || {_LINE_SQL.format(r="list_transform(t.rows[1], lambda c: '---')")}
+         || array_to_string(list_transform(t.rows[2:], lambda r: chr(10) || {_LINE_SQL.format(r='r')}), '')), chr(10)) AS markdown
+FROM last
+""")
 def merged_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables put together again: each order has, in turn, tables of one and of three rows."""
     c = F.col
@@ -493,9 +581,97 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("url", "host", "status", "product_name", F.to_json("variants").alias("variants"))
 
 
-@query()
+def _sql_request(message: str) -> str:
+    shown = [("system", adapters.SYSTEM_PROMPT), *(m for pair in adapters.EXAMPLES for m in zip(("user", "assistant"), pair))]
+    fixed = ", ".join(f"json_object('role', '{role}', 'content', {_sql_text(content)})" for role, content in shown)
+    c = config.DEFAULT
+    options = f"json_object('temperature', 0, 'num_predict', {c.model_tokens}, 'num_ctx', {c.model_context})"
+    return f"json_object('model', '{c.model_name}', 'messages', json_array({fixed}, json_object('role', 'user', 'content', {message})), 'format', 'json', 'stream', false, 'options', {options})::VARCHAR"
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_CUT_SQL = f"CASE WHEN t = '' THEN '{config.NO_CONTENT}' WHEN length(t) > 10000 THEN left(t, 10000) || E'\\n...(생략)' ELSE t END"
+_MESSAGE_SQL = " || ".join(
+    {"url": "'https://h/' || doc_id", "title": f"coalesce(nullif(source, ''), '{config.NO_TITLE}')", "context": f"({_CUT_SQL})", "images": f"'{config.NO_CONTENT}'"}.get(x, _sql_text(x))
+    for x in adapters.message_parts()
+)
+
+
+@query(f"SELECT doc_id, {_sql_request(_MESSAGE_SQL)} AS body FROM (SELECT doc_id, source, {sql_strip("coalesce(text, '')")} AS t FROM documents)")
 def model_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The body of the request that a page would be sent to a language model with."""
     docs = table(spark, sf_dir, "documents")
     messages = adapters.prompt(F.concat(F.lit("https://h/"), "doc_id"), F.col("source"), F.col("text"), F.lit(""))
     return docs.select("doc_id", adapters.request_body(messages).alias("body"))
+
+
+# Pages
+
+
+_SPECS = "concat('모델명: ', p_brand, chr(10), 'Colour: red', chr(10), 'Size', chr(9), p_size, ' mm')"
+
+
+@query(f"""
+WITH l AS (SELECT p_partkey, unnest(list_concat(
+             [{{'k': 1, 'label': 'SKU', 'value': p_brand || '-' || p_partkey, 'source': 'table#1'}}, {{'k': 2, 'label': 'Note', 'value': p_name, 'source': 'table#1'}}, {{'k': 3, 'label': 'Dimensions', 'value': p_size || 'x' || p_size, 'source': 'table#1'}},
+              {{'k': 4, 'label': '모델명', 'value': p_brand, 'source': 'product_dom'}}, {{'k': 5, 'label': 'Colour', 'value': 'red', 'source': 'product_dom'}}, {{'k': 6, 'label': 'Size', 'value': p_size || ' mm', 'source': 'product_dom'}}],
+             CASE WHEN p_partkey % 2 = 0 THEN [{{'k': 7, 'label': 'spec', 'value': p_type, 'source': 'ocr'}}, {{'k': 8, 'label': 'Model', 'value': p_brand, 'source': 'ocr'}}] ELSE [] END)) AS c FROM part),
+c AS (SELECT p_partkey, c.k, c.value, c.source, {sql_category('c.label')} AS category FROM l)
+SELECT p_partkey, category, value, source, row_number() OVER (PARTITION BY p_partkey, category, value ORDER BY k) = 1 AS is_first FROM c WHERE category IS NOT NULL
+""")
+def spec_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values with category and source from tables, the region's text and image texts, and which of equal ones comes first."""
+    cell = lambda x: F.struct(x.alias("text"), F.lit(1).alias("rowspan"), F.lit(1).alias("colspan"))
+    row = lambda label, value: F.array(cell(F.lit(label)), cell(value))
+    size, brand = F.col("p_size").cast("string"), F.col("p_brand")
+    rows = F.array(row("SKU", F.concat(brand, F.lit("-"), "p_partkey")), row("Note", F.col("p_name")), row("Dimensions", F.concat(size, F.lit("x"), size)))
+    one = F.array(F.struct(F.lit(1).alias("table_index"), F.lit(0).alias("frame_index"), rows.alias("rows")))
+    images = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("spec: "), "p_type", F.lit("\n Model : "), brand)).otherwise("")
+    found = table(spark, sf_dir, "part").select("p_partkey", records.spec_candidates(F.expr(_SPECS), one, images).alias("c"))
+    firsts = F.concat(*[F.transform(records.values_with_source(F.col("c"), k), lambda v, k=k: F.named_struct(F.lit("category"), F.lit(k), F.lit("value"), v["value"], F.lit("source"), v["source"])) for k in (config.MODEL, config.SPEC)])
+    both = found.select("p_partkey", F.explode("c").alias("c"), firsts.alias("f"))
+    return both.select("p_partkey", "c.category", "c.value", "c.source", F.exists("f", lambda v: (v["category"] == F.col("c.category")) & (v["value"] == F.col("c.value")) & (v["source"] == F.col("c.source"))).alias("is_first"))
+
+
+@query(f"""
+SELECT p_partkey, concat_ws(E'\\n\\n', '# ' || CASE WHEN p_partkey % 5 = 0 THEN '{config.NO_TITLE}' ELSE p_name END || E'\\n- URL: https://h/' || p_partkey,
+         CASE WHEN p_partkey % 3 > 0 THEN E'{config.REGION_HEADING}\\n\\n**' || p_brand || '**' END,
+         CASE WHEN p_partkey % 4 > 0 THEN E'{config.TABLES_HEADING}\\n\\n{config.TABLE_HEADING}1\\n| type | size |\\n| --- | --- |\\n| ' || p_type || ' | ' || p_size || ' |' END,
+         CASE WHEN p_partkey % 7 > 0 THEN E'{config.TEXT_HEADING}\\n\\n' || CASE WHEN length(t) > 3000 THEN left(t, 3000) || E'\\n...(생략)' ELSE t END END) AS context
+FROM (SELECT *, repeat(p_name, (p_partkey % 400)::INT) AS t FROM part WHERE p_partkey % 400 > 0)
+""")
+def page_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document of a page, with the parts that it has."""
+    k = F.col("p_partkey")
+    cell = lambda x: F.struct(x.alias("text"), F.lit(1).alias("rowspan"), F.lit(1).alias("colspan"))
+    rows = F.array(F.array(cell(F.lit("type")), cell(F.lit("size"))), F.array(cell(F.col("p_type")), cell(F.col("p_size").cast("string"))))
+    one = F.array(F.struct(F.lit(1).alias("table_index"), F.lit(0).alias("frame_index"), F.when(k % 4 > 0, rows).otherwise(F.array().cast(f"array<array<{tables.CELL}>>")).alias("rows")))
+    region, body = F.when(k % 3 > 0, F.concat(F.lit("**"), "p_brand", F.lit("**"))), F.when(k % 7 > 0, F.expr("repeat(p_name, cast(p_partkey % 400 as int))"))
+    title = F.when(k % 5 == 0, "").otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").where("p_partkey % 400 > 0").select("p_partkey", records.context_document(title, F.concat(F.lit("https://h/"), "p_partkey"), region, one, body).alias("context"))
+
+
+@query("SELECT 'capture_' || strftime(o_orderdate, '%Y%m%d') AS run, count(*) AS urls, sum(o_orderkey % 64 / 4.0)::DOUBLE AS seconds, avg(o_orderkey % 64 / 4.0)::DOUBLE AS mean_seconds FROM orders GROUP BY 1")
+def run_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs, seconds and mean seconds of runs."""
+    run = F.concat(F.lit("capture_"), F.date_format("o_orderdate", "yyyyMMdd"))
+    return records.run_times(table(spark, sf_dir, "orders").select(run.alias("run"), (F.col("o_orderkey") % 64 / 4.0).alias("elapsed")), "run")
+
+
+_BUTTONS = ["Show  More", "상세 정보 더 보기", "buy now", "More Details", "더보기", "back"]
+_BUTTON_SQL = "([" + ", ".join(f"'{b}'" for b in _BUTTONS) + "])[(o_orderkey % 6 + 1)::INT]"
+_BUTTON_TEXT = "concat(chr(12288), ' ', o_orderpriority, chr(9), chr(10), {b}, ' ')"
+
+
+@query(f"""
+SELECT o_orderkey, trim(regexp_replace({_BUTTON_TEXT.format(b=_BUTTON_SQL)}, '{WS}+', ' ', 'g')) AS label,
+       regexp_matches({_BUTTON_TEXT.format(b=_BUTTON_SQL)}, '(?i){config.MORE_PATTERN.replace(chr(92) + 's', WS)}') AS unfolds FROM orders
+""")
+def button_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with their white space collapsed, and whether they promise more of the page."""
+    button = F.get(F.array(*map(F.lit, _BUTTONS)), (F.col("o_orderkey") % len(_BUTTONS)).cast("int"))
+    label = table(spark, sf_dir, "orders").withColumn("b", button).select("o_orderkey", F.concat(F.lit("\u3000 "), "o_orderpriority", F.lit("\t\n"), "b", F.lit(" ")).alias("l"))
+    return label.select("o_orderkey", text.collapse(F.col("l")).alias("label"), text.unfolds_more(F.col("l")).alias("unfolds"))
