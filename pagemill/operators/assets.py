@@ -16,6 +16,12 @@ def is_worth_reading(media: Column, settings: Settings = DEFAULT) -> Column:
     return media["visible"] & (media["width"] >= settings.asset_width) & (media["height"] >= settings.asset_height)
 
 
+def media_rows(pages: DataFrame, page: list[str], settings: Settings = DEFAULT) -> DataFrame:
+    """The media of parsed pages (html.join_frames) that are worth reading, a row for each, as asset_manifest() takes them."""
+    each = pages.select(*page, F.explode("media").alias("m"))
+    return each.where(is_worth_reading(F.col("m"), settings)).select(*page, "m.frame_index", "m.index", "m.tag", "m.src", "m.alt", "m.width", "m.height")
+
+
 def asset_key(src: Column, frame: Column, index: Column, width: Column, height: Column) -> Column:
     """What makes two media elements the same: the source without query and fragment; a canvas is known by its place and size."""
     canvas = F.concat(F.lit("canvas:"), frame.cast("string"), F.lit(":"), index.cast("string"), F.lit(":"), width.cast("string"), F.lit("x"), height.cast("string"))

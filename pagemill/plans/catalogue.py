@@ -631,7 +631,7 @@ def spec_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.array(F.struct(F.lit(1).alias("table_index"), F.lit(0).alias("frame_index"), rows.alias("rows")))
     images = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("spec: "), "p_type", F.lit("\n Model : "), brand)).otherwise("")
     found = table(spark, sf_dir, "part").select("p_partkey", records.spec_candidates(F.expr(_SPECS), one, images).alias("c"))
-    firsts = F.concat(*[F.transform(records.values_with_source(F.col("c"), k), lambda v, k=k: F.named_struct(F.lit("category"), F.lit(k), F.lit("value"), v["value"], F.lit("source"), v["source"])) for k in (config.MODEL, config.SPEC)])
+    firsts = F.concat(*[F.transform(records.values_with_source(F.col("c"), k), lambda v: F.named_struct(F.lit("category"), F.lit(k), F.lit("value"), v["value"], F.lit("source"), v["source"])) for k in (config.MODEL, config.SPEC)])
     both = found.select("p_partkey", F.explode("c").alias("c"), firsts.alias("f"))
     return both.select("p_partkey", "c.category", "c.value", "c.source", F.exists("f", lambda v: (v["category"] == F.col("c.category")) & (v["value"] == F.col("c.value")) & (v["source"] == F.col("c.source"))).alias("is_first"))
 

@@ -194,6 +194,8 @@ def test_frames_of_a_page(spark):
     assert [(t["table_index"], t["frame_index"], t["rows"][0][0]["text"]) for t in got[1]["tables"]] == [(1, 0, "A"), (2, 2, "C")]
     assert [(m["frame_index"], m["src"]) for m in got[1]["media"]] == [(2, "b.png")]
     assert (got[2]["text"], got[2]["tables"], got[2]["region_md"]) == ("", [], "")
+    found = assets.asset_manifest(assets.media_rows(html.join_frames(parsed, ["page_id"]), ["page_id"]), "page_id").collect()
+    assert [(r["page_id"], r["frame_index"], r["file"]) for r in found] == [(1, 2, "asset_001_img.png")]
 
 
 def test_sections_come_back(spark, one):
