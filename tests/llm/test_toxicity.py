@@ -51,3 +51,47 @@ def test_known_features_agree():
     chain = toxicity.ToxicityChain(["toxic"], sorted(found))
     known, again = toxicity.known_features_of(text, chain.places, chain.starts)
     assert size == again and {chain.features[i]: n for i, n in known.items()} == dict(found)
+
+
+def test_chain_against_plain_training(spark, documents):
+    """The chain trained step by step here: each model on the features and the out-of-fold probabilities before it."""
+    import numpy as np
+
+    rows, labels = corpus(120, 2)
+    docs, table = documents(*rows), spark.createDataFrame(labels, LABELS)
+    categories = toxicity.label_categories()
+    chain = toxicity.train_chain(docs, table, categories)
+    flags = {k: ((t == 1) & (q == 1), (t == 1) & (q != 1), t == 1) for k, q, t in labels}
+    fold = {r["text"]: r["fold"] for r in toxicity.training_rows(docs, table, categories).collect()}
+    x = np.array([plain_features(t, chain.features) for _, t in rows], np.float32)
+    y, folds = np.array([flags[k] for k, _ in rows], np.float32), np.array([fold[t] for _, t in rows])
+    before = np.zeros((len(rows), 0), np.float32)
+    for k, weights in enumerate(chain.weights):
+        seen = np.hstack([x, before])
+        assert np.allclose(weights, toxicity.logistic(seen, y[:, k]), atol=0.02)
+        held = np.zeros(len(rows), np.float32)
+        for f in set(folds.tolist()):
+            held[folds == f] = 1 / (1 + np.exp(-(seen[folds == f] @ toxicity.logistic(seen[folds != f], y[folds != f, k]))))
+        before = np.hstack([before, held[:, None]])
+    assert abs(chain.threshold - toxicity.best_threshold(before[:, -1], y[:, -1])) < 0.06
+
+
+def plain_features(text, features):
+    """Counts of the features in the distinct words, the same against their number, a constant, the number of words."""
+    words = {w.lower() for w in text.split()}
+    n = [sum(len(w) >= least and w.startswith(f[:-1]) for w in words for length, least in toxicity.BEGINNINGS if length == len(f) - 1) if f[-1] == "*" else int(f in words) for f in features]
+    import math
+
+    return [*map(math.log1p, n), *(k / math.sqrt(len(words)) for k in n), 1.0, math.log1p(len(words)) / 5]
+
+
+def test_logistic_is_stationary():
+    """With enough steps the slope of the penalised likelihood vanishes."""
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    x = np.hstack([draw.normal(size=(200, 4)), np.ones((200, 1))]).astype(np.float32)
+    y = (x[:, 0] - 0.5 * x[:, 1] + draw.normal(size=200) > 0).astype(np.float32)
+    w = toxicity.logistic(x, y, steps=3000, rate=0.02)
+    slope = x.T @ (toxicity.sigmoid(x @ w) - y) + w
+    assert np.abs(slope).max() < 0.1

@@ -109,6 +109,10 @@ def test_dates_and_repeated_rows(spark):
 
 
 def test_session_is_left_alone(spark):
-    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    from pagemill.llm.common import materialise
+
+    limits = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(k) for k in limits]
     test_dates_and_repeated_rows(spark)
-    assert before == (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    assert materialise(spark.range(3), "kept").count() == 3
+    assert before == [spark.conf.get(k) for k in limits]
