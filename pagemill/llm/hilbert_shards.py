@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import read_table, unnested
+from pagemill.llm.common import materialise, read_table, unnested
 
 #: Rows that one bin of a cell should hold; a cell has as many bins as this asks for if it held all rows.
 BIN_ROWS = 20_000
@@ -73,11 +73,12 @@ def hilbert_index(levels: list[Column], bits: int) -> Column:
     return F.get(F.transform(F.array(gray), indexed), F.lit(0))
 
 
-def hilbert_shards(df: DataFrame, levels: list[Column], order: list[Column], shards: int, bits: int = 6) -> DataFrame:
+def hilbert_shards(df: DataFrame, levels: list[Column], order: list[Column], shards: int, bits: int = 6, short: bool = False) -> DataFrame:
     """df with ``shard`` (0 to shards-1) and ``slot`` (gapless from 0 within a shard), cut from the Hilbert order.
 
     levels: for each dimension a level in [0, 2^bits), of df's columns. order: what orders rows within a cell;
-    rows equal in all of it are interchangeable. The law is ``rows``: shards differ by one row at most.
+    rows equal in all of it are interchangeable. The law is ``rows``: shards differ by one row at most. short: rows are
+    few bytes, so they are written once with their cells, instead of working these out again for each pass.
 
     A cell that holds a third of all rows is dealt over many bins by the hash of the first order column(s), so no
     task gets a cell: ranks are offsets of cells, plus offsets of bins in their cell, plus the rank in the bin. The
@@ -96,6 +97,8 @@ def hilbert_shards(df: DataFrame, levels: list[Column], order: list[Column], sha
         hilbert_index([F.col(f"level_{i}_") for i in range(len(levels))], bits).alias("cell_"),
         F.pmod(F.xxhash64(*keys), F.lit(1 << 40)).alias("spread_"),
     ).withColumn("bin_", F.floor(F.col("spread_") * bins / (1 << 40)).cast("int"))
+    if short:
+        placed = materialise(placed, "placed")
     placed = placed.repartition("cell_", "bin_") if total else placed
 
     sizes = placed.groupBy("cell_", "bin_").agg(F.count(F.lit(1)).alias("n_"))
@@ -136,5 +139,5 @@ def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.xxhash64("text").alias("tie"),
         *[c.alias(f"l{i}") for i, c in enumerate(document_levels(bits))],
     )
-    placed = hilbert_shards(slim, [F.col("l0"), F.col("l1"), F.col("l2")], [F.col("doc_id"), F.col("tie")], 24, bits)
+    placed = hilbert_shards(slim, [F.col("l0"), F.col("l1"), F.col("l2")], [F.col("doc_id"), F.col("tie")], 24, bits, short=True)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
