@@ -199,7 +199,8 @@ def mix_sources(docs: DataFrame, size: Column, tie: Column, block_words: int = B
     uses = mix_slots(sources, shards, seed).groupBy("number", "block").agg(F.count(F.lit(1)).alias("uses"))
     first, last = F.expr(f"begin_ div {block_words}"), F.expr(f"(begin_ + size_ - 1) div {block_words}")
     lies = placed.where("size_ > 0").select("number", "begin_", F.explode(F.sequence(first, last)).alias("block"))
-    taken = lies.join(uses, ["number", "block"]).groupBy("number", "begin_").agg(F.sort_array(F.collect_list(F.struct("block", "uses"))).alias("uses_"))
+    # Spark takes the slots for few, as they are made of a short table; without the hint it would broadcast them
+    taken = lies.join(uses.hint("merge"), ["number", "block"]).groupBy("number", "begin_").agg(F.sort_array(F.collect_list(F.struct("block", "uses"))).alias("uses_"))
     # begin_ is unique among documents with words
     with_words = placed.where("size_ > 0").join(taken, ["number", "begin_"], "left")
     return with_words.unionByName(placed.where("size_ = 0").withColumn("uses_", F.lit(None).cast(with_words.schema["uses_"].dataType)))
