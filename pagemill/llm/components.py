@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hung = _with_minimum(both, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         hung = materialise(hung, "large-star")
-        lower = _with_minimum(hung, hung.count())
+        lower = _with_minimum(hung, 2 * state[0])
         lower = lower.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v")))
         now = materialise(lower.where("u <> v").distinct(), "small-star")
         before, state = state, _state(now)

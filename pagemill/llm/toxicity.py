@@ -96,14 +96,19 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(x, y, penalty: float = 1.0, steps: int = STEPS, rate: float = 0.1):
-    """Weights of a logistic regression with a ridge penalty, by gradient descent with moment estimates."""
+def logistic(x, y, penalty: float = 1.0, steps: int = STEPS, rate: float = 0.1, rows=None):
+    """Weights of a logistic regression with a ridge penalty, by gradient descent with moment estimates.
+
+    rows: which rows count (a mask), so that a fold is left out without a copy; all by default.
+    """
     import numpy as np
 
+    n = len(y) if rows is None else int(rows.sum())
     w = np.zeros(x.shape[1], np.float32)
     first, second = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        slope = (x.T @ (sigmoid(x @ w) - y) + penalty * w) / max(len(y), 1)
+        error = sigmoid(x @ w) - y
+        slope = (x.T @ (error if rows is None else error * rows) + penalty * w) / max(n, 1)
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope * slope
         w = w - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
     return w.astype(np.float32)
@@ -172,27 +177,33 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
                 ["at", "count", "size", "fold", *names],
             )
 
-    sample = rows.select("text", "fold", *names).mapInArrow(sparse, f"at array<int>, count array<int>, size int, {flags}").collect()  # at most most rows
-    x = np.zeros((len(sample), 2 * n + 2), np.float32)
-    for row, r in zip(x, sample, strict=True):
-        fill(row, dict(zip(r["at"], r["count"], strict=True)), r["size"], n)
-    y = np.array([[r[c] for c in names] for r in sample], np.float32).reshape(len(sample), len(names))
-    fold = np.array([r["fold"] for r in sample])
-    if not len(sample):
+    sample = rows.select("text", "fold", *names).mapInArrow(sparse, f"at array<int>, count array<int>, size int, {flags}").toArrow()  # at most most rows
+    of = lambda c: sample[c].combine_chunks().to_numpy(zero_copy_only=False)
+    x = np.zeros((sample.num_rows, 2 * n + 2 + len(names)), np.float32)  # the last columns are for the earlier categories
+    lists = [sample[c].combine_chunks() for c in ("at", "count")]
+    owner = np.repeat(np.arange(sample.num_rows), np.diff(lists[0].offsets.to_numpy()))
+    at, count = (column.flatten().to_numpy() for column in lists)
+    size = np.maximum(of("size"), 0)
+    x[owner, at] = np.log1p(count)
+    x[owner, n + at] = count / np.sqrt(np.maximum(size, 1))[owner]
+    x[:, 2 * n], x[:, 2 * n + 1] = 1.0, np.log1p(size) / 5
+    y = np.stack([of(c) for c in names], 1).astype(np.float32)
+    fold = of("fold")
+    if not sample.num_rows:
         chain.weights = [np.zeros(2 + k, np.float32) for k in range(len(names))]
         chain.threshold = 1.0
         return chain
-    earlier = np.zeros((len(x), 0), np.float32)
+    del sample, lists, owner, at, count
     for k in range(len(names)):
-        seen = np.hstack([x, earlier])
+        seen = x[:, : 2 * n + 2 + k]
         chain.weights.append(logistic(seen, y[:, k]))
         held_out = np.zeros(len(x), np.float32)
         for f in range(FOLDS):
             out = fold == f
             if out.any():
-                held_out[out] = sigmoid(seen[out] @ logistic(seen[~out], y[~out, k]))
-        earlier = np.hstack([earlier, held_out[:, None]])
-    chain.threshold = best_threshold(earlier[:, -1], y[:, -1])
+                held_out[out] = sigmoid(seen[out] @ logistic(seen, y[:, k], rows=~out))
+        x[:, 2 * n + 2 + k] = held_out
+    chain.threshold = best_threshold(x[:, -1], y[:, -1])
     return chain
 
 
