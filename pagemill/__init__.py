@@ -9,10 +9,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch for Python workers, where the session does not set its own limit (Spark's default is 64 MB).
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Spark's Python workers, once for each application."""
+    """Make this package importable in Spark's Python workers, once for each application, and bound their batches by bytes.
+
+    A limit that the session has set itself stays.
+    """
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
