@@ -194,7 +194,7 @@ def propose(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
     """
     spark = nodes.sparkSession
     rows = nodes.select("id", F.explode("paths").alias("path"))
-    small, links, mixed_buckets = [], [], []
+    small, links, mixed_buckets, sum_large = [], [], [], 0
     for level in range(depth):
         kept = materialise(rows_of_repeated_keys(materialise(rows, f"paths-{level}"), "path", "n", "paths"), f"buckets-{level}")
         small.append(kept.where(F.col("n") <= BUCKET).select("path", "id"))
@@ -214,7 +214,7 @@ def propose(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
         links.append(compared.where(F.col("near") >= FIRST_LEAST).select("a", F.col("id").alias("b")))
 
         # Sets of one group are verified with each other in any case, so a bucket of one group need not be split.
-        labelled = nodes.join(group_labels(_united(links)), "id", "left").select("id", "sketch", F.coalesce("label", "id").alias("group"))
+        labelled = nodes.join(group_labels(_united(links), sum_large := sum_large + n_large), "id", "left").select("id", "sketch", F.coalesce("label", "id").alias("group"))
         # the path is part of the key, so each bucket is split by draws of its own
         draw = f"filter(transform(sketch, t -> xxhash64(path, t, {level})), k -> pmod(k, 1073741824L) * size(sketch) < {CHOSEN_AGAIN} * 1073741824L)"
         grouped = compared.join(labelled, "id").select("path", "id", "group", F.when(F.col("near") < SETTLED, F.expr(draw)).alias("drawn"))
@@ -256,15 +256,17 @@ def propose(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
     return _united(links)
 
 
-def group_labels(links: DataFrame) -> DataFrame:
+def group_labels(links: DataFrame, total: int) -> DataFrame:
     """``id`` and ``label`` for every id in links (first set a, id b; a is linked with itself): equal labels mean connected ids.
 
+    total: how many links there are at most.
+
     A label is the smallest first set that is reached from an id over its first sets, their other ids and those' first
     sets. Ids that are connected by longer ways may have different labels.
     """
     own = links.groupBy("b").agg(F.min("a").alias("label"))
     by_first = links.join(own, "b").groupBy("a").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("n"))
-    met = join_by_key(links, materialise(by_first, "labels"), "a", "n", links.count())
+    met = join_by_key(links, materialise(by_first, "labels"), "a", "n", total)
     return met.groupBy(F.col("b").alias("id")).agg(F.min("label").alias("label"))
 
 

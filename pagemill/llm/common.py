@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 HEAVY_PARTS = 1000
 #: Rows of an Arrow batch that Python works on at once. Spark bounds the bytes of a batch, this bounds the objects made of it.
 BATCH_ROWS = 500
-BATCH_BYTES, _BATCH_LIMIT = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -23,7 +22,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 
 
 def slices(batches: Iterable, rows: int = BATCH_ROWS) -> Iterator:
-    """Arrow batches cut into pieces of at most rows rows; no setting of the session is changed."""
+    """Arrow batches cut into pieces of at most rows rows."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
@@ -47,20 +46,11 @@ def shared_folder(spark: SparkSession) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df to a table of its own in the shared folder and read it back.
 
-    This cuts the lineage: later stages survive the loss of executors without recomputing df. While it is written,
-    Python workers get batches of BATCH_BYTES at most; the session's own limit is put back afterwards.
+    This cuts the lineage: later stages survive the loss of executors without recomputing df.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH_LIMIT, None)
-    spark.conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
-    try:
-        df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_BATCH_LIMIT)
-        else:
-            spark.conf.set(_BATCH_LIMIT, before)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -225,15 +225,17 @@ def score_toxicity(docs: DataFrame, chain: ToxicityChain, keep: list[str] | None
     kept = [c for c in keep or docs.columns if c not in (*added, "rejected")]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(c, T.DoubleType()) for c in added] + [T.StructField("rejected", T.BooleanType())])
 
+    at = kept.index("text") if "text" in kept else len(kept)  # the text travels once
+
     def scored(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in slices(batches):
-            p = chain.probabilities(chain.matrix(b.column(len(kept)).to_pylist()))
+            p = chain.probabilities(chain.matrix(b.column(at).to_pylist()))
             made = [pa.array(p[:, k].astype("float64")) for k in range(len(added))] + [pa.array(p[:, -1] >= chain.threshold)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(kept))), *made], schema.fieldNames())
 
-    return docs.select(*kept, F.col("text").alias("text_")).mapInArrow(scored, schema)
+    return docs.select(*kept, *([] if "text" in kept else ["text"])).mapInArrow(scored, schema)
 
 
 def label_categories() -> dict[str, Column]:

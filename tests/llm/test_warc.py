@@ -109,10 +109,12 @@ def test_dates_and_repeated_rows(spark):
 
 
 def test_session_is_left_alone(spark):
-    from pagemill.llm.common import materialise
-
-    limits = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
-    before = [spark.conf.get(k) for k in limits]
-    test_dates_and_repeated_rows(spark)
-    assert materialise(spark.range(3), "kept").count() == 3
-    assert before == [spark.conf.get(k) for k in limits]
+    """Batches are bounded by bytes unless the session has a limit of its own; nothing else changes."""
+    rows, limit = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(limit, "5000000")
+    try:
+        test_dates_and_repeated_rows(spark)
+        assert spark.conf.get(limit) == "5000000" and spark.conf.get(rows) == before
+    finally:
+        spark.conf.unset(limit)
