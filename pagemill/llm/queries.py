@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.llm import chosen_path, decontaminate, hilbert_shards, line_crf, mixing, substring_dedup, token_counts, toxicity, url_filter, warc
+from pagemill.llm import chosen_path, decontaminate, hilbert_shards, line_crf, mixing, periodic_runs, substring_dedup, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_line_crf": line_crf.op10_line_crf,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
 }
 ORACLE_SQL = {
     "op2_warc": warc.SQL,
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op4_url_filter": url_filter.SQL,
     "op5_chosen_path": chosen_path.SQL,
     "op8_decontamination": decontaminate.SQL,
+    "op11_periodic_runs": periodic_runs.SQL,
 }
