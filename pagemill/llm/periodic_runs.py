@@ -147,7 +147,7 @@ def collapse_runs(df: DataFrame, text: str = "text", least: int = LEAST, power:
                 texts.append(collapsed(words, runs))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()), pa.array(found, kind)], ["row_", "text_", "runs_"])
 
-    schema = StructType(slim.schema.fields).add("runs_", "array<struct<start:bigint,length:bigint,period:bigint>>")
+    schema = StructType(slim.schema.fields + StructType.fromDDL("runs_ array<struct<start:bigint,length:bigint,period:bigint>>").fields)
     done = slim.mapInArrow(searched, schema)
     kept = [F.col("text_").cast("string").alias(c) if c == text else F.col(f"row_.`{c}`").alias(c) for c in df.columns if c.lower() != "runs"]
     return done.select(*kept, F.col("runs_").alias("runs"))
