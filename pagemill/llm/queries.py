@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.llm import chosen_path, decontaminate, hilbert_shards, line_crf, mixing, periodic_runs, substring_dedup, token_counts, toxicity, url_filter, warc
+from pagemill.llm import chosen_path, chunk_recipes, decontaminate, hilbert_shards, line_crf, mixing, periodic_runs, source_divergence, substring_dedup, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_line_crf": line_crf.op10_line_crf,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_source_divergence": source_divergence.op12_source_divergence,
+    "op13_chunk_recipes": chunk_recipes.op13_chunk_recipes,
 }
 ORACLE_SQL = {
     "op2_warc": warc.SQL,
@@ -24,4 +26,6 @@ ORACLE_SQL = {
     "op5_chosen_path": chosen_path.SQL,
     "op8_decontamination": decontaminate.SQL,
     "op11_periodic_runs": periodic_runs.SQL,
+    "op12_source_divergence": source_divergence.SQL,
+    "op13_chunk_recipes": chunk_recipes.SQL,
 }
