@@ -1,233 +1,19 @@
-"""Reading raw HTML: text, tables, media, regions, Markdown. One pass per page in Arrow batches.
+"""Reading raw HTML: text, tables, media, regions, Markdown, derived in Spark from the nodes of pages (dom.py).
 
-The parser is the standard library's. What depends on a rendered page is approximated: scripts, styles, templates
-and comments have no text, block elements begin a line, cells are kept apart by tabs, sizes come from attributes.
+What depends on a rendered page is approximated: scripts, styles, templates and comments have no text, block elements
+begin a line, cells are kept apart by tabs, sizes come from attributes, and what lies in a hidden element is hidden.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from pagemill import ship
 from pagemill.config import DEFAULT, REGION_SELECTORS, Settings
-from pagemill.operators.tables import TABLES, merge_split_tables
-
-#: Pages that Python parses at once; Spark bounds the bytes of a batch.
-PAGES_AT_ONCE = 200
-
-_SILENT = {"script", "style", "noscript", "template", "head", "title"}
-_BLOCKS = set(
-    "address article aside blockquote body dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody tfoot thead tr ul".split()
-)
-_VOID = set("area base br col embed hr img input link meta source track wbr".split())
-MEDIA = "array<struct<index:int,tag:string,src:string,alt:string,width:int,height:int,visible:boolean>>"
-
-
-def _number(value: str | None, default: int) -> int:
-    found = re.match(r"\s*(\d{1,9})", value or "")
-    return int(found[1]) if found else default
-
-
-class _Page(HTMLParser):
-    """Collects text, tables, media and, for selected elements, Markdown, while a page is read once."""
-
-    def __init__(self, selectors: list[str], least: tuple[int, int] = (0, 0)):
-        super().__init__(convert_charrefs=True)
-        self.selectors, self.least = selectors, least
-        self.tried: set[int] = set()
-        self.title, self.text, self.tables, self.media = "", [], [], []
-        self.stack: list[tuple[str, int]] = []
-        self.silent = 0
-        self.open_tables: list[list] = []
-        self.open_rows: list[list[dict]] = []
-        self.open_cells: list[tuple[list[dict], list[str]]] = []
-        self.regions: dict[int, tuple[int, list[str]]] = {}
-        self.found: dict[int, str] = {}
-        self.lists: list[tuple[str, int]] = []
-
-    def handle_starttag(self, tag, attrs):
-        attributes = dict(attrs)
-        if tag in ("li", "tr", "td", "th") and not self.silent:
-            self._end_open(tag)
-        if tag not in _VOID:
-            self.stack.append((tag, len(self.stack)))
-            self.silent += tag in _SILENT
-        if self.silent:
-            return
-        for n, selector in enumerate(self.selectors):
-            if n not in self.tried and tag not in _VOID and _matches(selector, tag, attributes):
-                self.tried.add(n)  # only the first element of a selector counts
-                if not _hidden(attributes) and _is_large(attributes, self.least):
-                    self.regions[n] = (len(self.stack), [])
-        if tag in _BLOCKS or tag == "br":
-            self._put("\n", "\n" if tag in ("br", "tr") else "\n\n")
-        if tag == "table":
-            self.open_tables.append([])
-            self.tables.append(self.open_tables[-1])
-        elif tag == "tr":
-            self._open_row()
-            self._mark("|")
-        elif tag in ("td", "th"):
-            cell = {"text": [], "rowspan": _number(attributes.get("rowspan"), 1), "colspan": _number(attributes.get("colspan"), 1)}
-            if self.open_tables and len(self.open_rows) < len(self.open_tables):
-                self._open_row()
-            for row in self.open_rows:  # cells of a nested table are also cells of the rows around it
-                row.append(cell)
-            self.open_cells.append((cell, cell["text"]))
-            self.text.append("\t")
-        elif tag in ("img", "canvas"):
-            self.media.append({
-                "index": len(self.media), "tag": tag, "src": (attributes.get("src") or "") if tag == "img" else "", "alt": attributes.get("alt") or "",
-                "width": _number(attributes.get("width"), 0), "height": _number(attributes.get("height"), 0), "visible": not _hidden(attributes),
-            })
-        elif tag in ("ul", "ol"):
-            self.lists.append((tag, 0))
-        elif tag == "li":
-            kind, n = self.lists.pop() if self.lists else ("ul", 0)
-            self.lists.append((kind, n + 1))
-            self._mark("  " * len(self.lists) + (f"{n + 1}. " if kind == "ol" else "* "))
-        elif re.fullmatch("h[1-6]", tag):
-            self._mark("#" * int(tag[1]) + " ")
-        elif tag in ("b", "strong"):
-            self._mark("**")
-        elif tag in ("i", "em"):
-            self._mark("_")
-
-    def _open_row(self):
-        row: list[dict] = []
-        for table in self.open_tables:  # rows of a nested table are also rows of those around it
-            table.append(row)
-        self.open_rows.append(row)
-
-    def _end_open(self, tag):
-        """A new list item, row or cell ends an open one, as far as the list or table around it."""
-        stop = {"li": ("ul", "ol")}.get(tag, ("table",))
-        for name, _ in reversed(self.stack):
-            if name in stop:
-                return
-            if name == tag or (name in ("td", "th") and tag in ("td", "th", "tr")):
-                self.handle_endtag(name)
-                if tag != "tr":
-                    return
-
-    def handle_endtag(self, tag):
-        if tag in _VOID or not any(name == tag for name, _ in self.stack):
-            return
-        while True:
-            name, _ = self.stack.pop()
-            self._close(name)
-            if name == tag:
-                break
-
-    def _close(self, tag):
-        if tag in _SILENT:
-            self.silent -= 1
-            return
-        if self.silent:
-            return
-        if tag in ("td", "th") and self.open_cells:
-            self.open_cells.pop()
-            self._mark(" |")
-        elif tag == "tr" and len(self.open_rows) == len(self.open_tables):
-            del self.open_rows[-1:]
-        elif tag == "table" and self.open_tables:
-            self.open_tables.pop()
-            del self.open_rows[len(self.open_tables) :]
-        elif tag in ("ul", "ol") and self.lists:
-            self.lists.pop()
-        elif tag in ("b", "strong"):
-            self._mark("**")
-        elif tag in ("i", "em"):
-            self._mark("_")
-        if tag in _BLOCKS:
-            self._put("\n", "\n" if tag in ("tr", "li") else "\n\n")
-        for n, (depth, parts) in list(self.regions.items()):
-            if len(self.stack) < depth:
-                self.found[n] = _tidy("".join(parts))
-                del self.regions[n]
-
-    def handle_data(self, data):
-        if self.stack and self.stack[-1][0] == "title" and not self.title:
-            self.title = " ".join(data.split())
-        if not self.silent:
-            flat = re.sub(r"\s+", " ", data)
-            for _, text in self.open_cells:
-                text.append(data)
-            self._put(flat, flat)
-
-    def _put(self, text: str, markdown: str) -> None:
-        self.text.append(text)
-        self._mark(markdown)
-
-    def _mark(self, markdown: str) -> None:
-        for _, parts in self.regions.values():
-            parts.append(markdown)
-
-    def finish(self) -> dict:
-        self.close()
-        while self.stack:
-            self._close(self.stack.pop()[0])
-        tables = []
-        for rows in self.tables:
-            kept = [[{"text": " ".join("".join(c["text"]).split()), "rowspan": c["rowspan"], "colspan": c["colspan"]} for c in r] for r in rows if r]
-            if kept:
-                tables.append({"table_index": len(tables) + 1, "frame_index": 0, "rows": kept})
-        first = min(self.found, default=None)
-        text = re.sub(r"[ \t]*\n[ \t\n]*", "\n", re.sub(r" *\t *", "\t", "".join(self.text)))
-        return {
-            "title": self.title, "text": re.sub(r" {2,}", " ", text).strip(), "tables": tables, "media": self.media,
-            "selector": None if first is None else self.selectors[first], "region_md": "" if first is None else self.found[first],
-        }
+from pagemill.operators.dom import page_nodes, page_parts
+from pagemill.operators.tables import merge_split_tables
 
-
-def _style(attributes: dict) -> str:
-    return re.sub(r"\s", "", attributes.get("style") or "").lower()
-
-
-def _hidden(attributes: dict) -> bool:
-    style = _style(attributes)
-    return "hidden" in attributes or "display:none" in style or "visibility:hidden" in style or bool(re.search(r"opacity:0(?:\.0*)?(?:;|$)", style))
-
-
-def _is_large(attributes: dict, least: tuple[int, int]) -> bool:
-    """Whether an element is at least so wide and high, by its style or attributes; an unknown size counts as large."""
-    for name, limit in zip(("width", "height"), least, strict=True):
-        styled = re.search(rf"(?:^|;){name}:(\d{{1,9}})(?:\.\d+)?px", _style(attributes))
-        if _number(styled[1] if styled else attributes.get(name), limit) < limit:
-            return False
-    return True
-
-
-def _matches(selector: str, tag: str, attributes: dict) -> bool:
-    """Selectors of one step: a tag, ``#id``, ``.class`` or ``[name='value']``."""
-    if selector[0] == "#":
-        return attributes.get("id") == selector[1:]
-    if selector[0] == ".":
-        return selector[1:] in (attributes.get("class") or "").split()
-    if selector[0] == "[":
-        name, _, value = selector[1:-1].partition("=")
-        return name in attributes and (not value or attributes[name] == value.strip("'\""))
-    return tag == selector
-
-
-def _tidy(markdown: str) -> str:
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r" *\n *(?=\n|$)", "\n", re.sub(r"(?<=\n)[ ]+(?=[^ *\d])", "", markdown))).strip()
-
-
-def read_page(html: str | None, selectors: list[str], settings: Settings = DEFAULT) -> dict:
-    """title, text, tables, media, selector and region_md (Markdown of the region).
-
-    The region is that of the first selector whose first element on the page is shown and large enough.
-    """
-    page = _Page(selectors, (settings.region_width, settings.region_height))
-    page.feed(html or "")
-    return page.finish()
+ADDED = ["title", "text", "tables", "media", "selector", "region_md"]
 
 
 def region_selectors(pages: DataFrame, host: Column, selectors: dict[str, list[str]] | None = None) -> DataFrame:
@@ -238,31 +24,24 @@ def region_selectors(pages: DataFrame, host: Column, selectors: dict[str, list[s
     return looked_up.withColumn("selectors_", F.coalesce("selectors_", F.array(F.lit("main")))).drop("host_")
 
 
-def parse_pages(pages: DataFrame, html: str = "html", host: str | None = "host", settings: Settings = DEFAULT) -> DataFrame:
+def parse_pages(pages: DataFrame, html: str = "html", host: str | None = "host", settings: Settings = DEFAULT, selectors: dict[str, list[str]] | None = None) -> DataFrame:
     """pages without the column html, with title, text, tables, media, selector, region_md; same-named columns are replaced.
 
-    host: the column by which the selectors are looked up; ``main`` elsewhere. Null html reads as empty.
+    host: the column by which the selectors are looked up (in selectors, or the settings' own); ``main`` elsewhere. A selector
+    has one or more steps, such as ``#content > .detail table``. Null html reads as empty.
     """
-    ship(pages.sparkSession)
-    added = T.StructType.fromDDL(f"title string, text string, tables {TABLES}, media {MEDIA}, selector string, region_md string")
-    kept = [c for c in pages.columns if c != html and c not in added.fieldNames()]
-    schema = T.StructType([pages.schema[c] for c in kept] + list(added))
-    n = len(kept)
-
-    def parsed(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
+    known = REGION_SELECTORS if selectors is None else selectors
+    kept = [c for c in pages.columns if c != html and c.lower() not in ADDED]
+    with_selectors = region_selectors(pages, F.col(host) if host else F.lit(""), known)
+    nodes = page_nodes(with_selectors, html, [*kept, "selectors_"])
+    parts = page_parts(nodes, [*dict.fromkeys(s for found in known.values() for s in found), "main"], settings)
+    return parts.select(*[F.col(f"row_.`{c}`").alias(c) for c in kept], *ADDED)
 
-        arrow = to_arrow_schema(added)
-        for batch in batches:
-            for at in range(0, batch.num_rows, PAGES_AT_ONCE):
-                b = batch.slice(at, PAGES_AT_ONCE)
-                rows = [read_page(h, found, settings) for h, found in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)]
-                made = [pa.array([r[f.name] for r in rows], f.type) for f in arrow]
-                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(n)), *made], schema.fieldNames())
 
-    with_selectors = region_selectors(pages, F.col(host) if host else F.lit(""))
-    return with_selectors.select(*kept, F.col(html).alias("html_"), "selectors_").mapInArrow(parsed, schema)
+def read_page(html: str | None, selectors: list[str], settings: Settings = DEFAULT) -> dict:
+    """parse_pages() of one page, to look at: title, text, tables, media, selector and region_md."""
+    page = SparkSession.builder.getOrCreate().createDataFrame([(html, "")], "html string, host string")
+    return parse_pages(page, settings=settings, selectors={"": selectors}).drop("host").first().asDict(True)
 
 
 def join_frames(frames: DataFrame, page: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagemill import adapters, config
 from pagemill.functions import labels, responses, text, urls
-from pagemill.operators import assets, boxes, html, records, tables
+from pagemill.operators import assets, boxes, dom, html, records, tables
 from pagemill.sources import captures, sinks
 
 WS = r"[\t-\r\x1c-\x20\x85\p{Z}]"
@@ -565,13 +565,40 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.parse_pages(pages.withColumn("host", urls.host(F.col("url"))))
 
 
-@query()
+# The test pages hold no tables, quotes only in scripts, and all that is silent in their heads; so SQL can take tags away.
+_BLOCK_TAGS = "|".join(dom.BLOCKS)
+_SQL_BODY = f"regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->|<head>.*?</head>|<![A-Za-z][^>]*>', '', 'g'), '{WS}+', ' ', 'g')"
+_SQL_TAGLESS = f"regexp_replace(regexp_replace({_SQL_BODY}, '</?(?:{_BLOCK_TAGS})(?: [^>]*)?>|<br>', E'\\n', 'g'), '<[^>]*>', '', 'g')"
+
+
+def _sql_characters(x: str) -> str:
+    for name, character in (("copy", "\u00a9"), ("middot", "\u00b7"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{character}')"
+    return x
+
+
+_PAGE_SQL = f"""
+  SELECT page_id, url, {sql_strip(f"regexp_replace({_sql_characters(f"regexp_extract(html, '{TITLE}', 1)")}, '{WS}+', ' ', 'g')")} AS title,
+         {sql_strip(f"regexp_replace(regexp_replace({_sql_characters(_SQL_TAGLESS)}, '[ \t]*\n[ \t\n]*', E'\\n', 'g'), ' {{2,}}', ' ', 'g')")} AS text,
+         len(regexp_extract_all(html, '<table'))::INT AS table_count, len(regexp_extract_all(html, '<img'))::INT AS media_count
+  FROM pages"""
+
+
+@query(f"SELECT page_id, title, CASE WHEN trim(text) <> '' THEN E'[MAIN]\\n' || text END AS text, table_count, media_count FROM ({_PAGE_SQL})")
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title and text of raw pages."""
     return _parsed(spark, sf_dir).select("page_id", "title", html.with_frame_labels(F.col("text"), F.lit(0)).alias("text"), F.size("tables").alias("table_count"), F.size("media").alias("media_count"))
 
 
-@query()
+_LINES_SQL = f"list_filter(list_transform(regexp_split_to_array(text, E'\\r\\n|[\\n\\x0b\\x0c\\r\\x1c-\\x1e\\u0085\\u2028\\u2029]'), lambda x: {sql_strip('x')}), lambda x: length(x) >= 4)"
+
+
+@query(f"""
+WITH p AS (SELECT url AS u, {SQL_HOST} AS host, title, text FROM ({_PAGE_SQL})),
+r AS (SELECT u, host, {sql_clean_title('title', 'host')} AS name, {_LINES_SQL} AS lines, {_MODEL_SQL} AS model FROM p)
+SELECT u AS url, coalesce(host, 'unknown') AS host, 'captured' AS status, CASE WHEN length(name) >= 4 THEN name ELSE coalesce(lines[1], '') END AS product_name,
+       '[{{"model":"' || coalesce(model, '') || '","specs":[]}}]' AS variants FROM r
+""")
 def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw pages to product records by rules, with the document written for each page."""
     parsed = _parsed(spark, sf_dir).withColumn("tables", tables.merge_split_tables(F.col("tables")))
@@ -581,6 +608,45 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("url", "host", "status", "product_name", F.to_json("variants").alias("variants"))
 
 
+_PART_TABLES = "concat('<p>', p_name, '<table><thead><tr><th rowspan=2>Type<th colspan=\\'x\\'>', p_type, '<tr><td> ', p_size, '\n mm<td>in<table><td>', p_brand, '<b> &amp; co</b></table>out</table><script>var t=\\'<table><tr><td>no\\'</script><table></table><table><tr></tr><tr><td>', p_partkey, '</table>')"
+
+
+@query("""
+WITH c AS (SELECT p_partkey, unnest([
+  {'t': 1, 'r': 1, 'c': 1, 'x': 'Type', 's': 2}, {'t': 1, 'r': 1, 'c': 2, 'x': p_type, 's': 1}, {'t': 1, 'r': 2, 'c': 1, 'x': p_size || ' mm', 's': 1}, {'t': 1, 'r': 2, 'c': 2, 'x': 'in' || p_brand || ' & coout', 's': 1},
+  {'t': 1, 'r': 2, 'c': 3, 'x': p_brand || ' & co', 's': 1}, {'t': 1, 'r': 3, 'c': 1, 'x': p_brand || ' & co', 's': 1}, {'t': 2, 'r': 1, 'c': 1, 'x': p_brand || ' & co', 's': 1}, {'t': 3, 'r': 1, 'c': 1, 'x': p_partkey::VARCHAR, 's': 1}]) AS e FROM part)
+SELECT p_partkey, e.t AS table_index, e.r AS row_number, e.c AS cell_number, e.x AS text, e.s AS rowspan, 1 AS colspan FROM c
+""")
+def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the tables of pages, those of nested tables with the tables, rows and cells around them too."""
+    parsed = html.parse_pages(table(spark, sf_dir, "part").select("p_partkey", F.expr(_PART_TABLES).alias("html")), host=None)
+    rows = parsed.select("p_partkey", F.explode("tables").alias("t")).select("p_partkey", "t.table_index", F.posexplode("t.rows").alias("row_number", "row"))
+    cells = rows.select("p_partkey", "table_index", F.col("row_number") + 1, F.posexplode("row").alias("cell_number", "cell")).toDF("p_partkey", "table_index", "row_number", "cell_number", "cell")
+    return cells.select("p_partkey", "table_index", "row_number", F.col("cell_number") + 1, "cell.text", "cell.rowspan", "cell.colspan").toDF("p_partkey", "table_index", "row_number", "cell_number", "text", "rowspan", "colspan")
+
+
+_REGION_SELECTORS = {"0": ["#none", "#box > .spec"], "1": ["section .spec li", "div"], "2": [".off p", "div[data-k='v'].spec", "main"]}
+_PART_REGION = """concat('<body><div class="off" style="display: none"><p>', p_brand, '</p></div><div id=box><section><div class="a spec" width=', 100 + 10 * p_size, '><h2>', p_name, '</h2><ol><li>', p_type, '<li><i>', p_brand, '</i></ol></div></section>',
+  CASE WHEN p_partkey % 2 = 0 THEN '<div class=spec>direct' ELSE '' END, '<div class=spec data-k=v><p>with<br>data</div></div><main>end')"""
+
+
+@query(r"""
+WITH p AS (SELECT *, p_partkey % 3 AS h FROM part)
+SELECT p_partkey,
+  CASE WHEN h = 0 THEN '#box > .spec' WHEN h = 1 THEN 'section .spec li' ELSE 'div[data-k=''v''].spec' END AS selector,
+  CASE WHEN h = 0 AND p_partkey % 2 = 0 THEN E'direct
+
+with
+data' WHEN h <> 1 THEN E'with
+data' ELSE '1. ' || p_type END AS region_md
+FROM p
+""")
+def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The region of pages by selectors of several steps, as Markdown."""
+    pages = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 3).cast("string").alias("host"), F.expr(_PART_REGION).alias("html"))
+    return html.parse_pages(pages, selectors=_REGION_SELECTORS).select("p_partkey", "selector", "region_md")
+
+
 def _sql_request(message: str) -> str:
     shown = [("system", adapters.SYSTEM_PROMPT), *(m for pair in adapters.EXAMPLES for m in zip(("user", "assistant"), pair))]
     fixed = ", ".join(f"json_object('role', '{role}', 'content', {_sql_text(content)})" for role, content in shown)
