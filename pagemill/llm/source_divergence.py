@@ -20,8 +20,8 @@ from pagemill.llm.common import join_by_key, materialise, read_table, slices
 LEAST_DOCUMENTS, TOP = 30, 50
 #: Counts are added to each kept term before shares are taken, and shares are in units of one part in SCALE.
 ADDED, SCALE = 5, 1_000_000_000
-#: Entries that a task counts before it hands them on; rows of counts that one shard should hold.
-TASK_ENTRIES, SHARD_ROWS = 200_000, 50_000
+#: Entries that a task counts before it hands them on; bytes of text whose counts one shard should get; rows of kept counts of one shard.
+TASK_ENTRIES, SHARD_BYTES, SHARD_ROWS = 400_000, 4 << 20, 50_000
 
 #: Bytes that part terms become spaces, capitals A to Z become small; bytes beyond ASCII stay.
 _FOLDED = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -83,14 +83,15 @@ QUALIFY term = '' OR sum(sum(docs)) OVER (PARTITION BY lang, term) >= {least}
 """
 
 
-def kept_counts(counted: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
+def kept_counts(counted: DataFrame, n_bytes: int, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """(lang, source, term, n, lead) of the terms in at least least documents of their language.
 
-    counted: rows of term_counts, as a table. The number of shards follows from its rows, so a shard is bounded; each term is
-    in one shard, where all sums are exact. lead is 1 in one row of each (lang, term), 0 in the others.
+    counted: rows of term_counts over texts of n_bytes. The number of shards follows from the bytes, of which a count needs two at
+    least, so a shard is bounded; each term is in one shard, where all sums are exact. lead is 1 in one row of each (lang,
+    term), 0 in the others.
     """
     ship(spark := counted.sparkSession)
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counted.count() // SHARD_ROWS))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // SHARD_BYTES))
 
     def shard(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -178,8 +179,9 @@ def source_divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int =
     empty string, repeated rows count as documents of their own, a group without terms has zero counts, texts
     are read whole, and an empty table gives an empty result. All arithmetic is exact.
     """
-    counted = materialise(term_counts(docs, text, lang, source), "counted")
-    found = materialise(shard_shares(materialise(kept_counts(counted, least), "kept-terms"), top), "shares")
+    n_bytes = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    kept = materialise(kept_counts(term_counts(docs, text, lang, source), n_bytes, least), "kept-terms")
+    found = materialise(shard_shares(kept, top), "shares")
     by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = found.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     both = pairs.select("lang", F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item")))).alias("e"), "value")

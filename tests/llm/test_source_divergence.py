@@ -52,6 +52,7 @@ def test_against_plain_version(spark, monkeypatch, least, top, entries, shard_ro
     """Also with tasks that hand on their counts all the time and with many shards for each language."""
     monkeypatch.setattr(sd, "TASK_ENTRIES", entries)
     monkeypatch.setattr(sd, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(sd, "SHARD_BYTES", 40 * shard_rows)
     docs = frame(spark, rows()).withColumns({c: F.lit("mine") for c in ("term", "n", "part", "rank", "a.b", "shard")})
     got = sd.source_divergence(docs, least, top)
     assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
@@ -71,7 +72,7 @@ def test_hot_source_moves_as_counts(spark):
     docs = frame(spark, [("same words all over again", "en", "hot")] * 3000 + [(f"same words {k % 7}", "en", f"s{k % 5}") for k in range(1500)])
     counted = sd.term_counts(docs.repartition(3))
     assert counted.count() <= 3 * 6 * 6
-    found = {(r["term"], r["source"]): r["n"] for r in sd.kept_counts(counted).collect() if r["term"]}
+    found = {(r["term"], r["source"]): r["n"] for r in sd.kept_counts(counted, 100_000).collect() if r["term"]}
     assert found["same", "hot"] == 3000 and found["words", "s1"] == 300
 
 
