@@ -97,11 +97,23 @@ def nested(df: DataFrame, name: str = "row_") -> DataFrame:
 
 
 def unnested(df: DataFrame, like: DataFrame, extra: dict[str, Column], name: str = "row_") -> DataFrame:
-    """Undo nested(); extra columns replace columns of the same name."""
-    kept = [F.col(f"{name}.`{c}`").alias(c) for c in like.columns if c not in extra]
+    """Undo nested(); extra columns replace columns of the same name, which Spark compares without regard to case."""
+    replaced = {k.lower() for k in extra}
+    kept = [F.col(f"{name}.`{c}`").alias(c) for c in like.columns if c.lower() not in replaced]
     return df.select(*kept, *[c.alias(k) for k, c in extra.items()])
 
 
+def apart(df: DataFrame, *names: str) -> DataFrame:
+    """The columns names as they are, all others as one struct ``row_``: what is added beside them cannot clash with these."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    return df.select(F.struct(*(rest or [F.lit(0).alias("none_")])).alias("row_"), *names)
+
+
+def together(df: DataFrame, like: DataFrame, *names: str) -> DataFrame:
+    """Undo apart(): the columns of like, in their order and with their values."""
+    return df.select(*[F.col(c) if c in names else F.col(f"row_.`{c}`").alias(c) for c in like.columns])
+
+
 def words_of(text: str | bytes | None) -> list[bytes]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text in UTF-8; none for null.
 

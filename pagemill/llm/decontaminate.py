@@ -193,7 +193,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share:
     """
     ship(docs.sparkSession)
     columns = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    kept = docs.select(*[F.col(f"`{c}`") for c in keep or docs.columns if c not in columns])
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep or docs.columns if c.lower() not in columns])
     row = F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row_")
     keyed = docs.select(row, F.col("doc_id").alias("key_"), F.xxhash64("text").alias("tie_"), "text")
     # windows of one set of items share its number; writing the table fixes the numbers

@@ -289,14 +289,15 @@ def measured(text: bytes | None, field: LineField, share: float = CONTENT_SHARE)
 
 
 def quality_rules(docs: DataFrame, field: LineField, keep: list[str] | None = None) -> DataFrame:
-    """docs (or their columns in keep) with the measures of measured(); columns of these names are replaced.
+    """docs (or their columns in keep) with the measures of measured().
 
-    A null or empty text has no words and fails. Lines without words are no part of the sequence. One pass over
+    Columns of these names, in any case, are replaced; all others stay, whatever their names. Repeated rows are judged alike, an
+    empty table gives an empty result. A null or empty text has no words and fails. Lines without words are no part of the sequence. One pass over
     whole texts, no shuffle.
     """
     ship(docs.sparkSession)
     added = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "kept": "boolean", "content_share": "double"}
-    kept = [c for c in keep or docs.columns if c not in added]
+    kept = [c for c in keep or docs.columns if c.lower() not in added]
     schema = T.StructType([docs.schema[c] for c in kept])
     for name, kind in added.items():
         schema = schema.add(name, kind)
@@ -310,7 +311,7 @@ def quality_rules(docs: DataFrame, field: LineField, keep: list[str] | None = No
             made = [pa.array([r[k] for r in rows], kinds[kind]) for k, kind in enumerate(added.values())]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(kept))), *made], schema.fieldNames())
 
-    return docs.select(*kept, F.col("text").cast("binary").alias("bytes_")).mapInArrow(judged, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").cast("binary").alias("bytes_")).mapInArrow(judged, schema)
 
 
 def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

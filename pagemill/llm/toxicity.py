@@ -218,11 +218,15 @@ def best_threshold(p, y) -> float:
 
 
 def score_toxicity(docs: DataFrame, chain: ToxicityChain, keep: list[str] | None = None) -> DataFrame:
-    """docs (or their columns in keep) with ``p_<category>`` for each category and ``rejected``; columns of these
-    names are replaced. A null text counts as empty. One pass, no shuffle."""
+    """docs (or their columns in keep) with ``p_<category>`` for each category and ``rejected``.
+
+    Columns of these names, in any case, are replaced; all others stay, whatever their names. A null text counts as empty,
+    repeated rows are scored alike, an empty table gives an empty result. One pass, no shuffle.
+    """
     ship(docs.sparkSession)
     added = [f"p_{c}" for c in chain.categories]
-    kept = [c for c in keep or docs.columns if c not in (*added, "rejected")]
+    replaced = {c.lower() for c in (*added, "rejected")}
+    kept = [c for c in keep or docs.columns if c.lower() not in replaced]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(c, T.DoubleType()) for c in added] + [T.StructField("rejected", T.BooleanType())])
 
     at = kept.index("text") if "text" in kept else len(kept)  # the text travels once
@@ -235,7 +239,7 @@ def score_toxicity(docs: DataFrame, chain: ToxicityChain, keep: list[str] | None
             made = [pa.array(p[:, k].astype("float64")) for k in range(len(added))] + [pa.array(p[:, -1] >= chain.threshold)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(kept))), *made], schema.fieldNames())
 
-    return docs.select(*kept, *([] if "text" in kept else ["text"])).mapInArrow(scored, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], *([] if "text" in kept else ["text"])).mapInArrow(scored, schema)
 
 
 def label_categories() -> dict[str, Column]:

@@ -125,3 +125,10 @@ def test_whole_documents_train(spark, documents):
     bits = line_crf.described(f"{junk}\n{prose}".encode())[0]
     assert trained.viterbi(bits) == [1, 0]
     assert line_crf.train_on_labels(documents(*rows), labels, most_lines=100).emission == [[0.0] * len(line_crf.FEATURES)] * 2  # none fits
+
+
+def test_columns_of_any_name(spark, documents):
+    docs = documents("some text", None, "").withColumnsRenamed({"n_chars": "a.b", "source": "Kept"})
+    field = line_crf.train_on_labels(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    got = line_crf.quality_rules(docs, field)
+    assert "Kept" not in got.columns and sorted(r["a.b"] or 0 for r in got.where("base_failed").collect()) == [0, 0, 9]

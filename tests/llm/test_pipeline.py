@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pagemill.llm import queries
@@ -40,3 +41,24 @@ def test_empty_pipeline(spark, tmp_path):
     for name, schema in schemas.items():
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_and_odd_rows(spark, documents, odd, tmp_path):
+    """Null ids, repeated rows, odd texts, and columns named like those that stages work with: all values come through."""
+    clean = [f"{k} quite different words {' '.join(f'x{k * 31 + j}' for j in range(40))}" for k in range(12)]
+    mine = {c: f"mine {c}" for c in ("n_words", "contaminated", "Rejected", "p_toxic", "a.b", "N_hit", "row_", "items_sha256", "key_", "shard_")}
+    docs = documents(*odd, *[(100 + k, t) for k, t in enumerate(clean)], (None, clean[0] + " none"), (None, clean[0] + " none"), (100, clean[0]), (7, None))
+    docs = docs.withColumns({c: F.lit(v) for c, v in mine.items()})
+    spark.createDataFrame([(100 + k, k % 2, 0) for k in range(10)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, " ".join(f"x{j}" for j in range(5)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.materialise(stage(spark, docs, str(tmp_path)), "test-stage")
+        rows = docs.collect()
+        assert rows and all(r[c] == v for r in rows for c, v in mine.items()), name
+        if name == "toxicity":
+            assert len(rows) == len(odd) + 16
+        elif name == "n-gram Jaccard join":
+            assert sum(r["text"] == clean[0] for r in rows) == 1 and sum(r["text"] is None for r in rows) == 2
+    empty = docs.drop("shard", "slot").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0

@@ -95,3 +95,11 @@ def test_logistic_is_stationary():
     w = toxicity.logistic(x, y, steps=3000, rate=0.02)
     slope = x.T @ (toxicity.sigmoid(x @ w) - y) + w
     assert np.abs(slope).max() < 0.1
+
+
+def test_columns_of_any_name(spark, documents):
+    docs = documents("some text", None, "", "x " * 3000).withColumnsRenamed({"n_chars": "a.b", "source": "Rejected"})
+    chain = toxicity.train_chain(docs.select("doc_id", "text"), spark.createDataFrame([], "doc_id long, quality int, toxic int"), toxicity.label_categories())
+    got = toxicity.score_toxicity(docs, chain)
+    assert got.columns == ["doc_id", "text", "lang", "a.b", "p_toxic_prose", "p_toxic_junk", "p_toxic", "rejected"]
+    assert sorted(r["a.b"] or 0 for r in got.where("not rejected").collect()) == [0, 0, 9, 6000]
