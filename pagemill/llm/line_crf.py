@@ -311,7 +311,8 @@ def quality_rules(docs: DataFrame, field: LineField, keep: list[str] | None = No
             made = [pa.array([r[k] for r in rows], kinds[kind]) for k, kind in enumerate(added.values())]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(kept))), *made], schema.fieldNames())
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").cast("binary").alias("bytes_")).mapInArrow(judged, schema)
+    places = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)]  # Spark passes no dotted names to Python
+    return docs.select(*places, F.col("text").cast("binary").alias("bytes_")).mapInArrow(judged, schema)
 
 
 def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

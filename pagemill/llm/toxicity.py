@@ -239,7 +239,8 @@ def score_toxicity(docs: DataFrame, chain: ToxicityChain, keep: list[str] | None
             made = [pa.array(p[:, k].astype("float64")) for k in range(len(added))] + [pa.array(p[:, -1] >= chain.threshold)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(kept))), *made], schema.fieldNames())
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], *([] if "text" in kept else ["text"])).mapInArrow(scored, schema)
+    places = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)]  # Spark passes no dotted names to Python
+    return docs.select(*places, *([] if "text" in kept else ["text"])).mapInArrow(scored, schema)
 
 
 def label_categories() -> dict[str, Column]:
