@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pagemill import adapters, config
 from pagemill.functions import labels, responses, text, urls
 from pagemill.operators import assets, boxes, dom, html, records, tables
-from pagemill.sources import captures, sinks
+from pagemill.sources import capture_source, captures, sinks
+from pagemill.storage import fresh_path
 
 WS = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#]*@)?([^/?#:]*)"
@@ -741,3 +742,16 @@ def button_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     button = F.get(F.array(*map(F.lit, _BUTTONS)), (F.col("o_orderkey") % len(_BUTTONS)).cast("int"))
     label = table(spark, sf_dir, "orders").withColumn("b", button).select("o_orderkey", F.concat(F.lit("\u3000 "), "o_orderpriority", F.lit("\t\n"), "b", F.lit(" ")).alias("l"))
     return label.select("o_orderkey", text.collapse(F.col("l")).alias("label"), text.unfolds_more(F.col("l")).alias("unfolds"))
+
+
+# Sources and sinks: what the query writes to the shared folder comes from a table, and is read back
+
+
+@query(f"SELECT page_id AS number, page_id || '_' || replace(coalesce(host, 'unknown'), '.', '_') AS folder, host, length(html)::INT AS n_chars, md5(html) AS digest FROM (SELECT *, {SQL_HOST} AS host FROM pages) WHERE NOT contains(host, 'example.org') AND NOT contains(host, 'blog.')")
+def page_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as capture folders, read without excluded domains: their HTML is never opened."""
+    run = fresh_path(spark, "capture")
+    capture_source.write_capture_folders(table(spark, sf_dir, "pages").withColumnRenamed("page_id", "number"), run)
+    pages = capture_source.capture_folders(spark, run, "number", "folder", "host", "html")
+    kept = pages.where(~F.contains("host", F.lit("example.org")) & ~F.contains("host", F.lit("blog.")))
+    return kept.select("number", "folder", "host", F.length("html").alias("n_chars"), F.md5(F.col("html").cast("binary")).alias("digest"))
