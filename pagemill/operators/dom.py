@@ -43,7 +43,7 @@ class _Nodes(HTMLParser):
         self._begin(PAGE, None)
 
     def _begin(self, tag: str | None, attributes: list | None, text: str | None = None) -> list:
-        node = [self.number, self.number, self.open[-1][0] if self.open else -1, tag, attributes, text]
+        node = [self.number, self.number, self.open[-1][0] if self.open else min(self.number, 1) - 1, tag, attributes, text]
         self.number += 1
         self.nodes.append(node)
         return node

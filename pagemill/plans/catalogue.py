@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill import adapters, config
+from pagemill import adapters, config, sql
 from pagemill.functions import labels, responses, text, urls
 from pagemill.operators import assets, boxes, dom, html, records, tables
 from pagemill.sources import capture_source, captures, sinks
@@ -23,13 +23,13 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(oracle: str | None = None):
     """Register a query under its name, with its SQL if SQL can express it."""
 
     def add(f):
         QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
+        if oracle is not None:
+            SQL[f.__name__] = oracle
         return f
 
     return add
@@ -626,6 +626,25 @@ def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("p_partkey", "table_index", "row_number", F.col("cell_number") + 1, "cell.text", "cell.rowspan", "cell.colspan").toDF("p_partkey", "table_index", "row_number", "cell_number", "text", "rowspan", "colspan")
 
 
+@query(SQL["page_tables"])
+def sql_page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_tables in SQL alone."""
+    sql.register(spark)
+    return spark.sql(f"SELECT p_partkey, t.* FROM (SELECT p_partkey, {_PART_TABLES} AS html FROM parquet.`{sf_dir}/part.parquet`), LATERAL parse_tables(html) t")
+
+
+@query(f"SELECT coalesce(host, 'unknown') AS host, count(*) AS pages, count(model) AS models, min({sql_clean_title("coalesce(title, '')", 'host')}) AS first_title FROM (SELECT *, {_MODEL_SQL} AS model FROM (SELECT url AS u, {SQL_HOST} AS host, regexp_extract(html, '{TITLE}', 1) AS title FROM pages)) WHERE NOT contains(coalesce(host, ''), 'naver.com') GROUP BY 1")
+def sql_host_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, model numbers in URLs and the first clean title of each host, in SQL alone."""
+    sql.register(spark)
+    return spark.sql(f"""
+      SELECT coalesce(host, 'unknown') AS host, count(*) AS pages, count(model) AS models, min(first_title) AS first_title
+      FROM (SELECT host, model, clean_title(title, host) AS first_title
+            FROM (SELECT url_host(url) AS host, model_in_url(url) AS model, regexp_extract(html, '{TITLE}', 1) AS title, is_excluded_url(url) AS excluded FROM parquet.`{sf_dir}/pages.parquet`)
+            WHERE NOT excluded)
+      GROUP BY 1""")
+
+
 _REGION_SELECTORS = {"0": ["#none", "#box > .spec"], "1": ["section .spec li", "div"], "2": [".off p", "div[data-k='v'].spec", "main"]}
 _PART_REGION = """concat('<body><div class="off" style="display: none"><p>', p_brand, '</p></div><div id=box><section><div class="a spec" width=', 100 + 10 * p_size, '><h2>', p_name, '</h2><ol><li>', p_type, '<li><i>', p_brand, '</i></ol></div></section>',
   CASE WHEN p_partkey % 2 = 0 THEN '<div class=spec>direct' ELSE '' END, '<div class=spec data-k=v><p>with<br>data</div></div><main>end')"""
