@@ -7,13 +7,18 @@ import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill import config, ship
 from pagemill.functions.responses import normal_response
 from pagemill.functions.text import truncated
+from pagemill.guard import Guarded
+
+#: Rows of an Arrow batch that Python works on at once; prompts and texts are large.
+ROWS_AT_ONCE = 100
 
 SYSTEM_PROMPT = (
     "Extract the product from a shop page. Answer with one JSON object: "
@@ -92,37 +97,75 @@ def request_body(messages: Column, settings=config.DEFAULT) -> Column:
 def ask_model(pages: DataFrame, make_client: Callable[[], ModelClient], settings=config.DEFAULT) -> DataFrame:
     """pages (with column messages) with ``answer``, ``error`` and ``model_record`` (null where the model failed).
 
-    make_client is called once for each task. A client that cannot be reached is asked again after a pause; other
-    failures, empty answers and answers without a JSON object leave the record null, so that the rules apply.
+    make_client is called once for each task. A client that cannot be reached, or gives no answer in time, is asked again
+    after a pause; other failures, empty answers and answers without a JSON object leave the record null, so that the rules
+    apply. Every use of the result asks again: ask_once() writes answers first.
     """
     ship(pages.sparkSession)
     schema = T.StructType([*pages.schema.fields, T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())])
+    at = pages.columns.index("messages")
 
-    def asked(messages: list[dict[str, str]], client: ModelClient) -> tuple[str | None, str | None]:
+    def asked(messages: list[dict[str, str]], client: Guarded) -> tuple[str | None, str | None]:
+        error = "not asked"
         for attempt in range(settings.attempts):
-            try:
-                answer = client(messages)
-                return (answer, None) if answer and answer.strip() else (None, "empty answer")
-            except ConnectionError as error:
-                if attempt + 1 == settings.attempts:
-                    return None, f"unreachable: {error}"
+            if attempt:
                 time.sleep(settings.wait_seconds)
-            except Exception as error:  # noqa: BLE001  any failure of a client falls back to the rules
-                return None, f"{type(error).__name__}: {error}"
-        return None, "not asked"
+            answer, error = client(messages)
+            if error is None:
+                return (answer, None) if answer and answer.strip() else (None, "empty answer")
+            if not error.startswith(("ConnectionError", "TimeoutError")):
+                return None, error
+        return None, f"unreachable: {error}"
 
     def answered(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        client = make_client()
-        for b in batches:
-            got = [asked(m or [], client) for m in b.column(b.schema.get_field_index("messages")).to_pylist()]
-            made = [pa.array([g[k] for g in got], pa.string()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], schema.fieldNames())
+        with Guarded(make_client, settings.answer_seconds) as client:
+            for batch in batches:
+                for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
+                    b = batch.slice(begin, ROWS_AT_ONCE)
+                    got = [asked(m or [], client) for m in b.column(at).to_pylist()]
+                    made = [pa.array([g[k] for g in got], pa.string()) for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*b.columns, *made], schema.fieldNames())
 
     return pages.mapInArrow(answered, schema).withColumn("model_record", normal_response(F.col("answer")))
 
 
+ANSWERS = "request string, answer string, error string, attempt int"
+
+
+def read_answers(spark: SparkSession, store: str) -> DataFrame:
+    """The last attempt of each request in a store of answers; an empty table if there is no store yet."""
+    try:
+        found = spark.read.schema(ANSWERS).parquet(store)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ANSWERS)
+    return found.groupBy("request").agg(F.max_by(F.struct("answer", "error", "attempt"), "attempt").alias("last")).select("request", "last.*")
+
+
+def ask_once(pages: DataFrame, make_client: Callable[[], ModelClient], store: str, settings=config.DEFAULT) -> DataFrame:
+    """pages (with column messages) with ``request``, ``answer``, ``error`` and ``model_record``; each distinct request is asked once.
+
+    A request is known by the digest of its body. Requests that the store (a path) has no answer for, after fewer than
+    settings.attempts runs, are asked and their answers written; only then is the result read from there. So whatever is done
+    with the result asks nobody, equal pages share an answer, and a later run asks what failed. A task that is run again
+    after a loss asks its own requests again.
+    """
+    spark = pages.sparkSession
+    body = F.sha2(request_body(F.col("messages"), settings), 256)
+    known = read_answers(spark, store)
+    settled = known.where(F.col("answer").isNotNull() | (F.col("attempt") >= settings.attempts)).select("request")
+    open_ = pages.select(body.alias("request"), "messages").groupBy("request").agg(F.first("messages").alias("messages")).join(settled, "request", "left_anti")
+    open_ = open_.join(known.select("request", "attempt"), "request", "left")
+    asked = ask_model(open_, make_client, settings)
+    asked.select("request", "answer", "error", (F.coalesce("attempt", F.lit(0)) + 1).alias("attempt")).write.mode("append").parquet(store)
+    answers = read_answers(spark, store).drop("attempt")
+    # a request of very many pages is split by Spark's handling of skewed joins: the other side has one row for it
+    return pages.withColumn("request", body).join(answers, "request", "left").withColumn("model_record", normal_response(F.col("answer")))
+
+
 def correct_spacing(texts: DataFrame, column: str, make_spacer: Callable[[], Spacer]) -> DataFrame:
     """texts with every line of a column that is not blank corrected by a spacer, which is made once for each task.
 
@@ -136,7 +179,7 @@ def correct_spacing(texts: DataFrame, column: str, make_spacer: Callable[[], Spa
         import pyarrow as pa
 
         spacer = make_spacer()
-        for b in batches:
+        for b in (batch.slice(k, ROWS_AT_ONCE) for batch in batches for k in range(0, batch.num_rows, ROWS_AT_ONCE)):
             lines = [None if t is None else t.split("\n") for t in b.column(at).to_pylist()]
             fixed = pa.array([None if x is None else "\n".join(spacer(y) if y.strip() else y for y in x) for x in lines], pa.string())
             yield pa.RecordBatch.from_arrays([fixed if k == at else b.column(k) for k in range(b.num_columns)], names)

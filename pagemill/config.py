@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 #: Labels that announce a model number or a specification, by category, in order of precedence.
 MODEL, SPEC = "model", "규격"
@@ -51,7 +51,6 @@ STATUS_KEY, NAME_KEY, SPECS_KEY = "상태", "상품명", "규격"
 class Settings:
     """Limits that a run may change."""
 
-    excluded_domains: list[str] = field(default_factory=lambda: list(EXCLUDED_DOMAINS))
     most_assets: int = 60
     asset_width: int = 250
     asset_height: int = 80
@@ -69,12 +68,14 @@ class Settings:
     snippet_chars: int = 3000
     blocked_chars: int = 1500
     legacy_chars: int = 2000
-    engine: str = "rules"  # or "model"
+    engine: str = "model"  # or "rules", which asks no model even if there is one
     model_name: str = "qwen3:4b"
     model_tokens: int = 1500
     model_context: int = 12_288
     attempts: int = 3
     wait_seconds: float = 8.0
+    read_seconds: float = 300.0  # for one image
+    answer_seconds: float = 600.0  # for one request
 
 
 DEFAULT = Settings()

@@ -10,8 +10,10 @@ from pyspark.sql import types as T
 
 from pagemill import adapters, ship
 from pagemill.config import DEFAULT, NO_CONTENT, Settings
+from pagemill.guard import Guarded
 from pagemill.operators import assets, boxes, records
 from pagemill.sources import captures, sinks
+from pagemill.storage import fresh_path, materialise
 
 RAW_WORDS = "polygons array<array<array<double>>>, texts array<string>, scores array<double>"
 
@@ -25,30 +27,35 @@ def png_size(content: Column) -> Column:
 def read_words(images: DataFrame, make_reader: Callable[[], adapters.WordReader], settings: Settings = DEFAULT) -> DataFrame:
     """``path``, ``words`` (boxes of the whole image) and ``error`` of images (path, content).
 
-    Each image is cut into overlapping strips, which are read one by one and moved back to their place. A reader is made
-    once for each task. An image whose header or reading fails has an error and null words.
+    Each image travels once, with the list of its overlapping strips, which are read one by one and moved back to their place.
+    A reader is made once for each task, in a process of its own; an image has settings.read_seconds. An image whose
+    header or reading fails, or takes longer, has an error and null words, and holds up no other.
     """
     ship(images.sparkSession)
-    sized = images.select("path", "content", F.explode_outer(boxes.tiles(png_size(F.col("content"))["height"], settings)).alias("tile"))
+    strips = boxes.tiles(png_size(F.col("content"))["height"], settings)
+    sized = images.select("path", "content", F.transform(strips, lambda s: F.struct(s["y0"].alias("y0"), s["y1"].alias("y1"))).alias("strips"))
     schema = T.StructType.fromDDL(f"path string, y0 int, {RAW_WORDS}, error string")
 
+    def make_strip_reader() -> Callable:
+        reader = make_reader()
+        return lambda content, strips: [reader(content, *s) for s in strips]
+
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        reader, arrow = make_reader(), to_arrow_schema(schema)
-        for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                found, error = (None, None, None), None
-                try:
-                    if r["tile"] is None:
-                        raise ValueError("not a PNG file, or one without height")
-                    found = reader(r["content"], r["tile"]["y0"], r["tile"]["y1"])
-                except Exception as failure:  # noqa: BLE001  an image that cannot be read must not stop the others
-                    error = f"{type(failure).__name__}: {failure}"
-                rows.append({"path": r["path"], "y0": (r["tile"] or {}).get("y0"), "polygons": found[0], "texts": found[1], "scores": found[2], "error": error})
-            yield pa.RecordBatch.from_pylist(rows, arrow)
+        arrow = to_arrow_schema(schema)
+        with Guarded(make_strip_reader, settings.read_seconds) as reader:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    path, content, strips = (batch.column(c)[k].as_py() for c in range(3))
+                    strips = [(s["y0"], s["y1"]) for s in strips or ()]
+                    found, error = reader(content, strips) if strips else (None, "ValueError: not a PNG file, or one without height")
+                    if error:
+                        rows = [{"path": path, "error": error}]
+                    else:
+                        rows = [{"path": path, "y0": y0, "polygons": f[0], "texts": f[1], "scores": f[2]} for (y0, _), f in zip(strips, found)]
+                    yield pa.RecordBatch.from_pylist(rows, arrow)
 
     raw = sized.mapInArrow(read, schema)
     words = boxes.words_of_result(F.col("polygons"), F.col("texts"), F.col("scores"), F.col("y0"), settings)
@@ -73,20 +80,38 @@ def texts_by_product(texts: DataFrame) -> DataFrame:
     return known.groupBy("product").agg(assets.joined_texts(F.col("text"), order).alias("text"), assets.image_sections(F.col("text"), order).alias("section"))
 
 
+def read_in_rounds(
+    images: DataFrame, content: DataFrame, run: str, texts_path: str, make_reader: Callable[[], adapters.WordReader], make_spacer: Callable[[], adapters.Spacer] | None = None, settings: Settings = DEFAULT, use_cache: bool = True
+) -> None:
+    """Read the images (path, mtime; content: path, content) that have no fresh text, and add their texts to texts_path.
+
+    An image that failed has no text but a row in the table of failures beside the texts (texts_path with ``_errors``: run,
+    path, mtime, attempt, error). It is read again in the next round, with what else is left, and given up after
+    settings.attempts of them; an image that has changed since begins anew.
+    """
+    spark = images.sparkSession
+    for number in range(settings.attempts):
+        known = captures.read_image_texts(spark, texts_path, run)
+        todo = assets.pending_images(images, known, use_cache or number > 0)
+        failures = captures.read_failures(spark, texts_path, run).groupBy("path", "mtime").agg(F.max("attempt").alias("tried"))
+        todo = todo.join(failures, ["path", "mtime"], "left").where(F.coalesce("tried", F.lit(0)) < settings.attempts)
+        if todo.isEmpty():
+            break
+        done = materialise(image_texts(todo.select("path", "mtime").join(content, "path"), make_reader, None, make_spacer, settings), "image-texts")
+        good = done.where(F.col("error").isNull())
+        sinks.write_image_texts(good.select(F.lit(run).alias("run"), "path", "text", F.current_timestamp().alias("mtime")), texts_path)
+        failed = done.where(F.col("error").isNotNull()).join(todo, "path").select(F.lit(run).alias("run"), "path", "mtime", (F.coalesce("tried", F.lit(0)) + 1).alias("attempt"), "error")
+        sinks.write_failures(failed, texts_path)
+
+
 def read_capture_images(
     spark: SparkSession, run: str, texts_path: str, make_reader: Callable[[], adapters.WordReader], make_spacer: Callable[[], adapters.Spacer] | None = None, settings: Settings = DEFAULT, use_cache: bool = True
 ) -> DataFrame:
-    """Read the images of a run that have no fresh text, add their texts to texts_path, and return texts_by_product() of all.
-
-    An image that failed has no text and is read again next time. No image is an empty result.
-    """
+    """read_in_rounds() of the images of a run, and texts_by_product() of all its texts. No image is an empty result."""
     name = run.rstrip("/").rsplit("/", 1)[-1]
     images = captures.read_images(spark, run)
-    known = captures.read_image_texts(spark, texts_path, name)
-    todo = assets.pending_images(images, known, use_cache)
     content = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][nN][gG]").load(run).select("path", "content")
-    done = image_texts(todo.join(content, "path"), make_reader, None, make_spacer, settings).where(F.col("error").isNull())
-    sinks.write_image_texts(done.select(F.lit(name).alias("run"), "path", "text", F.current_timestamp().alias("mtime")), texts_path)
+    read_in_rounds(images, content, name, texts_path, make_reader, make_spacer, settings, use_cache)
     newest = captures.read_image_texts(spark, texts_path, name).groupBy("path").agg(F.max_by("text", "mtime").alias("text"))
     return texts_by_product(newest.join(images.select("path"), "path"))
 
@@ -109,20 +134,22 @@ def capture_pages(spark: SparkSession, run: str, products: DataFrame | None = No
 
 
 def build_records(
-    spark: SparkSession, run: str, out: str | None = None, products: DataFrame | None = None, make_client: Callable[[], adapters.ModelClient] | None = None, mode: str = "full", settings: Settings = DEFAULT
+    spark: SparkSession, run: str, out: str | None = None, products: DataFrame | None = None, make_client: Callable[[], adapters.ModelClient] | None = None, mode: str = "full", settings: Settings = DEFAULT, answers: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Records of all pages of a run and their report by host; the records are written by host to out if it is given.
 
-    With a client a model is asked first, for captured pages only, and the rules take what it leaves.
+    With a client (and settings.engine ``model``) a model is asked first, for captured pages only, and the rules take what it leaves. Each
+    distinct request is asked once, and its answer written to answers (a path, by default one in the shared folder) before
+    it is used; the records returned are read from a table, so looking at them asks nobody.
     """
     pages = capture_pages(spark, run, products)
-    if make_client:
+    if make_client and settings.engine == "model":
         captured = F.col("status") == "captured"
         messages = adapters.prompt(F.col("url"), F.col("title"), F.col("context"), F.lit(NO_CONTENT), settings=settings)
-        asked = adapters.ask_model(pages.where(captured).withColumn("messages", messages), make_client, settings).drop("messages", "answer", "error")
+        asked = adapters.ask_once(pages.where(captured).withColumn("messages", messages), make_client, answers or fresh_path(spark, "answers"), settings).drop("messages", "request", "answer", "error")
         rest = pages.where(~captured | F.col("status").isNull())
         pages = asked.unionByName(rest.withColumn("model_record", F.lit(None).cast(asked.schema["model_record"].dataType)))
-    found = records.product_records(pages, mode)
+    found = materialise(records.product_records(pages, mode), "records")
     if out is not None:
         sinks.write_records(found, out)
     return found, records.host_report(found)

@@ -6,12 +6,16 @@ the same way in Spark and in SQL.
 
 from __future__ import annotations
 
+import time
+from hashlib import md5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill import adapters, config, sql
 from pagemill.functions import labels, responses, text, urls
 from pagemill.operators import assets, boxes, dom, html, records, tables
+from pagemill.plans import captures as capture_plans
 from pagemill.sources import capture_source, captures, sinks
 from pagemill.storage import fresh_path
 
@@ -774,3 +778,54 @@ def page_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = capture_source.capture_folders(spark, run, "number", "folder", "host", "html")
     kept = pages.where(~F.contains("host", F.lit("example.org")) & ~F.contains("host", F.lit("blog.")))
     return kept.select("number", "folder", "host", F.length("html").alias("n_chars"), F.md5(F.col("html").cast("binary")).alias("digest"))
+
+
+class DigestClient:
+    """Stands in for a model: the product is named by the digest of the message."""
+
+    def __call__(self, messages: list[dict[str, str]]) -> str:
+        return '{"product_name": "%s", "variants": []}' % md5(messages[-1]["content"].encode()).hexdigest()
+
+
+_SHARED_MESSAGE_SQL = _MESSAGE_SQL.replace("'https://h/' || doc_id", "'https://h/'")
+
+
+@query(f"SELECT doc_id, md5({_SHARED_MESSAGE_SQL}) AS product_name, 1 AS times_asked FROM (SELECT doc_id, source, {sql_strip("coalesce(text, '')")} AS t FROM documents)")
+def answers_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's answer for each document, and how often its request was asked: equal requests once, whatever uses the result."""
+    messages = adapters.prompt(F.lit("https://h/"), F.col("source"), F.col("text"), F.lit(""))
+    store = fresh_path(spark, "answers")
+    found = adapters.ask_once(table(spark, sf_dir, "documents").select("doc_id", messages.alias("messages")), DigestClient, store)
+    times = spark.read.schema(adapters.ANSWERS).parquet(store).groupBy("request").agg(F.count(F.lit(1)).cast("int").alias("times_asked"))
+    return found.join(times, "request").select("doc_id", F.col("model_record.product_name").alias("product_name"), "times_asked")
+
+
+class FaultyReader:
+    """Stands in for a recognition engine: finds the one word behind a picture's header, hangs on one picture, and fails on others."""
+
+    def __call__(self, image: bytes, y0: int, y1: int) -> tuple[list, list[str], list[float]]:
+        word = image[24:].decode()
+        if word == "P1":
+            time.sleep(600)
+        if word.endswith("7"):
+            raise ValueError(f"no words in {word}")
+        return [[[0.0, 5.0], [40.0, 5.0], [40.0, 25.0], [0.0, 25.0]]], [word], [0.9]
+
+
+@query("""
+WITH p AS (SELECT 'run/assets/' || p_partkey || '.png' AS path, 'P' || p_partkey AS word, p_partkey FROM part),
+f AS (SELECT path, CASE WHEN p_partkey % 10 = 3 THEN 'ValueError: not a PNG file, or one without height' WHEN p_partkey = 1 THEN 'TimeoutError: no answer within 1.5 seconds' WHEN word LIKE '%7' THEN 'ValueError: no words in ' || word END AS error, word FROM p)
+SELECT path, 0 AS attempt, word AS outcome FROM f WHERE error IS NULL UNION ALL SELECT path, unnest([1, 2]), error FROM f WHERE error IS NOT NULL
+""")
+def read_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of pictures, and the failed attempts at the others: one hangs, some are broken, some raise; none holds up the rest."""
+    header = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), F.unhex(F.lit("0000002800000020")))
+    word = F.concat(F.lit("P"), "p_partkey").cast("binary")
+    pictures = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("run/assets/"), "p_partkey", F.lit(".png")).alias("path"), F.lit("2026-01-01 00:00:00").cast("timestamp").alias("mtime"),
+        F.when(F.col("p_partkey") % 10 == 3, word).otherwise(F.concat(header, word)).alias("content"),
+    )
+    texts = fresh_path(spark, "texts")
+    capture_plans.read_in_rounds(pictures.select("path", "mtime"), pictures.select("path", "content"), "run", texts, FaultyReader, settings=config.Settings(attempts=2, read_seconds=1.5))
+    good = captures.read_image_texts(spark, texts, "run").select("path", F.lit(0).alias("attempt"), F.col("text").alias("outcome"))
+    return good.unionByName(captures.read_failures(spark, texts, "run").select("path", "attempt", F.col("error").alias("outcome")))

@@ -97,6 +97,18 @@ def read_image_texts(spark: SparkSession, path: str, run: str) -> DataFrame:
         return spark.createDataFrame([], "path string, text string, mtime timestamp")
 
 
+def read_failures(spark: SparkSession, texts_path: str, run: str | None = None) -> DataFrame:
+    """``path``, ``mtime``, ``attempt`` and ``error`` of all failed attempts of a run, or with ``run`` those of all runs; an empty table if none failed."""
+    schema = "path string, mtime timestamp, attempt int, error string, run string"
+    try:
+        found = spark.read.schema(schema).parquet(texts_path.rstrip("/") + "_errors")
+    except Exception as error:  # noqa: BLE001  Spark has no narrower type for it
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        found = spark.createDataFrame([], schema)
+    return found if run is None else found.where(F.col("run") == run).drop("run")
+
+
 def with_context(metadata: DataFrame, context: DataFrame, merged: DataFrame | None = None, old: dict[str, DataFrame] | None = None) -> DataFrame:
     """metadata with ``context``: the merged document if there is one, else the page's own, else what older runs had."""
     out = metadata.join(context.select("folder", F.col("text").alias("context_")), "folder", "left")

@@ -45,6 +45,11 @@ def write_image_texts(texts: DataFrame, path: str) -> None:
     texts.select("run", "path", F.coalesce("text", F.lit("")).alias("text"), "mtime").write.mode("append").partitionBy("run").parquet(path)
 
 
+def write_failures(failures: DataFrame, texts_path: str) -> None:
+    """What could not be read (run, path, mtime, attempt, error), in the table of failures beside the texts."""
+    failures.select("run", "path", "mtime", "attempt", "error").write.mode("append").partitionBy("run").parquet(texts_path.rstrip("/") + "_errors")
+
+
 def write_combined_texts(texts: DataFrame, path: str) -> None:
     """The texts of a product's images joined in order, as one row for each product (run, product, text)."""
     texts.select("run", "product", "text").write.mode("append").partitionBy("run").parquet(path)
