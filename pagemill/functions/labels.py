@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from pagemill.functions.text import SPACE, bound, lines, longest, normal_label,
 _SEPARATORS = config.TITLE_SEPARATORS.replace(r"\s", SPACE)
 _NO_SPACE = r"[^\t-\r\x1c-\x20\x85\p{Z}]"
 _IN_LINE = r"[^\n]"
+#: Lines of a label and its value, by tab and by colon.
 TAB_LINE = rf"^([^\t]{{1,20}})\t+({_NO_SPACE}{_IN_LINE}{{0,120}})$"
 COLON_LINE = rf"^([^\t:：]{{1,20}}?){SPACE}*[:：]{SPACE}*({_NO_SPACE}{_IN_LINE}{{0,120}})$"
 
@@ -32,19 +35,14 @@ def clean_title(title: Column, host: Column) -> Column:
     return bound(F.coalesce(title, F.lit("")), lambda raw: bound(split(raw), lambda parts: named(raw, parts)))
 
 
-def classify_label(label: Column) -> Column:
-    """The first category with a keyword in the label, both without white space and in lower case; else null."""
-
-    def category(normal: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for name, keywords in reversed(config.LABEL_KEYWORDS.items()):
-            found = F.lit(False)
-            for word in keywords:
-                found = found | F.contains(normal, F.lit("".join(word.split()).lower()))
-            out = F.when(found, F.lit(name)).otherwise(out)
-        return out
+def classify_label(label: Column, keywords: dict[str, list[str]] | None = None) -> Column:
+    """The first category with a keyword in the label, both without white space and in lower case; else null.
 
-    return bound(normal_label(label), category)
+    A category's keywords (the settings', or others) are one pattern. For a dictionary in a table see operators/keywords.py.
+    """
+    known = config.LABEL_KEYWORDS if keywords is None else keywords
+    patterns = {name: "|".join(re.escape("".join(w.split()).lower()) for w in words) for name, words in known.items()}
+    return bound(normal_label(label), lambda normal: F.coalesce(F.lit(None).cast("string"), *[F.when(F.rlike(normal, F.lit(p)), F.lit(name)) for name, p in patterns.items() if p]))
 
 
 def label_value(line: Column) -> Column:

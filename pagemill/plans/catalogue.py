@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pagemill import adapters, config, sql
 from pagemill.functions import labels, responses, text, urls
-from pagemill.operators import assets, boxes, dom, html, records, tables
+from pagemill.operators import assets, boxes, dom, html, keywords, records, tables
 from pagemill.plans import captures as capture_plans
 from pagemill.sources import capture_source, captures, sinks
 from pagemill.storage import fresh_path
@@ -829,3 +829,38 @@ def read_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     capture_plans.read_in_rounds(pictures.select("path", "mtime"), pictures.select("path", "content"), "run", texts, FaultyReader, settings=config.Settings(attempts=2, read_seconds=1.5))
     good = captures.read_image_texts(spark, texts, "run").select("path", F.lit(0).alias("attempt"), F.col("text").alias("outcome"))
     return good.unionByName(captures.read_failures(spark, texts, "run").select("path", "attempt", F.col("error").alias("outcome")))
+
+
+# Dictionaries in tables
+
+
+_DICTIONARY_SQL = """
+  d AS (SELECT p_brand AS category, p_partkey % 97 AS position, left(w, 2 + (p_size % 3)::INT) AS keyword FROM (SELECT *, unnest(string_split(p_name, ' ')) AS w FROM part)),
+  k AS (SELECT keyword, min((position, category)) AS f FROM d GROUP BY keyword)"""
+
+
+def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The beginnings of the words that name parts, by brand."""
+    words = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size", F.explode(F.split("p_name", " ")).alias("w"))
+    return words.select(F.col("p_brand").alias("category"), (F.col("p_partkey") % 97).alias("position"), F.substring(F.col("w"), F.lit(1), (2 + F.col("p_size") % 3).cast("int")).alias("keyword"))
+
+
+@query(f"""
+WITH {_DICTIONARY_SQL},
+m AS (SELECT doc_id, min((k.f[1], k.f[2], k.keyword)) AS best FROM documents JOIN k ON contains(text, k.keyword) GROUP BY doc_id)
+SELECT doc_id, best[2] AS category, best[3] AS keyword FROM documents LEFT JOIN m USING (doc_id)
+""")
+def keyword_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first category of a dictionary table with a keyword in each document, in three parts of the dictionary."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return keywords.first_category(docs, _dictionary(spark, sf_dir), most=600).select("doc_id", "category", "keyword")
+
+
+@query(f"""
+WITH {_DICTIONARY_SQL}
+SELECT doc_id, keyword, (length(text) - length(replace(text, keyword, ''))) // length(keyword) AS n FROM documents JOIN k ON contains(text, keyword)
+""")
+def keyword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each keyword of a dictionary table stands in each document."""
+    found = keywords.keyword_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), _dictionary(spark, sf_dir))
+    return found.select("doc_id", F.explode("keywords").alias("k")).select("doc_id", "k.keyword", "k.n")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import strip
-from pagemill.functions.urls import host_slug, is_excluded
+from pagemill.functions.urls import host, host_slug, is_excluded
+from pagemill.operators.keywords import first_category
 from pagemill.operators.records import legacy_context
 
 METADATA = (
@@ -42,9 +43,18 @@ def numbered(df: DataFrame, order: str, name: str = "number", buckets: int = BUC
     return ranked.join(F.broadcast(starts), "bucket_").withColumn(name, F.col("at_") + F.col("in_")).drop("bucket_", "in_", "at_")
 
 
-def capture_plan(urls: DataFrame, order: str = "pos", domains: list[str] | None = None) -> DataFrame:
+def without_domains(urls: DataFrame, domains: list[str] | DataFrame | None = None) -> DataFrame:
+    """The URLs whose host holds none of domains: a list, or a table of any size (category, position, keyword)."""
+    if not isinstance(domains, DataFrame):
+        return urls.where(~is_excluded(F.col("url"), domains))
+    named = urls.select(F.struct(*[F.col(f"`{c}`") for c in urls.columns]).alias("row_"), F.coalesce(host(F.col("url")), F.lit("")).alias("host_"))
+    kept = first_category(named, domains.where("keyword <> ''").withColumn("keyword", F.lower("keyword")), "host_").where("keyword IS NULL")
+    return kept.select(*[F.col(f"row_.`{c}`").alias(c) for c in urls.columns])
+
+
+def capture_plan(urls: DataFrame, order: str = "pos", domains: list[str] | DataFrame | None = None) -> DataFrame:
     """The URLs to capture, without excluded domains, with ``number`` and ``folder``."""
-    kept = numbered(urls.where(~is_excluded(F.col("url"), domains)), order)
+    kept = numbered(without_domains(urls, domains), order)
     return kept.withColumn("folder", F.concat(F.col("number").cast("string"), F.lit("_"), host_slug(F.col("url"))))
 
 
