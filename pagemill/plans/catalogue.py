@@ -831,6 +831,35 @@ def read_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(captures.read_failures(spark, texts, "run").select("path", "attempt", F.col("error").alias("outcome")))
 
 
+# Broken answers: what is wrong, and the JSON that was meant; K is a number from the events
+
+
+_BROKEN = [
+    ('{"k": K "t": "view"}', '{"k":K,"t":"view"}'),
+    ('{"k": K,, "t": "view",}', '{"k":K,"t":"view"}'),
+    ("{'k': K, 't': 'it\\'s \"view\"'}", '{"k":K,"t":"it\'s \\"view\\""}'),
+    ("{k: K, t: page view}", '{"k":K,"t":"page view"}'),
+    ('{"k": [K, 1}, "t": "view"}', '{"k":[K,1],"t":"view"}'),
+    ('Sure! {"k": [K, {"t": "view"]}', '{"k":[K,{"t":"view"}]}'),
+    ('{"k":: K, "t":, "u" "v"}', '{"k":K,"t":null,"u":"v"}'),
+    ('{"k": K, "t": "5" wide"}', '{"k":K,"t":"5\\" wide"}'),
+    ('{"k": K, "t": None, "u": [True, False,], }} end', '{"k":K,"t":null,"u":[true,false]}'),
+    ('{"k": "a\nK\t", "t": {"u": "x}', '{"k":"a\\nK\\t","t":{"u":"x}"}}'),
+]
+
+
+def _sql_cases(pairs: list[str]) -> str:
+    return "CASE event_id % " + str(len(pairs)) + " " + " ".join(f"WHEN {k} THEN {_sql_text(p)}" for k, p in enumerate(pairs)) + " END"
+
+
+@query(f"SELECT event_id, replace({_sql_cases([meant for _, meant in _BROKEN])}, 'K', regexp_extract(props, '[0-9]+')) AS answer FROM events")
+def repaired_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON objects of broken answers."""
+    form = F.get(F.array(*[F.lit(broken) for broken, _ in _BROKEN]), (F.col("event_id") % len(_BROKEN)).cast("int"))
+    answer = F.replace(form, F.lit("K"), F.regexp_extract("props", "[0-9]+", 0))
+    return table(spark, sf_dir, "events").select("event_id", F.to_json(responses.parsed_object(answer)).alias("answer"))
+
+
 # Dictionaries in tables
 
 

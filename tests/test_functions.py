@@ -168,3 +168,50 @@ def test_normal_response(one, answer, name, variants):
 @pytest.mark.parametrize("answer", ["[1]", "no", "", None])
 def test_no_response(one, answer):
     assert one(responses.normal_response(F.lit(answer).cast("string"))) is None
+
+
+REPAIRS = [
+    ('{"k": 69 "t": "view"}', {"k": 69, "t": "view"}), ('{"k": 69,, "t": "view",}', {"k": 69, "t": "view"}), ("{'k': 69, 't': 'it\\'s view'}", {"k": 69, "t": "it's view"}),
+    ("{k: 69, t: view}", {"k": 69, "t": "view"}), ('{"k": [69, 1}, "t": "view"]', {"k": [69, 1], "t": "view"}), ('{"k": [69, {"a": "vie', {"k": [69, {"a": "vie"}]}),
+    ('{"k" "v", "t":, "u"}', {"k": "v", "t": None, "u": None}), ('{"t": "5" wide", "k": 69}', {"t": '5" wide', "k": 69}), ('{"k": None, "t": True, n: -1.5e2}', {"k": None, "t": True, "n": -150.0}),
+    ('{"a":[1,2}', {"a": [1, 2]}), ('[{"a":[1,2}, {"b":2}]', [{"a": [1, 2]}, {"b": 2}]), ('{"a": "x\ny", "b": [one two, 2]}', {"a": "x\ny", "b": ["one two", 2]}),
+    ('{"a": {"b": 1}, "c": 2}} tail {"d": 1}', {"a": {"b": 1}, "c": 2}), ('{"a": "q\\', {"a": "q"}), ('{ {"a":1} }', {"": {"a": 1}}), ('{"a"::1}', {"a": 1}), ('{"a": [1, 2, ], "b": {"c": 1,}}', {"a": [1, 2], "b": {"c": 1}}),
+    ('{"a": "tab\there \\d \\u12"}', {"a": "tab\there d "}), ('{"a": \'say "hi"\'}', {"a": 'say "hi"'}), ("{C:\\path: x\\y}", {"C": "\\path"}), ("{", {}), ('{"a": [[1, 2}}', {"a": [[1, 2]]}), ('{"a" "b" "c" "d"}', {"a": "b", "c": "d"}),
+]
+
+
+def test_repaired(spark):
+    """Whatever is broken, JSON comes out; these come out as they were meant."""
+    import json
+
+    from pagemill.functions import responses
+
+    frame = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(REPAIRS)], "k int, t string").select("k", responses.repaired(F.col("t")).alias("r"))
+    for r in frame.collect():
+        if REPAIRS[r["k"]][0].startswith("{C:"):
+            json.loads(r["r"])
+        else:
+            assert json.loads(r["r"]) == REPAIRS[r["k"]][1], REPAIRS[r["k"]][0]
+
+
+def test_repair_of_anything_is_json_and_leaves_json_alone(spark):
+    import json
+    import random
+
+    from pagemill.functions import responses
+
+    draw = random.Random(4)
+    marks = ['{', '}', '[', ']', ':', ',', '"a"', "'b'", "bare", "7", "true", " ", '"', "'", "\\", "\n"]
+    broken = ["{" + "".join(draw.choice(marks) for _ in range(draw.randint(0, 14))) for _ in range(1500)]
+
+    def value(depth):
+        kind = draw.randint(0, 5 if depth else 3)
+        return [draw.choice([None, True, False]), draw.randint(-99, 99), draw.choice(["", 'q"q', "a,b: c", "\\", "x\n\t", "é 하", "it's"]), 0.5][kind] if kind < 4 else [value(depth - 1) for _ in range(draw.randint(0, 3))] if kind == 4 else {draw.choice("abcd") + str(i): value(depth - 1) for i in range(draw.randint(0, 3))}
+
+    good = [json.dumps({"v": value(3)}, ensure_ascii=False) for _ in range(400)]
+    frame = spark.createDataFrame([(t,) for t in broken + good], "t string").select("t", responses.repaired(F.col("t")).alias("r"))
+    for r in frame.collect():
+        got = json.loads(r["r"], strict=True)
+        assert isinstance(got, dict)
+        if r["t"] in good:
+            assert got == json.loads(r["t"])
