@@ -58,6 +58,9 @@ class Settings:
     region_height: int = 150
     upscale_width: int = 700
     upscale_most: float = 3.0
+    stretch_cutoff: int = 1  # per cent, as the next two
+    contrast_per_cent: int = 115
+    sharpness_per_cent: int = 160
     tile_height: int = 1200
     tile_overlap: int = 100
     least_confidence: float = 0.30

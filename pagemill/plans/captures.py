@@ -12,6 +12,7 @@ from pagemill import adapters, ship
 from pagemill.config import DEFAULT, NO_CONTENT, Settings
 from pagemill.guard import Guarded
 from pagemill.operators import assets, boxes, records
+from pagemill.operators.images import prepare_images
 from pagemill.sources import captures, sinks
 from pagemill.storage import fresh_path, materialise
 
@@ -65,10 +66,14 @@ def read_words(images: DataFrame, make_reader: Callable[[], adapters.WordReader]
     return whole.select("path", F.when(F.col("error").isNull(), F.col("words")).alias("words"), "error")
 
 
-def image_texts(images: DataFrame, make_reader: Callable[[], adapters.WordReader], texts: DataFrame | None = None, make_spacer: Callable[[], adapters.Spacer] | None = None, settings: Settings = DEFAULT) -> DataFrame:
-    """``path``, ``text``, ``error`` of the images (path, mtime, content) that have no fresh text (path, mtime) yet."""
+def image_texts(images: DataFrame, make_reader: Callable[[], adapters.WordReader], texts: DataFrame | None = None, make_spacer: Callable[[], adapters.Spacer] | None = None, settings: Settings = DEFAULT, prepare: bool = False) -> DataFrame:
+    """``path``, ``text``, ``error`` of the images (path, mtime, content) that have no fresh text (path, mtime) yet.
+
+    prepare: enlarge and sharpen them before (images.prepare_images); one that cannot be prepared is read as it is.
+    """
     pending = images if texts is None else assets.pending_images(images, texts)
-    read = read_words(pending.select("path", "content"), make_reader, settings)
+    pictures = prepare_images(pending.select("path", "content"), settings) if prepare else pending
+    read = read_words(pictures.select("path", "content"), make_reader, settings)
     found = read.select("path", boxes.recognised_text(F.col("words"), settings=settings).alias("text"), "error")
     return adapters.correct_spacing(found, "text", make_spacer) if make_spacer else found
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pagemill import adapters, config, sql
 from pagemill.functions import labels, responses, text, urls
-from pagemill.operators import assets, boxes, dom, html, keywords, records, tables
+from pagemill.operators import assets, boxes, dom, html, images, keywords, records, tables
 from pagemill.plans import captures as capture_plans
 from pagemill.sources import capture_source, captures, sinks
 from pagemill.storage import fresh_path
@@ -893,3 +893,43 @@ def keyword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each keyword of a dictionary table stands in each document."""
     found = keywords.keyword_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), _dictionary(spark, sf_dir))
     return found.select("doc_id", F.explode("keywords").alias("k")).select("doc_id", "k.keyword", "k.n")
+
+
+# Pixels: embeddings as grey images of eight rows
+
+
+_PIXELS_SQL = "SELECT vec_id, list_transform(embedding, lambda v: least(255, greatest(0, floor((v::DOUBLE + 0.5) * 256)))::BIGINT) AS p, len(embedding) // 8 AS w FROM embeddings"
+
+
+def _sql_weights(name: str, size: str, wanted: int) -> str:
+    """For each place (o) of a resampled line the weights (k) of places (i) of the line, as integers."""
+    x = f"((i - (o + 0.5) * {size} / {wanted} + 0.5) / greatest({size} / {wanted}, 1.0))"
+    sinc = lambda x: f"(CASE WHEN {x} = 0 THEN 1.0 ELSE sin(pi() * {x}) / (pi() * {x}) END)"
+    lanczos = f"CASE WHEN {x} >= -3 AND {x} < 3 THEN {sinc(x)} * {sinc(f'({x} / 3)')} ELSE 0.0 END"
+    return f"""
+    {name} AS (SELECT o, i, CASE WHEN k < 0 THEN ceil(k * 4194304 - 0.5) ELSE floor(k * 4194304 + 0.5) END::BIGINT AS k
+      FROM (SELECT o, i, lanczos / sum(lanczos) OVER (PARTITION BY o) AS k
+            FROM (SELECT o, i, {lanczos} AS lanczos FROM range({wanted}) t(o), range((SELECT max({size})::BIGINT FROM p)) u(i), (SELECT max(w)::DOUBLE AS w FROM p)
+                  WHERE i >= greatest(trunc((o + 0.5) * {size} / {wanted} - 3 * greatest({size} / {wanted}, 1.0) + 0.5), 0)
+                    AND i < least(trunc((o + 0.5) * {size} / {wanted} + 3 * greatest({size} / {wanted}, 1.0) + 0.5), {size}))))"""
+
+
+@query(f"""
+WITH p AS ({_PIXELS_SQL}),
+{_sql_weights("across", "w", 12)}, {_sql_weights("down", "8::DOUBLE", 5)},
+s AS (SELECT vec_id, p, list_sort(p)[len(p) * 5 // 100 + 1] AS low, list_sort(p)[len(p) - len(p) * 5 // 100] AS high FROM p),
+stretched AS (SELECT vec_id, array_to_string(list_transform(p, lambda v: CASE WHEN high > low THEN greatest(0, least(255, (v - low) * 255 // (high - low))) ELSE v END), ',') AS stretched FROM s),
+one AS (SELECT vec_id, unnest(p) AS v, unnest(range(len(p))) AS place, w FROM p),
+wide AS (SELECT vec_id, place // w AS y, o, least(255, greatest(0, sum(v * k) + 2097152) // 4194304) AS v FROM one JOIN across ON across.i = place % w GROUP BY ALL),
+high AS (SELECT vec_id, down.o AS y, wide.o AS x, least(255, greatest(0, sum(v * k) + 2097152) // 4194304) AS v FROM wide JOIN down ON down.i = wide.y GROUP BY ALL)
+SELECT vec_id, stretched, (SELECT string_agg(v::BIGINT, ',' ORDER BY y, x) FROM high WHERE high.vec_id = stretched.vec_id) AS resampled FROM stretched
+""")
+def raster_preparation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as images of eight rows, stretched, and resampled to 12 by 5 pixels."""
+    vectors = table(spark, sf_dir, "embeddings")
+    width = F.size("embedding") / 8
+    values = F.transform("embedding", lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((v.cast("double") + 0.5) * 256))).cast("int"))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.slice("p", (y * F.col("w") + 1).cast("int"), F.col("w").cast("int")))
+    rasters = vectors.select("vec_id", values.alias("p"), width.alias("w")).select("vec_id", rows.alias("raster"))
+    found = images.prepared_rasters(rasters, "vec_id", 12, 5, 5)
+    return found.select("vec_id", F.array_join("stretched", ",").alias("stretched"), F.array_join("resampled", ",").alias("resampled"))
