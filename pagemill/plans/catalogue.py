@@ -730,8 +730,8 @@ def spec_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_partkey, concat_ws(E'\\n\\n', '# ' || CASE WHEN p_partkey % 5 = 0 THEN '{config.NO_TITLE}' ELSE p_name END || E'\\n- URL: https://h/' || p_partkey,
          CASE WHEN p_partkey % 3 > 0 THEN E'{config.REGION_HEADING}\\n\\n**' || p_brand || '**' END,
          CASE WHEN p_partkey % 4 > 0 THEN E'{config.TABLES_HEADING}\\n\\n{config.TABLE_HEADING}1\\n| type | size |\\n| --- | --- |\\n| ' || p_type || ' | ' || p_size || ' |' END,
-         CASE WHEN p_partkey % 7 > 0 THEN E'{config.TEXT_HEADING}\\n\\n' || CASE WHEN length(t) > 3000 THEN left(t, 3000) || E'\\n...(생략)' ELSE t END END) AS context
-FROM (SELECT *, repeat(p_name, (p_partkey % 400)::INT) AS t FROM part WHERE p_partkey % 400 > 0)
+         CASE WHEN p_partkey % 7 > 0 AND t IS NOT NULL THEN E'{config.TEXT_HEADING}\\n\\n' || CASE WHEN length(t) > 3000 THEN left(t, 3000) || E'\\n...(생략)' ELSE t END END) AS context
+FROM (SELECT *, CASE WHEN p_partkey % 400 > 0 THEN repeat(p_name, (p_partkey % 400)::INT) END AS t FROM part)
 """)
 def page_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document of a page, with the parts that it has."""
@@ -739,9 +739,9 @@ def page_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = lambda x: F.struct(x.alias("text"), F.lit(1).alias("rowspan"), F.lit(1).alias("colspan"))
     rows = F.array(F.array(cell(F.lit("type")), cell(F.lit("size"))), F.array(cell(F.col("p_type")), cell(F.col("p_size").cast("string"))))
     one = F.array(F.struct(F.lit(1).alias("table_index"), F.lit(0).alias("frame_index"), F.when(k % 4 > 0, rows).otherwise(F.array().cast(f"array<array<{tables.CELL}>>")).alias("rows")))
-    region, body = F.when(k % 3 > 0, F.concat(F.lit("**"), "p_brand", F.lit("**"))), F.when(k % 7 > 0, F.expr("repeat(p_name, cast(p_partkey % 400 as int))"))
+    region, body = F.when(k % 3 > 0, F.concat(F.lit("**"), "p_brand", F.lit("**"))), F.when((k % 7 > 0) & (k % 400 > 0), F.expr("repeat(p_name, cast(p_partkey % 400 as int))"))
     title = F.when(k % 5 == 0, "").otherwise(F.col("p_name"))
-    return table(spark, sf_dir, "part").where("p_partkey % 400 > 0").select("p_partkey", records.context_document(title, F.concat(F.lit("https://h/"), "p_partkey"), region, one, body).alias("context"))
+    return table(spark, sf_dir, "part").select("p_partkey", records.context_document(title, F.concat(F.lit("https://h/"), "p_partkey"), region, one, body).alias("context"))
 
 
 @query("SELECT 'capture_' || strftime(o_orderdate, '%Y%m%d') AS run, count(*) AS urls, sum(o_orderkey % 64 / 4.0)::DOUBLE AS seconds, avg(o_orderkey % 64 / 4.0)::DOUBLE AS mean_seconds FROM orders GROUP BY 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.config import NAME_KEY, SPECS_KEY, STATUS_KEY
@@ -17,10 +17,10 @@ def records_for_output(records: DataFrame) -> DataFrame:
 def write_records(records: DataFrame, path: str) -> None:
     """One folder of JSON lines for each true host; an error if the path exists.
 
-    Rows are dealt by host and a salt, so that a large host is written by several tasks.
+    Rows are dealt by host, and Spark splits a host into as many writers as its bytes ask for, and puts small ones together
+    (spark.sql.adaptive.advisoryPartitionSizeInBytes).
     """
-    out = records_for_output(records)
-    out.repartition("host", F.pmod(F.xxhash64("URL"), F.lit(16))).write.mode("errorifexists").partitionBy("host").json(path)
+    records_for_output(records).hint("rebalance", F.col("host")).write.mode("errorifexists").partitionBy("host").json(path)
 
 
 def write_metadata(metadata: DataFrame, path: str) -> None:
@@ -50,6 +50,13 @@ def write_failures(failures: DataFrame, texts_path: str) -> None:
     failures.select("run", "path", "mtime", "attempt", "error").write.mode("append").partitionBy("run").parquet(texts_path.rstrip("/") + "_errors")
 
 
+def compact_image_texts(spark: SparkSession, path: str, to: str) -> None:
+    """The last text of each image of each run, written to a new path: reading needs no choice among older ones then."""
+    texts = spark.read.schema("path string, text string, mtime timestamp, run string").parquet(path)
+    newest = texts.groupBy("run", "path").agg(F.max_by(F.struct("text", "mtime"), "mtime").alias("last"))
+    newest.select("run", "path", "last.*").hint("rebalance", F.col("run")).write.mode("errorifexists").partitionBy("run").parquet(to)
+
+
 def write_combined_texts(texts: DataFrame, path: str) -> None:
     """The texts of a product's images joined in order, as one row for each product (run, product, text)."""
     texts.select("run", "product", "text").write.mode("append").partitionBy("run").parquet(path)
