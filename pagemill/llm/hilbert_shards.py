@@ -127,6 +127,17 @@ def shard_documents(docs: DataFrame, shards: int = 24, bits: int = 6) -> DataFra
     return hilbert_shards(docs, document_levels(bits), [F.col("doc_id"), F.xxhash64("text")], shards, bits)
 
 
+def write_shards(placed: DataFrame, path: str, files: int, row_group_bytes: int = 128 << 20) -> None:
+    """Write rows with shard and slot (shard_documents) as Parquet, a folder ``shard=…`` for each shard, in about files files.
+
+    Rows are dealt out by ranges of (shard, slot) and sorted by them, so each file, and each row group in it, holds a run of the
+    Hilbert order: its minima and maxima are narrow in every dimension, and readers that filter by one skip most of them. No task
+    needs a whole shard. An empty table writes no file.
+    """
+    ordered = placed.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot")
+    ordered.write.option("parquet.block.size", row_group_bytes).partitionBy("shard").parquet(path)
+
+
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards by the law ``rows``; a null text has size 8 and the checksum of no bytes."""
     bits = 6
