@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pagemill import adapters, config, sql
 from pagemill.functions import labels, responses, text, urls
-from pagemill.operators import assets, boxes, dom, html, images, keywords, records, tables
+from pagemill.operators import assets, boxes, dom, html, images, keywords, records, spacing, tables
 from pagemill.plans import captures as capture_plans
 from pagemill.sources import capture_source, captures, sinks
 from pagemill.storage import fresh_path
@@ -933,3 +933,10 @@ def raster_preparation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rasters = vectors.select("vec_id", values.alias("p"), width.alias("w")).select("vec_id", rows.alias("raster"))
     found = images.prepared_rasters(rasters, "vec_id", 12, 5, 5)
     return found.select("vec_id", F.array_join("stretched", ",").alias("stretched"), F.array_join("resampled", ",").alias("resampled"))
+
+
+@query("SELECT p_partkey, p_name || chr(9) || p_type || ' ' || p_name AS name FROM part")
+def spaced_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts whose spaces were lost, cut into words by a model of the words of all names; columns stay apart."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("text"), F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.lit("\t"), "p_type", F.replace("p_name", F.lit(" "), F.lit(""))).alias("name"))
+    return spacing.spaced(parts, "name", spacing.train_spacer(parts)).select("p_partkey", "name")
