@@ -29,6 +29,8 @@ BLOCKS = (
 )
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 MEDIA = "array<struct<index:int,tag:string,src:string,alt:string,width:int,height:int,visible:boolean>>"
+#: Stands for the indent of preformatted lines until the rest is tidy: a character for private use.
+INDENT = "\ue000" * 4
 NODE = "at int, last int, parent int, tag string, attributes map<string,string>, text string"
 
 
@@ -225,7 +227,7 @@ def page_parts(nodes: DataFrame, selectors: list[str], settings: Settings = DEFA
     compounds = sorted({c for s in selectors for _, c in selector_steps(s)})
     steps = {s: [(before, compounds.index(c)) for before, c in selector_steps(s)] for s in dict.fromkeys(selectors)}
     tag = F.col("tag")
-    has_end = tag.isin([*BLOCKS, "td", "th", "b", "strong", "i", "em"])
+    has_end = tag.isin([*(b for b in BLOCKS if b not in VOID), "td", "th", "b", "strong", "i", "em", "code"])
     both = F.when(has_end, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     events = nodes.select("*", F.explode(both).alias("ends")).withColumn("begins", F.col("at")).withColumn("at", F.when(F.col("ends"), F.col("last")).otherwise(F.col("at")))
 
@@ -236,7 +238,9 @@ def page_parts(nodes: DataFrame, selectors: list[str], settings: Settings = DEFA
         "silent": _within(tag.isin(SILENT), running),
         "titled": _within(tag == "title", running),
         "shown": ~_within(F.col("attributes").isNotNull() & is_hidden(), running),
+        "preformatted": _within(tag == "pre", running),
         "level": F.sum(F.when(lists, F.when(starts, 1).otherwise(-1)).otherwise(0)).over(running),
+        "quotes": F.sum(F.when(tag == "blockquote", F.when(starts, 1).otherwise(-1)).otherwise(0)).over(running),
     })
     # a list is the last one that began at its level; its items are counted from there
     at_level = Window.partitionBy("page_", "level").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
@@ -250,18 +254,20 @@ def page_parts(nodes: DataFrame, selectors: list[str], settings: Settings = DEFA
     counted = lambda c: F.count(F.when(heard & c & starts, 1)).over(running)
     events = events.withColumns({"texts": counted(is_text), "cells": counted(is_cell), "rows": counted(is_row)})
 
-    flat = F.regexp_replace("text", f"{SPACE}+", " ")
+    flat = F.when(F.col("preformatted"), F.col("text")).otherwise(F.regexp_replace("text", f"{SPACE}+", " "))
     block = tag.isin(BLOCKS)
     text = F.when(is_text, flat).when(block | ((tag == "br") & starts), "\n").when(is_cell & starts, "\t")
     line = F.when(block | (tag == "br"), F.when(tag.isin("br", "tr") | (tag == "li") & F.col("ends"), "\n").otherwise("\n\n"))
     item = F.concat(F.repeat(F.lit("  "), F.greatest(F.col("level"), F.lit(1)).cast("int")), F.when(F.col("list") == "ol", F.concat((F.col("items") - F.col("before")).cast("string"), F.lit(". "))).otherwise("* "))
     mark = (
-        F.when(tag.isin("b", "strong"), "**").when(tag.isin("i", "em"), "_")
+        F.when(tag.isin("b", "strong"), "**").when(tag.isin("i", "em"), "_").when((tag == "code") & ~F.col("preformatted"), "`").when(tag == "hr", "* * *\n\n")
         .when(starts & is_row, "|").when(starts & (tag == "li"), item).when(starts & F.rlike(tag, F.lit("^h[1-6]$")), F.concat(F.repeat(F.lit("#"), F.substring(tag, 2, 1).try_cast("int")), F.lit(" ")))
-        .when(F.col("ends") & is_cell, " |")
+        .when(F.col("ends") & is_cell, " |").when(starts & (tag == "pre"), INDENT)
     )
     empty = F.lit("")
-    markdown = F.when(is_text, flat).when(starts, F.concat(F.coalesce(line, empty), F.coalesce(mark, empty))).otherwise(F.concat(F.coalesce(mark, empty), F.coalesce(line, empty)))
+    own = F.when(F.col("preformatted"), F.replace("text", F.lit("\n"), F.lit("\n" + INDENT))).otherwise(flat)
+    markdown = F.when(is_text, own).when(starts, F.concat(F.coalesce(line, empty), F.coalesce(mark, empty))).otherwise(F.concat(F.coalesce(mark, empty), F.coalesce(line, empty)))
+    markdown = F.when(F.col("quotes") > 0, F.regexp_replace(markdown, F.lit("\n"), F.concat(F.lit("\n"), F.repeat(F.lit("> "), F.col("quotes").cast("int"))))).otherwise(markdown)
     found = F.filter(F.array(*[F.when(compound_matches(c), F.lit(k)) for k, c in enumerate(compounds)]), lambda k: k.isNotNull()) if compounds else F.array().cast("array<int>")
     candidate = F.struct("at", "last", "parent", found.alias("compounds"), (F.col("shown") & is_large(settings.region_width, settings.region_height)).alias("fits"))
     medium = F.struct(
@@ -311,6 +317,10 @@ def page_parts(nodes: DataFrame, selectors: list[str], settings: Settings = DEFA
 
 
 def tidy(markdown: Column) -> Column:
-    """Without indents before running text, spaces at the ends of lines, and more than one empty line."""
+    """Without indents before running text, spaces at the ends of lines, and more than one empty line, in quotes too."""
     plain = F.regexp_replace(markdown, r"(?<=\n)[ ]+(?=[^ *\d])", "")
-    return strip(F.regexp_replace(F.regexp_replace(plain, r" *\n *(?=\n|$)", "\n"), r"\n{3,}", "\n\n"))
+    lines = F.regexp_replace(F.regexp_replace(plain, rf"{INDENT[0]}+(?=\n|$)", ""), r" *\n *(?=\n|$)", "\n")
+    quoted = F.regexp_replace(lines, r"(?<=\n|^)(?:> ?)+(?=\n|$)", ">")
+    for pattern, to in ((r"\n{3,}", "\n\n"), (r"(?:(?<=\n\n)|^)(?:>\n)+", ""), (r"(?:\n>){2,}(?=\n)", "\n>"), (r"(?:\n>)+(?=\n\n|\n?$)", "")):
+        quoted = F.regexp_replace(quoted, pattern, to)
+    return F.replace(strip(quoted), F.lit(INDENT[0]), F.lit(" "))

@@ -25,6 +25,18 @@ def test_read_page():
     assert page["region_md"].startswith("# Bolt\n\nFine **steel**.\nSecond\n\nThird")
 
 
+@pytest.mark.parametrize("body, markdown", [
+    ("<p>a</p><blockquote><p>x</p><p>y <b>z</b></p></blockquote><p>b</p>", "a\n\n> x\n>\n> y **z**\n\nb"),
+    ("<blockquote>one<blockquote>two</blockquote>three</blockquote>end", "> one\n>\n> > two\n>\n> three\n\nend"),
+    ("text<pre>a  b\n  c\n</pre>after <code>x_y</code>", "text\n\n    a  b\n      c\n\nafter `x_y`"),
+    ("up<hr>down", "up\n\n* * *\n\ndown"),
+    ("<ol><li>x<li>y<ul><li>q</ul><li>z</ol><h2>t</h2>", "1. x\n\n  2. y\n\n    * q\n\n  3. z\n\n## t"),
+    ("<pre><code>k = 1</code></pre>", "    k = 1"),
+])
+def test_markdown(body, markdown):
+    assert html.read_page(f"<main>{body}</main>", ["main"])["region_md"] == markdown
+
+
 @pytest.mark.parametrize("text", [None, "", "<", "<p", "</p></table>", "<table><td>x", "<ul>" * 3000 + "x"])
 def test_read_odd_pages(text):
     assert html.read_page(text, ["main"])["selector"] is None
