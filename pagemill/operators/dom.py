@@ -211,6 +211,10 @@ def first_match(candidates: Column, steps: list[tuple[str, int]]) -> Column:
     return bound(F.filter(candidates, lambda c: F.array_contains(c["compounds"], steps[0][1])), lambda x: narrowed(x, 1))
 
 
+def _is_tag(tags: list[str]) -> Column:
+    return F.expr("tag IN ('" + "', '".join(tags) + "')")
+
+
 def _within(condition: Column, running) -> Column:
     """Whether an event lies in an element of the condition (that element's own events too): one that began and hasn't ended."""
     return F.coalesce(F.max(F.when(condition & ~F.col("ends"), F.col("last"))).over(running) >= F.col("at"), F.lit(False))
@@ -227,7 +231,7 @@ def page_parts(nodes: DataFrame, selectors: list[str], settings: Settings = DEFA
     compounds = sorted({c for s in selectors for _, c in selector_steps(s)})
     steps = {s: [(before, compounds.index(c)) for before, c in selector_steps(s)] for s in dict.fromkeys(selectors)}
     tag = F.col("tag")
-    has_end = tag.isin([*(b for b in BLOCKS if b not in VOID), "td", "th", "b", "strong", "i", "em", "code"])
+    has_end = _is_tag([*(b for b in BLOCKS if b not in VOID), "td", "th", "b", "strong", "i", "em", "code"])
     both = F.when(has_end, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     events = nodes.select("*", F.explode(both).alias("ends")).withColumn("begins", F.col("at")).withColumn("at", F.when(F.col("ends"), F.col("last")).otherwise(F.col("at")))
 
@@ -235,7 +239,7 @@ def page_parts(nodes: DataFrame, selectors: list[str], settings: Settings = DEFA
     running = by_page.rowsBetween(Window.unboundedPreceding, 0)
     starts, lists = ~F.col("ends"), tag.isin("ul", "ol")
     events = events.withColumns({
-        "silent": _within(tag.isin(SILENT), running),
+        "silent": _within(_is_tag(SILENT), running),
         "titled": _within(tag == "title", running),
         "shown": ~_within(F.col("attributes").isNotNull() & is_hidden(), running),
         "preformatted": _within(tag == "pre", running),
@@ -255,7 +259,7 @@ def page_parts(nodes: DataFrame, selectors: list[str], settings: Settings = DEFA
     events = events.withColumns({"texts": counted(is_text), "cells": counted(is_cell), "rows": counted(is_row)})
 
     flat = F.when(F.col("preformatted"), F.col("text")).otherwise(F.regexp_replace("text", f"{SPACE}+", " "))
-    block = tag.isin(BLOCKS)
+    block = _is_tag(BLOCKS)
     text = F.when(is_text, flat).when(block | ((tag == "br") & starts), "\n").when(is_cell & starts, "\t")
     line = F.when(block | (tag == "br"), F.when(tag.isin("br", "tr") | (tag == "li") & F.col("ends"), "\n").otherwise("\n\n"))
     item = F.concat(F.repeat(F.lit("  "), F.greatest(F.col("level"), F.lit(1)).cast("int")), F.when(F.col("list") == "ol", F.concat((F.col("items") - F.col("before")).cast("string"), F.lit(". "))).otherwise("* "))
@@ -289,7 +293,7 @@ def page_parts(nodes: DataFrame, selectors: list[str], settings: Settings = DEFA
         gathered(heard & is_row & starts, pair("cells")).alias("row_starts"), gathered(heard & is_row & ends, pair("cells")).alias("row_ends"),
         gathered(heard & is_table & starts, pair("rows")).alias("table_starts"), gathered(heard & is_table & ends, pair("rows")).alias("table_ends"),
         gathered(heard & tag.isin("img", "canvas"), medium).alias("media"),
-        gathered(heard & starts & tag.isNotNull() & ~tag.isin(list(VOID)) & (F.size(found) > 0), candidate).alias("candidates"),
+        gathered(heard & starts & tag.isNotNull() & ~_is_tag(sorted(VOID)) & (F.size(found) > 0), candidate).alias("candidates"),
     )
 
     part = lambda of, a, b: F.slice(of, a["n"].cast("int") + 1, (b["n"] - a["n"]).cast("int"))  # noqa: E731  what lies between a start and its end
