@@ -18,6 +18,7 @@ from pagemill.operators import assets, boxes, dom, html, images, keywords, recor
 from pagemill.plans import captures as capture_plans
 from pagemill.sources import capture_source, captures, sinks
 from pagemill.storage import fresh_path
+from pagemill.streaming import watches
 
 WS = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#]*@)?([^/?#:]*)"
@@ -940,3 +941,33 @@ def spaced_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of parts whose spaces were lost, cut into words by a model of the words of all names; columns stay apart."""
     parts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("text"), F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.lit("\t"), "p_type", F.replace("p_name", F.lit(" "), F.lit(""))).alias("name"))
     return spacing.spaced(parts, "name", spacing.train_spacer(parts)).select("p_partkey", "name")
+
+
+# Streams: events as readings of users, in batches of five days
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_type AS v, ts, lead(ts) OVER w AS next, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+w AS (
+  SELECT user_id, n, 0::BIGINT AS watch, 1 AS rounds, v, ts AS began, ts, next, 'open' AS why FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.user_id, e.n, CASE WHEN w.why <> 'open' OR e.ts > w.ts + INTERVAL 1 DAY THEN w.watch + 1 ELSE w.watch END,
+         CASE WHEN w.why <> 'open' OR e.ts > w.ts + INTERVAL 1 DAY THEN 1 ELSE w.rounds + 1 END, e.v,
+         CASE WHEN w.why <> 'open' OR e.ts > w.ts + INTERVAL 1 DAY THEN e.ts ELSE w.began END, e.ts, e.next,
+         CASE WHEN w.why <> 'open' OR e.ts > w.ts + INTERVAL 1 DAY THEN 'open' WHEN e.v = w.v THEN 'equal' WHEN w.rounds + 1 >= 6 THEN 'rounds' ELSE 'open' END
+  FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+SELECT user_id::VARCHAR AS key, watch, rounds, v AS value, CASE WHEN why = 'open' THEN 'idle' ELSE why END AS why, began AS began_at, CASE WHEN why = 'open' THEN ts + INTERVAL 1 DAY ELSE ts END AS ended_at
+FROM w WHERE why <> 'open' OR next > ts + INTERVAL 1 DAY OR next IS NULL AND ts + INTERVAL 1 DAY + INTERVAL 1 HOUR + INTERVAL 1 SECOND < (SELECT max(ts) FROM events)
+""")
+def settled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Watches of users until two events in a row are of one type, after six events, or after a day without one, on a stream."""
+    session, source, out = watches.session_for_state(spark), fresh_path(spark, "readings"), fresh_path(spark, "watches")
+    events = session.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("tie"), F.col("event_type").alias("value"))
+    part = F.floor(F.datediff("at", F.lit("2024-01-01").cast("date")) / 5)
+    first, last = events.agg(F.min(part), F.max(part)).first()
+    for k in range(int(first or 0), int(last or 0) + 1):  # files arrive in the order of their times
+        events.where(part == k).coalesce(4).write.mode("append").parquet(source)
+    stream = session.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(source)
+    running = watches.settled(stream, 6, "1 day").writeStream.trigger(availableNow=True).option("checkpointLocation", fresh_path(spark, "watch-state")).format("parquet").start(out)
+    running.awaitTermination()
+    return session.read.schema(watches.WATCHES).parquet(out).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("began_at", "ended_at")})
