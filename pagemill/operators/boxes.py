@@ -140,6 +140,7 @@ def lines_of_rows(words: DataFrame, image: list[str], row: str, settings: Settin
     window = Window.partitionBy(*image, row).orderBy("xc", "ord")
     before, letters = F.lag("x2").over(window), F.lag((F.col("x2") - F.col("x1")) / F.greatest(F.length("text"), F.lit(1))).over(window)
     gap = F.when(before.isNull(), F.lit("")).when(F.col("x1") - before > letters * settings.column_gap, F.lit("\t")).otherwise(F.lit(" "))
-    marked = words.withColumn("part_", F.concat(gap, F.col("text")))
-    parts = F.sort_array(F.collect_list(F.struct("xc", "ord", "part_")))
+    # words of one place keep the order in which their gaps were found
+    marked = words.withColumns({"at_": F.row_number().over(window), "part_": F.concat(gap, F.col("text"))})
+    parts = F.sort_array(F.collect_list(F.struct("at_", "part_")))
     return marked.groupBy(*image, row).agg(F.array_join(F.transform(parts, lambda p: p["part_"]), "").alias("line"))

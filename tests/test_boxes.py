@@ -83,3 +83,10 @@ def test_overlapping_pairs_across_cells(spark):
     box = lambda w: (None, None, w[2], w[4], w[3], w[5])
     want = {(a[1], b[1]) for i, a in enumerate(words) for b in words[i + 1 :] if plain_iou(box(a), box(b)) > 0.5}
     assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want and want
+
+
+def test_equal_words_of_a_row(spark):
+    """Words equal in all that orders them stand one after the other, the first without a gap."""
+    word = ("i", 0, 7, "w1", 10.0, 30.0, 20.0)
+    words = spark.createDataFrame([word, word, ("i", 0, 9, "w2", 90.0, 99.0, 94.5)], "image string, row int, ord long, text string, x1 double, x2 double, xc double")
+    assert [r["line"] for r in boxes.lines_of_rows(words, ["image"], "row").collect()] == ["w1 w1\tw2"]
