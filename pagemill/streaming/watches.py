@@ -1,7 +1,8 @@
 """Waiting until readings settle, on streams: the rule by which a page counts as loaded, for any number of keys at once.
 
 A watch of a key begins with a reading and ends when two readings in a row are equal (``equal``), after so many readings
-(``rounds``), or when none comes for so long (``idle``); the next reading begins a new watch. State is one row for each key.
+(``rounds``), or when none comes for so long (``idle``, told by the next reading, or a second later by a timer); the next reading begins a new
+watch. State is one row for each key.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 ROUNDS = 18
+#: Microseconds by which a timer comes after the idle end that it tells.
+GRACE = 1_000_000
 WATCHES = "key string, watch long, rounds int, value string, why string, began_at timestamp, ended_at timestamp"
 STATE = "watch long, rounds int, value string, began long, last long"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -51,7 +54,7 @@ class Watch(StatefulProcessor):
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if state[1]:
-            self.handle.registerTimer((state[4] + self.idle) // 1000 + 1)
+            self.handle.registerTimer((state[4] + self.idle + GRACE) // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         state = tuple(self.state.get())

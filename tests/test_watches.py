@@ -61,3 +61,23 @@ def test_null_readings_are_equal_to_none(spark, tmp_path):
     query = watches.settled(stream, 3).writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).format("parquet").start(str(tmp_path / "out"))
     query.awaitTermination()
     assert [(r["rounds"], r["why"]) for r in session.read.schema(watches.WATCHES).parquet(str(tmp_path / "out")).select(F.col("rounds"), "why").collect()] == [(3, "rounds")]
+
+
+def test_files_of_a_time_make_one_batch_and_idle_ends_wait_a_second(spark, tmp_path):
+    """A batch never mixes parts of days, whose later rows would be late, however many files they have; an idle end is told as the SQL tells it."""
+    import duckdb
+
+    from pagemill.plans import catalogue
+
+    day, end = datetime(2024, 1, 1), datetime(2024, 1, 29)
+    events = [(k, day + timedelta(seconds=(k * 4999 % 2400) * 1000), k % 50, "abc"[k * k % 3]) for k in range(2400)]
+    events += [(9000 + k, end - timedelta(hours=25) - timedelta(milliseconds=s), 900 + k, "x") for k, s in enumerate((-500, 500, 900, 1100, 5000))]
+    events += [(9999, end, 999, "x")]
+    frame = spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string")
+    # three files, of which one lacks some of the parts of days
+    frame.where("event_id % 3 = 0 AND ts < timestamp_ntz'2024-01-12'").unionByName(frame.where("event_id % 3 <> 0 OR ts >= timestamp_ntz'2024-01-12'").repartition(2, "event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    got = catalogue.settled_events(spark, str(tmp_path)).toPandas().astype(str)
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    wanted = con.execute(catalogue.SQL["settled_events"]).df()[list(got.columns)].astype(str)
+    assert sorted(map(tuple, got.values)) == sorted(map(tuple, wanted.values))
