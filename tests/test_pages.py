@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill import adapters, config
-from pagemill.operators import assets, html, records, tables
+from pagemill.operators import assets, dom, html, records, tables
 from pagemill.plans import captures as captures_plan
 from pagemill.sources import captures, sinks
 from pagemill.streaming import captures as streams
@@ -42,6 +42,31 @@ def test_read_odd_pages(text):
     assert html.read_page(text, ["main"])["selector"] is None
 
 
+def test_references_without_semicolon():
+    """Read as browsers do, or kept as text in titles, texts and values; scripts and other ampersands stay as they are."""
+    page = '<title>a&amp;&lt&#65;</title><p id="x&copy1">&am b&amp</p>&notit;&&middot;<script>1 &amp 2</script>'
+    texts = lambda **o: [n[5] for n in dom.nodes_of(page, **o) if n[5]]
+    assert "".join(texts(open_references=False)) == "a&&ltA&am b&amp&notit;&\u00b71 &amp 2"
+    assert "".join(texts()) == "a&<A&am b&\u00acit;&\u00b71 &amp 2"
+    assert [n[4] for n in dom.nodes_of(page, False) if n[4]] == [[("id", "x&copy1")]]
+
+
+def test_page_queries_keep_cut_references(spark, tmp_path):
+    """page_texts and page_records give the rows of their SQL where a reference is cut before its semicolon."""
+    import duckdb
+
+    from pagemill.plans import catalogue
+
+    body = "<html><head><title>x&amp;y &amp</title></head><body><main><h1>x&amp;y &amp</h1><p>z</p></main></body></html>"
+    pages = spark.createDataFrame([(1, "https://h.example/p", body)], "page_id long, url string, html string")
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("page_texts", "page_records"):
+        got = catalogue.QUERIES[name](spark, str(tmp_path))
+        assert [tuple(r) for r in got.collect()] == con.execute(f"select {', '.join(got.columns)} from ({catalogue.SQL[name]})").fetchall()
+
+
 def test_parse_pages_keeps_columns(spark):
     frame = spark.createDataFrame([(1, PAGE, "old", "h"), (2, None, None, None)], "page_id long, html string, text string, host string")
     got = {r["page_id"]: r for r in html.parse_pages(frame).collect()}
