@@ -67,6 +67,18 @@ def test_page_queries_keep_cut_references(spark, tmp_path):
         assert [tuple(r) for r in got.collect()] == con.execute(f"select {', '.join(got.columns)} from ({catalogue.SQL[name]})").fetchall()
 
 
+def test_nodes_are_dealt_by_bytes(spark, monkeypatch):
+    """As many tasks as the bytes of pages ask for, whatever files they came in; each page's nodes stay together."""
+    pages = spark.createDataFrame([(k, f"<p>{k}</p>" + "x" * (k * 40)) for k in range(40)] + [(40, None)], "id int, html string").coalesce(1)
+    monkeypatch.setattr(dom, "TASK_BYTES", 4096)
+    nodes = dom.page_nodes(pages)
+    assert nodes.rdd.getNumPartitions() == 11  # 41 pages of 256 bytes and their HTML
+    in_tasks = nodes.withColumn("task", F.spark_partition_id()).groupBy("page_").agg(F.count_distinct("task").alias("tasks")).select("tasks").distinct().collect()
+    assert [r[0] for r in in_tasks] == [1]
+    got = {r["id"]: r["text"] for r in html.parse_pages(pages, host=None).collect()}
+    assert got == {k: f"{k}\n" + "x" * (k * 40) if k else "0" for k in range(40)} | {40: ""}
+
+
 def test_parse_pages_keeps_columns(spark):
     frame = spark.createDataFrame([(1, PAGE, "old", "h"), (2, None, None, None)], "page_id long, html string, text string, host string")
     got = {r["page_id"]: r for r in html.parse_pages(frame).collect()}
