@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -36,3 +37,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, load: int, each: int) -> DataFrame:
+    """df dealt evenly to tasks of about each of a load, but to as many as Spark has cores where there is so much.
+
+    A small file is one task of Spark's, however much work its rows are.
+    """
+    return df.repartition(max(math.ceil(load / each), min(load, df.sparkSession.sparkContext.defaultParallelism), 1))
