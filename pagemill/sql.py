@@ -97,7 +97,7 @@ def register(spark: SparkSession) -> list[str]:
     for name, (parameters, kind, made) in FUNCTIONS.items():
         arguments = [F.col(p.split()[0]) for p in parameters.split(", ")]
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {expression_sql(made(*arguments))}")
-    # rows travel in Arrow batches; functions of whole batches (arrow_udtf) cannot stand behind LATERAL
-    spark.udtf.register("page_nodes", F.udtf(PageNodes, returnType=NODE, useArrow=True))
-    spark.udtf.register("parse_tables", F.udtf(ParseTables, returnType=CELLS, useArrow=True))
+    # plain rows, as an Arrow batch for each page costs more than its few rows; functions of whole batches (arrow_udtf) cannot stand behind LATERAL
+    spark.udtf.register("page_nodes", F.udtf(PageNodes, returnType=NODE, useArrow=False))
+    spark.udtf.register("parse_tables", F.udtf(ParseTables, returnType=CELLS, useArrow=False))
     return [*FUNCTIONS, "page_nodes", "parse_tables"]
