@@ -14,8 +14,10 @@ from pagemill.guard import Guarded
 from pagemill.operators import assets, boxes, records
 from pagemill.operators.images import prepare_images
 from pagemill.sources import captures, sinks
-from pagemill.storage import fresh_path, materialise
+from pagemill.storage import fresh_path, materialise, spread
 
+#: Images for one task, and strips that leave Python at once.
+IMAGES_OF_TASK, STRIPS_AT_ONCE = 2000, 200
 RAW_WORDS = "polygons array<array<array<double>>>, texts array<string>, scores array<double>"
 
 
@@ -48,14 +50,19 @@ def read_words(images: DataFrame, make_reader: Callable[[], adapters.WordReader]
         arrow = to_arrow_schema(schema)
         with Guarded(make_strip_reader, settings.read_seconds) as reader:
             for batch in batches:
+                rows = []
                 for k in range(batch.num_rows):
                     path, content, strips = (batch.column(c)[k].as_py() for c in range(3))
                     strips = [(s["y0"], s["y1"]) for s in strips or ()]
                     found, error = reader(content, strips) if strips else (None, "ValueError: not a PNG file, or one without height")
                     if error:
-                        rows = [{"path": path, "error": error}]
+                        rows.append({"path": path, "error": error})
                     else:
-                        rows = [{"path": path, "y0": y0, "polygons": f[0], "texts": f[1], "scores": f[2]} for (y0, _), f in zip(strips, found)]
+                        rows += [{"path": path, "y0": y0, "polygons": f[0], "texts": f[1], "scores": f[2]} for (y0, _), f in zip(strips, found)]
+                    if len(rows) >= STRIPS_AT_ONCE:
+                        yield pa.RecordBatch.from_pylist(rows, arrow)
+                        rows = []
+                if rows:
                     yield pa.RecordBatch.from_pylist(rows, arrow)
 
     raw = sized.mapInArrow(read, schema)
@@ -100,9 +107,11 @@ def read_in_rounds(
         todo = assets.pending_images(images, known, use_cache or number > 0)
         failures = captures.read_failures(spark, texts_path, run).groupBy("path", "mtime").agg(F.max("attempt").alias("tried"))
         todo = todo.join(failures, ["path", "mtime"], "left").where(F.coalesce("tried", F.lit(0)) < settings.attempts)
-        if todo.isEmpty():
+        left = todo.count()
+        if not left:
             break
-        done = materialise(image_texts(todo.select("path", "mtime").join(content, "path"), make_reader, None, make_spacer, settings), "image-texts")
+        pictures = spread(todo.select("path", "mtime").join(content, "path"), left, IMAGES_OF_TASK)
+        done = materialise(image_texts(pictures, make_reader, None, make_spacer, settings), "image-texts")
         good = done.where(F.col("error").isNull())
         sinks.write_image_texts(good.select(F.lit(run).alias("run"), "path", "text", F.current_timestamp().alias("mtime")), texts_path)
         failed = done.where(F.col("error").isNotNull()).join(todo, "path").select(F.lit(run).alias("run"), "path", "mtime", (F.coalesce("tried", F.lit(0)) + 1).alias("attempt"), "error")

@@ -122,3 +122,17 @@ def test_an_image_travels_once(spark, heights):
     words = plans.read_words(images, Reader)
     assert "Generate explode" not in words._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(w["text"] for w in r["words"]) for r in words.collect()} == {("a",) if heights == 30 else ("a", "b", "c", "d")}
+
+
+def test_images_are_dealt_out(spark, tmp_path, monkeypatch):
+    """Images of one file are read by as many tasks as their number asks for; their texts leave Python together."""
+    tasks, whole = [], plans.image_texts
+    monkeypatch.setattr(plans, "image_texts", lambda images, *a, **k: tasks.append(images.rdd.getNumPartitions()) or whole(images, *a, **k))
+    monkeypatch.setattr(plans, "IMAGES_OF_TASK", 5, raising=False)
+    monkeypatch.setattr(plans, "STRIPS_AT_ONCE", 3, raising=False)
+    rows = [(f"r/assets/{k}.png", "2026-01-01 00:00:00", bytearray(png(10, 30, f"w{k}"))) for k in range(40)]
+    pictures = spark.createDataFrame(rows, "path string, at string, content binary").withColumn("mtime", F.col("at").cast("timestamp")).coalesce(1)
+    texts = str(tmp_path / "texts")
+    plans.read_in_rounds(pictures.select("path", "mtime"), pictures.select("path", "content"), "r", texts, Reader)
+    assert tasks == [8]
+    assert {r["path"]: r["text"] for r in captures.read_image_texts(spark, texts, "r").collect()} == {f"r/assets/{k}.png": f"w{k}" for k in range(40)}
